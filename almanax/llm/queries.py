@@ -35,7 +35,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the number of spans of each base kind, a digest of the base spans, and all spans."""
     found = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
     base = F.filter("secret_spans", lambda s: s["kind"].isin(*secrets.BASE))
-    number = {f"n_{k}": F.size(F.filter("secret_spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in secrets.BASE}
+    number = {f"n_{k}": F.size(F.filter(F.col("secret_spans")["kind"], F.lit(k).__eq__)).cast("long") for k in secrets.BASE}
     digest = F.sha2(secrets.spans_text(base).cast("binary"), 256)
     return found.select("doc_id", *[c.alias(k) for k, c in number.items()], digest.alias("base_sha256"), secrets.spans_text(F.col("secret_spans")).alias("spans"))
 
