@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanax.llm import line_dedup, quality, secrets, url_filter
+from almanax.llm import line_dedup, ngram_join, packing, pq_dedup, quality, secrets, sentencepiece, toxicity, url_filter, warc
 from almanax.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -40,4 +40,41 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(k) for k, c in number.items()], digest.alias("base_sha256"), secrets.spans_text(F.col("secret_spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op5_secret_scan, op7_line_dedup, op8_quality_rules)}
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, and its place in a sequence."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer())
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+def op4_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.cosine_components(_read(spark, sf_dir, "embeddings"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the numbers of words and ids, and a digest of the ids in order."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece.digests(sentencepiece.encoded_words(docs, tokenizer("piece_bpe_32k.model")), docs)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by a chain of the labelled categories: low quality, then toxic."""
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    labels = labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
+    return toxicity.score_documents(docs, labels, ("low_quality", "toxic"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+_ALL = (op1_url_reputation, op2_best_fit_packing, op3_ngram_jaccard, op4_pq_near_dedup, op5_secret_scan, op6_sentencepiece, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_warc)
+QUERIES = {f.__name__: f for f in _ALL}
