@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
-Method. Categories are predicted one after another by logistic models; each model's features are words and a few shape figures
-of the text and the logits that the chain gave to the earlier categories. A later model is trained with out-of-fold predictions
+Method. Categories are predicted one after another by logistic models; each model's features are words, beginnings of words and
+a few shape figures of the text, and the logits that the chain gave to the earlier categories. A later model is trained with out-of-fold predictions
 of the earlier ones: those of models that never saw the row. Words become features if a chi-square test on the training rows
 ties them to a category; a fold's words are chosen without the fold's rows.
 
@@ -24,13 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_ROWS, MOST_WORDS, FOLDS, LEAST_CHI2, LEAST_ROWS = 20_000, 400, 5, 20.0, 5
+#: Bytes of the beginnings of words that are features too.
+BEGINNINGS = (5, 7)
 _SHAPE = ("words", "distinct", "upper", "marks", "digits")
 #: Lower-cases A-Z and turns all other ASCII marks but digits into blanks.
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
 def text_words(text: bytes) -> set[bytes]:
-    return set(text.translate(_FOLD).split())
+    """The distinct words, and with a star those beginnings that inflected words share."""
+    words = set(text.translate(_FOLD).split())
+    return words.union(*[{w[:n] + b"*" for w in words if len(w) > n} for n in BEGINNINGS])
 
 
 def shape(text: bytes, words: int) -> list[float]:
@@ -43,7 +47,7 @@ def shape(text: bytes, words: int) -> list[float]:
     return [np.log1p(spread) / 8, words / spread, upper / n, 10 * marks / n, 10 * digits / n]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 15) -> np.ndarray:
     """Weights, the constant last, by damped Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -89,8 +93,11 @@ def _fit_link(words: list[bytes], sets, shapes: np.ndarray, earlier: np.ndarray,
 
 @dataclass
 class Chain:
+    """thresholds: per category the probability with the best F1 on the training rows, by out-of-fold predictions."""
+
     categories: tuple[str, ...]
     links: list[Link]
+    thresholds: list[float]
 
     def logits(self, texts: Sequence[bytes]) -> np.ndarray:
         sets = [text_words(t) for t in texts]
@@ -122,7 +129,7 @@ def _telling_words(rows: DataFrame, k: int, folds: int, most: int) -> dict[int,
         n, b = (total["tn"], total["ty"]) if f < 0 else (total["tn"] - total[f"tn{f}"], total["ty"] - total[f"ty{f}"])
         wn, wy = (F.col("wn"), F.col("wy")) if f < 0 else (F.col("wn") - F.col(f"wn{f}"), F.col("wy") - F.col(f"wy{f}"))
         expected = wn * F.lit(b / max(n, 1))
-        rest = F.lit(max(1e-9, (1 - b / max(n, 1)) * (1 - 0.0)))
+        rest = F.lit(max(1e-9, 1 - b / max(n, 1)))
         chi2 = (wy - expected) * (wy - expected) / F.greatest(expected * rest * (1 - wn / max(n, 1)), F.lit(1e-9))
         best = each.where(wn >= LEAST_ROWS).select("word", chi2.alias("chi2")).where(F.col("chi2") > LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(most)
         out[f] = sorted(bytes(r["word"]) for r in best.collect())
@@ -143,7 +150,7 @@ def fit_chain(labelled: DataFrame, categories: Sequence[str], doc_id: str = "doc
     sets = [set(w) for w in kept["words"].to_pylist()]
     shapes = np.array(kept["shape"].to_pylist()).reshape(len(sets), len(_SHAPE))
     fold, labels = kept["fold"].to_numpy(), np.array(kept["y"].to_pylist()).reshape(len(sets), len(categories))
-    links, earlier = [], np.zeros((len(sets), 0))
+    links, earlier, thresholds = [], np.zeros((len(sets), 0)), []
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
         links.append(_fit_link(words[k][-1], sets, shapes, earlier, y))
@@ -153,7 +160,16 @@ def fit_chain(labelled: DataFrame, categories: Sequence[str], doc_id: str = "doc
             link = _fit_link(words[k][f], [sets[i] for i in there], shapes[there], earlier[there], y[there])
             unseen[held] = link.logits([sets[i] for i in held], shapes[held], earlier[held])
         earlier = np.column_stack([earlier, unseen])
-    return Chain(tuple(categories), links)
+        thresholds.append(_best_threshold(1 / (1 + np.exp(-np.clip(unseen, -30, 30))), y))
+    return Chain(tuple(categories), links, thresholds)
+
+
+def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Of 0.05 to 0.5, the one with the best F1; the highest of equal ones, and 0.5 without any rows of the category."""
+    tried = np.arange(10, 0, -1) * 0.05
+    hit = np.array([(y[p >= t].sum(), (p >= t).sum()) for t in tried], float)
+    f1 = 2 * hit[:, 0] / np.maximum(hit[:, 1] + y.sum(), 1)
+    return float(tried[f1.argmax()])
 
 
 def probabilities(chain: Chain, text: Column) -> Column:
@@ -168,9 +184,12 @@ def probabilities(chain: Chain, text: Column) -> Column:
     return score(text)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, **fit) -> DataFrame:
-    """Per row of docs: its id, p_<category> of each, and the last category as a boolean. labels has ids and 0/1 columns."""
+def score_documents(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: str = "doc_id", text: str = "text", threshold: float | None = None, **fit) -> DataFrame:
+    """Per row of docs: its id, p_<category> of each, and the last category as a boolean. labels has ids and 0/1 columns.
+
+    threshold: of the last category; else the one fitted.
+    """
     labelled = docs.select(doc_id, text).join(labels.select(doc_id, *categories), doc_id)
     chain = fit_chain(labelled, categories, doc_id, text, **fit)
     scored = docs.select(F.col(doc_id), probabilities(chain, F.col(text)).alias("_p"))
-    return scored.select(doc_id, *[F.col("_p")[c].alias(f"p_{c}") for c in categories], (F.col("_p")[categories[-1]] >= threshold).alias(categories[-1]))
+    return scored.select(doc_id, *[F.col("_p")[c].alias(f"p_{c}") for c in categories], (F.col("_p")[categories[-1]] >= (chain.thresholds[-1] if threshold is None else threshold)).alias(categories[-1]))
