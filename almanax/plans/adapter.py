@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanax.model import FREQUENCIES, SPEED_OF_LIGHT
 from almanax.session import load
 
 HOUR = 3_600_000
@@ -56,3 +57,38 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLACES = "places AS (SELECT c_custkey AS id, CAST(c_custkey * 7 % 179 - 89 AS DOUBLE) AS lat, CAST(c_custkey * 13 % 359 - 179 AS DOUBLE) AS lon, c_acctbal AS h FROM customer)"
+
+
+def dual_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GPS pseudoranges and phases on two bands every 30 s from events, with noise, gaps and slips that the event's number sets."""
+    e = load(spark, sf_dir, "events")
+    i, n = F.floor(F.col("event_id") / 20), F.col("event_id") % 20 + 1
+    reach = 2e7 + 800.0 * i * 30
+    jump = F.when(n % 3 == 0, 50.0 * F.floor(i / 70)).otherwise(0.0)
+    rows = e.where(~(i % 100).between(90, 97)).select(
+        (i * 30_000).alias("t_ms"), F.concat(F.lit("G"), F.lpad(n.cast("string"), 2, "0")).alias("prn"),
+        F.create_map(F.lit("C1C"), reach + F.col("value") % 2, F.lit("L1C"), reach / L1 + 1e6 + jump, F.lit("C2W"), reach + F.col("value") % 1, F.lit("L2W"), F.when(F.col("event_id") % 37 != 0, reach / L2 + 2e6)).alias("v"),
+    )
+    return rows.select("t_ms", F.lit("G").alias("sys"), "prn", F.explode("v").alias("code", "value"))
+
+
+L1, L2 = SPEED_OF_LIGHT / FREQUENCIES["G"]["1"], SPEED_OF_LIGHT / FREQUENCIES["G"]["2"]
+DUAL = f"""ev AS (SELECT event_id, event_id // 20 AS i, event_id % 20 + 1 AS n, value, 2e7 + 800.0::DOUBLE * (event_id // 20) * 30 AS r FROM events WHERE NOT (event_id // 20) % 100 BETWEEN 90 AND 97),
+du AS (SELECT i * 30000 AS t_ms, 'G' || lpad(n::VARCHAR, 2, '0') AS prn, r + value % 2 AS c1, r / {L1!r} + 1e6 + CASE WHEN n % 3 = 0 THEN 50.0 * (i // 70) ELSE 0 END AS l1, r + value % 1 AS c2,
+       CASE WHEN event_id % 37 <> 0 THEN r / {L2!r} + 2e6 END AS l2 FROM ev)"""
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t_ms (half minutes), prn, lat, lon, az and el in radians from events; of equal keys the greatest event_id."""
+    e = load(spark, sf_dir, "events")
+    prn = F.concat(F.lit("G"), F.lpad((F.col("user_id") % 20 + 1).cast("string"), 2, "0"))
+    at = lambda x: F.radians(x)
+    rows = e.select(
+        (F.floor(millis("ts") / 30_000) * 30_000).alias("t_ms"), prn.alias("prn"), "event_id",
+        F.struct(at(F.col("event_id") * 7 % 120 - 60).alias("lat"), at(F.col("event_id") * 13 % 360 - 180).alias("lon"), at(F.col("event_id") * 17 % 360).alias("az"), at(F.col("event_id") * 11 % 100 - 10).alias("el")).alias("p"),
+    )
+    return rows.groupBy("t_ms", "prn").agg(F.max_by("p", "event_id").alias("p")).select("t_ms", "prn", "p.*")
+
+
+POSITIONS = """pos AS (SELECT t_ms, prn, radians(e * 7 % 120 - 60) AS lat, radians(e * 13 % 360 - 180) AS lon, radians(e * 17 % 360) AS az, radians(e * 11 % 100 - 10) AS el
+  FROM (SELECT (epoch_us(ts) // 1000) // 30000 * 30000 AS t_ms, 'G' || lpad((user_id % 20 + 1)::VARCHAR, 2, '0') AS prn, max(event_id) AS e FROM events GROUP BY ALL))"""
