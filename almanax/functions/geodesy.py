@@ -54,7 +54,7 @@ def euclidean(x1: Column, y1: Column, z1: Column, x2: Column, y2: Column, z2: Co
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = MEAN_RADIUS) -> Column:
     s = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin((lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(s)))
+    return 2 * radius * F.asin(F.sqrt(F.when(s > 1, 1.0).otherwise(s)))
 
 
 def vincenty(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int = 12) -> Column:

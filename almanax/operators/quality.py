@@ -177,9 +177,9 @@ def geometry_free_jumps(obs: DataFrame, interval_ms: int, metres: float = GF_MET
     d = arcs(d, ["prn", "band", "ref"], interval_ms)
     w = W.partitionBy("prn", "band", "ref", "arc").orderBy("t_ms")
     d = d.withColumn("step", F.col("gf") - F.lag("gf").over(w))
-    magnitude = F.abs(F.col("step") - F.coalesce(F.lag("step").over(w), F.lit(0.0)))
-    back = F.abs(F.coalesce(F.lag("step").over(w), F.lit(0.0))) > metres  # the step after a slip departs again
-    return d.withColumn("magnitude", magnitude).where((F.col("magnitude") > metres) & ~back).select("t_ms", "sys", "prn", F.concat(F.lit("GF "), "band", F.lit("-"), "ref").alias("signal"), "magnitude")
+    d = d.withColumn("before", F.coalesce(F.lag("step").over(w), F.lit(0.0))).withColumn("magnitude", F.abs(F.col("step") - F.col("before")))
+    # the step after a slip departs again and isn't one
+    return d.where((F.col("magnitude") > metres) & ~(F.abs("before") > metres)).select("t_ms", "sys", "prn", F.concat(F.lit("GF "), "band", F.lit("-"), "ref").alias("signal"), "magnitude")
 
 
 _SLIP = "t_ms long, sys string, prn string, signal string, magnitude double"
