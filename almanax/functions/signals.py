@@ -41,7 +41,7 @@ def altboc(f: Column, sub: float, chip: float) -> Column:
     """Constant-envelope alternating BOC with an odd ratio of 2 sub / chip."""
     h, q = math.pi * f / (2 * sub), math.pi * f / (4 * sub)
     top = F.pow(F.cos(math.pi * f / chip) / F.cos(h), 2)
-    value = 4 * chip / (math.pi**2 * f * f) * top * (F.pow(F.cos(h), 2) - F.cos(h) - 2 * F.cos(h) * F.cos(q) + 2)
+    value = chip / (2 * math.pi**2 * f * f) * top * (F.pow(F.cos(h), 2) - F.cos(h) - 2 * F.cos(h) * F.cos(q) + 2)
     return F.when(F.abs(f) < 1e-6, F.lit(0.0)).when(F.abs(F.cos(h)) < 1e-9, F.lit(None)).otherwise(value)
 
 
