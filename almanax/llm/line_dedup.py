@@ -37,10 +37,11 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source",
 
     A host has at most (lines per page) / most_share boilerplate lines, so they join as one short array per host.
     """
-    common = boilerplate_lines(docs, text, host, **limits).groupBy("host").agg(F.collect_list("key").alias("_common")).withColumnRenamed("host", "_host")
-    joined = docs.join(common, docs[host].eqNullSafe(common["_host"]), "left")
-    kept = F.filter(lines(F.col(text)), lambda x: ~(has_word(x) & F.array_contains("_common", line_key(x))))
-    joined = joined.withColumn(text, F.when(F.col(text).isNull() | F.col("_common").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    own = "_".join(["_common", *docs.columns])  # unlike any column of docs
+    common = boilerplate_lines(docs, text, host, **limits).groupBy("host").agg(F.collect_list("key").alias(own)).withColumnRenamed("host", own + "_host")
+    joined = docs.join(common, docs[host].eqNullSafe(common[own + "_host"]), "left")
+    kept = F.filter(lines(F.col(text)), lambda x: ~(has_word(x) & F.array_contains(own, line_key(x))))
+    joined = joined.withColumn(text, F.when(F.col(text).isNull() | F.col(own).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
     if n_chars in docs.columns:
         joined = joined.withColumn(n_chars, F.length(F.col(text)).cast(docs.schema[n_chars].dataType))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

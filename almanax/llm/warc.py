@@ -240,7 +240,9 @@ class WarcReader(DataSourceReader):
                 yield self._body(stream, row, size)
             at = body + size + 4
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive has a record
+            return
         files, name = _filesystem(partition.path)
         with files.open_input_file(name) as src:
             zipped = src.read(2) == b"\x1f\x8b"

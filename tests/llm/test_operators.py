@@ -1,0 +1,389 @@
+"""Each text operator against brute force, on small tables with nulls, empty and long texts, repeated rows and clashing names."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from public_tokenizers import path
+from pyspark.sql import functions as F
+
+from almanax.llm import line_dedup, ngram_join, packing, pq_dedup, quality, secrets, sentencepiece, toxicity, url_filter, warc
+from almanax.llm.components import components
+from almanax.llm.token_ids import TokenIds
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system".split()
+
+
+def doc(i, text, source="s0"):
+    return (i, text, "en", source, None if text is None else len(text))
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def odd_texts():
+    rng = random.Random(3)
+    return [None, "", "  \n\t ", "one", "one two three", sentence(rng, 60), sentence(rng, 60) + "\n" + sentence(rng, 50), "x" * 30_000, sentence(rng, 9000), "Ünïcode ß 日本語 🙂\x0b\x0c\r\nend"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = odd_texts()
+    rows = [doc(i, t, None if i % 4 == 0 else f"s{i % 3}") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[5], rows[5]], DOC)
+
+
+# 1
+
+
+def test_url_parts_and_rules(spark):
+    urls = ["http://A.Example.COM/de/x?q#f", "https://example.net/en/a", "https://x.example.net/fr/", "http://w.org/fr/1", "http://badorg/fr/", None, "nothing", "ftp://", "http://h#frag/de/", "http://net/", "http://example.com?x=/de/"]
+    pages = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    labels = spark.createDataFrame([(0, 1), (1, None)], "page_id long, bad int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, labels).collect()}
+    assert got[0] == ("a.example.com", "/de/x", "example.com/de/", "block") and got[1][2:] == ("example.net/en/", "allow") and got[2][2:] == ("net/", "block") and got[3][2:] == ("org/fr/", "allow")
+    assert got[4][2] is None and got[5][:3] == ("", "", None) and got[6][:3] == ("", "", None) and got[7][:2] == ("", "") and got[8][:3] == ("h", "", None) and got[9][2:] == ("net/", "block") and got[10][:3] == ("example.com", "", None)
+
+
+def test_reputation_shrinks(spark):
+    pages = spark.createDataFrame([(i, f"http://{'bad' if i < 40 else 'good' if i < 80 else 'new'}.x{i % 2}.com/a") for i in range(100)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "page_id long, bad int")
+    got = {r.host: r for r in url_filter.host_reputation(pages, labels).collect()}
+    assert got["bad.x0.com"].host_verdict == "block" and got["good.x0.com"].host_verdict == "allow" and got["good.x0.com"].bad_mean < got["new.x0.com"].bad_mean < got["bad.x0.com"].bad_mean
+    assert url_filter.judge_urls(pages.limit(0), labels).count() == 0 and url_filter.filter_urls(pages, labels.limit(0)).count() == 100
+
+
+# 2
+
+
+def test_token_ids_are_the_tokenizers():
+    ids = TokenIds(path("word_bpe_49k.json"), most_chunks=50, most_words=20)
+    texts = [*[t or "" for t in odd_texts()], "a<|endoftext|>b it's DON'T !!'s \x1c\x01", "ﬁ ΑΣ ΟΔΟΣ. İ １２ 　x \x85 ſtraße ŉ"]
+    for t in texts:
+        assert np.frombuffer(ids.of(t), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_packing(docs):
+    tok = TokenIds(path("word_bpe_49k.json")).tokenizer
+    rows = packing.pack_documents(docs, path("word_bpe_49k.json")).collect()
+    want = Counter()
+    for r in docs.collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[r.doc_id, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    check_layout(rows, 4096)
+    assert packing.pack_documents(docs.limit(0), path("word_bpe_49k.json")).count() == 0
+
+
+def check_layout(rows, size):
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= size
+    return len(at)
+
+
+def test_packing_merges_over_levels(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_ITEMS", 500)
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    rng = random.Random(5)
+    sizes = [rng.randint(1, 100) for _ in range(6000)]
+    pieces = spark.createDataFrame([(None if i == 7 else i, 0, 0, n, i) for i, n in enumerate(sizes)], packing._PIECES)
+    rows = packing.pack_pieces(pieces, 100).collect()
+    assert len(rows) == 6000 and check_layout(rows, 100) <= 1.02 * sum(sizes) / 100 + 1
+    big = spark.createDataFrame([(i, 0, 0, 60, i) for i in range(2000)], packing._PIECES)  # none fit together
+    assert check_layout(packing.pack_pieces(big, 100).collect(), 100) == 2000
+
+
+# 3
+
+
+def shingle_set(text, size=5):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} - {()}
+
+
+def test_jaccard_components(spark, docs):
+    rng = random.Random(11)
+    base = [sentence(rng, rng.randint(30, 200)).split() for _ in range(12)]
+    rows = []
+    for i in range(160):
+        words = list(base[i % 12])
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(1000)}"
+        rows.append(doc(100 + i, " ".join(words)))
+    every = docs.unionByName(spark.createDataFrame(rows, DOC)).withColumn("component_id", F.lit("mine"))
+    found = {}
+    for r in ngram_join.jaccard_components(every).collect():
+        found.setdefault(r.doc_id, set()).add((r.n_shingles, r.component_id))
+    sets = {r.doc_id: shingle_set(r.text) for r in every.collect()}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert found == {i: {(len(s), root(i))} for i, s in sets.items()}
+    one = ngram_join.one_of_each(every)
+    assert {r.doc_id for r in one.collect()} == {i for i in sets if root(i) == i} and one.columns == every.columns
+    assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    rng = random.Random(2)
+    words = sentence(rng, 120).split()
+    rows = []
+    for i in range(60):
+        w = list(words)
+        w[i % 120] = f"x{i}"
+        rows.append(doc(i, " ".join(w)))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, DOC)).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.component for r in components(chain).collect()} == {0}
+    assert components(chain.limit(0)).count() == 0
+
+
+# 4
+
+
+def test_cosine_components(spark, monkeypatch):
+    monkeypatch.setattr(pq_dedup, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 16))
+    rows = [(int(i), [float(x) for x in (base[i % 60] + 0.12 * rng.normal(size=16)).astype(np.float32)], 0) for i in range(400)]
+    rows += [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [1.0, None] * 8, 0), (1004, [], 0), (1005, rows[3][1], 0), (1006, [2 * x for x in rows[3][1]], 0), (1007, [1.0, 2.0], 0), (1008, [1.0, 2.0], 0), (None, rows[3][1], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pq_dedup.cosine_components(frame).collect()}
+    good = [(i, np.array(v, float)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    near = {i: {j for j, w in good if j != i and len(w) == len(v) and v @ w / np.sqrt(v @ v) / np.sqrt(w @ w) >= 0.95} for i, v in good}
+    seen = {}
+    for i in sorted(near):
+        if i not in seen:
+            todo = [i]
+            while todo:
+                k = todo.pop()
+                if k not in seen:
+                    seen[k] = i
+                    todo += near[k]
+    for i, v, _ in rows:
+        assert got[i] == ((len(near[i]), seen[i], seen[i] == i) if i in near else (0, i, None if i is None else True)), i
+    assert pq_dedup.cosine_components(frame.limit(0)).count() == 0
+
+
+# 5
+
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+
+
+def base_spans(text):
+    text = text or ""
+    rows = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    rows += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    rows += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(rows)]
+
+
+def test_secrets(spark):
+    rng = random.Random(8)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", ":", "=", " ", "'", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "é", "🙂", "\n", "hunter22", "x.y=z", "ſecret", "K", "ghp_" + "a" * 36, "AKIAAKIA"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(500)] + [None, "", "secret: secret: abcdef", "token=" + "a" * 100_000, "password=abcde"]
+    frame = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOC).withColumn("secret_spans", F.lit(1))
+    for r in secrets.find_secrets(frame).collect():
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in r.secret_spans if s.kind in secrets.BASE] == base_spans(r.text), r.text
+    clean = secrets.redact_secrets(frame.drop("secret_spans")).collect()
+    assert all(r.text is None or not base_spans(r.text) or "removed" in r.text for r in clean) and all(r.text is None or r.n_chars == len(r.text) for r in clean)
+    assert secrets.find_secrets(frame.limit(0)).count() == 0
+
+
+# 6
+
+
+def test_sentencepiece_is_the_librarys(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    model = path("piece_bpe_32k.model")
+    m = SentencePieceProcessor(model_file=model)
+    texts = ["  Hello  world\n x\t🙂", "a" * 23 + " bbbbbb", "\n\n a", "a▁b  ", "日本語のテキスト漢字", "x" * 300, "\x00\x01é", "The quick brown foxes' jumping", *[t for t in odd_texts() if t is None or len(t) < 1000]]
+    frame = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOC).withColumn("ids", F.lit(0))
+    coded = sentencepiece.encode_texts(frame, model)
+    got = {r.doc_id: list(r.ids) for r in coded.collect()}
+    assert got == {i: m.encode(t or "") for i, t in enumerate(texts)}
+    back = {r.doc_id: r.text for r in sentencepiece.decode_texts(coded, model).collect()}
+    assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
+    assert sentencepiece.encode_texts(frame.limit(0), model).count() == 0
+
+
+def test_digest_counts(spark, docs):
+    model = path("piece_bpe_32k.model")
+    short = docs.where("coalesce(length(text), 0) < 1000").dropDuplicates(["doc_id"])
+    coded = {r.doc_id: len(r.ids) for r in sentencepiece.encode_texts(short, model).collect()}
+    got = sentencepiece.digests(sentencepiece.encoded_words(short, model), short).collect()
+    assert {r.doc_id: r.n_ids for r in got} == coded
+
+
+def test_viterbi(spark):
+    pieces = {"▁": -3.0, "▁a": -1.0, "a": -2.0, "b": -2.0, "ab": -2.5, "aba": -6.0, "▁ab": -4.1, "ba": -1.2}
+    table = spark.createDataFrame([(p, i, s, i) for i, (p, s) in enumerate(pieces.items())], "piece string, id int, score double, rank int")
+    words = ["▁abab", "▁ababa", "▁a", "▁bbb", "▁aéb"]
+    got = {r.word: list(r.ids) for r in sentencepiece.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), table, list(range(100, 356)), "unigram").collect()}
+
+    def best(w):
+        out = [(0.0, [])] + [None] * len(w)
+        for i in range(1, len(w) + 1):
+            tries = []
+            for j in range(max(0, i - 3), i):
+                p = w[j:i]
+                if p in pieces:
+                    tries.append((out[j][0] + pieces[p], out[j][1] + [list(pieces).index(p)]))
+                elif i - j == 1:
+                    tries.append((out[j][0] - 16.0, out[j][1] + [100 + b for b in p.encode()]))
+            out[i] = max(tries, key=lambda t: t[0])
+        return out[-1][1]
+
+    assert got == {w: best(w) for w in words}
+
+
+# 7
+
+
+def test_line_dedup(spark):
+    rows = [doc(i, f"Share this\nbody {i}\n\n share THIS \nrare", "a" if i % 2 else None) for i in range(60)] + [doc(100, None, "a"), doc(101, "", "a"), doc(102, "Share this", "b"), doc(1, "Share this\nbody 1\n\n share THIS \nrare", "a")]
+    frame = spark.createDataFrame(rows, DOC).withColumn("_common", F.lit("mine"))
+    out = line_dedup.drop_boilerplate(frame)
+    got = {(r.doc_id, r.source): r for r in out.collect()}
+    assert out.columns == frame.columns and out.count() == len(rows) and got[1, "a"].text == "body 1\n" and got[0, None].text == "body 0\n" and got[100, "a"].text is None and got[101, "a"].text == "" and got[102, "b"].text == "Share this"
+    assert got[1, "a"].n_chars == 7 and got[0, None]["_common"] == "mine" and line_dedup.drop_boilerplate(frame.limit(0)).count() == 0
+
+
+# 8
+
+
+def plain_metrics(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeat = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeat)
+
+
+def test_quality_metrics(spark, docs):
+    more = spark.createDataFrame([doc(50, "a b c a b c a b c d"), doc(51, "# | <>\n# | <>\n\n \n# | <>"), doc(52, " ".join(f"w{i}" for i in range(60))), doc(None, "x y z")], DOC)
+    every = docs.unionByName(more)
+    texts = {r.doc_id: r.text for r in every.collect()}
+    for r in quality.judge_documents(every).collect():
+        n, chars, symbols, dup, repeat = plain_metrics(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat), r
+        assert r.base_failed == (n < 50 or 100 * repeat > 50 * n) and not (r.base_failed and r.kept)
+    kept = quality.keep_good_documents(every.withColumn("kept", F.lit("mine")))
+    assert kept.columns == [*every.columns, "kept"] and 52 in {r.doc_id for r in kept.collect()} and quality.judge_documents(docs.limit(0)).count() == 0
+
+
+def test_depleted_documents_go(spark):
+    rng = random.Random(1)
+    menu = "\n".join(" ".join(f"menu{k}w{i}" for i in range(15)) for k in range(4))
+    rows = [doc(i, menu + "\n" + " ".join(f"only{i}x{j}" for j in range(5))) for i in range(40)] + [doc(100 + i, menu + "\n" + " ".join(f"long{i}x{j}" for j in range(200))) for i in range(5)] + [doc(200 + i, sentence(rng, 80) + f" end{i}") for i in range(5)]
+    got = {r.doc_id: r.kept for r in quality.judge_documents(spark.createDataFrame(rows, DOC)).collect()}
+    assert not any(got[i] for i in range(40)) and all(got[100 + i] for i in range(5))
+
+
+# 9
+
+
+def test_chain_on_held_out_rows(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        toxic, junk = i % 5 == 0, i % 7 == 0
+        words = sentence(rng, 40).split() + (["awfulness", "nastily"] if toxic else []) + (["zzz"] * 10 + ["$$$"] if junk else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(junk), int(toxic)))
+    rows += [(9000, None, 0, 0), (9001, "", None, 1), (9002, "x" * 100_000, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, junk int, toxic int")
+    labels = frame.where("doc_id % 2 = 0").select("doc_id", "junk", "toxic")
+    out = toxicity.score_documents(frame.select("doc_id", "text"), labels, ("junk", "toxic")).collect()
+    held = [r for r in out if r.doc_id < 900 and r.doc_id % 2]
+    assert len(out) == len(rows) and sum(r.toxic == (r.doc_id % 5 == 0) for r in held) >= 0.97 * len(held) and sum((r.p_junk > 0.5) == (r.doc_id % 7 == 0) for r in held) >= 0.97 * len(held)
+    none = toxicity.score_documents(frame.select("doc_id", "text"), labels.limit(0), ("junk", "toxic")).collect()
+    assert {r.p_toxic for r in none} == {0.5}
+    assert toxicity.score_documents(frame.select("doc_id", "text").limit(0), labels, ("junk", "toxic")).count() == 0
+
+
+# 10
+
+
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "x"), (3, None, None), (4, "u\r\nv", ""), (5, "q", "ÿ" * 200_000), (2, "http://b", "x"), (None, "q", "alone")], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = Counter([(1, 1, digest("x"), "revisit", 2), (2, 1, digest("x"), "response", None), (2, 1, digest("x"), "response", None), (3, 0, digest(""), "revisit", 4), (4, 0, digest(""), "response", None), (5, 400_000, digest("ÿ" * 200_000), "response", None), (None, 5, digest("alone"), "response", None)])
+    assert got == want and warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_pushes_filters_down(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}/{i}", f"body {i // 2}") for i in range(40)], "page_id long, url string, html string")
+    place = str(tmp_path / "w")
+    warc.write_warc(warc.with_revisits(pages), place)
+    read = warc.read_warc(spark, place).where("record_type = 'response' and target_uri like 'http://h1/%'")
+    assert "EqualTo" not in read._jdf.queryExecution().executedPlan().toString() and {r.payload.decode() for r in read.collect()} == {f"body {i // 2}" for i in range(40) if i % 2 and i % 3 == 1}
+    assert warc.read_warc(spark, place, payload=False).where("payload is not null").count() == 0
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    import gzip
+
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhello\r\n\r\n"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(info + record)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(record))
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.payload for r in got) == [b"abc", b"abc", b"hello", b"hello"]
+    assert warc.read_warc(spark, str(tmp_path)).where("record_type = 'response'").count() == 2
+
+
+# pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "secret_scans", "best_fit_packing"]
+    current = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        current = stage(spark, current, sf_dir)
+        assert current.columns == docs.columns
+        current = spark.createDataFrame(current.collect(), docs.schema)
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in current.collect()}
+    check_layout(packed, 4096)
+    tok = TokenIds(path("word_bpe_49k.json"))
+    want = Counter()
+    for r in current.collect():
+        raw = tok.of(r.text or "") + b"\1\0\0\0"
+        for k, at in enumerate(range(0, len(raw), 4 * 4096)):
+            want[r.doc_id, k, zlib.crc32(raw[at : at + 4 * 4096])] += 1
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed) == want
