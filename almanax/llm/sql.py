@@ -80,4 +80,32 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND words_left >= 0.3 * n_words AS kept FROM v
 """
 
-ORACLE_SQL = {"op1_url_reputation": OP1, "op7_line_dedup": OP7, "op8_quality_rules": OP8}
+#: Components of links (a, b): every node reaches the smallest.
+_REACH = "reach(node, c) AS (SELECT id, id FROM nodes UNION SELECT l.b, r.c FROM reach r JOIN both_ways l ON l.a = r.node WHERE r.c < l.b), comp AS (SELECT node, min(c) AS c FROM reach GROUP BY 1)"
+
+OP3 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), nodes AS (SELECT DISTINCT a AS id FROM both_ways), {_REACH}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp ON node = doc_id
+"""
+
+OP4 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_inner_product(x.e, y.e) / (sqrt(list_inner_product(x.e, x.e)) * sqrt(list_inner_product(y.e, y.e))) >= 0.95),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), nodes AS (SELECT DISTINCT a AS id FROM both_ways), {_REACH},
+k AS (SELECT a, count(*) AS n FROM both_ways GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept FROM embeddings LEFT JOIN k ON a = vec_id LEFT JOIN comp ON node = vec_id
+"""
+
+_B32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5))::INT >> (15 - 5 * CAST(i % 4 AS INT))) & 31 AS INT) + 1, 1)), '')"
+
+OP10 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), g AS (SELECT html, max(page_id) AS m FROM p GROUP BY 1)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p JOIN g USING (html)
+"""
+
+ORACLE_SQL = {"op1_url_reputation": OP1, "op3_ngram_jaccard": OP3, "op4_pq_near_dedup": OP4, "op7_line_dedup": OP7, "op8_quality_rules": OP8, "op10_warc": OP10}
