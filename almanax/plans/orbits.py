@@ -140,3 +140,25 @@ ORACLE_SQL = {
         g AS (SELECT *, CAST(sum(CASE WHEN bef = colour THEN 0 ELSE 1 END) OVER (PARTITION BY track ORDER BY t_ms) AS BIGINT) AS segment FROM l)
         SELECT track, segment, CAST(any_value(colour) AS INT) AS colour, min(t_ms) AS start_ms, max(nx) AS end_ms, count(*) AS pieces FROM g GROUP BY track, segment""",
 }
+
+
+def _dilution_sql() -> str:
+    """The diagonal of the normal matrix's inverse by cofactors."""
+    names = ("e", "n", "u", "t")
+    at = lambda a, b: a + b if names.index(a) <= names.index(b) else b + a
+    sums = ", ".join(f"sum({a} * {b}) AS {a + b}" for i, a in enumerate(names) for b in names[i:])
+
+    def det(rows, cols) -> str:
+        if len(rows) == 1:
+            return at(rows[0], cols[0])
+        parts = [f"{'-' if k % 2 else '+'} {at(rows[0], c)} * ({det(rows[1:], [x for x in cols if x != c])})" for k, c in enumerate(cols)]
+        return " ".join(parts)
+
+    cof = {k: det([x for x in names if x != k], [x for x in names if x != k]) for k in names}
+    inverse = ", ".join(f"CASE WHEN m >= 4 AND abs(d) > 1e-12 THEN ({cof[k]}) / d END AS q{k}" for k in names)
+    return f"""WITH {POSITIONS}, v AS (SELECT t_ms // 3600000 * 3600000 AS t_ms, cos(el) * sin(az) AS e, cos(el) * cos(az) AS n, sin(el) AS u, 1.0::DOUBLE AS t FROM pos WHERE el > 0.1),
+        s AS (SELECT t_ms, count(*) AS m, {sums} FROM v GROUP BY 1), x AS (SELECT *, {det(list(names), list(names))} AS d FROM s), q AS (SELECT t_ms, m, {inverse} FROM x)
+        SELECT t_ms, m AS satellites, round(sqrt(qe + qn + qu + qt), 5) AS gdop, round(sqrt(qe + qn + qu), 5) AS pdop, round(sqrt(qe + qn), 5) AS hdop, round(sqrt(qu), 5) AS vdop FROM q"""
+
+
+ORACLE_SQL["dilution"] = _dilution_sql()
