@@ -22,8 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-MOST_ROWS, MOST_WORDS, FOLDS, LEAST_CHI2, LEAST_ROWS = 20_000, 400, 5, 20.0, 5
+from almanax.llm.scratch import save
+
+MOST_ROWS, MOST_WORDS, FOLDS, LEAST_CHI2, LEAST_ROWS = 16_000, 200, 5, 20.0, 5
 #: Bytes of the beginnings of words that are features too.
 BEGINNINGS = (5, 7)
 _SHAPE = ("words", "distinct", "upper", "marks", "digits")
@@ -56,6 +59,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 15)
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
         w += step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 0.01:
+            break
     return w
 
 
@@ -100,64 +105,81 @@ class Chain:
     thresholds: list[float]
 
     def logits(self, texts: Sequence[bytes]) -> np.ndarray:
-        sets = [text_words(t) for t in texts]
-        shapes = np.array([shape(t, len(s)) for t, s in zip(texts, sets, strict=True)]).reshape(len(texts), len(_SHAPE))
+        """Of each text only the words that are features are held."""
+        wanted = frozenset().union(*[link.place for link in self.links])
+        sets, shapes = [], np.zeros((len(texts), len(_SHAPE)))
+        for i, t in enumerate(texts):
+            words = text_words(t)
+            shapes[i] = shape(t, len(words))
+            sets.append(words & wanted)
         out = np.zeros((len(texts), 0))
         for link in self.links:
             out = np.column_stack([out, link.logits(sets, shapes, out)])
         return out
 
 
+_FEATURES = pa.schema([("id", pa.int64()), ("words", pa.list_(pa.string())), ("shape", pa.list_(pa.float64())), ("fold", pa.int32()), ("y", pa.list_(pa.int32()))])
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-        sets = [text_words(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(s) for s in sets], pa.list_(pa.binary())), pa.array([shape(t, len(s)) for t, s in zip(texts, sets, strict=True)], pa.list_(pa.float64())), batch.column(2), batch.column(3)], names=["id", "words", "shape", "fold", "y"])
-
-
-def _telling_words(rows: DataFrame, k: int, folds: int, most: int) -> dict[int, list[bytes]]:
-    """Words for category k by chi-square: for each fold those of the other folds' rows, and under -1 those of all rows."""
-    y, fold = F.element_at("y", k + 1), F.col("fold")
-    sums = lambda p: [F.count(F.lit(1)).alias(f"{p}n"), F.sum("_y").alias(f"{p}y"), *[c for f in range(folds) for c in (F.count_if(fold == f).alias(f"{p}n{f}"), F.sum(F.when(fold == f, F.col("_y")).otherwise(0)).alias(f"{p}y{f}"))]]
-    rows = rows.withColumn("_y", y.cast("long"))
-    total = rows.agg(*sums("t")).first().asDict()
-    if not total["tn"]:
-        return {f: [] for f in range(-1, folds)}
-    each = rows.select("fold", "_y", F.explode("words").alias("word")).groupBy("word").agg(*sums("w")).where(F.col("wn") >= LEAST_ROWS)
-    out = {}
-    for f in range(-1, folds):
-        n, b = (total["tn"], total["ty"]) if f < 0 else (total["tn"] - total[f"tn{f}"], total["ty"] - total[f"ty{f}"])
-        wn, wy = (F.col("wn"), F.col("wy")) if f < 0 else (F.col("wn") - F.col(f"wn{f}"), F.col("wy") - F.col(f"wy{f}"))
-        expected = wn * F.lit(b / max(n, 1))
-        rest = F.lit(max(1e-9, 1 - b / max(n, 1)))
-        chi2 = (wy - expected) * (wy - expected) / F.greatest(expected * rest * (1 - wn / max(n, 1)), F.lit(1e-9))
-        best = each.where(wn >= LEAST_ROWS).select("word", chi2.alias("chi2")).where(F.col("chi2") > LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(most)
-        out[f] = sorted(bytes(r["word"]) for r in best.collect())
-    return out
-
-
-def fit_chain(labelled: DataFrame, categories: Sequence[str], doc_id: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, folds: int = FOLDS) -> Chain:
-    """labelled has a 0/1 column for each category; their order is the chain's."""
-    known = labelled.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.array(*[F.col(c).cast("int") for c in categories]).alias("y")).where(~F.array_contains(F.transform("y", lambda v: v.isNull()), True))
+    """Words are bytes; as strings of their Latin-1 letters they can be hashed by Spark."""
+    for whole in batches:
+        for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
+            sets = [text_words(t) for t in texts]
+            words = pa.array([[w.decode("latin-1") for w in s] for s in sets], pa.list_(pa.string()))
+            shapes = pa.array([shape(t, len(s)) for t, s in zip(texts, sets, strict=True)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), words, shapes, batch.column(2), batch.column(3)], schema=_FEATURES)
+
+
+def _telling_words(rows: DataFrame, categories: int, folds: int, most: int) -> dict[tuple[int, int], list[bytes]]:
+    """Words for category k by chi-square, under (k, f) from the rows outside fold f, and under (k, -1) from all rows."""
+    fold, every = F.col("fold"), range(folds)
+    y = [F.element_at("y", k + 1) for k in range(categories)]
+    sums = [*[F.count_if(fold == f).alias(f"n{f}") for f in every], *[F.sum(F.when(fold == f, y[k]).otherwise(0)).alias(f"y{k}_{f}") for k in range(categories) for f in every]]
+    total = rows.agg(*sums).first().asDict()
+    each = rows.select("fold", "y", F.explode("words").alias("word")).groupBy("word").agg(*sums)
+    variants = []
+    for k in range(categories):
+        for f in (-1, *every):
+            used = [g for g in every if g != f]
+            n, b = sum(total[f"n{g}"] for g in used), sum(total[f"y{k}_{g}"] or 0 for g in used)
+            if 0 < b < n:
+                wn, wy = sum((F.col(f"n{g}") for g in used), F.lit(0)), sum((F.col(f"y{k}_{g}") for g in used), F.lit(0))
+                expected = wn * F.lit(b / n)
+                chi2 = F.pow(wy - expected, 2) / F.greatest(expected * F.lit(1 - b / n) * (1 - wn / n), F.lit(1e-9))
+                variants.append(F.when(wn >= LEAST_ROWS, F.struct(F.lit(k).alias("k"), F.lit(f).alias("f"), chi2.alias("chi2"))))
+    out: dict[tuple[int, int], list[bytes]] = {(k, f): [] for k in range(categories) for f in (-1, *every)}
+    if variants:
+        told = each.select("word", F.explode(F.array_compact(F.array(*variants))).alias("v")).select("word", "v.*").where(F.col("chi2") > LEAST_CHI2)
+        best = told.withColumn("place", F.row_number().over(W.partitionBy("k", "f").orderBy(F.desc("chi2"), "word"))).where(F.col("place") <= most)
+        for r in best.select("k", "f", "word").collect():  # at most most words for each category and fold
+            out[r["k"], r["f"]].append(r["word"].encode("latin-1"))
+    return {at: sorted(ws) for at, ws in out.items()}
+
+
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, folds: int = FOLDS) -> Chain:
+    """labels has ids and a 0/1 column for each category; their order is the chain's. Only texts of the sample are read further."""
+    known = labels.select(F.col(doc_id).cast("long").alias("id"), F.array(*[F.col(c).cast("int") for c in categories]).alias("y")).where(~F.array_contains(F.transform("y", lambda v: v.isNull()), True))
     some = known.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(most_rows)
-    rows = some.select("id", "text", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold"), "y")
-    rows = rows.mapInArrow(_features, "id long, words array<binary>, shape array<double>, fold int, y array<int>").cache()
-    words = [_telling_words(rows, k, folds, most_words) for k in range(len(categories))]
-    wanted = sorted({w for by_fold in words for ws in by_fold.values() for w in ws})
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")  # most_rows small rows at most
+    sample = save(texts.select("id", "text", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold"), "y"), "sample")
+    rows = sample.mapInArrow(_features, "id long, words array<string>, shape array<double>, fold int, y array<int>")
+    words = _telling_words(rows, len(categories), folds, most_words)
+    wanted = sorted({w for ws in words.values() for w in ws})
     # of a bounded number of rows, the words that are features
-    kept = rows.select("shape", "fold", "y", F.array_intersect("words", F.array(*[F.lit(w) for w in wanted]) if wanted else F.lit([]).cast("array<binary>")).alias("words")).toArrow()
-    rows.unpersist()
-    sets = [set(w) for w in kept["words"].to_pylist()]
+    kept = rows.select("shape", "fold", "y", F.array_intersect("words", F.array(*[F.lit(w.decode("latin-1")) for w in wanted]).cast("array<string>")).alias("words")).toArrow()
+    sets = [{w.encode("latin-1") for w in ws} for ws in kept["words"].to_pylist()]
     shapes = np.array(kept["shape"].to_pylist()).reshape(len(sets), len(_SHAPE))
-    fold, labels = kept["fold"].to_numpy(), np.array(kept["y"].to_pylist()).reshape(len(sets), len(categories))
+    fold, target = kept["fold"].to_numpy(), np.array(kept["y"].to_pylist()).reshape(len(sets), len(categories))
     links, earlier, thresholds = [], np.zeros((len(sets), 0)), []
     for k in range(len(categories)):
-        y = labels[:, k].astype(float)
-        links.append(_fit_link(words[k][-1], sets, shapes, earlier, y))
+        y = target[:, k].astype(float)
+        links.append(_fit_link(words[k, -1], sets, shapes, earlier, y))
         unseen = np.zeros(len(sets))
         for f in range(folds):
             there, held = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            link = _fit_link(words[k][f], [sets[i] for i in there], shapes[there], earlier[there], y[there])
+            link = _fit_link(words[k, f], [sets[i] for i in there], shapes[there], earlier[there], y[there])
             unseen[held] = link.logits([sets[i] for i in held], shapes[held], earlier[held])
         earlier = np.column_stack([earlier, unseen])
         thresholds.append(_best_threshold(1 / (1 + np.exp(-np.clip(unseen, -30, 30))), y))
@@ -178,7 +200,8 @@ def probabilities(chain: Chain, text: Column) -> Column:
 
     @F.arrow_udf(", ".join(f"{c} double" for c in chain.categories))
     def score(texts: pa.Array) -> pa.Array:
-        p = 1 / (1 + np.exp(-np.clip(chain.logits([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]), -30, 30)))
+        parts = [chain.logits([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts[k : k + 512]]) for k in range(0, len(texts), 512)]
+        p = 1 / (1 + np.exp(-np.clip(np.concatenate(parts) if parts else np.zeros((0, len(fields))), -30, 30)))
         return pa.StructArray.from_arrays([pa.array(p[:, k]) for k in range(len(fields))], fields=fields)
 
     return score(text)
@@ -189,7 +212,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, categories: Sequence[str
 
     threshold: of the last category; else the one fitted.
     """
-    labelled = docs.select(doc_id, text).join(labels.select(doc_id, *categories), doc_id)
-    chain = fit_chain(labelled, categories, doc_id, text, **fit)
+    chain = fit_chain(docs, labels, categories, doc_id, text, **fit)
     scored = docs.select(F.col(doc_id), probabilities(chain, F.col(text)).alias("_p"))
     return scored.select(doc_id, *[F.col("_p")[c].alias(f"p_{c}") for c in categories], (F.col("_p")[categories[-1]] >= (chain.thresholds[-1] if threshold is None else threshold)).alias(categories[-1]))
