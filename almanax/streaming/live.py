@@ -21,12 +21,12 @@ FRAME = "mountpoint string, arrival timestamp, message_type int, length int, pay
 def _framed(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Bytes that may begin a frame wait in the state for the next chunk."""
     rest = state.get[0] if state.exists else b""
-    for chunk in (pd.concat(list(groups)).sort_values(["seq"]),):
-        rows = []
-        for arrival, data in zip(chunk["arrival"], chunk["data"], strict=True):
-            found, rest = rtcm.frames(rest + bytes(data))
-            rows += [(key[0], arrival, rtcm.message_type(p), len(p), p) for p in found]
-        yield pd.DataFrame(rows, columns=["mountpoint", "arrival", "message_type", "length", "payload"])
+    chunks = pd.concat(list(groups)).sort_values("seq")
+    rows = []
+    for arrival, data in zip(chunks["arrival"], chunks["data"], strict=True):
+        found, rest = rtcm.frames(rest + bytes(data))
+        rows += [(key[0], arrival, rtcm.message_type(p), len(p), p) for p in found]
+    yield pd.DataFrame(rows, columns=["mountpoint", "arrival", "message_type", "length", "payload"])
     state.update((rest,))
 
 
