@@ -39,15 +39,20 @@ def satellite_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glonass_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State vectors carried forward and back by Runge-Kutta; not SQL."""
-    s = load(spark, sf_dir, "supplier").where("s_suppkey between 1 and 24")
+    """State vectors carried forward and back by Runge-Kutta; not SQL.
+
+    Every supplier is an ephemeris: 24 slots, then half-hours of a day, then seconds of a half-hour. Few suppliers leave times without one.
+    """
+    s = load(spark, sf_dir, "supplier").where("s_suppkey is not null")
     n = F.col("s_suppkey")
+    slot, half = F.pmod(n - 1, F.lit(24)) + 1, F.floor((n - 1) / 24)
+    toc = F.lit(START + 900_000) + F.pmod(half, F.lit(48)) * 1_800_000 + F.pmod(F.floor(half / 48), F.lit(1800)) * 1000
     speed = math.sqrt(orbit.PZ_MU / 25_500.0)
     field = {"x": 25_500 * F.cos(n * 0.26), "y": 25_500 * F.sin(n * 0.26) * 0.43, "z": 25_500 * F.sin(n * 0.26) * 0.9, "vx": -speed * F.sin(n * 0.26), "vy": speed * F.cos(n * 0.26) * 0.43, "vz": speed * F.cos(n * 0.26) * 0.9, "ax": n * 0.0, "ay": n * 0.0, "az": n * 0.0}
     state = F.struct(*[c.alias(k) for k, c in field.items()])
     kepler = F.lit(None).cast("struct<" + ",".join(f"{f}:double" for f in orbit.KEPLER_FIELDS) + ">")
-    eph = s.select(F.concat(F.lit("R"), F.lpad(n.cast("string"), 2, "0")).alias("prn"), F.lit("R").alias("sys"), F.lit(START + 900_000).alias("toc_ms"), n.alias("ord"), F.lit(True).alias("healthy"), kepler.alias("kepler"), state.alias("state"))
-    out = orbit.satellite_positions(_times(spark).limit(3), eph)
+    eph = s.select(F.concat(F.lit("R"), F.lpad(slot.cast("string"), 2, "0")).alias("prn"), F.lit("R").alias("sys"), toc.alias("toc_ms"), n.alias("ord"), F.lit(True).alias("healthy"), kepler.alias("kepler"), state.alias("state"))
+    out = orbit.satellite_positions(_times(spark), eph)
     return out.select("t_ms", "prn", *[F.round(c, 2).alias(c) for c in "xyz"])
 
 
