@@ -5,8 +5,8 @@ a few shape figures of the text, and the logits that the chain gave to the earli
 of the earlier ones: those of models that never saw the row. Words become features if a chi-square test on the training rows
 ties them to a category; a fold's words are chosen without the fold's rows.
 
-The models are fitted to a bounded sample of labelled rows, the most_rows with the least hash of their id; all documents are
-scored, whole.
+The models are fitted to a bounded sample of labelled rows that have a document, the most_rows with the least hash of their id; all
+documents are scored, whole.
 
 Defined results: a null or empty text has no words and gets the probabilities of its zero features. Rows with null labels
 aren't trained on. If a category has rows of one class only, or no rows, its probability is its share (0.5 without rows).
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from almanax.llm.scratch import save
 
-MOST_ROWS, MOST_WORDS, FOLDS, LEAST_CHI2, LEAST_ROWS = 16_000, 200, 5, 20.0, 5
+MOST_ROWS, MOST_WORDS, FOLDS, LEAST_CHI2, LEAST_ROWS = 20_000, 400, 5, 20.0, 5
 #: Bytes of the beginnings of words that are features too.
 BEGINNINGS = (5, 7)
 _SHAPE = ("words", "distinct", "upper", "marks", "digits")
@@ -161,6 +161,8 @@ def _telling_words(rows: DataFrame, categories: int, folds: int, most: int) -> d
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, folds: int = FOLDS) -> Chain:
     """labels has ids and a 0/1 column for each category; their order is the chain's. Only texts of the sample are read further."""
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.array(*[F.col(c).cast("int") for c in categories]).alias("y")).where(~F.array_contains(F.transform("y", lambda v: v.isNull()), True))
+    # labels without a document don't use up the sample
+    known = known.join(docs.select(F.col(doc_id).cast("long").alias("id")), "id", "left_semi")
     some = known.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(most_rows)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")  # most_rows small rows at most
     sample = save(texts.select("id", "text", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold"), "y"), "sample")

@@ -331,6 +331,24 @@ def test_chain_on_held_out_rows(spark):
     assert toxicity.score_documents(frame.select("doc_id", "text").limit(0), labels, ("junk", "toxic")).count() == 0
 
 
+def test_chain_samples_labels_that_have_a_document(spark):
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, 20) + (" awfulness" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = frame.select("doc_id", "toxic").unionByName(spark.range(10_000, 40_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic")))
+    chain = toxicity.fit_chain(frame.select("doc_id", "text"), labels, ("toxic",), most_rows=300)
+    assert b"awfulness" in chain.links[0].words
+    p = 1 / (1 + np.exp(-chain.logits([b"time year awfulness", b"time year people"])[:, 0]))
+    assert p[0] > 0.9 and p[1] < 0.1
+
+
+def test_chain_keeps_its_bounds(spark):
+    rows = [(i, " ".join(f"w{i % 2}x{k}" for k in range(700)), i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.fit_chain(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), ("toxic",))
+    assert len(chain.links[0].words) == 400 and toxicity.MOST_ROWS == 20_000
+
+
 # 10
 
 
