@@ -4,7 +4,7 @@ Method. Per host, the pages that hold a line (normalised and hashed) are divided
 exceeds a limit, and that stand on more than a few pages, are boilerplate and dropped from every page of the host.
 
 Defined results: a null host is a host of its own; a null text stays null and an empty one empty; blank lines are never
-counted and stay. Repeated rows count as pages each. A page that loses all its lines has the empty text. All other columns
+counted and stay. Repeated rows count as pages each, or with copies_once equal texts of a host as one page. A page that loses all its lines has the empty text. All other columns
 and all rows pass through.
 """
 
@@ -19,13 +19,15 @@ from almanax.llm.lines import has_word, line_key, lines
 MOST_SHARE, LEAST_PAGES = 0.1, 10
 
 
-def boilerplate_lines(docs: DataFrame, text: str = "text", host: str = "source", most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, key, pages (that hold the line) and host_pages, of the lines to drop.
+def boilerplate_lines(docs: DataFrame, text: str = "text", host: str = "source", most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
+    """host, key, pages (that hold the line) and host_pages, of the lines to drop. copies_once: a host's equal texts are one page.
 
     A page gives each of its lines once, so partial sums before the shuffle leave at most one row per task, host and line.
     """
     keys = F.array_distinct(F.transform(F.filter(lines(F.col(text)), has_word), line_key))
-    rows = docs.select(F.col(host).alias("host"), keys.alias("keys"))
+    rows = docs.select(F.col(host).alias("host"), keys.alias("keys"), F.xxhash64(text).alias("same"), F.length(text).alias("length"))
+    if copies_once:
+        rows = rows.groupBy("host", "same", "length").agg(F.first("keys").alias("keys"))
     total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     held = rows.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") > least_pages)
     both = held.join(total.withColumnRenamed("host", "_host"), held["host"].eqNullSafe(F.col("_host")))

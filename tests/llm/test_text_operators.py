@@ -405,3 +405,18 @@ def test_pipeline(spark):
         for k, at in enumerate(range(0, len(raw), 4 * 4096)):
             want[r.doc_id, k, zlib.crc32(raw[at : at + 4 * 4096])] += 1
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed) == want
+
+
+def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    copied = sentence(rng, 40) + "\n" + sentence(rng, 40)
+    shared = copied.split("\n")[0] + "\n" + sentence(rng, 120)
+    texts = [sentence(rng, 80) for _ in range(39)] + [shared] + [copied] * 20
+    spark.createDataFrame([doc(i, t + ("\nshare this" if i < 30 else "")) for i, t in enumerate(texts)], DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tok = TokenIds(path("word_bpe_49k.json"))
+    crc = lambda t: zlib.crc32(tok.of(t) + b"\1\0\0\0")
+    # the copies are one page of 41, the line of the first 30 is boilerplate, and each text is packed once
+    assert Counter(r.ids_crc32 for r in packed) == Counter(crc(t) for t in texts[:41])
