@@ -12,7 +12,7 @@ import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from almanax.llm import line_dedup, ngram_join, packing, pq_dedup, quality, secrets, sentencepiece, toxicity, url_filter, warc
+from almanax.llm import line_dedup, ngram_join, packing, pq_dedup, quality, queries, secrets, sentencepiece, toxicity, url_filter, warc
 from almanax.llm.components import components
 from almanax.llm.token_ids import TokenIds
 
@@ -243,6 +243,17 @@ def test_digest_counts(spark, docs):
     assert {r.doc_id: r.n_ids for r in got} == coded
 
 
+def test_query_decodes_its_ids(spark, tmp_path):
+    texts = ["  Hello  world\n x\t🙂", "a▁b  ", "日本語のテキスト", "\n\n a", None, "", "The quick brown foxes"]
+    frame = spark.createDataFrame([*[doc(i, t) for i, t in enumerate(texts)], doc(None, "no id")], DOC)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.decoded_sha256, r.decoded_same) for r in queries.op6_sentencepiece(spark, str(tmp_path)).collect()}
+    assert got == {i: (hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest(), True) for i, t in [*enumerate(texts), (None, "no id")]}
+    model = path("piece_bpe_32k.model")
+    cut = sentencepiece.encoded_words(frame, model).where("pos > 0")
+    assert not {r.doc_id: r.decoded_same for r in sentencepiece.decoded(cut, frame, model).collect()}[6]
+
+
 def test_viterbi(spark):
     pieces = {"▁": -3.0, "▁a": -1.0, "a": -2.0, "b": -2.0, "ab": -2.5, "aba": -6.0, "▁ab": -4.1, "ba": -1.2}
     table = spark.createDataFrame([(p, i, s, i) for i, (p, s) in enumerate(pieces.items())], "piece string, id int, score double, rank int")
