@@ -192,6 +192,52 @@ def test_cosine_components(spark, monkeypatch):
     assert pq_dedup.cosine_components(frame.limit(0)).count() == 0
 
 
+def links_of(vectors):
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def found_links(spark, vectors):
+    """Per vector the number of links found and the component."""
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    rows = sorted(pq_dedup.cosine_components(frame).collect(), key=lambda r: r.vec_id)
+    return np.array([r.n_links for r in rows]), np.array([r.component_id for r in rows])
+
+
+def test_probes_are_sufficient(spark, monkeypatch):
+    monkeypatch.setattr(pq_dedup, "LIST_ROWS", 8)  # as many lists as 64,000 vectors have
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(2000, 48))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    turn = rng.normal(size=(2000, 48))
+    turn -= (turn * base).sum(1)[:, None] * base
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    cosine = rng.uniform(0.9501, 0.97, 2000)[:, None]  # the farthest that still link
+    vectors = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * turn])
+    want = links_of(vectors).sum()
+    found, component = found_links(spark, vectors)
+    assert want == 4000 and 0.98 * want <= found.sum() <= want and (found <= links_of(vectors).sum(1)).all()
+    assert ((component == np.arange(4000)) | (component == np.arange(4000) - 2000)).all()
+
+
+def test_crowded_balls_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(pq_dedup, "LIST_ROWS", 20)
+    monkeypatch.setattr(pq_dedup, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(pq_dedup, "BLOCK_QUERIES", 40)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(3, 24))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    spread = np.r_[np.full(500, 0.02), np.full(300, 0.045), np.full(300, 0.06)][:, None]  # wholly linked, nearly so, in part
+    crowd = np.repeat(centre, [500, 300, 300], axis=0) + spread * rng.normal(size=(1100, 24))
+    vectors = np.concatenate([crowd, rng.normal(size=(400, 24))])
+    linked = links_of(vectors)
+    found, component = found_links(spark, vectors)
+    assert linked.sum() > 300_000 and found.sum() == linked.sum() and (found == linked.sum(1)).all()
+    assert set(component[:500]) == {0}
+
+
 # 5
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
