@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanax.llm import line_dedup, ngram_join, packing, pq_dedup, quality, secrets, sentencepiece, toxicity, url_filter, warc
-from almanax.llm.scratch import save
 from almanax.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -61,11 +60,8 @@ def op4_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the numbers of words and ids, a digest of the ids in order, and of the text that they decode to."""
-    docs, model = _read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model")
-    found = save(sentencepiece.encoded_words(docs, model), "ids")
-    back = sentencepiece.decoded(found, docs, model).withColumnRenamed("doc_id", "_id")
-    return sentencepiece.digests(found, docs).join(back, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """Per document the numbers of words and ids, a digest of the ids, and of the text that they decode to."""
+    return sentencepiece.digests(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

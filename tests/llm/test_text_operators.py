@@ -266,45 +266,65 @@ def test_secrets(spark):
 # 6
 
 
-def test_sentencepiece_is_the_librarys(spark):
+def test_sentencepiece_is_the_librarys(spark, monkeypatch):
     from sentencepiece import SentencePieceProcessor
 
+    monkeypatch.setattr(sentencepiece, "CHUNK_CHARS", 300)  # many chunks
     model = path("piece_bpe_32k.model")
     m = SentencePieceProcessor(model_file=model)
-    texts = ["  Hello  world\n x\t🙂", "a" * 23 + " bbbbbb", "\n\n a", "a▁b  ", "日本語のテキスト漢字", "x" * 300, "\x00\x01é", "The quick brown foxes' jumping", *[t for t in odd_texts() if t is None or len(t) < 1000]]
-    frame = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOC).withColumn("ids", F.lit(0))
+    rng = random.Random(17)
+    pieces = [m.id_to_piece(i) for i in range(300, 32_000, 7)]
+    mixed = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts = ["  Hello  world\n x\t🙂", "a" * 23 + " bbbbbb", "\n\n a", "a▁b  ", "日本語のテキスト漢字", "x" * 300, "\x00\x01é", "The quick brown foxes' jumping 2024-05-01, it's", "一二三" * 400, *mixed, *[t for t in odd_texts() if t is None or len(t) < 30_000]]
+    frame = spark.createDataFrame([doc(i % 70, t) for i, t in enumerate(texts)], DOC).withColumns({"ids": F.lit(0), "row": F.lit("mine"), "words": F.lit(1)})
     coded = sentencepiece.encode_texts(frame, model)
-    got = {r.doc_id: list(r.ids) for r in coded.collect()}
-    assert got == {i: m.encode(t or "") for i, t in enumerate(texts)}
-    back = {r.doc_id: r.text for r in sentencepiece.decode_texts(coded, model).collect()}
-    assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
+    got = Counter((r.doc_id, r.text, tuple(r.ids)) for r in coded.collect())
+    assert got == Counter((i % 70, t, tuple(m.encode(t or ""))) for i, t in enumerate(texts)) and set(coded.columns) == set(frame.columns)
+    back = Counter((r.doc_id, r.text) for r in sentencepiece.decode_texts(coded, model).collect())
+    assert back == Counter((i % 70, (t or "").replace("▁", " ")) for i, t in enumerate(texts))
     assert sentencepiece.encode_texts(frame.limit(0), model).count() == 0
 
 
-def test_digest_counts(spark, docs):
+def test_very_long_words(spark):
+    from sentencepiece import SentencePieceProcessor
+
     model = path("piece_bpe_32k.model")
-    short = docs.where("coalesce(length(text), 0) < 1000").dropDuplicates(["doc_id"])
-    coded = {r.doc_id: len(r.ids) for r in sentencepiece.encode_texts(short, model).collect()}
-    got = sentencepiece.digests(sentencepiece.encoded_words(short, model), short).collect()
-    assert {r.doc_id: r.n_ids for r in got} == coded
+    m = SentencePieceProcessor(model_file=model)
+    rng = random.Random(3)
+    texts = ["x" * 20_000, "".join(rng.choice("abcdefgh") for _ in range(20_000)), "ab" * 3000 + "c" * 3000]
+    coded = sentencepiece.encode_texts(spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOC), model)
+    assert {r.doc_id: list(r.ids) for r in coded.collect()} == {i: m.encode(t) for i, t in enumerate(texts)}
 
 
-def test_query_decodes_its_ids(spark, tmp_path):
-    texts = ["  Hello  world\n x\t🙂", "a▁b  ", "日本語のテキスト", "\n\n a", None, "", "The quick brown foxes"]
-    frame = spark.createDataFrame([*[doc(i, t) for i, t in enumerate(texts)], doc(None, "no id")], DOC)
+def test_query_encodes_and_decodes(spark, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    m = SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    texts = ["  Hello  world\n x\t🙂", "a▁b  ", "日本語のテキスト", "\n\n a", None, "", "The quick brown foxes", "The quick brown foxes"]
+    frame = spark.createDataFrame([*[doc(i, t) for i, t in enumerate(texts)], doc(None, "no id"), doc(1, "again")], DOC)
     frame.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.decoded_sha256, r.decoded_same) for r in queries.op6_sentencepiece(spark, str(tmp_path)).collect()}
-    assert got == {i: (hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest(), True) for i, t in [*enumerate(texts), (None, "no id")]}
-    model = path("piece_bpe_32k.model")
-    cut = sentencepiece.encoded_words(frame, model).where("pos > 0")
-    assert not {r.doc_id: r.decoded_same for r in sentencepiece.decoded(cut, frame, model).collect()}[6]
+    rows = queries.op6_sentencepiece(spark, str(tmp_path)).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(i, m.encode(t or ""), sha((t or "").replace("▁", " "))) for i, t in [*enumerate(texts), (None, "no id"), (1, "again")]]
+    assert Counter((r.doc_id, r.n_ids, r.ids_sha256, r.decoded_sha256, r.decoded_same) for r in rows) == Counter((i, len(ids), sha(",".join(map(str, ids))), s, True) for i, ids, s in want)
+    cut = sentencepiece.Cutter([m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))])
+    assert Counter((r.doc_id, r.n_words) for r in rows) == Counter((i, len(cut.words(t))) for i, t in [*enumerate(texts), (None, "no id"), (1, "again")])
+
+
+def test_words_leave_pieces_whole():
+    every = sentencepiece.Cutter(["▁a", "b", "1", "!!"])
+    assert every.words("a b1  22 c!!\n") == ["▁a", "▁b", "1", "▁▁", "2", "2", "▁c", "!!", "\n"]
+    assert sentencepiece.Cutter(["▁a1", "b."]).words("a1 b.") == ["▁a1", "▁b."]
+    assert sentencepiece.Cutter(["a▁b"]).words("a b c") == ["▁a▁b▁c"]
+    assert every.words(None) == every.words("") == []
 
 
 def test_viterbi(spark):
     pieces = {"▁": -3.0, "▁a": -1.0, "a": -2.0, "b": -2.0, "ab": -2.5, "aba": -6.0, "▁ab": -4.1, "ba": -1.2}
-    table = spark.createDataFrame([(p, i, s, i) for i, (p, s) in enumerate(pieces.items())], "piece string, id int, score double, rank int")
+    table = spark.createDataFrame([(p, i) for i, p in enumerate(pieces)], "piece string, id int")
+    costs = [-s for s in pieces.values()]
     words = ["▁abab", "▁ababa", "▁a", "▁bbb", "▁aéb"]
-    got = {r.word: list(r.ids) for r in sentencepiece.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), table, list(range(100, 356)), "unigram").collect()}
+    got = {r.word: list(r.ids) for r in sentencepiece.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), table, costs, list(range(100, 356))).collect()}
 
     def best(w):
         out = [(0.0, [])] + [None] * len(w)
