@@ -3,14 +3,16 @@
 Method. Reading plans one partition per archive file. Filters on record types and headers are pushed down: a record's headers
 are parsed first, and the payload of a record that no filter wants, or of all records with the option payload=false, is never
 inflated. Archives are gzip, a member per record, whose extra field "sl" holds the lengths; members of other writers without
-it, and plain .warc files, are read too. Writing leaves one file per task and a manifest of those committed, so files of lost
-or repeated tasks are not read.
+it, and plain .warc files, are read too. Writing leaves one file per task and, per write, a manifest of those committed, so
+files of lost or repeated tasks are not read. Mode append keeps what earlier writes committed; overwrite takes it away once the
+new manifest stands; an aborted write takes its own files away.
 
 Files are opened by pyarrow's file systems, so any shared store that they know will do; nothing is left on a machine's own disk.
 
 Defined results: a null payload is empty. Line ends in a target URI are percent-encoded; a null one has no header. Rows that
 share the largest id of equal payloads are all responses. A null id is less than any other. An empty table gives an archive
-without records, which reads as an empty table.
+without records, which reads as an empty table. A folder without a manifest is read whole. An archive that ends within a record
+is an error, which names the file, once a read comes to the cut; records that no filter wants are not looked at.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ _NAMES = tuple(part.split()[0] for part in SCHEMA.split(", "))
 _ARROW = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in _NAMES])
 _HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to"}
 DATE = "2024-01-01T00:00:00Z"
-MANIFEST = "_records.json"
+MANIFEST = "_records-"  # and a write's own name
 _BATCH_BYTES, _CHUNK = 8 << 20, 1 << 16
 
 
@@ -79,9 +81,19 @@ class _Written(WriterCommitMessage):
     records: int
 
 
+def _manifests(files: fs.FileSystem, root: str) -> dict[str, dict[str, int]]:
+    """Records of each archive, by the manifest that names it."""
+    found = [x.path for x in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.base_name.startswith(MANIFEST)]
+    out = {}
+    for path in found:
+        with files.open_input_stream(path, compression=None) as src:
+            out[path] = json.loads(src.read())
+    return out
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, names: list[str]) -> None:
-        self.path, self.names = path, names
+    def __init__(self, path: str, names: list[str], overwrite: bool = False) -> None:
+        self.path, self.names, self.overwrite = path, names, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, root = _filesystem(self.path)
@@ -100,8 +112,23 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         files, root = _filesystem(self.path)
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
+        earlier = _manifests(files, root) if self.overwrite else {}
+        with files.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps({m.name: m.records for m in messages if m}).encode())
+        for path, names in earlier.items():
+            files.delete_file(path)
+            for name in names:
+                files.delete_file(f"{root}/{name}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        files, root = _filesystem(self.path)
+        for m in messages:
+            if m and files.get_file_info(f"{root}/{m.name}").type == fs.FileType.File:
+                files.delete_file(f"{root}/{m.name}")
+
+
+class _CutShort(ValueError):
+    """An archive ends within a record."""
 
 
 class _Stream:
@@ -120,7 +147,7 @@ class _Stream:
     def upto(self, mark: bytes) -> bytes:
         while (at := self.text.find(mark)) < 0:
             if not self.more():
-                raise ValueError("a WARC record ends within its headers")
+                raise _CutShort("within headers")
         found, self.text = self.text[:at], self.text[at + len(mark) :]
         return found
 
@@ -129,7 +156,7 @@ class _Stream:
         while have < n:
             self.text = b""
             if not self.more():
-                raise ValueError("a WARC record is cut short")
+                raise _CutShort("within a block")
             parts.append(self.text)
             have += len(self.text)
         whole = b"".join(parts)
@@ -164,9 +191,8 @@ class WarcReader(DataSourceReader):
         if files.get_file_info(root).type == fs.FileType.File:
             return [_File(self.path)]
         base = self.path.rstrip("/")
-        if files.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with files.open_input_stream(f"{root}/{MANIFEST}", compression=None) as src:
-                names = [k for k, n in json.loads(src.read()).items() if n]
+        if manifests := _manifests(files, root):
+            names = [k for m in manifests.values() for k, n in m.items() if n]
         else:
             names = [x.base_name for x in files.get_file_info(fs.FileSelector(root)) if x.base_name.endswith((".warc", ".warc.gz"))]
         return [_File(f"{base}/{n}") for n in sorted(names)]
@@ -244,17 +270,23 @@ class WarcReader(DataSourceReader):
         if partition is None:  # no archive has a record
             return
         files, name = _filesystem(partition.path)
-        with files.open_input_file(name) as src:
-            zipped = src.read(2) == b"\x1f\x8b"
-            rows, held = [], 0
-            for row in self._gzip(src) if zipped else self._plain(src):
-                rows.append(row)
-                held += 500 + len(row["payload"] or b"")
-                if held > _BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                    rows, held = [], 0
-            if rows:
+        try:
+            with files.open_input_file(name) as src:
+                yield from self._batches(src)
+        except (_CutShort, struct.error) as cut:
+            raise ValueError(f"{partition.path} ends within a record") from cut
+
+    def _batches(self, src: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        zipped = src.read(2) == b"\x1f\x8b"
+        rows, held = [], 0
+        for row in self._gzip(src) if zipped else self._plain(src):
+            rows.append(row)
+            held += 500 + len(row["payload"] or b"")
+            if held > _BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
 class WarcDataSource(DataSource):
@@ -271,7 +303,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"], schema.names)
+        return WarcWriter(self.options["path"], schema.names, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -290,9 +322,10 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     return told.select(F.when(revisit, "revisit").otherwise("response").alias("record_type"), urn("id").alias("record_id"), "target_uri", F.when(revisit, urn("newest")).alias("refers_to"), "payload")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, mode: str = "append") -> None:
+    """mode: append or overwrite."""
     register(records.sparkSession)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode(mode).save(path)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -311,13 +344,15 @@ def digest_of(payloads: pa.Array) -> pa.Array:
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    """Write pages as archives under the shared folder and read them back: the records, with digests of the payloads read."""
+    """Write pages as archives under the shared folder and read them back: the records, with digests of the payloads read.
+
+    Revisits are read by their headers; no payload is inflated for them.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(with_revisits(pages, **columns), path)
-    read = read_warc(spark, path)
-    response = F.col("record_type") == "response"
-    return read.select(
-        page_number("record_id").alias("page_id"), F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(response, digest_of("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page_number("refers_to").alias("refers_to"),
-    )
+    number = page_number("record_id").alias("page_id")
+    whole = read_warc(spark, path).where("record_type = 'response'")
+    whole = whole.select(number, F.length("payload").cast("long").alias("payload_bytes"), digest_of("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    again = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    return whole.unionByName(again.select(number, "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to")))
