@@ -1,8 +1,9 @@
 """Quality rules on documents and on lines that many documents of a host share. DataFrame functions only.
 
 Method. The base rules look at one document (its number of words, and the words in repeated 3-word windows). Then lines are
-normalised and hashed, the distinct documents of each host that hold a line are counted, lines above both limits (a count
-and a share of the host's distinct documents) are taken out, and a document is rejected if too little of it is left.
+normalised and hashed, the distinct documents of each host that hold a line are counted, lines above the limit (line dedup's:
+a share of the host's distinct documents, by its lower confidence bound) are taken out, and a document is rejected if too
+little of it is left.
 Documents with the same text count once, so a text isn't rejected for having copies.
 
 Defined results: a null or blank text has no words, fails the base rules and isn't kept. A null host is a host of its own.
@@ -15,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanax.llm.lines import SPACES, has_word, line_key, lines, words
+from almanax.llm.lines import ONE_IN, SPACES, has_word, is_boilerplate, line_key, lines, words
 from almanax.llm.scratch import save
 
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-#: A line is boilerplate if over so many distinct documents of its host hold it, and over such a share of them.
-LINE_DOCS, LINE_SHARE = 20, 0.2
 #: A document is depleted if fewer than this share of its words are in other lines.
 LEAST_LEFT = 0.3
 SYMBOLS = "#*$%&|<>"
@@ -30,30 +29,22 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def repeated_window_words(ws: Column, size: int = 3) -> Column:
     """Number of words that stand in a window of so many words that the text holds twice or more.
 
-    A window's hash takes the high bits of a long and its place the low bits, as many as the text needs; sorted longs then
-    put equal windows side by side.
+    Windows are sorted by hash and place, which puts equal ones side by side.
     """
     n = F.size(ws) - (size - 1)
-    room = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(ws).cast("long"))))
-    spot = lambda i: F.xxhash64(*[F.element_at(ws, i + k) for k in range(size)])
-
-    def packed(i: Column) -> Column:
-        h = spot(i)
-        return h - F.pmod(h, room) + i
-
-    ordered = F.sort_array(F.transform(F.sequence(F.lit(1), n), packed))
-    high = lambda x: x - F.pmod(x, room)
+    one = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  computes value once
+    spot = lambda i: F.struct(F.xxhash64(*[F.element_at(ws, i + k) for k in range(size)]).alias("h"), i.alias("i"))
+    ordered = F.sort_array(F.transform(F.sequence(F.lit(1), n), spot))
 
-    def marked(lists: Column) -> Column:
-        """Of sorted codes, the places of those whose neighbour has the same window."""
-        same = F.zip_with(F.slice(lists, 1, F.size(lists) - 1), F.slice(lists, 2, F.size(lists) - 1), lambda a, b: F.when(high(a) == high(b), F.array(F.pmod(a, room), F.pmod(b, room))))
+    def marked(spots: Column) -> Column:
+        """Of sorted windows, the places of those whose neighbour is the same."""
+        same = F.zip_with(spots, F.slice(spots, F.lit(2), F.size(spots)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
         return F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
 
     def covered(places: Column) -> Column:
-        gaps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.least(F.coalesce(b - a, F.lit(size).cast("long")), F.lit(size).cast("long")))
+        gaps = F.zip_with(places, F.slice(places, F.lit(2), F.size(places)), lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-    one = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  computes value once
     found = one(ordered, lambda o: one(marked(o), covered))
     return F.when(n < 2, F.lit(0).cast("long")).otherwise(found)
 
@@ -70,7 +61,7 @@ def base_metrics(text: Column, ws: Column) -> dict[str, Column]:
     }
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT, carry: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", one_in: int = ONE_IN, least_left: float = LEAST_LEFT, carry: bool = False) -> DataFrame:
     """Per row of docs: _id, the metrics, base_failed, words_left (in lines below the limits), kept, and with carry the row itself as _row."""
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     scan = docs.select(*rest, F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.col(text).alias("_text"))
@@ -87,10 +78,10 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     texts = held.where(F.size("_lines") > 0).groupBy("_host", "_same", "_length").agg(F.first("_lines").alias("_lines"))
     spread = texts.select("_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["key"]))).alias("key"))
     in_host = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"))
-    common = spread.groupBy("_host", "key").agg(F.count(F.lit(1)).alias("line_docs")).where(F.col("line_docs") > line_docs)
-    common = common.join(in_host, common["_host"].eqNullSafe(in_host["_host"])).where(F.col("line_docs") > line_share * F.col("host_docs")).select(common["_host"], "key")
-    # over a share s of a host's documents hold such a line, so a host has at most (lines of a document) / s of them
-    common = common.groupBy("_host").agg(F.collect_list("key").alias("_common"))
+    common = spread.groupBy("_host", "key").agg(F.count(F.lit(1)).alias("line_docs")).where("line_docs > 1")
+    common = common.join(in_host, common["_host"].eqNullSafe(in_host["_host"])).where(is_boilerplate(F.col("line_docs"), F.col("host_docs"), one_in)).select(common["_host"], "key")
+    # more than one in so many of a host's documents hold such a line, so a host has at most that many times a document's lines
+    common = save(common.groupBy("_host").agg(F.collect_list("key").alias("_common")), "boilerplate")
     judged = held.join(common.withColumnRenamed("_host", "_h"), held["_host"].eqNullSafe(F.col("_h")), "left").drop("_h")
     left = F.aggregate(F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("_common", x["key"]), F.lit(False))), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
     judged = judged.select(*passed, "_id", *METRICS, left.alias("words_left"))

@@ -19,7 +19,8 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url judged; a page's labelled outcome is that of the document with its number: bad if toxic or of low quality."""
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
-    return url_filter.judge_urls(pages, labels).select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
+    posterior = [F.round(c, 6).alias(c) for c in ("bad_mean", "bad_bound")]
+    return url_filter.judge_urls(pages, labels).select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad", *posterior)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's metrics, the base rules' verdict, the words that are left and if it is kept."""
     return quality.judge_documents(_read(spark, sf_dir, "documents"))
 
 
@@ -52,10 +54,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and the smallest document that links reach."""
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
 def op4_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of links and the smallest vector that they reach."""
     return pq_dedup.cosine_components(_read(spark, sf_dir, "embeddings"))
 
 
@@ -72,6 +76,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the record that is read back of it."""
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 

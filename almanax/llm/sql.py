@@ -29,28 +29,32 @@ kk AS (SELECT coalesce(max(k) FILTER (lv = 'h'), 1000.0) AS kh, coalesce(max(k)
 s1 AS (SELECT suffix, (bad + ks * m) / (n + ks) AS m1 FROM s, m0, kk),
 d1 AS (SELECT domain, suffix, (bad + kd * m1) / (n + kd) AS m2 FROM d JOIN s1 USING (suffix), kk),
 ab AS (SELECT host, n, bad, bad + kh * m2 AS a, n - bad + kh * (1 - m2) AS b FROM h JOIN d1 USING (domain, suffix), kk),
-rep AS (SELECT host, n, bad, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS hv FROM ab),
+rep AS (SELECT host, n, bad, a / (a + b) AS mean, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS hv FROM ab),
 j AS (
-  SELECT p.*, n, bad, hv, CASE
+  SELECT p.*, n, bad, mean, bound, hv, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
   FROM p JOIN rep USING (host))
 SELECT page_id, host, path, rule, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'net/' THEN 'block' ELSE hv END AS verdict,
-       n::BIGINT AS n_labelled, bad::BIGINT AS n_bad
+       n::BIGINT AS n_labelled, bad::BIGINT AS n_bad, round(mean, 6) AS bad_mean, round(bound, 6) AS bad_bound
 FROM j
 """
 
 _KEY = "lower(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
 
+#: A line on k of a host's n distinct pages is boilerplate: two at least, and more than one in ten by a score test with z * z = 2.7.
+_OVER = "{k} >= 2 AND 10 * {k} > {n} AND 10 * (10 * {k} - {n}) * (10 * {k} - {n}) > 27 * 9 * {n}"
+
 OP7 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
 l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 k AS (SELECT *, {_KEY} AS key FROM l),
-c AS (SELECT source, key, count(DISTINCT r) AS pages FROM k WHERE key <> '' GROUP BY ALL),
-h AS (SELECT source, count(*) AS host_pages FROM d GROUP BY ALL),
-b AS (SELECT c.source, key FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE pages > 10 AND pages > 0.1 * host_pages),
+tx AS (SELECT source, text, min(r) AS r FROM d GROUP BY ALL),
+c AS (SELECT k.source, key, count(DISTINCT r) AS pages FROM k JOIN tx USING (r) WHERE key <> '' GROUP BY ALL),
+h AS (SELECT source, count(*) AS host_pages FROM tx GROUP BY ALL),
+b AS (SELECT c.source, key FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE {_OVER.format(k="pages", n="host_pages")}),
 x AS (SELECT k.r, k.i, k.line FROM k LEFT JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.key = b.key WHERE b.key IS NULL),
 t AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text FROM x GROUP BY r)
 SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, lang, source,
@@ -69,7 +73,7 @@ f AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM l WHERE n > 0 GROU
 tx AS (SELECT source, text, min(r) AS r FROM d GROUP BY ALL),
 hd AS (SELECT source, count(*) AS host_docs FROM (SELECT DISTINCT tx.source, tx.r FROM tx JOIN l USING (r) WHERE l.n > 0) GROUP BY ALL),
 c AS (SELECT l.source, l.key, count(DISTINCT l.r) AS line_docs FROM l JOIN tx USING (r) WHERE l.n > 0 GROUP BY ALL),
-b AS (SELECT c.source, key FROM c JOIN hd ON c.source IS NOT DISTINCT FROM hd.source WHERE line_docs > 20 AND line_docs > 0.2 * host_docs),
+b AS (SELECT c.source, key FROM c JOIN hd ON c.source IS NOT DISTINCT FROM hd.source WHERE {_OVER.format(k="line_docs", n="host_docs")}),
 lw AS (SELECT l.r, sum(CASE WHEN b.key IS NULL THEN l.n ELSE 0 END)::BIGINT AS words_left FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.key = b.key GROUP BY l.r),
 m AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
