@@ -8,8 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from almanax.llm import line_dedup, ngram_join, packing, pq_dedup, quality, queries, secrets, sentencepiece, toxicity, url_filter, warc
@@ -57,6 +59,9 @@ def test_reputation_shrinks(spark):
     labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "page_id long, bad int")
     got = {r.host: r for r in url_filter.host_reputation(pages, labels).collect()}
     assert got["bad.x0.com"].host_verdict == "block" and got["good.x0.com"].host_verdict == "allow" and got["good.x0.com"].bad_mean < got["new.x0.com"].bad_mean < got["bad.x0.com"].bad_mean
+    judged = {r.host: r for r in url_filter.judge_urls(pages, labels).collect()}
+    assert all((judged[h].verdict, judged[h].rule, judged[h].bad_bound) == (got[h].host_verdict, None, got[h].bad_bound) for h in got) and {r.verdict for r in judged.values()} == {"allow", "block"}
+    assert all(r.bad_bound < r.bad_mean for r in got.values()) and (got["bad.x0.com"].bad_bound > 0.5) and not {r.page_id for r in url_filter.filter_urls(pages, labels).collect()} & set(range(40))
     assert url_filter.judge_urls(pages.limit(0), labels).count() == 0 and url_filter.filter_urls(pages, labels.limit(0)).count() == 100
 
 
@@ -296,19 +301,30 @@ def test_very_long_words(spark):
     assert {r.doc_id: list(r.ids) for r in coded.collect()} == {i: m.encode(t) for i, t in enumerate(texts)}
 
 
-def test_query_encodes_and_decodes(spark, tmp_path):
+def test_query_encodes_and_decodes(spark, tmp_path, monkeypatch):
     from sentencepiece import SentencePieceProcessor
 
+    monkeypatch.setattr(sentencepiece, "FREQUENT_WORDS", 40)  # most words are looked up by a join
     m = SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
-    texts = ["  Hello  world\n x\t🙂", "a▁b  ", "日本語のテキスト", "\n\n a", None, "", "The quick brown foxes", "The quick brown foxes"]
+    every = sentencepiece.Cutter([m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))])
+    rng = random.Random(4)
+    texts = ["  Hello  world\n x\t🙂", "a▁b  ", "日本語のテキスト", "\n\n a", None, "", "The quick brown foxes", "The quick brown foxes", sentence(rng, 3000)]
     frame = spark.createDataFrame([*[doc(i, t) for i, t in enumerate(texts)], doc(None, "no id"), doc(1, "again")], DOC)
     frame.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def want(text):
+        ids, parts = m.encode(text or ""), []
+        for w in every.words(text):
+            parts.append((part := [], w))
+            while sum(len(m.id_to_piece(i)) if not m.is_byte(i) else 0 for i in part) + (len(bytes(int(m.id_to_piece(i)[3:5], 16) for i in part if m.is_byte(i)).decode("utf-8", "ignore"))) < len(w):
+                part.append(ids.pop(0))
+        assert not ids
+        digest = lambda texts: sum((k + 1) * zlib.crc32(t.encode()) % (2**31 - 1) for k, t in enumerate(texts))
+        return len(parts), sum(len(p) for p, _ in parts), digest([",".join(map(str, p)) for p, _ in parts]), digest([w for _, w in parts]), True
+
     rows = queries.op6_sentencepiece(spark, str(tmp_path)).collect()
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    want = [(i, m.encode(t or ""), sha((t or "").replace("▁", " "))) for i, t in [*enumerate(texts), (None, "no id"), (1, "again")]]
-    assert Counter((r.doc_id, r.n_ids, r.ids_sha256, r.decoded_sha256, r.decoded_same) for r in rows) == Counter((i, len(ids), sha(",".join(map(str, ids))), s, True) for i, ids, s in want)
-    cut = sentencepiece.Cutter([m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))])
-    assert Counter((r.doc_id, r.n_words) for r in rows) == Counter((i, len(cut.words(t))) for i, t in [*enumerate(texts), (None, "no id"), (1, "again")])
+    assert Counter((r.doc_id, r.n_words, r.n_ids, r.ids_digest, r.text_digest, r.decoded_same) for r in rows) == Counter((i, *want(t)) for i, t in [*enumerate(texts), (None, "no id"), (1, "again")])
+    assert sentencepiece.digests(frame.limit(0), path("piece_bpe_32k.model")).count() == 0
 
 
 def test_words_leave_pieces_whole():
@@ -354,6 +370,28 @@ def test_line_dedup(spark):
     assert got[1, "a"].n_chars == 7 and got[0, None]["_common"] == "mine" and line_dedup.drop_boilerplate(frame.limit(0)).count() == 0
 
 
+def over_limit(pages, host_pages):
+    return pages >= 2 and 10 * pages > host_pages and 10 * (10 * pages - host_pages) ** 2 > 243 * host_pages
+
+
+@pytest.mark.parametrize(("pages", "host_pages", "goes"), [(1, 1, False), (2, 2, True), (2, 6, True), (2, 7, False), (3, 12, True), (3, 13, False), (62, 500, True), (61, 500, False)])
+def test_share_that_makes_boilerplate(spark, pages, host_pages, goes):
+    assert over_limit(pages, host_pages) == goes
+    frame = spark.createDataFrame([doc(i, f"only {i}" + ("\nfollow us" if i < pages else "")) for i in range(host_pages)], DOC)
+    left = [r.text for r in line_dedup.drop_boilerplate(frame).collect()]
+    assert sum("follow us" in t for t in left) == (0 if goes else pages) and all("only" in t for t in left)
+
+
+def test_copies_are_one_page(spark):
+    rng = random.Random(7)
+    copied = "\n".join(sentence(rng, 12) for _ in range(4))
+    rows = [doc(i, copied) for i in range(30)] + [doc(30 + i, sentence(rng, 30) + f" x{i}") for i in range(60)]
+    left = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, DOC)).collect()}
+    assert left == {i: t for i, t, *_ in rows}  # a third of the pages, whole
+    kept = {r.doc_id: r.words_left == r.n_words for r in quality.judge_documents(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(kept.values())
+
+
 # 8
 
 
@@ -386,6 +424,24 @@ def test_depleted_documents_go(spark):
     assert not any(got[i] for i in range(40)) and all(got[100 + i] for i in range(5))
 
 
+def test_lines_of_a_seventh_of_a_host(spark):
+    menu = "\n".join(" ".join(f"menu{k}w{i}" for i in range(15)) for k in range(4))
+    body = lambda i, n: " ".join(f"b{i}x{j}" for j in range(n))
+    rows = [doc(i, f"{menu}\n{body(i, 10)}") for i in range(14)] + [doc(100 + i, f"{menu}\n{body(100 + i, 90)}") for i in range(6)] + [doc(200 + i, body(i + 200, 80)) for i in range(120)]
+    rare = "\n".join(" ".join(f"rare{k}w{i}" for i in range(15)) for k in range(4))
+    rows += [doc(400 + i, f"{rare}\n{body(400 + i, 10)}", "other") for i in range(8)] + [doc(500 + i, body(500 + i, 80), "other") for i in range(100)]
+    got = {r.doc_id: (r.words_left, r.kept) for r in quality.judge_documents(spark.createDataFrame(rows, DOC)).collect()}
+    assert over_limit(20, 140) and not over_limit(8, 108)
+    assert all(got[i] == (10, False) for i in range(14)) and all(got[100 + i] == (90, True) for i in range(6)) and all(got[400 + i] == (70, True) for i in range(8))
+
+
+def test_repeated_words_of_a_very_long_text(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(150)}" for _ in range(60_000)]
+    (r,) = quality.judge_documents(spark.createDataFrame([doc(1, " ".join(words))], DOC)).collect()
+    assert r.n_repeat_words == plain_metrics(" ".join(words))[4]
+
+
 # 9
 
 
@@ -446,6 +502,41 @@ def test_warc_pushes_filters_down(spark, tmp_path):
     assert warc.read_warc(spark, place, payload=False).where("payload is not null").count() == 0
 
 
+def test_warc_writes_add_up(spark, tmp_path):
+    place = str(tmp_path / "w")
+    record = lambda *ids: warc.with_revisits(spark.createDataFrame([(i, f"http://h/{i}", f"body {i}") for i in ids], "page_id long, url string, html string"))
+    read = lambda: sorted(r.payload.decode() for r in warc.read_warc(spark, place).collect())
+    warc.write_warc(record(1, 2), place)
+    warc.write_warc(record(3), place)
+    assert read() == ["body 1", "body 2", "body 3"]
+    (tmp_path / "w" / "left.warc.gz").write_bytes(b"of a lost task")
+    warc.write_warc(record(4), place)
+    assert read() == ["body 1", "body 2", "body 3", "body 4"]
+    warc.write_warc(record(5), place, "overwrite")
+    assert read() == ["body 5"] and len(list((tmp_path / "w").glob("_records-*.json"))) == 1
+    writer = warc.WarcWriter(place, ["record_type", "payload"])
+    written = writer.write(iter([pa.RecordBatch.from_pylist([{"record_type": "response", "payload": b"never"}])]))
+    assert (tmp_path / "w" / written.name).exists()
+    writer.abort([written, None])
+    assert not (tmp_path / "w" / written.name).exists() and read() == ["body 5"]
+
+
+def test_warc_archives_that_are_cut(spark, tmp_path):
+    place = tmp_path / "w"
+    warc.write_warc(warc.with_revisits(spark.createDataFrame([(1, "http://h/1", "x" * 5000)], "page_id long, url string, html string")).coalesce(1), str(place))
+    (file,) = [f for f in place.glob("*.warc.gz") if f.stat().st_size]
+    file.write_bytes(file.read_bytes()[:-30])
+    with pytest.raises(PySparkException, match="ends within a record"):
+        warc.read_warc(spark, str(place)).collect()
+    assert warc.read_warc(spark, str(place)).where("record_type = 'revisit'").count() == 0
+
+
+def test_round_trip_pushes_record_types_down(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"body {i // 2}") for i in range(10)], "page_id long, url string, html string")
+    plan = warc.round_trip(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan warc") == 2 and "= response" not in plan and "= revisit" not in plan  # Spark is left no filter but that for nulls
+
+
 def test_warc_of_other_writers(spark, tmp_path):
     import gzip
 
