@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their source's boilerplate lines. Copies of a text are left to the next stage, so they count once."""
-    return drop_boilerplate(docs, copies_once=True)
+    """All documents, without their source's boilerplate lines. Copies of a text count once and are left to the next stage."""
+    return drop_boilerplate(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
