@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -27,3 +30,19 @@ def load(spark: SparkSession, sf_dir: str, *tables: str):
     """The named tables of a data folder, one DataFrame each."""
     frames = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables]
     return frames[0] if len(frames) == 1 else frames
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, as spark.checkpoint.dir names it; only where that is unset and all is one machine, a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("executors on other machines need a shared folder: set spark.checkpoint.dir")
+        root = "file://" + tempfile.mkdtemp(prefix="almanax-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"

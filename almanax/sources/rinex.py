@@ -1,19 +1,31 @@
 """Station observation and navigation files (versions 2 to 4, plain or difference-compressed) as DataFrames.
 
-A file is one row of text; Spark splits it into lines, and windows over a file's lines tell which epoch or record a line belongs
-to. Only what must be read in order is Python: undoing the difference compression, and version 2 epochs, whose lines carry no
-marks. Files are the unit of parallel work; write the result as Parquet once and query that.
+Observation files are a Python data source: a file is a partition and is read as a stream of lines, however large it is, header
+first; filters on satellites, systems, codes and times are pushed down and drop rows before they are made. Lines must be read in
+order, as differences add up and lines of version 2 carry no marks. Headers and navigation records, which are small, are lines
+that windows and aggregates put together. Files are the unit of parallel work; write the result as Parquet once and query that.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from calendar import timegm
+from collections import deque
 from collections.abc import Iterator
+from contextlib import suppress
+from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.window import Window as W
 
+from almanax.sources.files import LogicalFile, logical_files, read_lines
+
 
 class NotRinex(ValueError):
     """No valid RINEX header."""
@@ -24,73 +36,72 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("text"))
 
 
-def expand(text: str) -> str:
-    """A difference-compressed observation file as a plain one.
+def expand_lines(lines: Iterator[str]) -> Iterator[str]:
+    """Lines of a difference-compressed observation file as those of a plain one; lines of other files pass.
 
     Values are integers in thousandths: "k&v" starts a difference of order k at v, a number adds to it, nothing means no value.
     Epoch lines (and flags) are differences of text: a blank keeps the character above, & turns it into a blank.
     """
-    lines = text.split("\n")
-    if len(lines) < 3 or "COMPACT RINEX" not in lines[0]:
-        return text
-    third = not lines[0].lstrip().startswith("1")
-    out, i, counts, last = [], 2, {}, ""
-    if "CRINEX PROG" not in lines[1]:
-        i = 1
-    while i < len(lines):
-        line = lines[i]
-        out.append(line)
+    first = next(lines, None)
+    if first is None:
+        return
+    if "COMPACT RINEX" not in first[:80]:
+        yield first
+        yield from lines
+        return
+    third, counts = not first.lstrip().startswith("1"), {}
+    for line in lines:
         label = line[60:].strip()
+        if label.startswith("CRINEX PROG"):
+            continue
+        yield line
         if label == "SYS / # / OBS TYPES" and line[:1].strip():
             counts[line[0]] = int(line[3:6])
         elif label == "# / TYPES OF OBSERV" and line[:6].strip():
             counts[""] = int(line[:6])
-        i += 1
-        if label == "END OF HEADER":
+        elif label == "END OF HEADER":
             break
     epoch, state, flags = "", {}, {}
-    start = ">" if third else "&"
-    while i < len(lines):
-        line = lines[i]
-        i += 1
-        if not line.strip("\n"):
+    for line in lines:
+        if not line.strip():
             continue
-        if line.startswith(start):
+        if line.startswith(">" if third else "&"):
             epoch, state, flags = line if third else " " + line[1:], {}, {}
         else:
             epoch = _patched(epoch, line)
         flag, n = (epoch[31:32], epoch[32:35]) if third else (epoch[28:29], epoch[29:32])
         count = int(n) if n.strip() else 0
         if flag.strip() not in ("", "0", "1"):
-            out.append(epoch.rstrip())
-            out += lines[i : i + count]
-            i += count
+            yield epoch.rstrip()
+            yield from islice(lines, count)
             continue
         names = epoch[41:] if third else epoch[32:]
         prns = [names[3 * k : 3 * k + 3].replace(" ", "0") for k in range(count)]
-        i += 1  # clock offset
+        next(lines, "")  # clock offset
         if third:
-            out.append(epoch[:35].rstrip())
+            yield epoch[:35].rstrip()
         else:
-            first = epoch[:32] + "".join(prns[:12])
-            out += [first, *[" " * 32 + "".join(prns[k : k + 12]) for k in range(12, count, 12)]]
+            yield epoch[:32] + "".join(prns[:12])
+            yield from (" " * 32 + "".join(prns[k : k + 12]) for k in range(12, count, 12))
         for prn in prns:
             m = counts.get(prn[0], 0) if third else counts.get("", 0)
-            row = lines[i] if i < len(lines) else ""
-            i += 1
-            parts = row.split(" ", m)
+            parts = next(lines, "").split(" ", m)
             values = _values(state, prn, (parts + [""] * m)[:m])
             mark = _patched(flags.get(prn, ""), parts[m] if len(parts) > m else "")
             flags[prn] = mark
             cells = [(f"{v / 1000:14.3f}" if v is not None else " " * 14) + mark[2 * k : 2 * k + 2].ljust(2) for k, v in enumerate(values)]
             if third:
-                out.append((prn + "".join(cells)).rstrip())
+                yield (prn + "".join(cells)).rstrip()
             else:
-                out += ["".join(cells[k : k + 5]).rstrip() for k in range(0, max(m, 1), 5)]
+                yield from ("".join(cells[k : k + 5]).rstrip() for k in range(0, max(m, 1), 5))
         for gone in set(state) - set(prns):
             del state[gone]
         flags = {k: v for k, v in flags.items() if k in prns}
-    return "\n".join(out) + "\n"
+
+
+def expand(text: str) -> str:
+    """A difference-compressed observation file as a plain one."""
+    return "\n".join(expand_lines(iter(text.split("\n")))) + "\n" if "COMPACT RINEX" in text[:80] else text
 
 
 def _patched(old: str, new: str) -> str:
@@ -133,29 +144,39 @@ def plain_texts(texts: DataFrame) -> DataFrame:
     return texts.select("file", "text").mapInArrow(_expanded, "file string, text string")
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    """file, pos, line and end (the place of the header's last line) of every line."""
+def text_lines(texts: DataFrame) -> DataFrame:
+    """file, pos, line and head (whether it belongs to the header) of every line of texts (file, text)."""
     end = F.size(F.split(F.substring_index("text", "END OF HEADER", 1), "\n")) - 1
-    return texts.select("file", F.when(F.instr("text", "END OF HEADER") > 0, end).alias("end"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    every = texts.select("file", F.when(F.instr("text", "END OF HEADER") > 0, end).alias("end"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return every.select("file", "pos", "line", (F.col("pos") <= F.col("end")).alias("head"))
 
 
-def _field(line: Column, start: int, size: int) -> Column:
+def _cut(line: Column, start: int, size: int) -> Column:
     return F.trim(F.substring(line, start, size))
 
 
 def headers(texts: DataFrame) -> DataFrame:
     """One row per file with the header's fields; obs_types is a map from system (or _v2) to codes."""
-    h = _lines(texts).where(F.col("pos") <= F.col("end")).withColumn("label", F.trim(F.substring("line", 61, 20)))
+    return headers_of(text_lines(texts))
+
+
+def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The headers of files, of which no more is read."""
+    return headers_of(read_lines(spark, paths, header_only=True))
+
+
+def headers_of(lines: DataFrame) -> DataFrame:
+    h = lines.where("head").withColumn("label", F.trim(F.substring("line", 61, 20)))
     pick = lambda label, c: F.min_by(c, F.when(F.col("label") == label, F.col("pos")))
     number = lambda c: c.try_cast("double")
     triple = F.transform(F.array(*[F.substring("line", k, 14) for k in (1, 15, 29)]), lambda x: F.trim(x).try_cast("double"))
     line = F.col("line")
     out = h.groupBy("file").agg(
-        pick("RINEX VERSION / TYPE", number(_field(line, 1, 9))).alias("version"), pick("RINEX VERSION / TYPE", F.substring("line", 21, 1)).alias("type"), pick("RINEX VERSION / TYPE", F.substring("line", 41, 1)).alias("system"),
-        pick("MARKER NAME", _field(line, 1, 60)).alias("marker_name"), pick("OBSERVER / AGENCY", _field(line, 1, 20)).alias("observer"), pick("OBSERVER / AGENCY", _field(line, 21, 40)).alias("agency"),
-        pick("REC # / TYPE / VERS", _field(line, 1, 20)).alias("receiver_number"), pick("REC # / TYPE / VERS", _field(line, 21, 20)).alias("receiver_type"), pick("REC # / TYPE / VERS", _field(line, 41, 20)).alias("receiver_version"),
-        pick("ANT # / TYPE", _field(line, 1, 20)).alias("antenna_number"), pick("ANT # / TYPE", _field(line, 21, 20)).alias("antenna_type"), pick("APPROX POSITION XYZ", triple).alias("approx_position"),
-        pick("ANTENNA: DELTA H/E/N", triple).alias("antenna_delta"), pick("INTERVAL", number(_field(line, 1, 10))).alias("interval"), pick("LEAP SECONDS", _field(line, 1, 6).try_cast("int")).alias("leap_seconds"),
+        pick("RINEX VERSION / TYPE", number(_cut(line, 1, 9))).alias("version"), pick("RINEX VERSION / TYPE", F.substring("line", 21, 1)).alias("type"), pick("RINEX VERSION / TYPE", F.substring("line", 41, 1)).alias("system"),
+        pick("MARKER NAME", _cut(line, 1, 60)).alias("marker_name"), pick("OBSERVER / AGENCY", _cut(line, 1, 20)).alias("observer"), pick("OBSERVER / AGENCY", _cut(line, 21, 40)).alias("agency"),
+        pick("REC # / TYPE / VERS", _cut(line, 1, 20)).alias("receiver_number"), pick("REC # / TYPE / VERS", _cut(line, 21, 20)).alias("receiver_type"), pick("REC # / TYPE / VERS", _cut(line, 41, 20)).alias("receiver_version"),
+        pick("ANT # / TYPE", _cut(line, 1, 20)).alias("antenna_number"), pick("ANT # / TYPE", _cut(line, 21, 20)).alias("antenna_type"), pick("APPROX POSITION XYZ", triple).alias("approx_position"),
+        pick("ANTENNA: DELTA H/E/N", triple).alias("antenna_delta"), pick("INTERVAL", number(_cut(line, 1, 10))).alias("interval"), pick("LEAP SECONDS", _cut(line, 1, 6).try_cast("int")).alias("leap_seconds"),
     )
     types = _obs_types(h).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("sys", "codes"))).alias("obs_types"))
     return out.join(types, "file", "left")
@@ -170,93 +191,178 @@ def _obs_types(h: DataFrame) -> DataFrame:
     return rows.groupBy("file", "sys").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "codes"))), lambda x: x["codes"])).alias("codes"))
 
 
-def observations(texts: DataFrame) -> DataFrame:
-    """file, t_ms, sys, prn, code, value of plain texts of any version. Epochs with a flag other than 0 are left out."""
-    lines = _lines(texts)
-    body = lines.where(F.col("pos") > F.col("end"))
-    types = _obs_types(lines.where(F.col("pos") <= F.col("end")).withColumn("label", F.trim(F.substring("line", 61, 20))))
-    return _third(body, types.where("sys <> '_v2'")).unionByName(_second(texts))
-
-
-def _third(body: DataFrame, types: DataFrame) -> DataFrame:
-    w = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    rows = body.withColumn("epoch", F.last(F.when(F.col("line").startswith(">"), F.col("line")), True).over(w))
-    part = lambda i, n: F.trim(F.substring("epoch", i, n)).try_cast("int")
-    stamp = F.make_timestamp(part(3, 4), part(8, 2), part(11, 2), part(14, 2), part(17, 2), F.trim(F.substring("epoch", 19, 11)).try_cast("decimal(16,6)"))
-    good = F.trim(F.substring("epoch", 32, 1)).isin("", "0") & F.col("line").rlike("^[A-Z][ 0-9]{2}")
-    sats = rows.where(good).select("file", F.unix_millis(stamp).alias("t_ms"), F.regexp_replace(F.substring("line", 1, 3), " ", "0").alias("prn"), F.substring("line", 1, 1).alias("sys"), "line")
-    cells = sats.join(F.broadcast(types), ["file", "sys"]).select("file", "t_ms", "sys", "prn", "line", F.posexplode("codes").alias("i", "code"))  # a few rows per file
-    value = F.trim(F.expr("substring(line, 4 + 16 * i, 14)")).try_cast("double")
-    return cells.select("file", "t_ms", "sys", "prn", "code", value.alias("value"))
-
-
 _OBS = pa.schema([("file", pa.string()), ("t_ms", pa.int64()), ("sys", pa.string()), ("prn", pa.string()), ("code", pa.string()), ("value", pa.float64())])
-
-
-def _second_rows(file: str, text: str) -> Iterator[dict]:
-    """Rows of a version 2 file, whose satellites' lines are told apart by counting alone."""
-    from datetime import UTC, datetime
-
-    lines = text.split("\n")
-    codes: list[str] = []
-    i = 0
-    for i, line in enumerate(lines):
-        if line[60:].strip() == "# / TYPES OF OBSERV":
-            codes += line[6:60].split()
-        if "END OF HEADER" in line[60:]:
-            break
-    i, per = i + 1, max(1, -(-len(codes) // 5))
-    while i < len(lines):
-        line = lines[i]
-        i += 1
+_OBS_SCHEMA = "file string, t_ms long, sys string, prn string, code string, value double"
+_SATELLITE = re.compile(r"[A-Z][ 0-9]{2}")
+
+
+@dataclass
+class Wanted:
+    """Which rows a read is asked for: allowed values by column, and bounds of t_ms, both included."""
+
+    values: dict[str, frozenset] = field(default_factory=dict)
+    first: float = -math.inf
+    last: float = math.inf
+
+    def add(self, f: Filter) -> bool:
+        """Take a pushed filter; False if it is none of ours."""
+        name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+        if name in ("sys", "prn", "code") and isinstance(f, (EqualTo, In)):
+            some = frozenset(f.value if isinstance(f, In) else [f.value])
+            self.values[name] = self.values.get(name, some) & some
+        elif name == "t_ms" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+        elif name == "t_ms" and isinstance(f, (LessThan, LessThanOrEqual)):
+            self.last = min(self.last, f.value - isinstance(f, LessThan))
+        else:
+            return False
+        return True
+
+    def time(self, t: int | None) -> bool:
+        return self.first <= t <= self.last if t is not None else self.first == -math.inf and self.last == math.inf
+
+    def satellite(self, prn: str) -> bool:
+        return ("prn" not in self.values or prn in self.values["prn"]) and ("sys" not in self.values or prn[0] in self.values["sys"])
+
+    def codes(self, codes: list[str]) -> list[tuple[int, str]]:
+        """Place and name of the wanted codes."""
+        return [(i, c) for i, c in enumerate(codes) if "code" not in self.values or c in self.values["code"]]
+
+
+def _header_codes(lines: Iterator[str]) -> dict[str, list[str]]:
+    """Codes by system, of version 2 under ""; the lines of the header are taken off."""
+    codes: dict[str, list[str]] = {}
+    sys = ""
+    for line in lines:
+        label = line[60:80].strip()
+        if label == "SYS / # / OBS TYPES":
+            sys = line[0] if line[0] != " " else sys
+            codes.setdefault(sys, []).extend(line[6:60].split())
+        elif label == "# / TYPES OF OBSERV":
+            codes.setdefault("", []).extend(line[6:60].split())
+        elif "END OF HEADER" in line[60:]:
+            return codes
+    raise NotRinex("No valid RINEX header")
+
+
+def _millis(year: str, *rest: str) -> int | None:
+    """Of the fields of an epoch, the seconds last; None if one isn't a number or a date's."""
+    try:
+        y, month, day, hour, minute = int(year), *map(int, rest[:4])
+        return timegm((y, month, day, hour, minute, 0)) * 1000 + round(float(rest[4]) * 1000)
+    except ValueError:
+        return None
+
+
+def _number(cell: str) -> float | None:
+    try:
+        return float(cell) if cell.strip() else None
+    except ValueError:
+        return None
+
+
+def observation_rows(lines: Iterator[str], wanted: Wanted | None = None) -> Iterator[tuple[int | None, str, str, float | None]]:
+    """t_ms, prn, code and value of a file's lines. Epochs with a flag other than 0 are left out."""
+    lines, wanted = expand_lines(lines), wanted or Wanted()
+    codes = _header_codes(lines)
+    return _second_rows(lines, codes[""], wanted) if "" in codes else _third_rows(lines, {s: wanted.codes(c) for s, c in codes.items()}, wanted)
+
+
+def _third_rows(lines: Iterator[str], codes: dict[str, list[tuple[int, str]]], wanted: Wanted) -> Iterator[tuple[int | None, str, str, float | None]]:
+    t, good = None, False
+    for line in lines:
+        if line.startswith(">"):
+            t = _millis(line[2:6], line[7:9], line[10:12], line[13:15], line[16:18], line[18:29])
+            good = line[31:32].strip() in ("", "0") and wanted.time(t)
+        elif good and _SATELLITE.match(line):
+            prn = line[:3].replace(" ", "0")
+            if wanted.satellite(prn):
+                yield from ((t, prn, code, _number(line[3 + 16 * i : 17 + 16 * i])) for i, code in codes.get(prn[0], ()))
+
+
+def _second_rows(lines: Iterator[str], codes: list[str], wanted: Wanted) -> Iterator[tuple[int | None, str, str, float | None]]:
+    """Satellites' lines of version 2 are told apart by counting alone."""
+    per, some = max(1, -(-len(codes) // 5)), wanted.codes(codes)
+    for line in lines:
         if not line.strip():
             continue
         flag, count = line[28:29].strip() or "0", int(line[29:32])
         if flag not in ("0", "1"):
-            i += count
+            deque(islice(lines, count), maxlen=0)
             continue
-        names = line[32:68].rstrip()
-        while len(names) < 3 * count and i < len(lines):
-            names = names.ljust(36 * (len(names) // 36 + (len(names) % 36 > 0))) + lines[i][32:68].rstrip()
-            i += 1
-        yy, mm, dd, hh, mi = (int(line[k : k + 3]) for k in (0, 3, 6, 9, 12))
-        sec = float(line[15:26])
-        t = round(datetime(yy + (1900 if yy >= 80 else 2000), mm, dd, hh, mi, tzinfo=UTC).timestamp() * 1000 + sec * 1000)
+        names = line[32:68].ljust(36)
+        while len(names) < 3 * count:
+            names += next(lines, "")[32:68].ljust(36)
+        yy = line[1:3].strip()
+        t = _millis(str(int(yy) + (1900 if int(yy) >= 80 else 2000)) if yy.isdigit() else "", line[3:6], line[6:9], line[9:12], line[12:15], line[15:26])
         for k in range(count):
-            name = names[3 * k : 3 * k + 3]
-            prn = (name[:1].strip() or "G") + name[1:].replace(" ", "0")
-            row = "".join(x.ljust(80) for x in lines[i : i + per])
-            i += per
-            if flag == "0":
-                for j, code in enumerate(codes):
-                    cell = row[16 * j : 16 * j + 14].strip()
-                    yield {"file": file, "t_ms": t, "sys": prn[0], "prn": prn, "code": code, "value": float(cell) if cell else None}
+            row = "".join(x.ljust(80) for x in islice(lines, per))
+            prn = (names[3 * k].strip() or "G") + names[3 * k + 1 : 3 * k + 3].replace(" ", "0")
+            if flag == "0" and wanted.time(t) and wanted.satellite(prn):
+                yield from ((t, prn, code, _number(row[16 * i : 16 * i + 14])) for i, code in some)
+
+
+def _batches_of(file: str, rows: Iterator[tuple[int | None, str, str, float | None]], size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, size)):
+        t, prn, code, value = zip(*held, strict=True)
+        columns = [[file] * len(held), t, [p[0] for p in prn], prn, code, value]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OBS, strict=True)], schema=_OBS)
+
+
+class ObservationReader(DataSourceReader):
+    def __init__(self, paths: list[str], permissive: bool) -> None:
+        self.paths, self.permissive, self.wanted = paths, permissive, Wanted()
+
+    def pushFilters(self, filters):  # noqa: N802  Spark's name
+        yield from (f for f in filters if not self.wanted.add(f))
+
+    def partitions(self) -> list[InputPartition]:
+        return logical_files(self.paths)
+
+    def read(self, partition: LogicalFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        try:
+            yield from _batches_of(partition.name, observation_rows(partition.lines(), self.wanted))
+        except NotRinex as e:
+            if not self.permissive:
+                raise NotRinex(f"{e}: {partition.name}") from None
+
 
+class ObservationSource(DataSource):
+    """spark.read.format("station_observations") with the option files, a JSON list."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "station_observations"
+
+    def schema(self) -> str:
+        return _OBS_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return ObservationReader(json.loads(self.options["files"]), self.options.get("permissive", "false") == "true")
+
+
+def observations(texts: DataFrame) -> DataFrame:
+    """file, t_ms, sys, prn, code, value of texts (file, text) of any version; a text without a header has none."""
 
-def _second(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = []
-                for row in _second_rows(file, text):
-                    held.append(row)
-                    if len(held) >= 20_000:
-                        yield pa.RecordBatch.from_pylist(held, _OBS)
-                        held = []
-                yield pa.RecordBatch.from_pylist(held, _OBS)
+                with suppress(NotRinex):
+                    yield from _batches_of(file, observation_rows(iter((text or "").split("\n"))))
 
-    old = texts.where(F.col("text").contains("# / TYPES OF OBSERV") & F.col("text").contains("END OF HEADER"))
-    return old.select("file", "text").mapInArrow(run, "file string, t_ms long, sys string, prn string, code string, value double")
+    return texts.select("file", "text").mapInArrow(run, _OBS_SCHEMA)
 
 
 def read_observations(spark: SparkSession, paths: str | list[str], permissive: bool = False) -> DataFrame:
-    """Observations of files. A file without a header is an error, or left out if permissive."""
-    texts = plain_texts(read_texts(spark, paths))
-    if not permissive:
-        bad = texts.where(~F.col("text").contains("END OF HEADER")).select("file").take(1)
-        if bad:
-            raise NotRinex(f"No valid RINEX header: {bad[0]['file']}")
-    return observations(texts)
+    """Observations of files, folders, exports or patterns. A file without a header is an error as it is read, or left out if permissive."""
+    spark.dataSource.register(ObservationSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    names = json.dumps([paths] if isinstance(paths, str) else paths)
+    rows = spark.read.format("station_observations").option("files", names).option("permissive", str(permissive).lower()).load()
+    # Spark plans a read anew if it has a filter to push, and else takes up the last one's filters; so there is always one
+    return rows.where("file is not null")
 
 
 #: Names of a navigation record's numbers, in order; fixed values of the format.
@@ -270,9 +376,17 @@ def ephemerides(texts: DataFrame) -> DataFrame:
     A record begins with a satellite's line; what stands between two such lines belongs to it. Of version 4, ephemerides with the
     layout of the older versions are read.
     """
-    lines = _lines(texts)
-    head = headers(texts).select("file", "version", "type", "system")
-    body = lines.where(F.col("pos") > F.col("end")).join(F.broadcast(head), "file")  # a row per file
+    return ephemerides_of(text_lines(texts))
+
+
+def read_ephemerides(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """ephemerides of files, read as streams of lines."""
+    return ephemerides_of(read_lines(spark, paths))
+
+
+def ephemerides_of(lines: DataFrame) -> DataFrame:
+    head = headers_of(lines).select("file", "version", "type", "system")
+    body = lines.where(~F.col("head")).join(F.broadcast(head), "file")  # a row per file
     old = F.col("version") < 3
     starts = F.when(old, F.col("line").rlike(r"^[ 0-9][0-9] [ 0-9]{2} ")).otherwise(F.col("line").rlike(r"^[GRECJIS][ 0-9][0-9] \d{4}"))
     w = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
