@@ -120,7 +120,9 @@ _AGE = "CASE WHEN substr({p}, 1, 1) IN ('R', 'S') THEN 1800000 ELSE 14400000 END
 _DAY = f"{EPH.replace('eph AS', 'eph0 AS')}, eph AS (SELECT prn, sys, 1704067200000 + ord * 1337777 % 2500000000 AS toc_ms, ord, healthy FROM eph0), {OBS}, seen AS (SELECT DISTINCT t_ms, prn FROM obs WHERE code LIKE 'S%' AND value > 0)"
 _CELLS = f"""ax AS (SELECT a, (b - a)::DOUBLE / n AS w, n FROM (SELECT a, b, CAST(least(97, greatest(10, ceil((b - a) / 60000.0))) AS INT) AS n FROM ax0)),
  c AS (SELECT prn, bin, a + (bin + 0.5::DOUBLE) * w AS t FROM prns, ax, (SELECT unnest(range(0, 97)) AS bin) WHERE bin < n),
- best AS (SELECT c.prn, bin, min_by(healthy, (abs(t - toc_ms), ord)) AS ok FROM c JOIN eph ON eph.prn = c.prn AND abs(t - toc_ms) <= {_AGE.format(p="c.prn")} GROUP BY ALL)"""
+ cb AS MATERIALIZED (SELECT *, CAST(floor(t / 14400000) AS BIGINT) AS k FROM c), eb AS MATERIALIZED (SELECT prn, toc_ms, ord, healthy, toc_ms // 14400000 + d AS k FROM eph, (VALUES (-1), (0), (1)) AS v(d)),
+ met AS (SELECT cb.prn, bin, abs(t - toc_ms) AS gap, ord, healthy FROM cb JOIN eb ON eb.prn = cb.prn AND eb.k = cb.k),
+ best AS (SELECT prn, bin, min_by(healthy, (gap, ord)) AS ok FROM met WHERE gap <= {_AGE.format(p="prn")} GROUP BY ALL)"""
 _LIVE = """lv AS (SELECT prn, max_by({'r': r, 'h': h, 's': s}, r) AS e FROM (SELECT CASE substr('GERCJS', CAST(o_custkey % 6 + 1 AS INT), 1) WHEN 'S' THEN 'S' || (120 + o_custkey % 40) ELSE substr('GERCJS', CAST(o_custkey % 6 + 1 AS INT), 1) || lpad((o_custkey % 40 + 1)::VARCHAR, 2, '0') END AS prn,
   o_orderkey * 1000 AS r, CAST(o_orderkey % 7 * CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 9 END AS INT) AS h, CAST(o_orderkey % 3 AS INT) AS s FROM orders) GROUP BY prn),
 live AS (SELECT prn, substr(prn, 1, 1) AS sys, CAST(substr(prn, 2) AS INT) AS n, e.r AS r, e.h AS h, e.s AS s FROM lv)"""
@@ -132,7 +134,7 @@ def _in(numbers) -> str:
 
 
 _GROUP = (
-    "CASE sys WHEN 'G' THEN CASE " + " ".join(f"WHEN {_in(v)} THEN '{k}'" for k, v in S.GPS_BLOCKS.items()) + " ELSE 'Unknown' END WHEN 'E' THEN CASE WHEN n IN (14, 18) THEN 'FOC (eccentric)' WHEN n IN (11, 12, 19, 20) THEN 'IOV' ELSE 'FOC' END"
+    "CASE sys WHEN 'G' THEN CASE " + " ".join(f"WHEN n = {n} THEN '{b}'" for n, b in S.GPS_BLOCKS.items()) + " ELSE 'Unknown' END WHEN 'E' THEN CASE WHEN n IN (14, 18) THEN 'FOC (eccentric)' WHEN n IN (11, 12, 19, 20) THEN 'IOV' ELSE 'FOC' END"
     " WHEN 'R' THEN CASE s WHEN 1 THEN 'GLONASS-M' WHEN 0 THEN 'GLONASS' ELSE 'Unknown' END WHEN 'C' THEN CASE WHEN n <= 5 THEN 'GEO' WHEN n <= 10 OR n = 16 THEN 'IGSO' WHEN n BETWEEN 11 AND 14 THEN 'MEO (BDS-2)' WHEN n BETWEEN 38 AND 40 THEN 'IGSO (BDS-3)'"
     " WHEN n BETWEEN 19 AND 46 THEN 'MEO (BDS-3)' WHEN n BETWEEN 56 AND 63 THEN 'BDS-3' ELSE 'Other' END WHEN 'J' THEN CASE n WHEN 3 THEN 'GEO' ELSE 'QZO' END WHEN 'S' THEN CASE " + " ".join(f"WHEN {_in(v)} THEN '{k}'" for k, v in S.SBAS_SYSTEMS.items()) + " ELSE 'Other' END END"
 )
