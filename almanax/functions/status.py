@@ -9,8 +9,11 @@ from almanax.model import lookup
 
 #: First and last number, and digits, of each constellation's slots.
 SLOTS = {"G": (1, 32, 2), "E": (1, 36, 2), "R": (1, 28, 2), "C": (1, 63, 2), "J": (1, 10, 2), "S": (120, 158, 3)}
-#: GPS numbers by satellite block.
-GPS_BLOCKS = {"IIR": (2, 13, 16, 19, 20, 22), "IIR-M": (5, 7, 12, 15, 17, 29, 31), "IIF": (3, 6, 8, 9, 10, 24, 25, 26, 27, 30, 32), "III": (1, 4, 11, 14, 18, 21, 23, 28)}
+#: Satellite block of each GPS number; fixed values.
+GPS_BLOCKS = {
+    1: "III", 2: "IIR", 3: "IIF", 4: "III", 5: "IIR-M", 6: "IIF", 7: "IIR-M", 8: "IIF", 9: "IIF", 10: "IIF", 11: "III", 12: "IIR-M", 13: "IIR", 14: "III", 15: "IIR-M", 16: "IIR",
+    17: "IIR-M", 18: "III", 19: "IIR", 20: "IIR", 21: "III", 22: "IIR", 23: "III", 24: "IIF", 25: "IIF", 26: "IIF", 27: "IIF", 28: "III", 29: "IIR-M", 30: "IIF", 31: "IIR-M", 32: "IIF",
+}
 SBAS_SYSTEMS = {"EGNOS": (120, 121, 123, 124, 126, 136), "WAAS": (131, 133, 135, 138), "GAGAN": (127, 128, 140), "MSAS": (129, 137), "SDCM": (125, 141), "BDSBAS": (130, 143, 144), "KASS": (147, 148), "SPAN": (122,)}
 QZSS_NAMES = {1: "QZS-1 (Block I)", 2: "QZS-2R (Block II)", 3: "QZS-3 (GEO)", 4: "QZS-4 (Block II)", 7: "QZS-1R (Block II)"}
 #: Order in which a constellation's groups are listed.
@@ -18,10 +21,41 @@ GROUPS = {
     "G": ("IIR", "IIR-M", "IIF", "III"), "E": ("IOV", "FOC", "FOC (eccentric)"), "R": ("GLONASS", "GLONASS-M"), "C": ("GEO", "IGSO", "IGSO (BDS-3)", "MEO (BDS-2)", "MEO (BDS-3)", "BDS-3"), "J": ("QZO", "GEO"),
     "S": ("EGNOS", "WAAS", "GAGAN", "MSAS", "SDCM", "BDSBAS", "KASS", "SPAN"),
 }
-#: Meaning of the five-bit signal health of GPS.
-SIGNALS = ("L1 P Signal", "L2 P Signal", "L1C Signal", "L2C Signal", "L1 & L2 P Signal", "L1 & L2C Signal", "L1 Signal", "L2 Signal")
-STATES = ("Weak", "Dead", "— No Data Modulation")
-GPS_HEALTH = ["All Signals OK", "All Signals Weak", "All Signals Dead", "All Signals — No Data Modulation", *[f"{a} {b}" for a in SIGNALS for b in STATES], "SV Temporarily Out", "SV Will Be Temporarily Out", "Signals Deformed (URA valid)", "Multiple Anomalies"]
+#: Meaning of the five-bit signal health of GPS, from 0; fixed values.
+GPS_HEALTH = (
+    "All Signals OK",
+    "All Signals Weak",
+    "All Signals Dead",
+    "All Signals — No Data Modulation",
+    "L1 P Signal Weak",
+    "L1 P Signal Dead",
+    "L1 P Signal — No Data Modulation",
+    "L2 P Signal Weak",
+    "L2 P Signal Dead",
+    "L2 P Signal — No Data Modulation",
+    "L1C Signal Weak",
+    "L1C Signal Dead",
+    "L1C Signal — No Data Modulation",
+    "L2C Signal Weak",
+    "L2C Signal Dead",
+    "L2C Signal — No Data Modulation",
+    "L1 & L2 P Signal Weak",
+    "L1 & L2 P Signal Dead",
+    "L1 & L2 P Signal — No Data Modulation",
+    "L1 & L2C Signal Weak",
+    "L1 & L2C Signal Dead",
+    "L1 & L2C Signal — No Data Modulation",
+    "L1 Signal Weak",
+    "L1 Signal Dead",
+    "L1 Signal — No Data Modulation",
+    "L2 Signal Weak",
+    "L2 Signal Dead",
+    "L2 Signal — No Data Modulation",
+    "SV Temporarily Out",
+    "SV Will Be Temporarily Out",
+    "Signals Deformed (URA valid)",
+    "Multiple Anomalies",
+)
 GALILEO_HEALTH = ("Signal OK", "Signal Out of Service", "Extended Operations Mode", "Signal in Test")
 QZSS_BITS = ("L1 (MSB)", "L1C/A", "L2C", "L5", "L1C", "L1C/B")
 
@@ -31,10 +65,7 @@ def number(prn: Column) -> Column:
 
 
 def gps_block(n: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, numbers in GPS_BLOCKS.items():
-        out = F.when(n.isin(*numbers), name).otherwise(out)
-    return out
+    return lookup(n, GPS_BLOCKS)
 
 
 def sbas_system(n: Column) -> Column:
