@@ -330,7 +330,8 @@ def write_warc(records: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    # Spark plans a read anew if it has a filter to push, and else takes up the last one's filters; so there is always one
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(path).where("payload_bytes is not null")
 
 
 def page_number(urn: str):

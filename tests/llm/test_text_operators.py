@@ -500,6 +500,8 @@ def test_warc_pushes_filters_down(spark, tmp_path):
     read = warc.read_warc(spark, place).where("record_type = 'response' and target_uri like 'http://h1/%'")
     assert "EqualTo" not in read._jdf.queryExecution().executedPlan().toString() and {r.payload.decode() for r in read.collect()} == {f"body {i // 2}" for i in range(40) if i % 2 and i % 3 == 1}
     assert warc.read_warc(spark, place, payload=False).where("payload is not null").count() == 0
+    every = warc.read_warc(spark, place)
+    assert [every.count(), every.where("record_type = 'revisit'").count(), every.count(), every.where("record_type = 'response'").count()] == [40, 20, 40, 20]
 
 
 def test_warc_writes_add_up(spark, tmp_path):
