@@ -41,29 +41,40 @@ def completeness_matrix(cells: DataFrame, codes: list[str]) -> DataFrame:
     return cells.groupBy("prn").pivot("code", codes).agg(F.first("percent"))
 
 
+#: Columns that tell receivers apart. A table that has one of them is worked on receiver by receiver, here and in all that follows.
+RECEIVERS = ("station", "file")
+
+
+def receivers(rows: DataFrame) -> list[str]:
+    return [c for c in RECEIVERS if c in rows.columns]
+
+
 def pairs(obs: DataFrame) -> DataFrame:
     """t_ms, sys, prn, band, code_m and phase_m: a band's pseudorange and its phase in metres, of the first code that has them."""
     band, kind = F.substring("code", 2, 1), F.substring("code", 1, 1)
     ok = obs.where(present(F.col("value")) & kind.isin("C", "L"))
     wave = SPEED_OF_LIGHT / frequency(F.col("sys"), F.col("band"))
     first = lambda k: F.min_by("value", F.when(kind == k, F.col("code")))
-    both = ok.groupBy("t_ms", "sys", "prn", band.alias("band")).agg(first("C").alias("code_m"), first("L").alias("phase"))
+    both = ok.groupBy(*receivers(obs), "t_ms", "sys", "prn", band.alias("band")).agg(first("C").alias("code_m"), first("L").alias("phase"))
     return both.withColumn("phase_m", F.col("phase") * wave)
 
 
 def dual(obs: DataFrame) -> DataFrame:
     """Pairs of two bands of a satellite at an epoch, each with code and phase: band is the code's, ref the other."""
     p = pairs(obs).where("phase_m is not null").withColumn("hz", frequency(F.col("sys"), F.col("band"))).where("hz is not null")
-    at = p.groupBy("t_ms", "sys", "prn").agg(F.collect_list(F.struct("band", "hz", "code_m", "phase_m", "phase")).alias("b"))
-    two = at.select("t_ms", "sys", "prn", "b", F.explode("b").alias("i")).select("t_ms", "sys", "prn", "i", F.explode("b").alias("j")).where("i.band <> j.band and i.code_m is not null")
-    return two.select("t_ms", "sys", "prn", F.col("i.band").alias("band"), F.col("j.band").alias("ref"), "i", "j")
+    keys = [*receivers(obs), "t_ms", "sys", "prn"]
+    at = p.groupBy(*keys).agg(F.collect_list(F.struct("band", "hz", "code_m", "phase_m", "phase")).alias("b"))
+    two = at.select(*keys, "b", F.explode("b").alias("i")).select(*keys, "i", F.explode("b").alias("j")).where("i.band <> j.band and i.code_m is not null")
+    return two.select(*keys, F.col("i.band").alias("band"), F.col("j.band").alias("ref"), "i", "j")
 
 
 def reference_pairs(obs: DataFrame) -> DataFrame:
     """Of dual(): band 1 with the lowest other band, and every other band with band 1 (or the lowest)."""
     d = dual(obs)
-    best = d.groupBy("sys", "band").agg(F.min("ref").alias("ref"))
-    return d.join(F.broadcast(best), ["sys", "band", "ref"])
+    own = receivers(obs)
+    best = d.groupBy(*own, "sys", "band").agg(F.min("ref").alias("ref"))
+    # a row per band, or per receiver and band, whose number Spark checks by itself
+    return d.join(best if own else F.broadcast(best), [*own, "sys", "band", "ref"]).select(d.columns)
 
 
 def arcs(rows: DataFrame, keys: list[str], interval_ms: int, broken: Column | None = None) -> DataFrame:
@@ -77,29 +88,31 @@ def arcs(rows: DataFrame, keys: list[str], interval_ms: int, broken: Column | No
 def multipath(obs: DataFrame, interval_ms: int, slips: DataFrame | None = None, least_arc: int = LEAST_ARC) -> DataFrame:
     """t_ms, sys, prn, band, ref, arc, mp: code minus carrier combination with each arc's mean taken off; short arcs are dropped.
 
-    slips (prn, t_ms): an arc ends before the epoch of a slip.
+    slips (prn, t_ms, and the receiver's column if obs has one): an arc ends before the epoch of a slip.
     """
     d = reference_pairs(obs)
     alpha = F.pow(F.col("i.hz") / F.col("j.hz"), 2)
     raw = F.col("i.code_m") - (1 + 2 / (alpha - 1)) * F.col("i.phase_m") + 2 / (alpha - 1) * F.col("j.phase_m")
-    rows = d.select("t_ms", "sys", "prn", "band", "ref", raw.alias("raw"))
-    keys = ["prn", "band", "ref"]
+    own = receivers(obs)
+    rows = d.select(*own, "t_ms", "sys", "prn", "band", "ref", raw.alias("raw"))
+    keys = [*own, "prn", "band", "ref"]
     if slips is None:
         rows = arcs(rows, keys, interval_ms)
     else:
-        mark = slips.select("prn", "t_ms").distinct().withColumn("_slip", F.lit(True))
-        rows = arcs(rows.join(mark, ["prn", "t_ms"], "left"), keys, interval_ms, F.col("_slip")).drop("_slip")
+        at = [*own, "prn", "t_ms"]
+        mark = slips.select(*at).distinct().withColumn("_slip", F.lit(True))
+        rows = arcs(rows.join(mark, at, "left"), keys, interval_ms, F.col("_slip")).drop("_slip")
     w = W.partitionBy(*keys, "arc")
     rows = rows.withColumns({"_mean": F.avg("raw").over(w), "_n": F.count(F.lit(1)).over(w)}).where(F.col("_n") >= least_arc)
-    return rows.select("t_ms", "sys", "prn", "band", "ref", "arc", (F.col("raw") - F.col("_mean")).alias("mp"))
+    return rows.select(*own, "t_ms", "sys", "prn", "band", "ref", "arc", (F.col("raw") - F.col("_mean")).alias("mp"))
 
 
 def multipath_series(mp: DataFrame) -> DataFrame:
-    return mp.groupBy("sys", "prn", "band", "ref").agg(F.sqrt(F.avg(F.col("mp") * F.col("mp"))).alias("rms"), F.count(F.lit(1)).alias("count"))
+    return mp.groupBy(*receivers(mp), "sys", "prn", "band", "ref").agg(F.sqrt(F.avg(F.col("mp") * F.col("mp"))).alias("rms"), F.count(F.lit(1)).alias("count"))
 
 
 def multipath_signals(mp: DataFrame) -> DataFrame:
-    return mp.groupBy("sys", "band", "ref").agg(F.sqrt(F.avg(F.col("mp") * F.col("mp"))).alias("rms"), F.count(F.lit(1)).alias("count"), F.count_distinct("prn").alias("satellites"))
+    return mp.groupBy(*receivers(mp), "sys", "band", "ref").agg(F.sqrt(F.avg(F.col("mp") * F.col("mp"))).alias("rms"), F.count(F.lit(1)).alias("count"), F.count_distinct("prn").alias("satellites"))
 
 
 def multipath_by_elevation(points: DataFrame, width: int = 5, least: int = 5) -> DataFrame:
@@ -136,13 +149,14 @@ def multipath_distribution(mp: DataFrame, bins: int = 40) -> DataFrame:
 
 def first_series(series: DataFrame) -> DataFrame:
     """Of each satellite the first series by band, with its RMS to 3 digits."""
-    one = series.groupBy("sys", "prn").agg(F.min_by(F.struct("band", "ref", "rms"), F.struct("band", "ref")).alias("s"))
-    return one.select("sys", "prn", "s.band", "s.ref", js_round(F.col("s.rms"), 3).alias("rms"))
+    own = receivers(series)
+    one = series.groupBy(*own, "sys", "prn").agg(F.min_by(F.struct("band", "ref", "rms"), F.struct("band", "ref")).alias("s"))
+    return one.select(*own, "sys", "prn", "s.band", "s.ref", js_round(F.col("s.rms"), 3).alias("rms"))
 
 
 def pooled_rms(mp: DataFrame, least: int = 10) -> DataFrame:
     """RMS per satellite over all its signals, of at least so many points."""
-    return mp.groupBy("prn").agg(F.sqrt(F.avg(F.col("mp") * F.col("mp"))).alias("rms"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return mp.groupBy(*receivers(mp), "prn").agg(F.sqrt(F.avg(F.col("mp") * F.col("mp"))).alias("rms"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def multipath_heatmap(mp: DataFrame, columns: int = 600) -> DataFrame:
@@ -166,42 +180,43 @@ def elevation_cn0(sky_signal: DataFrame, least: int = 2) -> DataFrame:
 def phase_jumps(obs: DataFrame, interval_ms: int) -> DataFrame:
     """Single-frequency slips: t_ms, sys, prn, signal, magnitude where phase minus code moves over 3 m within an arc."""
     p = pairs(obs).where("code_m is not null and phase_m is not null").withColumn("d", F.col("phase_m") - F.col("code_m"))
-    p = arcs(p, ["prn", "band"], interval_ms)
-    step = F.col("d") - F.lag("d").over(W.partitionBy("prn", "band", "arc").orderBy("t_ms"))
-    return p.withColumn("magnitude", F.abs(step)).where(F.col("magnitude") > SF_METRES).select("t_ms", "sys", "prn", F.concat(F.lit("SF "), "band").alias("signal"), "magnitude")
+    own = receivers(obs)
+    p = arcs(p, [*own, "prn", "band"], interval_ms)
+    step = F.col("d") - F.lag("d").over(W.partitionBy(*own, "prn", "band", "arc").orderBy("t_ms"))
+    return p.withColumn("magnitude", F.abs(step)).where(F.col("magnitude") > SF_METRES).select(*own, "t_ms", "sys", "prn", F.concat(F.lit("SF "), "band").alias("signal"), "magnitude")
 
 
 def geometry_free_jumps(obs: DataFrame, interval_ms: int, metres: float = GF_METRES) -> DataFrame:
     """Dual-frequency slips: the change of the difference of both phases departs from its last change by over a bound."""
     d = reference_pairs(obs).where("band < ref").withColumn("gf", F.col("i.phase_m") - F.col("j.phase_m"))
-    d = arcs(d, ["prn", "band", "ref"], interval_ms)
-    w = W.partitionBy("prn", "band", "ref", "arc").orderBy("t_ms")
+    own = receivers(obs)
+    d = arcs(d, [*own, "prn", "band", "ref"], interval_ms)
+    w = W.partitionBy(*own, "prn", "band", "ref", "arc").orderBy("t_ms")
     d = d.withColumn("step", F.col("gf") - F.lag("gf").over(w))
     d = d.withColumn("before", F.coalesce(F.lag("step").over(w), F.lit(0.0))).withColumn("magnitude", F.abs(F.col("step") - F.col("before")))
     # the step after a slip departs again and isn't one
-    return d.where((F.col("magnitude") > metres) & ~(F.abs("before") > metres)).select("t_ms", "sys", "prn", F.concat(F.lit("GF "), "band", F.lit("-"), "ref").alias("signal"), "magnitude")
-
-
-_SLIP = "t_ms long, sys string, prn string, signal string, magnitude double"
-_SLIP_ARROW = pa.schema([("t_ms", pa.int64()), ("sys", pa.string()), ("prn", pa.string()), ("signal", pa.string()), ("magnitude", pa.float64())])
+    return d.where((F.col("magnitude") > metres) & ~(F.abs("before") > metres)).select(*own, "t_ms", "sys", "prn", F.concat(F.lit("GF "), "band", F.lit("-"), "ref").alias("signal"), "magnitude")
 
 
-def _scan_wide_lane(interval_ms: int):
-    """Rows come sorted by satellite, pair and time; only the figures of the current pair are held."""
+def _scan_wide_lane(interval_ms: int, own: list[str]):
+    """Rows come sorted by receiver, satellite, pair and time; only the figures of the current pair are held."""
+    names = [*own, "sys", "prn", "band", "ref"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, mean, spread, last = None, 0, 0.0, 0.0, 0
         for batch in batches:
-            out = []
-            for *name, t, mw in zip(*[batch[c].to_pylist() for c in ("sys", "prn", "band", "ref", "t_ms", "mw")], strict=True):
+            at, size = [], []
+            for row, (*name, t, mw) in enumerate(zip(*[batch[c].to_pylist() for c in (*names, "t_ms", "mw")], strict=True)):
                 if name != key or t - last > GAP_INTERVALS * interval_ms:
                     key, n = name, 0
                 if n >= 2 and abs(mw - mean) > max(MW_SIGMAS * np.sqrt(spread), MW_CYCLES):
-                    out.append({"t_ms": t, "sys": name[0], "prn": name[1], "signal": f"MW {name[2]}-{name[3]}", "magnitude": abs(mw - mean)})
+                    at.append(row)
+                    size.append(abs(mw - mean))
                     n = 0
                 n, last = n + 1, t
                 mean, spread = (mw, MW_START_SIGMA**2) if n == 1 else (mean + (mw - mean) / n, spread + ((mw - mean) ** 2 - spread) / n)
-            yield pa.RecordBatch.from_pylist(out, _SLIP_ARROW)
+            hit = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[hit[c] for c in (*names, "t_ms")], pa.array(size, pa.float64())], names=[*names, "t_ms", "magnitude"])
 
     return run
 
@@ -209,33 +224,39 @@ def _scan_wide_lane(interval_ms: int):
 def wide_lane_jumps(obs: DataFrame, interval_ms: int) -> DataFrame:
     """Melbourne-Wuebbena slips with adaptive sigma, begun anew after gaps and slips.
 
-    The figures depend on earlier decisions, so each pair of bands of a satellite is walked in order; Spark deals and sorts the rows.
+    The figures depend on earlier decisions, so each pair of bands of a receiver's satellite is walked in order; Spark deals and
+    sorts the rows.
     """
     d = reference_pairs(obs).where("band < ref and j.code_m is not null")
     fi, fj = F.col("i.hz"), F.col("j.hz")
     narrow = (fi * F.col("i.code_m") + fj * F.col("j.code_m")) / (fi + fj)
     mw = F.col("i.phase") - F.col("j.phase") - narrow * (fi - fj) / SPEED_OF_LIGHT
-    rows = d.select("t_ms", "sys", "prn", "band", "ref", mw.alias("mw"))
-    return rows.repartition("prn", "band", "ref").sortWithinPartitions("sys", "prn", "band", "ref", "t_ms").mapInArrow(_scan_wide_lane(interval_ms), _SLIP)
+    own = receivers(obs)
+    rows = d.select(*own, "sys", "prn", "band", "ref", "t_ms", mw.alias("mw"))
+    dealt = rows.repartition(*own, "prn", "band", "ref").sortWithinPartitions(*own, "sys", "prn", "band", "ref", "t_ms")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "mw")
+    found = dealt.mapInArrow(_scan_wide_lane(interval_ms, own), f"{kept}, magnitude double")
+    return found.select(*own, "t_ms", "sys", "prn", F.concat(F.lit("MW "), "band", F.lit("-"), "ref").alias("signal"), "magnitude")
 
 
 def cycle_slips(obs: DataFrame, interval_ms: int) -> DataFrame:
     """All slips; of one epoch and satellite, wide lane goes before geometry-free before single frequency."""
     found = wide_lane_jumps(obs, interval_ms).withColumn("rank", F.lit(0))
     found = found.unionByName(geometry_free_jumps(obs, interval_ms).withColumn("rank", F.lit(1))).unionByName(phase_jumps(obs, interval_ms).withColumn("rank", F.lit(2)))
-    return found.withColumn("_k", F.min("rank").over(W.partitionBy("prn", "t_ms"))).where("rank = _k").select("t_ms", "sys", "prn", "signal", "magnitude")
+    return found.withColumn("_k", F.min("rank").over(W.partitionBy(*receivers(obs), "prn", "t_ms"))).where("rank = _k").select(*receivers(obs), "t_ms", "sys", "prn", "signal", "magnitude")
 
 
 def slip_counts(slips: DataFrame) -> DataFrame:
-    return slips.groupBy("prn").agg(F.count(F.lit(1)).alias("slips"))
+    return slips.groupBy(*receivers(slips), "prn").agg(F.count(F.lit(1)).alias("slips"))
 
 
 def slip_signals(slips: DataFrame, obs: DataFrame) -> DataFrame:
     """Per system and band: slips, epochs with a phase, satellites and slips per thousand epochs."""
-    p = pairs(obs).where("phase is not null").groupBy("sys", "band").agg(F.count(F.lit(1)).alias("epochs"), F.count_distinct("prn").alias("satellites"))
-    s = slips.select("sys", F.explode(F.split(F.substring_index("signal", " ", -1), "-")).alias("band")).groupBy("sys", "band").agg(F.count(F.lit(1)).alias("slips"))
-    out = p.join(s, ["sys", "band"], "left").withColumn("slips", F.coalesce("slips", F.lit(0).cast("long")))
-    return out.select("sys", "band", "slips", "epochs", "satellites", (F.col("slips") / F.col("epochs") * 1000).alias("rate"), system_rank(F.col("sys")).alias("place"))
+    own = receivers(obs)
+    p = pairs(obs).where("phase is not null").groupBy(*own, "sys", "band").agg(F.count(F.lit(1)).alias("epochs"), F.count_distinct("prn").alias("satellites"))
+    s = slips.select(*own, "sys", F.explode(F.split(F.substring_index("signal", " ", -1), "-")).alias("band")).groupBy(*own, "sys", "band").agg(F.count(F.lit(1)).alias("slips"))
+    out = p.join(s, [*own, "sys", "band"], "left").withColumn("slips", F.coalesce("slips", F.lit(0).cast("long")))
+    return out.select(*own, "sys", "band", "slips", "epochs", "satellites", (F.col("slips") / F.col("epochs") * 1000).alias("rate"), system_rank(F.col("sys")).alias("place"))
 
 
 def of_signal(slips: DataFrame, label: str) -> DataFrame:

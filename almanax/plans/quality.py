@@ -98,8 +98,37 @@ def slip_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.slip_signals(Q.geometry_free_jumps(obs, INTERVAL), obs).withColumn("rate", F.round("rate", 6))
 
 
+def multipath_arcs_of_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipath whose arcs end at single-frequency slips."""
+    obs = dual_frequency(spark, sf_dir)
+    return Q.multipath(obs, INTERVAL, Q.phase_jumps(obs, INTERVAL)).withColumn("mp", F.round("mp", 2))
+
+
+def _two_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same satellites at the same times seen by two stations, of which the second has gaps of its own and a jump."""
+    obs = dual_frequency(spark, sf_dir)
+    i = F.floor(F.col("t_ms") / 30_000)
+    jump = F.when((F.col("code") == "L1C") & (i % 40 >= 25), F.col("value") + 9.0).otherwise(F.col("value"))
+    second = obs.where(i % 40 >= 8).withColumn("value", jump).withColumn("station", F.lit("B"))
+    return obs.withColumn("station", F.lit("A")).unionByName(second)
+
+
+def station_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry-free slips of two stations, each by its own arcs."""
+    return Q.geometry_free_jumps(_two_stations(spark, sf_dir), INTERVAL).withColumn("magnitude", F.round("magnitude", 4))
+
+
+def station_multipath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipath series of two stations."""
+    return Q.multipath_series(Q.multipath(_two_stations(spark, sf_dir), INTERVAL)).withColumn("rms", F.round("rms", 5))
+
+
+def wide_lane_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.wide_lane_jumps(dual_frequency(spark, sf_dir), INTERVAL).withColumn("magnitude", F.round("magnitude", 4))
+
+
 def cycle_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All three detectors; the wide lane's statistics are recursive, so there is no SQL."""
+    """All three detectors."""
     return Q.cycle_slips(dual_frequency(spark, sf_dir), INTERVAL).withColumn("magnitude", F.round("magnitude", 4))
 
 
@@ -132,7 +161,7 @@ def observation_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMED = (
     completeness_cells, completeness_signals, completeness_total, completeness_matrix, phase_arcs, multipath_points, multipath_series, multipath_signals, multipath_distribution, multipath_first_series, multipath_pooled,
-    multipath_heatmap, multipath_by_elevation, phase_jumps, geometry_free_jumps, slip_counts, slip_signals, cycle_slips, elevation_cn0, sky_tracks, ground_tracks, observation_warnings,
+    multipath_heatmap, multipath_by_elevation, phase_jumps, geometry_free_jumps, slip_counts, slip_signals, cycle_slips, wide_lane_jumps, multipath_arcs_of_slips, station_slips, station_multipath, elevation_cn0, sky_tracks, ground_tracks, observation_warnings,
 )
 QUERIES = {f.__name__: f for f in _NAMED}
 
@@ -160,7 +189,31 @@ a0 AS (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY prn ORDER BY t_ms
 s AS (SELECT *, gf - lag(gf) OVER (PARTITION BY prn, arc ORDER BY t_ms) AS step FROM a), s2 AS (SELECT *, coalesce(lag(step) OVER (PARTITION BY prn, arc ORDER BY t_ms), 0) AS bef FROM s),
 gf AS (SELECT t_ms, 'G' AS sys, prn, 'GF 1-2' AS signal, abs(step - bef) AS magnitude FROM s2 WHERE abs(step - bef) > 0.15 AND NOT abs(bef) > 0.15)"""
 
+#: Melbourne-Wuebbena: the figures of a satellite's rows, one after another.
+_MW = f"""{_GF.replace("WITH ", "WITH RECURSIVE ", 1)}, mo AS MATERIALIZED (SELECT prn, t_ms, l1 - l2 - ({_F1!r} * c1 + {_F2!r} * c2) / ({_F1!r} + {_F2!r}) * ({_F1!r} - {_F2!r}) / 299792458.0::DOUBLE AS mw, row_number() OVER (PARTITION BY prn ORDER BY t_ms) AS rn FROM du WHERE l2 IS NOT NULL),
+rc(prn, rn, t_ms, n, mean, spread, mag) AS (SELECT prn, rn, t_ms, 1, mw, {Q.MW_START_SIGMA**2!r}::DOUBLE, NULL::DOUBLE FROM mo WHERE rn = 1
+  UNION ALL SELECT prn, rn, t_ms, CASE WHEN hit THEN 1 ELSE n + 1 END, CASE WHEN hit OR n = 0 THEN mw ELSE mean + (mw - mean) / (n + 1) END, CASE WHEN hit OR n = 0 THEN {Q.MW_START_SIGMA**2!r}::DOUBLE ELSE spread + ((mw - mean) * (mw - mean) - spread) / (n + 1) END, CASE WHEN hit THEN abs(mw - mean) END
+  FROM (SELECT *, n >= 2 AND abs(mw - mean) > greatest({float(Q.MW_SIGMAS)!r} * sqrt(spread), {float(Q.MW_CYCLES)!r}) AS hit
+    FROM (SELECT mo.prn, mo.rn, mo.t_ms, mo.mw, rc.mean, rc.spread, CASE WHEN mo.t_ms - rc.t_ms > 150000 THEN 0 ELSE rc.n END AS n FROM rc JOIN mo ON mo.prn = rc.prn AND mo.rn = rc.rn + 1))),
+mw AS (SELECT t_ms, 'G' AS sys, prn, 'MW 1-2' AS signal, mag AS magnitude FROM rc WHERE mag IS NOT NULL)"""
+#: The two stations' rows.
+_TWO = f"""WITH {DUAL}, ds AS (SELECT 'A' AS station, * FROM du UNION ALL SELECT 'B', * REPLACE (CASE WHEN t_ms // 30000 % 40 >= 25 THEN l1 + 9.0::DOUBLE ELSE l1 END AS l1) FROM du WHERE t_ms // 30000 % 40 >= 8)"""
+
 ORACLE_SQL = {
+    "wide_lane_jumps": f"{_MW} SELECT t_ms, sys, prn, signal, round(magnitude, 4) AS magnitude FROM mw",
+    "cycle_slips": f"""{_MW}{_SF[_SF.index(", b AS"):].replace(", b AS", ", bs AS").replace("FROM b ", "FROM bs ").replace("\ns AS", "\nss AS").replace("FROM s ", "FROM ss ")}, al AS (SELECT *, 0 AS k FROM mw UNION ALL SELECT *, 1 FROM gf UNION ALL SELECT *, 2 FROM sf)
+        SELECT t_ms, sys, prn, signal, round(magnitude, 4) AS magnitude FROM al QUALIFY k = min(k) OVER (PARTITION BY prn, t_ms)""",
+    "multipath_arcs_of_slips": f"""{_SF}, k AS (SELECT DISTINCT prn, t_ms, 1 AS slip FROM sf){_MP[_MP.index(", bo AS"):].replace("FROM raw)", "FROM raw LEFT JOIN k USING (prn, t_ms))").replace("> 150000 THEN 1", "> 150000 OR slip = 1 THEN 1").replace("SELECT *, CASE WHEN t_ms - lag", "SELECT raw.*, CASE WHEN t_ms - lag")}
+        SELECT t_ms, sys, prn, band, ref, arc, round(mp, 2) AS mp FROM mp""",
+    "station_slips": f"""{_TWO}, b AS (SELECT station, t_ms, prn, l1 * {L1!r} - l2 * {L2!r} AS gf FROM ds WHERE l2 IS NOT NULL), a0 AS (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY station, prn ORDER BY t_ms) > 150000 THEN 1 ELSE 0 END AS nw FROM b),
+        a AS (SELECT *, sum(nw) OVER (PARTITION BY station, prn ORDER BY t_ms) AS arc FROM a0), s AS (SELECT *, gf - lag(gf) OVER (PARTITION BY station, prn, arc ORDER BY t_ms) AS step FROM a),
+        s2 AS (SELECT *, coalesce(lag(step) OVER (PARTITION BY station, prn, arc ORDER BY t_ms), 0) AS bef FROM s)
+        SELECT station, t_ms, 'G' AS sys, prn, 'GF 1-2' AS signal, round(abs(step - bef), 4) AS magnitude FROM s2 WHERE abs(step - bef) > 0.15 AND NOT abs(bef) > 0.15""",
+    "station_multipath": f"""{_TWO}, bo AS (SELECT * FROM ds WHERE l2 IS NOT NULL),
+        raw AS (SELECT station, t_ms, prn, '1' AS band, '2' AS ref, {_raw("c1", _A12, f"l1 * {L1!r}", f"l2 * {L2!r}")} AS raw FROM bo UNION ALL SELECT station, t_ms, prn, '2', '1', {_raw("c2", _A21, f"l2 * {L2!r}", f"l1 * {L1!r}")} FROM bo),
+        lg AS (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY station, prn, band ORDER BY t_ms) > 150000 THEN 1 ELSE 0 END AS nw FROM raw), ar AS (SELECT *, sum(nw) OVER (PARTITION BY station, prn, band ORDER BY t_ms) AS arc FROM lg),
+        mn AS (SELECT *, avg(raw) OVER (PARTITION BY station, prn, band, arc) AS m, count(*) OVER (PARTITION BY station, prn, band, arc) AS n FROM ar)
+        SELECT station, 'G' AS sys, prn, band, ref, round(sqrt(avg((raw - m) * (raw - m))), 5) AS rms, count(*) AS count FROM mn WHERE n >= 10 GROUP BY ALL""",
     "completeness_cells": f"{_CELLS} SELECT prn, code, expected, present, round(percent, 6) AS percent FROM cells",
     "completeness_signals": f"{_CELLS} SELECT substr(prn, 1, 1) AS sys, code, count(*) AS satellites, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(present) AS BIGINT) AS present, round(100.0 * sum(present) / sum(expected), 6) AS percent FROM cells GROUP BY ALL",
     "completeness_total": f"{_CELLS} SELECT round(100.0 * sum(present) / sum(expected), 6) AS percent FROM cells WHERE expected > 0",
