@@ -67,9 +67,13 @@ def _sketch(size: int, parts: int):
             if not sizes:
                 continue
             fp = np.array(fps, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.uint64) % parts, pa.int32()), batch.column(0), pa.array(sizes, pa.int32()), pa.array(fp), pa.nulls(len(fp), pa.binary())], schema=_SKETCH)
+            # rows only pass, so they are dealt in turn; equal texts of a batch give their head once
+            turn = (np.arange(len(fp)) + int(fp[0] & 0xFFFF)) % parts
+            first = np.sort(np.unique(fp, return_index=True)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), batch.column(0), pa.array(sizes, pa.int32()), pa.array(fp), pa.nulls(len(fp), pa.binary())], schema=_SKETCH)
+            heads = [heads[k] for k in first]
             column = np.concatenate(heads)
-            owner = np.repeat(fp, [len(h) for h in heads])
+            owner = np.repeat(fp[first], [len(h) for h in heads])
             block = (column >> np.uint64(40)) % np.uint64(parts)
             order = np.argsort(block, kind="stable")
             both = np.stack([column[order].view(np.int64), owner[order]], axis=1)
