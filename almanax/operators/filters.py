@@ -67,28 +67,33 @@ def in_window(f: FilterState, t: str = "t_ms") -> Column:
     return keep
 
 
-def greedy_epochs(epochs: DataFrame, least_ms: float, slack_ms: float = 1.0, key: str | None = None) -> DataFrame:
-    """Of distinct epochs (and per key): the first, and then each that is least_ms (less the slack) after the last one kept.
+def greedy_walk(epochs: DataFrame, least_ms: float, slack_ms: float = 1.0, key: str | None = None) -> DataFrame:
+    """key, t_ms and kept of distinct epochs: kept is the epoch itself or the last one before it that is kept.
 
-    The choice depends on order, so a key's epochs (a file's, a stream's) are walked in one task; they hold one number each, and
-    are sorted by Spark and read in batches.
+    The first is kept, and then each that is least_ms (less the slack) after the last one kept. The choice depends on order, so a
+    key's epochs (a file's, a stream's) are walked in one task; they hold one number each, and are sorted by Spark and read in batches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, object()
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            times = batch.column(1).to_numpy()
-            kept = np.zeros(len(times), bool)
-            for i, t in enumerate(times.tolist()):
-                if keys[i] != at or t - last >= least_ms - slack_ms:
-                    kept[i], last, at = True, t, keys[i]
-            yield batch.filter(pa.array(kept))
+            keys, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            kept = []
+            for k, t in zip(keys, times, strict=True):
+                if k != at or t - last >= least_ms - slack_ms:
+                    last, at = t, k
+                kept.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.int64())], names=["key", "t_ms", "kept"])
 
     k = F.col(key) if key else F.lit("")
     rows = epochs.select(k.cast("string").alias("key"), "t_ms").distinct()
     dealt = rows.repartition("key") if key else rows.repartition(1)
-    return dealt.sortWithinPartitions("key", "t_ms").mapInArrow(run, "key string, t_ms long")
+    return dealt.sortWithinPartitions("key", "t_ms").mapInArrow(run, "key string, t_ms long, kept long")
+
+
+def greedy_epochs(epochs: DataFrame, least_ms: float, slack_ms: float = 1.0, key: str | None = None) -> DataFrame:
+    """key and t_ms of the epochs that greedy_walk keeps."""
+    return greedy_walk(epochs, least_ms, slack_ms, key).where("t_ms = kept").select("key", "t_ms")
 
 
 def chunk_starts(epochs: DataFrame, split_ms: float) -> DataFrame:
@@ -97,10 +102,9 @@ def chunk_starts(epochs: DataFrame, split_ms: float) -> DataFrame:
 
 
 def with_chunks(obs: DataFrame, split_ms: float) -> DataFrame:
-    """obs with chunk, the start of its file. Few starts are looked up in a sorted array."""
-    starts = chunk_starts(obs.select("t_ms"), split_ms).agg(F.array_sort(F.collect_list("t_ms")).alias("starts"))
-    found = F.array_max(F.filter("starts", lambda s: s <= F.col("t_ms")))
-    return obs.crossJoin(F.broadcast(starts)).withColumn("chunk", found).drop("starts")
+    """obs with chunk, the start of its file: each epoch's, joined by its time."""
+    walk = greedy_walk(obs.select("t_ms"), split_ms, 0.0).select("t_ms", F.col("kept").alias("chunk"))
+    return obs.join(walk, "t_ms").select(*obs.columns, "chunk")
 
 
 def signal_counts(obs: DataFrame) -> DataFrame:
@@ -111,8 +115,9 @@ def apply_filters(obs: DataFrame, f: FilterState) -> DataFrame:
     """The observations left. Decimation sees the epochs of all satellites; the sparse threshold sees what is left before it."""
     out = obs.where(in_window(f))
     if f.interval_s:
-        kept = greedy_epochs(out.select("t_ms"), f.interval_s * 1000).select("t_ms")
-        out = out.join(kept, "t_ms", "left_semi")
+        own = next((c for c in ("station", "file") if c in obs.columns), None)  # each receiver's epochs are walked by themselves
+        kept = greedy_epochs(out, f.interval_s * 1000, key=own).withColumnRenamed("key", own or "key")
+        out = out.join(kept, [*([own] if own else []), "t_ms"], "left_semi").select(obs.columns)
     out = out.where(satellites_wanted(f) & codes_wanted(f))
     if f.sparse_percent > 0:
         epochs = out.select("t_ms").distinct().agg(F.count(F.lit(1)).alias("n_epochs"))

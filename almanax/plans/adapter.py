@@ -60,21 +60,21 @@ PLACES = "places AS (SELECT c_custkey AS id, CAST(c_custkey * 7 % 179 - 89 AS DO
 
 
 def dual_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GPS pseudoranges and phases on two bands every 30 s from events, with noise, gaps and slips that the event's number sets."""
+    """GPS pseudoranges and phases on two bands every 30 s from all events, with noise and slips that the event's number sets, and 8 epochs left out after each 92."""
     e = load(spark, sf_dir, "events")
     i, n = F.floor(F.col("event_id") / 20), F.col("event_id") % 20 + 1
     reach = 2e7 + 800.0 * i * 30
     jump = F.when(n % 3 == 0, 50.0 * F.floor(i / 70)).otherwise(0.0)
-    rows = e.where(~(i % 100).between(90, 97)).select(
-        (i * 30_000).alias("t_ms"), F.concat(F.lit("G"), F.lpad(n.cast("string"), 2, "0")).alias("prn"),
+    rows = e.select(
+        ((i + F.floor(i / 92) * 8) * 30_000).alias("t_ms"), F.concat(F.lit("G"), F.lpad(n.cast("string"), 2, "0")).alias("prn"),
         F.create_map(F.lit("C1C"), reach + F.col("value") % 2, F.lit("L1C"), reach / L1 + 1e6 + jump, F.lit("C2W"), reach + F.col("value") % 1, F.lit("L2W"), F.when(F.col("event_id") % 37 != 0, reach / L2 + 2e6)).alias("v"),
     )
     return rows.select("t_ms", F.lit("G").alias("sys"), "prn", F.explode("v").alias("code", "value"))
 
 
 L1, L2 = SPEED_OF_LIGHT / FREQUENCIES["G"]["1"], SPEED_OF_LIGHT / FREQUENCIES["G"]["2"]
-DUAL = f"""ev AS (SELECT event_id, event_id // 20 AS i, event_id % 20 + 1 AS n, value, 2e7 + 800.0::DOUBLE * (event_id // 20) * 30 AS r FROM events WHERE NOT (event_id // 20) % 100 BETWEEN 90 AND 97),
-du AS (SELECT i * 30000 AS t_ms, 'G' || lpad(n::VARCHAR, 2, '0') AS prn, r + value % 2 AS c1, r / {L1!r} + 1e6 + CASE WHEN n % 3 = 0 THEN 50.0 * (i // 70) ELSE 0 END AS l1, r + value % 1 AS c2,
+DUAL = f"""ev AS (SELECT event_id, event_id // 20 AS i, event_id % 20 + 1 AS n, value, 2e7 + 800.0::DOUBLE * (event_id // 20) * 30 AS r FROM events),
+du AS (SELECT (i + i // 92 * 8) * 30000 AS t_ms, 'G' || lpad(n::VARCHAR, 2, '0') AS prn, r + value % 2 AS c1, r / {L1!r} + 1e6 + CASE WHEN n % 3 = 0 THEN 50.0 * (i // 70) ELSE 0 END AS l1, r + value % 1 AS c2,
        CASE WHEN event_id % 37 <> 0 THEN r / {L2!r} + 2e6 END AS l2 FROM ev)"""
 
 

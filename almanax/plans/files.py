@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanax.functions import geodesy, timescales
+from almanax.operators import filters, quality
 from almanax.plans.adapter import OBS, millis, observations
 from almanax.session import load, scratch_path
 from almanax.sinks import exports
@@ -211,8 +213,36 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "user_id", "n")
 
 
+def live_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants of observation messages, from times of week (of day and week for BeiDou) and a time about it."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", millis("o_orderdate").alias("near"))
+    sys = F.element_at(F.array(*map(F.lit, "GECJ")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    tow = F.col("o_orderkey") * 7919 % 604_800 * 1000
+    return o.select("o_orderkey", timescales.msm_instant(sys, tow, F.col("near")).alias("t_ms"))
+
+
+def coordinate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with made-up coordinates, and bearings brought to one turn."""
+    c = load(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    x = F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 5 == 0, 0.0).otherwise(k * 1e4)
+    y, z = F.when(k % 5 == 0, 0.0).otherwise(k * 2e4), F.when(k % 11 != 0, k * 1e3)
+    return c.select("c_custkey", geodesy.ecef_problem(x, y, z).alias("problem"), F.round(geodesy.normalised_bearing(F.col("c_acctbal")), 4).alias("bearing"))
+
+
+def live_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header whose fields are replaced, also by an empty one, and the JSON text of a file's figures, by its parts."""
+    obs = _station(spark, sf_dir)
+    h = filters.override(rinex.read_headers(spark, _written(obs, "3.04")).select("marker_name", "observer", "interval"), {"marker_name": "BETA", "observer": ""})
+    figures = obs.agg(F.count(F.lit(1)).alias("rows"), F.min("t_ms").alias("first_ms"))
+    found = quality.warnings(obs.unionByName(obs.where("code = 'C1C'")), 3_600_000)
+    part = lambda path: F.get_json_object("text", path)
+    one = exports.metadata(h, figures, found)
+    return one.select(part("$.header.marker_name").alias("marker"), part("$.header.observer").alias("observer"), part("$.statistics.rows").cast("long").alias("rows"), part("$.statistics.first_ms").cast("long").alias("first_ms"), part("$.validation.warnings").cast("long").alias("warnings"))
+
+
 _NAMED = (
-    station_file_3, station_file_4, station_file_2, station_headers, compact_file_3, compact_file_1, navigation_file, sentence_fixes, sourcetable_streams, sourcetable_summary, antenna_file, antenna_summary, observation_table,
+    live_instants, coordinate_checks, live_header, station_file_3, station_file_4, station_file_2, station_headers, compact_file_3, compact_file_1, navigation_file, sentence_fixes, sourcetable_streams, sourcetable_summary, antenna_file, antenna_summary, observation_table,
     track_points, edited_headers, stream_statistics, event_windows, event_sessions,
 )
 QUERIES = {f.__name__: f for f in _NAMED}
@@ -235,6 +265,11 @@ _STREAMS = """st AS (SELECT c_custkey AS k, 'M' || c_custkey AS mountpoint, c_na
   'N' || c_nationkey AS country, CAST(c_custkey % 180 - 90 AS DOUBLE) AS lat, CAST(c_custkey % 360 - 180 AS DOUBLE) AS lon, CAST(c_custkey * 100 AS INT) AS bitrate FROM customer WHERE c_custkey % 10 <> 9)"""
 _ISO = "strftime(make_timestamp({t} * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 ORACLE_SQL = {
+    "live_instants": """WITH o AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000 AS near, o_orderkey * 7919 % 604800 * 1000 + CASE WHEN o_orderkey % 4 = 2 THEN 14000 ELSE 0 END AS tow FROM orders), w AS (SELECT *, (near - 315964800000) // 604800000 * 604800000 + 315964800000 + tow AS t FROM o)
+        SELECT o_orderkey, t + CAST(round((near - t) / 604800000.0::DOUBLE) AS BIGINT) * 604800000 AS t_ms FROM w""",
+    "coordinate_checks": """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN 'not a number' WHEN c_custkey % 5 = 0 THEN 'x and y are both zero' WHEN sqrt(c_custkey * 1e4 * c_custkey * 1e4 + c_custkey * 2e4 * c_custkey * 2e4 + c_custkey * 1e3 * c_custkey * 1e3) > 5e7 THEN 'too far from the Earth' END AS problem,
+        round(((c_acctbal % 360) + 360) % 360, 4) AS bearing FROM customer""",
+    "live_header": f"""{_CELLS} SELECT 'BETA' AS marker, '' AS observer, count(*) AS rows, min(t_ms) AS first_ms, count(*) FILTER (code = 'C1C') AS warnings FROM r""",
     "station_file_3": _ALL,
     "station_file_4": f"SELECT * FROM ({_ALL}) WHERE sys IN ('G', 'E') AND code <> 'L2W' AND t_ms >= 1704200000000 AND t_ms < 1705600000000",
     "station_file_2": _old_cells("'G', 'R'"),

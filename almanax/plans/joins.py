@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanax.functions import status as S
+from almanax.model import STATUS_ORDER
 from almanax.operators import asof, availability, grid
 from almanax.plans.adapter import EPH, HOUR, OBS, POSITIONS, ephemerides, millis, observations, positions
 from almanax.session import load
@@ -100,8 +101,16 @@ def groups_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def satellite_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = observations(spark, sf_dir).where("prn < 'G12' or prn > 'J'")
-    return availability.satellite_panel(seen, ephemerides(spark, sf_dir).where("toc_ms < 900000000000 and prn < 'R10'"))
+    """Satellites of events and of orders; the latter's numbers are moved, so that some are on one side only."""
+    user = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 150 + 40).alias("user"))
+    sys = F.substring(F.lit("GRECJIS"), (F.col("user") % 7 + 1).cast("int"), F.lit(1))
+    eph = user.select(F.concat(sys, F.lpad(F.floor(F.col("user") / 7 + 1).cast("string"), 2, "0")).alias("prn"), sys.alias("sys"))
+    return availability.satellite_panel(observations(spark, sf_dir), eph)
+
+
+def panel_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each system the satellites of the panel on either side."""
+    return availability.panel_groups(satellite_panel(spark, sf_dir))
 
 
 def health_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +121,7 @@ def health_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMED = (
     nearest_ephemeris, elevation_lookup, availability_matrix, availability_navigation_only, navigation_summary, sky_signal, merged_files, msm_groups, constellation_status, constellation_totals, groups_present,
-    satellite_panel, health_texts,
+    satellite_panel, panel_groups, health_texts,
 )
 QUERIES = {f.__name__: f for f in _NAMED}
 
@@ -141,6 +150,7 @@ _GROUP = (
 _SLOTS = " UNION ALL ".join(f"SELECT '{k}' AS sys, '{k}' || lpad(i::VARCHAR, {d}, '0') AS prn, i::INT AS n FROM (SELECT unnest(range({a}, {b + 1})) AS i)" for k, (a, b, d) in S.SLOTS.items())
 _HEALTH = "CASE h & 31 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(S.GPS_HEALTH)) + " END"
 
+_PANEL = f"""WITH {OBS}, a AS (SELECT DISTINCT prn, 1 AS o FROM obs), b AS (SELECT DISTINCT substr('GRECJIS', CAST((o_custkey % 150 + 40) % 7 + 1 AS INT), 1) || lpad(CAST((o_custkey % 150 + 40) // 7 + 1 AS VARCHAR), 2, '0') AS prn, 1 AS e FROM orders), panel AS (SELECT prn, o IS NOT NULL AS observed, e IS NOT NULL AS has_eph, CAST((instr('GRECJIS', substr(prn, 1, 1)) - 1) * 1000 + CAST(substr(prn, 2) AS INT) AS INT) AS place FROM a FULL JOIN b USING (prn))"""
 ORACLE_SQL = {
     "nearest_ephemeris": f"""WITH {EPH}, {_TARGETS}, b AS (SELECT tg.prn, t_ms, min_by(struct_pack(toc_ms := toc_ms, ord := ord, healthy := healthy), (abs(t_ms - toc_ms), ord)) AS e FROM tg JOIN eph ON eph.prn = tg.prn AND abs(t_ms - toc_ms) <= {_AGE.format(p="tg.prn")} GROUP BY ALL)
         SELECT prn, t_ms, e.toc_ms AS toc_ms, e.ord AS ord, e.healthy AS healthy FROM tg LEFT JOIN b USING (prn, t_ms)""",
@@ -163,8 +173,8 @@ ORACLE_SQL = {
         SELECT sys, prn, CASE WHEN r IS NULL THEN 'none' WHEN {NOW} - r > lim THEN 'expired' WHEN {_OK} THEN 'healthy' ELSE 'unhealthy' END AS state, "group", want IS NOT NULL AND NOT ("group" = want AND (sys <> 'R' OR r IS NOT NULL)) AS dimmed FROM g""",
     "constellation_totals": f"WITH {_LIVE} SELECT sys, count(*) AS tracked, count(*) FILTER ({_OK}) AS healthy, count(*) FILTER (NOT ({_OK})) AS unhealthy FROM live GROUP BY sys",
     "groups_present": f"""WITH {_LIVE}, g AS (SELECT DISTINCT sys, {_GROUP} AS "group" FROM live), k AS (SELECT * FROM (VALUES {", ".join(f"('{s}', '{n}', {i})" for s, ns in S.GROUPS.items() for i, n in enumerate(ns))}) AS t(sys, "group", place)) SELECT * FROM g JOIN k USING (sys, "group")""",
-    "satellite_panel": f"""WITH {OBS}, {EPH}, a AS (SELECT DISTINCT prn, 1 AS o FROM obs WHERE prn < 'G12' OR prn > 'J'), b AS (SELECT DISTINCT prn, 1 AS e FROM eph WHERE toc_ms < 900000000000 AND prn < 'R10')
-        SELECT prn, o IS NOT NULL AS observed, e IS NOT NULL AS has_eph, CAST((instr('GRECJIS', substr(prn, 1, 1)) - 1) * 1000 + CAST(substr(prn, 2) AS INT) AS INT) AS place FROM a FULL JOIN b USING (prn)""",
+    "satellite_panel": f"{_PANEL} SELECT * FROM panel",
+    "panel_groups": f"{_PANEL} SELECT substr(prn, 1, 1) AS sys, count(*) FILTER (observed) AS observed, count(*) FILTER (has_eph) AS with_eph, min(CASE WHEN instr('{STATUS_ORDER}', substr(prn, 1, 1)) > 0 THEN instr('{STATUS_ORDER}', substr(prn, 1, 1)) - 1 ELSE {len(STATUS_ORDER)} END)::INT AS place FROM panel GROUP BY 1",
     "health_texts": f"""WITH {_LIVE} SELECT prn, CASE WHEN sys IN ('G', 'J') THEN CASE WHEN h >> 5 = 0 THEN 'OK' ELSE 'Bad' END || ': ' || {_HEALTH} WHEN sys = 'E' THEN CASE h {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(S.GALILEO_HEALTH))} ELSE 'Unknown' END ELSE CASE WHEN h = 0 THEN 'OK' ELSE 'Unhealthy' END END AS text,
         concat_ws(',', {", ".join(f"CASE WHEN h & {32 >> i} <> 0 THEN '{b}' END" for i, b in enumerate(S.QZSS_BITS))}) AS bits,
         CASE WHEN n <= 5 THEN 'BDS-2 GEO' WHEN n <= 10 OR n = 16 THEN 'BDS-2 IGSO' WHEN n BETWEEN 11 AND 14 THEN 'BDS-2 MEO' WHEN n BETWEEN 38 AND 40 THEN 'BDS-3 IGSO' WHEN n BETWEEN 19 AND 46 THEN 'BDS-3 MEO' WHEN n BETWEEN 56 AND 63 THEN 'BDS-3' ELSE '—' END AS generation FROM live""",

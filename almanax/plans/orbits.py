@@ -17,14 +17,15 @@ START = 1_704_067_200_000
 
 
 def kepler_ephemerides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plausible GPS and Galileo elements from suppliers, one every two hours of a day."""
-    s = load(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 24 + 1).alias("n"), F.col("s_suppkey").alias("k")).where("k <= 48")
-    hours = spark.range(12).select((F.col("id") * 7_200_000 + START).alias("toc_ms"), F.col("id").alias("h"))
-    sys = F.when(F.col("k") > 24, "E").otherwise("G")
+    """Plausible GPS and Galileo elements from suppliers, one every two hours of a day; each 48 suppliers are a minute later."""
+    s = load(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 24 + 1).alias("n"), F.col("s_suppkey").alias("k"))
+    hours = spark.range(12).select(F.col("id").alias("h"))
+    sys = F.when(F.col("k") % 48 >= 24, "E").otherwise("G")
     field = {"sqrtA": F.when(sys == "E", 5440.6).otherwise(5153.6), "e": 0.001 * (F.col("n") % 15), "m0": F.col("n") * 0.7 + F.col("h") * 1.05, "deltaN": F.lit(4.5e-9), "omega0": F.col("n") % 6 * 1.047, "omegaDot": F.lit(-8.0e-9), "i0": F.lit(0.96), "idot": F.lit(1e-10), "omega": F.col("n") * 0.3, "cuc": F.lit(1e-6), "cus": F.lit(8e-6), "crc": F.lit(200.0), "crs": F.lit(-50.0), "cic": F.lit(1e-7), "cis": F.lit(-1e-7)}
     toe = timescales.time_of_week(F.col("toc_ms")) / 1000
     kepler = F.struct(*[(c if not isinstance(c, float) else F.lit(c)).cast("double").alias(k) for k, c in field.items()], toe.alias("toe"))
-    rows = s.crossJoin(F.broadcast(hours))  # twelve rows
+    toc = F.col("h") * 7_200_000 + START + F.floor(F.col("k") / 48) % 120 * 60_000
+    rows = s.crossJoin(F.broadcast(hours)).withColumn("toc_ms", toc)  # twelve rows
     state = F.lit(None).cast("struct<" + ",".join(f"{f}:double" for f in orbit.STATE_FIELDS) + ">")
     return rows.select(F.concat(sys, F.lpad(F.col("n").cast("string"), 2, "0")).alias("prn"), sys.alias("sys"), "toc_ms", (F.col("k") * 100 + F.col("h")).alias("ord"), F.lit(True).alias("healthy"), kepler.alias("kepler"), state.alias("state"))
 
@@ -63,7 +64,8 @@ def dilution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def navigation_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eph = load(spark, sf_dir, "orders").where("o_orderkey <= 3").select(millis("o_orderdate").alias("toc_ms"))
+    """Every six hours from the first to the last order."""
+    eph = load(spark, sf_dir, "orders").select(millis("o_orderdate").alias("toc_ms"))
     return timescales.navigation_times(eph, 6 * 3_600_000)
 
 
@@ -84,7 +86,7 @@ def track_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spread of the fixes about their mean place; its oracle is a test against plain Python."""
+    """Spread of the fixes about their mean place."""
     out = tracks.precision(_fixes(spark, sf_dir))
     return out.select("track", *[F.round(c, 4).alias(c) for c in ("h_rms", "v_rms", "drms2", "cep", "reach")])
 
@@ -100,7 +102,7 @@ def _positions_sql() -> str:
     """Kepler's equation by as many Newton steps, one CTE each."""
     mu, w = "CASE sys WHEN 'E' THEN 3.986004418e14 ELSE 3.986005e14 END", "7.2921151467e-5"
     x, y, z = (repr(v) for v in RECEIVER)
-    head = f"""WITH el AS (SELECT s_suppkey AS k, s_suppkey % 24 + 1 AS n, h, CASE WHEN s_suppkey > 24 THEN 'E' ELSE 'G' END AS sys, {START} + h * 7200000 AS toc FROM supplier, (SELECT unnest(range(0, 12)) AS h) WHERE s_suppkey <= 48),
+    head = f"""WITH el AS (SELECT s_suppkey AS k, s_suppkey % 24 + 1 AS n, h, CASE WHEN s_suppkey % 48 >= 24 THEN 'E' ELSE 'G' END AS sys, {START} + h * 7200000 + s_suppkey // 48 % 120 * 60000 AS toc FROM supplier, (SELECT unnest(range(0, 12)) AS h)),
         ef AS (SELECT sys || lpad(n::VARCHAR, 2, '0') AS prn, sys, toc, k * 100 + h AS ord, CASE sys WHEN 'E' THEN 5440.6 ELSE 5153.6 END::DOUBLE AS sa, 0.001::DOUBLE * (n % 15) AS e, n * 0.7::DOUBLE + h * 1.05::DOUBLE AS m0, n % 6 * 1.047::DOUBLE AS o0, n * 0.3::DOUBLE AS om, (toc - 315964800000) % 604800000 / 1000.0::DOUBLE AS toe FROM el),
         tm AS (SELECT {START} + i * 900000 AS t_ms FROM (SELECT unnest(range(0, 96)) AS i)),
         b AS (SELECT t_ms, prn, min_by(ord, (abs(t_ms - toc), ord)) AS ord FROM tm JOIN ef ON abs(t_ms - toc) <= 14400000 GROUP BY ALL),
@@ -136,7 +138,7 @@ def _elevation_sql(x: str, y: str, z: str) -> str:
 _TRACK = "fx AS (SELECT user_id AS track, epoch_us(ts) // 1000 AS t_ms, 48 + event_id % 1000 / 1e5 AS lat, 11 + event_id % 777 / 1e5 AS lon, value, CAST(event_id % 9 + 4 AS INT) AS sats FROM events)"
 ORACLE_SQL = {
     "satellite_positions": _positions_sql(),
-    "navigation_times": "WITH e AS (SELECT min(epoch_us(o_orderdate) // 1000) AS a, max(epoch_us(o_orderdate) // 1000) AS b FROM orders WHERE o_orderkey <= 3) SELECT unnest(range(a, b + 1, 21600000)) AS t_ms FROM e",
+    "navigation_times": "WITH e AS (SELECT min(epoch_us(o_orderdate) // 1000) AS a, max(epoch_us(o_orderdate) // 1000) AS b FROM orders) SELECT unnest(range(a, b + 1, 21600000)) AS t_ms FROM e",
     "track_statistics": f"""WITH {_TRACK}, p AS (SELECT *, radians(lat) AS la, radians(lon) AS lo, radians(lag(lat) OVER w) AS lb, radians(lag(lon) OVER w) AS ob FROM fx WINDOW w AS (PARTITION BY track ORDER BY t_ms)),
         d AS (SELECT *, 2 * 6371008.8 * asin(sqrt(pow(sin((la - lb) / 2), 2) + cos(la) * cos(lb) * pow(sin((lo - ob) / 2), 2))) AS d FROM p)
         SELECT track, count(*) AS fixes, min(t_ms) AS start_ms, max(t_ms) AS end_ms, (max(t_ms) - min(t_ms)) / 1000.0 AS duration, round(sum(d), 2) AS distance, round(max(value / 10) * 1.852, 6) AS max_speed_kmh, round(avg(sats), 6) AS satellites,
@@ -167,3 +169,48 @@ def _dilution_sql() -> str:
 
 
 ORACLE_SQL["dilution"] = _dilution_sql()
+
+
+def _precision_sql() -> str:
+    """Places by the ellipsoid, their mean, and the mean's latitude by the tangent of the parametric one, as often as the library does."""
+    from almanax.functions import geodesy as G
+
+    a, b, e2, flat = (repr(v) for v in (G.A, G.B, G.E2, G.FLAT))
+    ep2 = repr(G.E2 / (1 - G.E2))
+    tangent = lambda t: f"atan2(z + {ep2} * {b} * pow(sin({t}), 3), p - {e2} * {a} * pow(cos({t}), 3))"
+    return f"""WITH {_TRACK}, ll AS (SELECT track, radians(lat) AS la, radians(lon) AS lo, 500 + value / 10 AS h FROM fx), nn AS (SELECT *, {a} / sqrt(1 - {e2} * sin(la) * sin(la)) AS n FROM ll),
+        pt AS (SELECT track, (n + h) * cos(la) * cos(lo) AS px, (n + h) * cos(la) * sin(lo) AS py, (n * (1 - {e2}) + h) * sin(la) AS pz FROM nn), mn AS (SELECT track, avg(px) AS x, avg(py) AS y, avg(pz) AS z, sqrt(avg(px) * avg(px) + avg(py) * avg(py)) AS p FROM pt GROUP BY track),
+        l1 AS (SELECT *, {tangent(f"atan2(z * {a}, p * {b})")} AS la FROM mn), l2 AS (SELECT * REPLACE ({tangent(f"atan2((1 - {flat}) * sin(la), cos(la))")} AS la) FROM l1), l3 AS (SELECT * REPLACE ({tangent(f"atan2((1 - {flat}) * sin(la), cos(la))")} AS la) FROM l2),
+        d AS (SELECT track, la, atan2(y, x) AS lo, px - x AS dx, py - y AS dy, pz - z AS dz FROM pt JOIN l3 USING (track)),
+        v AS (SELECT track, -sin(lo) * dx + cos(lo) * dy AS e, -sin(la) * cos(lo) * dx - sin(la) * sin(lo) * dy + cos(la) * dz AS n, cos(la) * cos(lo) * dx + cos(la) * sin(lo) * dy + sin(la) * dz AS u FROM d),
+        g AS (SELECT track, sqrt(avg(e * e + n * n)) AS h, sqrt(avg(u * u)) AS v, max(greatest(abs(e), abs(n))) AS most FROM v GROUP BY track)
+        SELECT track, round(h, 4) AS h_rms, round(v, 4) AS v_rms, round(2 * h, 4) AS drms2, round({tracks.CEP_RATIO!r} * h, 4) AS cep, round(CASE WHEN most > 0 THEN ceil(most * 1.1 * 1000) / 1000 ELSE 1.0 END, 4) AS reach FROM g"""
+
+
+def _spectrum_sql() -> str:
+    """Each signal of the catalogue by the formula of its modulation."""
+    pi = repr(math.pi)
+
+    def boc(sub: float, chip: float, cosine: bool = False) -> str:
+        half, top = f"({pi} * f / {2 * sub!r})", "sin" if round(2 * sub / chip) % 2 == 0 else "cos"
+        wave = f"2 * pow(sin({half} / 2), 2) / cos({half})" if cosine else f"tan({half})"
+        return f"CASE WHEN abs(f) < 1e-6 THEN 0.0 WHEN abs(cos({half})) < 1e-9 THEN NULL ELSE {chip!r} * pow({top}({pi} * f / {chip!r}) * ({wave}) / ({pi} * f), 2) END"
+
+    def density(form: str, sub: float, chip: float) -> str:
+        s, c = float(sub * signals.F0), float(chip * signals.F0)
+        if form == "bpsk":
+            x = f"({pi} * (f / {c!r}))"
+            return f"CASE WHEN abs(f / {c!r}) < 1e-12 THEN 1.0 ELSE pow(sin{x} / {x}, 2) END / {c!r}"
+        if form == "mboc":
+            return f"10.0 / 11 * ({boc(signals.F0, signals.F0)}) + 1.0 / 11 * ({boc(6 * signals.F0, signals.F0)})"
+        if form == "altboc":
+            h, q = f"({pi} * f / {2 * s!r})", f"({pi} * f / {4 * s!r})"
+            return f"CASE WHEN abs(f) < 1e-6 THEN 0.0 WHEN abs(cos{h}) < 1e-9 THEN NULL ELSE {c!r} / (2 * {pi} * {pi} * f * f) * pow(cos({pi} * f / {c!r}) / cos{h}, 2) * (pow(cos{h}, 2) - cos{h} - 2 * cos{h} * cos{q} + 2) END"
+        return boc(s, c, form == "bocc")
+
+    each = " UNION ALL ".join(f"SELECT '{sys}' AS sys, '{name}' AS signal, f, {density(form, sub, chip)} AS d FROM ax" for sys, name, form, sub, chip, _ in signals.CATALOGUE)
+    return f"""WITH ax AS (SELECT -25e6::DOUBLE + (i + 0.5::DOUBLE) * 1e5::DOUBLE AS f FROM (SELECT unnest(range(0, 500)) AS i)), al AS ({each})
+        SELECT sys, signal, f AS offset_hz, round(greatest(10 * log10(greatest(d * 1e6, 1e-30)), -60.0), 6) AS db FROM al"""
+
+
+ORACLE_SQL |= {"track_precision": _precision_sql(), "spectrum": _spectrum_sql()}
