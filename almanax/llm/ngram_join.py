@@ -9,9 +9,13 @@ link when 100 * intersection >= 80 * union. Let n be a size and miss = n - ceil(
 2. Heads are dealt by column blocks; columns that only one class has go, the others get their number of classes.
 3. A class with fewer than t(n) columns left links with nothing. Of the others' columns, rarest first, all but the last t(n) - 1
    are kept: linked rows still share one of them.
-4. All classes that have a kept column join the cell of the column's smallest class. So linked classes share a cell. A cell is
-   cut into row blocks of bounded size, and each pair of its blocks is one product: overlaps are accumulated over all columns
-   of the whole rows, and pairs below the bound dropped. A product emits a spanning forest of its links, never all pairs.
+4. All classes that have a kept column join the cell of the column's smallest class, its leader. So linked classes share a cell.
+   In a cell of more than one block every row is first held against the leader. Rows that link with it are of one component
+   already, so no two of them are compared again; the others are compared with each other and with them. Large groups of near
+   copies thus cost as much as they have rows.
+5. A cell's rows are cut into blocks of bounded size, and each pair of blocks that has to be compared is one product: overlaps
+   are accumulated over all columns of the whole rows, and pairs below the bound dropped. A product emits a spanning forest of
+   its links, never all pairs.
 
 Defined results: a null, empty or blank text has no shingles and is a component of its own; a text of fewer than five words
 has its sequence as its one shingle. Rows with the same doc_id are one node. A null doc_id has a null component. Shingles and
@@ -177,6 +181,17 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _against_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether a cell's rows link with its leader."""
+    for batch in batches:
+        linked = []
+        for mine, lead in zip(batch.column(3), batch.column(4), strict=True):
+            a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (mine, lead))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            linked.append(100 * both >= 80 * (len(a) + len(b) - both))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_())], names=["leader", "rep", "n", "linked"])
+
+
 def _links_of(block: np.ndarray, ids: np.ndarray, rows: list[np.ndarray]) -> list[tuple[int, int]]:
     n = np.array([len(x) for x in rows])
     upper = overlaps(rows)
@@ -242,12 +257,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         wanted = F.broadcast(wanted)
     sets = save(texts.join(wanted, "doc_id").select("doc_id", "text", "fp").mapInArrow(_whole_rows(size), "rep long, shingles binary"), "sets")
 
-    b, g = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"), F.col("g")
-    dealt = cells.select("leader", "rep", "g", b.alias("block")).join(sets, "rep")
-    other = F.explode(F.sequence(F.lit(0), g - 1)).alias("other")
-    dealt = dealt.select("leader", "rep", "block", "shingles", other).select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "shingles")
+    # rows of cells that are cut: against their leader first
+    large = cells.where("g > 1").select("leader", "rep", "n")
+    lead = sets.join(large.select(F.col("leader").alias("rep")).distinct(), "rep", "left_semi").dropDuplicates(["rep"]).select(F.col("rep").alias("leader"), F.col("shingles").alias("lead"))
+    checked = large.join(sets, "rep").join(lead, "leader").select("leader", "rep", "n", "shingles", "lead")
+    checked = save(checked.mapInArrow(_against_leader, "leader long, rep long, n int, linked boolean"), "checked")
+    blocks = lambda some: F.greatest(F.ceil(F.count_if(some) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    cut = checked.groupBy("leader").agg(blocks(~F.col("linked")).alias("others"), blocks(F.col("linked")).alias("near")).where("others > 0")
+    spread = lambda number: F.pmod(F.xxhash64("rep"), F.col(number)).cast("int")
+    numbered = checked.join(cut, "leader").select("leader", "rep", "others", "near", F.when(F.col("linked"), F.col("others") + spread("near")).otherwise(spread("others")).alias("block"))
+    one, none = F.lit(1), F.lit(0)
+    numbered = numbered.unionByName(cells.where("g = 1").select("leader", "rep", one.alias("others"), none.alias("near"), none.alias("block")))
+
+    dealt = numbered.join(sets, "rep")
+    # blocks of others meet all blocks, blocks of near rows only those of others
+    last = F.when(F.col("block") < F.col("others"), F.col("others") + F.col("near")).otherwise(F.col("others")) - 1
+    dealt = dealt.select("leader", "rep", "block", "shingles", F.explode(F.sequence(none, last)).alias("other"))
+    dealt = dealt.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "shingles")
     dealt = dealt.repartition(partitions, "leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    found = components(dealt.mapInArrow(_products, "a long, b long"))
+    links = dealt.mapInArrow(_products, "a long, b long").unionByName(checked.where("linked").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
+    found = components(links)
 
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     # equal texts under different ids share a class; rows under one id share its smallest component

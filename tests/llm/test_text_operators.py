@@ -164,6 +164,33 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_cut_cells_are_whole(spark, monkeypatch):
+    """Cells whose rows link with the leader, or only with rows that do, or with neither, against brute force."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    rng = random.Random(21)
+    words = sentence(rng, 100).split()
+    rows = []
+    for i in range(90):
+        w = list(words)
+        for k in range(i // 6):  # ever farther from the first, but near to the one before
+            w[(7 * k) % 100] = f"y{k}"
+        w[50] = f"x{i}"
+        rows.append(doc(i, " ".join(w)))
+    for i in range(90, 110):
+        rows.append(doc(i, " ".join(words[:30] + [f"z{i}w{k}" for k in range(90)])))
+    sets = {i: shingle_set(t) for i, t, *_ in rows}
+    label = {i: i for i in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while True:
+        before = dict(label)
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == label and 1 < len(set(label.values())) < 60
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in components(chain).collect()} == {0}
