@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+from almanax.session import scratch_path as new_path
+from almanax.sources.files import filesystem
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where spark.checkpoint.dir is unset (tests), a folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="almanax-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_made: list[str] = []
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet and read it back: later uses neither recompute it nor depend on executors that ran it."""
+    return read(df.sparkSession, write(df, name), df.schema)
+
+
+def write(df: DataFrame, name: str) -> str:
+    """The path of df's table, which stays until drop() or clear()."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    return path
+
+
+def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop(path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    files, name, _ = filesystem(path)
+    files.delete_dir(name)
+    _made.remove(path)
+
+
+def clear() -> int:
+    """Remove all tables that this process left, once the results made of them are written or no longer needed; how many."""
+    n = len(_made)
+    for path in list(_made):
+        drop(path)
+    return n
+
+
+__all__ = ["clear", "drop", "new_path", "read", "save", "write"]

@@ -9,7 +9,7 @@ The models are fitted to a bounded sample of labelled rows that have a document,
 documents are scored, whole.
 
 Defined results: a null or empty text has no words and gets the probabilities of its zero features. Rows with null labels
-aren't trained on. If a category has rows of one class only, or no rows, its probability is its share (0.5 without rows).
+aren't trained on; of documents with one id the least text is. If a category has rows of one class only, or no rows, its probability is its share (0.5 without rows).
 Repeated rows are scored each. An empty table gives an empty result.
 """
 
@@ -165,6 +165,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc
     known = known.join(docs.select(F.col(doc_id).cast("long").alias("id")), "id", "left_semi")
     some = known.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(most_rows)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")  # most_rows small rows at most
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))  # an id's documents don't exceed the bound
     sample = save(texts.select("id", "text", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold"), "y"), "sample")
     rows = sample.mapInArrow(_features, "id long, words array<string>, shape array<double>, fold int, y array<int>")
     words = _telling_words(rows, len(categories), folds, most_words)

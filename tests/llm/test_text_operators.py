@@ -14,7 +14,7 @@ from public_tokenizers import path
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from almanax.llm import line_dedup, ngram_join, packing, pq_dedup, quality, queries, secrets, sentencepiece, toxicity, url_filter, warc
+from almanax.llm import line_dedup, ngram_join, packing, pq_dedup, quality, queries, scratch, secrets, sentencepiece, toxicity, url_filter, warc
 from almanax.llm.components import components
 from almanax.llm.token_ids import TokenIds
 
@@ -502,6 +502,28 @@ def test_chain_samples_labels_that_have_a_document(spark):
     assert p[0] > 0.9 and p[1] < 0.1
 
 
+def test_chain_bounds_repeated_ids(spark):
+    rows = [(i % 20, f"word{i % 2} time year " * 3 + str(i)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit("mine"), "y": F.lit(1), "fold": F.lit(2)})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    out = toxicity.score_documents(docs, labels, ("toxic",), most_rows=10)
+    assert out.count() == 400
+    with_rows = []
+    kept = toxicity._telling_words
+    try:
+        toxicity._telling_words = lambda frame, *rest: (with_rows.append(frame.count()), kept(frame, *rest))[1]
+        toxicity.fit_chain(docs, labels, ("toxic",), most_rows=10)
+    finally:
+        toxicity._telling_words = kept
+    assert with_rows == [10]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    scratch.clear()
+    got = components(spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).count()
+    assert got == 41 and scratch.clear() == 1 and scratch.clear() == 0
+
+
 def test_chain_keeps_its_bounds(spark):
     rows = [(i, " ".join(f"w{i % 2}x{k}" for k in range(700)), i % 2) for i in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
@@ -617,3 +639,56 @@ def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
     crc = lambda t: zlib.crc32(tok.of(t) + b"\1\0\0\0")
     # the copies are one page of 41, the line of the first 30 is boilerplate, and each text is packed once
     assert Counter(r.ids_crc32 for r in packed) == Counter(crc(t) for t in texts[:41])
+
+
+def plain_boilerplate(rows):
+    """(source, line) of the lines over the limit, over a source's distinct texts."""
+    texts = {(r["source"], r["text"]) for r in rows if plain_metrics(r["text"])[0]}
+    pages = Counter(source for source, _ in texts)
+    held = Counter((source, line) for source, text in texts for line in {x.strip().lower() for x in text.split("\n") if x.strip()})
+    return {k for k, n in held.items() if over_limit(n, pages[k[0]])}
+
+
+def plain_pipeline(rows):
+    """The stages of the pipeline before packing, one by one."""
+    common, kept = plain_boilerplate(rows), []
+    for r in rows:
+        n, _, _, _, repeat = plain_metrics(r["text"])
+        left = sum(len(x.split()) for x in (r["text"] or "").split("\n") if (r["source"], x.strip().lower()) not in common)
+        if not (n < 50 or 100 * repeat > 50 * n) and left >= 0.3 * n:
+            kept.append(r)
+    common = plain_boilerplate(kept)
+    lined = [r | {"text": "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip().lower()) not in common)} for r in kept]
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in lined}
+    label = {i: i for i in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    one = [r for r in lined if label[r["doc_id"]] == r["doc_id"]]
+    return len(kept), [r | {"text": re.sub(r"(?<=password=)\w{6,}", "[assign removed]", r["text"])} for r in one]
+
+
+def test_pipeline_against_plain_code(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    menu = "\n".join(" ".join(f"menu{k}x{j}" for j in range(25)) for k in range(3))
+    copied = sentence(rng, 70) + "\n" + sentence(rng, 30)
+    texts = [("a", sentence(rng, 80) + f" end{i}" + ("\n Share THIS page\nmore text here" if i % 2 else "")) for i in range(40)]
+    texts += [("a", copied)] * 25 + [("b", f"{copied} near{i}") for i in range(6)] + [("b", sentence(rng, 90) + f" b{i}") for i in range(40)]
+    texts += [("c", f"{menu}\nonly{i} few words") for i in range(12)] + [("c", f"{menu}\n" + sentence(rng, 90) + f" c{i}") for i in range(4)] + [("c", sentence(rng, 60) + f" d{i}") for i in range(20)]
+    texts += [("b", sentence(rng, 60) + f" password=hunter{i}secret " + sentence(rng, 9)) for i in range(4)] + [("b", None), ("b", ""), ("b", "too short"), ("b", "again and again " * 40), (None, sentence(rng, 5000))]
+    rows = [{"doc_id": i, "text": t, "source": s} for i, (s, t) in enumerate(texts)]
+    spark.createDataFrame([doc(r["doc_id"], r["text"], r["source"]) for r in rows], DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    passed, want = plain_pipeline(rows)
+    assert len(rows) > passed > len(want) > 80  # every stage has something to do
+    tok = TokenIds(path("word_bpe_49k.json")).tokenizer
+    pieces = Counter()
+    for r in want:
+        ids = [*tok.encode(r["text"], add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            pieces[r["doc_id"], k, zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())] += 1
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed) == pieces
+    check_layout(packed, 4096)
