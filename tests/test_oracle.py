@@ -1,5 +1,6 @@
 """Every query of the library against its SQL in DuckDB, over the smallest tables."""
 
+import importlib
 import os
 
 import duckdb
@@ -10,6 +11,8 @@ from almanax.plans import registry
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
 SQL = registry.oracle_sql()
+#: Tests against plain code, of the queries that have no SQL.
+NO_SQL = {"glonass_positions": ("test_plans", "test_glonass_positions_of_all_suppliers_and_times")}
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +37,8 @@ def test_query(spark, duck, name):
     names = sorted(df.columns)
     got = rows((r.asDict() for r in df.collect()), names)
     if name not in SQL:
-        assert all(len(r) == len(names) for r in got)
+        module, test = NO_SQL[name]  # a query without SQL needs a test by brute force
+        assert got and callable(getattr(importlib.import_module(module), test))
         return
     result = duck.execute(SQL[name])
     columns = [c[0] for c in result.description]
