@@ -8,13 +8,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from almanax.sources import rtcm
+from almanax.sources.files import filesystem
 
+POINTER = "_latest"
 FRAME = "mountpoint string, arrival timestamp, message_type int, length int, payload binary"
 
 
@@ -66,14 +69,30 @@ def recorded(signal_rows: DataFrame, lateness: str = "10 seconds") -> DataFrame:
 
 
 def publish_status(latest: DataFrame, path: str, checkpoint: str):
-    """Keep the latest ephemeris table as a folder per batch and a pointer to the last: readers never see half a table."""
+    """Keep the latest ephemeris table as a folder per batch and a pointer to the last: readers never see half a table.
+
+    The folder of the batch before stays for those who still read it; older ones are removed.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        files, root, _ = filesystem(path)
+        with files.open_output_stream(f"{root}/{POINTER}", compression=None) as out:
+            out.write(str(number).encode())
+        for old in files.get_file_info(fs.FileSelector(root)):
+            if old.base_name.startswith("batch=") and int(old.base_name.removeprefix("batch=")) < number - 1:
+                files.delete_dir(old.path)
 
     return latest.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put)
 
 
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """The table that publish_status wrote last."""
+    files, root, _ = filesystem(path)
+    with files.open_input_stream(f"{root}/{POINTER}", compression=None) as src:
+        return spark.read.parquet(f"{path}/batch={int(src.read())}")
+
+
 def retry_wait(failures: int, most_s: int = 60) -> int:
     """Seconds before the next attempt of a source to connect: doubling, bounded."""
     return min(2 * 2**failures, most_s)

@@ -52,6 +52,32 @@ def test_windows_drop_late_rows(spark, tmp_path):
     assert sum(r.total for r in got) == 3.0
 
 
+def test_status_is_published(spark, tmp_path):
+    folder, place = tmp_path / "in", str(tmp_path / "status")
+    for i in range(4):
+        spark.createDataFrame([(f"G{i:02d}", i), ("G99", i)], "prn string, n int").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("prn string, n int").option("maxFilesPerTrigger", 1).parquet(str(folder)).groupBy("prn").agg({"n": "max"})
+    query = live.publish_status(stream.toDF("prn", "n"), place, str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert {(r.prn, r.n) for r in live.read_status(spark, place).collect()} == {("G00", 0), ("G01", 1), ("G02", 2), ("G03", 3), ("G99", 3)}
+    assert sorted(p.name for p in (tmp_path / "status").glob("batch=*")) == ["batch=2", "batch=3"]
+
+
+def test_epochs_are_recorded_once(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = [[("M", t, 1000), ("M", t, 1004), ("M", t, 1009)], [("M", t + timedelta(seconds=1), 1001), ("N", t + timedelta(seconds=1), 1001)]]
+    got = replay(spark, tmp_path, rows, "mountpoint string, arrival timestamp, epoch_ms long", live.recorded)
+    assert sorted((r.mountpoint, r.epoch_ms) for r in got) == [("M", 1000), ("M", 1010), ("N", 1000)]
+
+
+def test_sessions_end_by_a_gap(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = [[(t, 1), (t + timedelta(minutes=4), 1), (t + timedelta(minutes=10), 1), (t, 2)], [(t + timedelta(hours=3), 9)], [(t + timedelta(hours=6), 9)]]
+    got = replay(spark, tmp_path, rows, "ts timestamp, user_id long", live.sessions)
+    assert sorted((r.user_id, r.n) for r in got if r.user_id < 9) == [(1, 1), (1, 2), (2, 1)]
+
+
 def test_channels(spark, tmp_path):
     rows = [[("c1", "R01", 5)], [("c1", "R01", None)], [("c2", "R01", None)]]
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
