@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanax.llm import line_dedup, ngram_join, packing, pq_dedup, quality, secrets, sentencepiece, toxicity, url_filter, warc
+from almanax.llm import filter_audit, line_dedup, ngram_join, packing, pq_dedup, prefix_trie, quality, secrets, sentencepiece, toxicity, url_filter, warc
 from almanax.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -80,5 +80,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
-_ALL = (op1_url_reputation, op2_best_fit_packing, op3_ngram_jaccard, op4_pq_near_dedup, op5_secret_scan, op6_sentencepiece, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_warc)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per distinct prefix of rebuilt conversations its members, children, leaves and the bytes that sharing saves."""
+    return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language, order of five filters and step, what the step keeps, removes and costs."""
+    return filter_audit.audit_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_url_reputation, op2_best_fit_packing, op3_ngram_jaccard, op4_pq_near_dedup, op5_secret_scan, op6_sentencepiece, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_warc, op11_prefix_trie, op12_filter_audit)
 QUERIES = {f.__name__: f for f in _ALL}

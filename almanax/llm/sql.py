@@ -112,4 +112,47 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, ''))
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p JOIN g USING (html)
 """
 
-ORACLE_SQL = {"op1_url_reputation": OP1, "op3_ngram_jaccard": OP3, "op4_pq_near_dedup": OP4, "op7_line_dedup": OP7, "op8_quality_rules": OP8, "op10_warc": OP10}
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_W}') AS w, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS capitals, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * capitals > 3 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(first < doc_id, false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS g, coalesce(sum(bad), 0) AS b FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT v.f || w.f || x.f || y.f || z.f AS o FROM f v, f w, f x, f y, f z WHERE v.f NOT IN (w.f, x.f, y.f, z.f) AND w.f NOT IN (x.f, y.f, z.f) AND x.f NOT IN (y.f, z.f) AND y.f <> z.f),
+s AS (SELECT o, k::INT AS step, 1 << (ascii(substr(o, k::INT, 1)) - 65) AS bit, list_sum(list_transform(range(1, k), lambda j: 1 << (ascii(substr(o, j::INT, 1)) - 65))) AS before FROM o, range(1, 6) r(k)),
+t AS (SELECT o, step, bit, coalesce(before, 0)::INT AS before FROM s),
+x AS (SELECT part, o, step, bit,
+             sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN g ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN b ELSE 0 END) AS toxic_lost
+      FROM c, t GROUP BY ALL)
+SELECT part, o AS filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM x
+"""
+
+#: A conversation's key of a turn is the SHA-256 of role and text, kept apart by the role's length. crc32 goes byte by byte through its table.
+OP11 = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k,
+             length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS key, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS chars FROM (SELECT DISTINCT conv_id FROM t)),
+h AS (SELECT conv_id, base, xor(list_reduce(list_prepend(4294967295, chars), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM c, tab),
+r AS (SELECT h.conv_id, 0 AS side, t.k, key, bytes FROM h JOIN t ON t.conv_id = h.base AND t.k <= h.h UNION ALL SELECT h.conv_id, 1, t.k, key, bytes FROM h JOIN t ON t.conv_id = h.conv_id AND t.k > h.h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY side, k) AS d, key, bytes FROM r),
+n AS (SELECT conv_id, 0::BIGINT AS d, 'root' AS node, NULL::VARCHAR AS parent, 0::BIGINT AS bytes FROM h
+      UNION ALL SELECT n.conv_id, s.d, sha256(n.node || '/' || s.key), n.node, s.bytes FROM n JOIN s ON s.conv_id = n.conv_id AND s.d = n.d + 1),
+e AS (SELECT conv_id, max(d) AS last FROM n GROUP BY 1),
+g AS (SELECT node, any_value(parent) AS parent, any_value(d) AS d, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = last), '')) AS ends FROM n JOIN e USING (conv_id) GROUP BY node),
+ch AS (SELECT parent, count(*) AS n_children FROM g WHERE parent IS NOT NULL GROUP BY 1),
+up AS (SELECT node AS top, node, parent, bytes, n, d FROM g UNION ALL SELECT p.node, up.node, p.parent, up.bytes, up.n, up.d FROM up JOIN g p ON p.node = up.parent),
+sub AS (SELECT top, count(*) FILTER (ch.parent IS NULL) AS n_leaves, sum((up.n - 1) * bytes) AS saved FROM up LEFT JOIN ch ON ch.parent = up.node GROUP BY 1)
+SELECT g.conv_id, g.d::BIGINT AS depth, p.conv_id AS parent_conv_id, g.n::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, g.ends AS ends_sha256
+FROM g LEFT JOIN g p ON p.node = g.parent LEFT JOIN ch ON ch.parent = g.node JOIN sub ON sub.top = g.node
+"""
+
+ORACLE_SQL = {"op1_url_reputation": OP1, "op3_ngram_jaccard": OP3, "op4_pq_near_dedup": OP4, "op7_line_dedup": OP7, "op8_quality_rules": OP8, "op10_warc": OP10, "op11_prefix_trie": OP11, "op12_filter_audit": OP12}
