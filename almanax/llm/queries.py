@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanax.llm import filter_audit, line_dedup, ngram_join, packing, pq_dedup, prefix_trie, quality, secrets, sentencepiece, toxicity, url_filter, warc
+from almanax.llm import filter_audit, line_dedup, ngram_join, packing, pq_dedup, prefix_trie, quality, secrets, sentencepiece, substring_dedup, toxicity, url_filter, warc
 from almanax.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -90,5 +90,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-_ALL = (op1_url_reputation, op2_best_fit_packing, op3_ngram_jaccard, op4_pq_near_dedup, op5_secret_scan, op6_sentencepiece, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_warc, op11_prefix_trie, op12_filter_audit)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the words that repeat a window of a smaller document, and a digest of the others."""
+    found = substring_dedup.repeated_words(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.lower(F.hex("kept_digest")).alias("kept_sha256"))
+
+
+_ALL = (op1_url_reputation, op2_best_fit_packing, op3_ngram_jaccard, op4_pq_near_dedup, op5_secret_scan, op6_sentencepiece, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_warc, op11_prefix_trie, op12_filter_audit, op13_substring_dedup)
 QUERIES = {f.__name__: f for f in _ALL}

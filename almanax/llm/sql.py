@@ -155,4 +155,18 @@ SELECT g.conv_id, g.d::BIGINT AS depth, p.conv_id AS parent_conv_id, g.n::BIGINT
 FROM g LEFT JOIN g p ON p.node = g.parent LEFT JOIN ch ON ch.parent = g.node JOIN sub ON sub.top = g.node
 """
 
-ORACLE_SQL = {"op1_url_reputation": OP1, "op3_ngram_jaccard": OP3, "op4_pq_near_dedup": OP4, "op7_line_dedup": OP7, "op8_quality_rules": OP8, "op10_warc": OP10, "op11_prefix_trie": OP11, "op12_filter_audit": OP12}
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
+p AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+k AS (SELECT r, doc_id, i, sha256(array_to_string(w[i:i+49], ' ')) AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT r, i FROM k JOIN f USING (k) WHERE first < doc_id),
+x AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM g),
+n AS (SELECT r, count(*) AS n FROM x GROUP BY 1),
+e AS (SELECT d.r, w, unnest(range(1, len(w) + 1)) AS i FROM d JOIN n USING (r)),
+t AS (SELECT e.r, string_agg(w[e.i], ' ' ORDER BY e.i) AS t FROM e LEFT JOIN x ON x.r = e.r AND x.i = e.i WHERE x.r IS NULL GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
+
+ORACLE_SQL = {"op1_url_reputation": OP1, "op3_ngram_jaccard": OP3, "op4_pq_near_dedup": OP4, "op7_line_dedup": OP7, "op8_quality_rules": OP8, "op10_warc": OP10, "op11_prefix_trie": OP11, "op12_filter_audit": OP12, "op13_substring_dedup": OP13}
