@@ -92,7 +92,8 @@ def multipath(obs: DataFrame, interval_ms: int, slips: DataFrame | None = None,
     """
     d = reference_pairs(obs)
     alpha = F.pow(F.col("i.hz") / F.col("j.hz"), 2)
-    raw = F.col("i.code_m") - (1 + 2 / (alpha - 1)) * F.col("i.phase_m") + 2 / (alpha - 1) * F.col("j.phase_m")
+    # by differences: the ranges of 2e7 m cancel before they are scaled
+    raw = (F.col("i.code_m") - F.col("i.phase_m")) - 2 / (alpha - 1) * (F.col("i.phase_m") - F.col("j.phase_m"))
     own = receivers(obs)
     rows = d.select(*own, "t_ms", "sys", "prn", "band", "ref", raw.alias("raw"))
     keys = [*own, "prn", "band", "ref"]

