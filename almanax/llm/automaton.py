@@ -8,6 +8,7 @@ Bytes that no rule tells apart share a column, so the table stays small enough f
 from __future__ import annotations
 
 import re
+from bisect import insort
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -205,23 +206,45 @@ class Matcher:
     def spans(self, text: bytes, rule: int) -> list[tuple[int, int, int]]:
         """Leftmost longest matches of one rule, from left to right and not overlapping, as (start, end, body).
 
-        body is the place of the first byte that led to an accepting state.
+        body is the place of the first byte that led to an accepting state. All starts advance in one pass: of those that meet in a
+        state the earliest goes on, as all would match alike, so there are never more than states, however often a match may begin.
+        One that is accepted ends all that began after it.
         """
-        bit, rows, column = 1 << rule, self.rows, self.column
-        begins = bytes(b for b in range(256) if self.reach[rows[0][column[b]]] & bit)
+        bit, rows, column, reach, accepts = 1 << rule, self.rows, self.column, self.reach, self.accepts
+        begins = bytes(b for b in range(256) if reach[rows[0][column[b]]] & bit)
         first = re.compile(b"[" + re.escape(begins) + b"]")
-        out, n, found = [], len(text), first.search(text)
-        while found:
-            start = at = found.start()
-            state, end, body = 0, -1, -1
-            while at < n:
-                state = rows[state][column[text[at]]]
-                if not self.reach[state] & bit:
+        done: list[tuple[int, int, int]] = []  # by start
+        live: list[tuple[int, int, int, int]] = []  # (start, end, body, state) by start
+        at, n = 0, len(text)
+        while at < n:
+            if not live:
+                found = first.search(text, at)
+                if not found:
                     break
-                at += 1
-                if self.accepts[state] & bit:
-                    body, end = (at - 1 if body < 0 else body), at
-            if end > start:
-                out.append((start, end, body))
-            found = first.search(text, max(end, start + 1))
-        return out
+                at = found.start()
+            byte = text[at]
+            c = column[byte]
+            if byte in begins:
+                live.append((at, -1, -1, 0))
+            at += 1
+            states: set[int] = set()
+            going = []
+            for start, end, body, state in live:
+                state = rows[state][c]
+                if not reach[state] & bit or state in states:
+                    if end >= 0:
+                        insort(done, (start, end, body))
+                    continue
+                states.add(state)
+                if not accepts[state] & bit:
+                    going.append((start, end, body, state))
+                    continue
+                going.append((start, at, at - 1 if body < 0 else body, state))
+                while done and done[-1][0] > start:
+                    done.pop()
+                break
+            live = going
+        for start, end, body, _ in live:
+            if end >= 0:
+                insort(done, (start, end, body))
+        return done

@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanax.llm.lines import ONE_IN, has_word, is_boilerplate, line_key, lines
+from almanax.llm.lines import ONE_IN, Z_SQUARED, has_word, is_boilerplate, line_key, lines
 from almanax.llm.scratch import save
 
 
-def boilerplate_lines(docs: DataFrame, text: str = "text", host: str = "source", one_in: int = ONE_IN) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, text: str = "text", host: str = "source", one_in: int = ONE_IN, z_squared: float = Z_SQUARED) -> DataFrame:
     """host, key, pages (that hold the line) and host_pages, of the lines to drop.
 
     A page gives each of its lines once, so partial sums before the shuffle leave at most one row per task, host and line.
@@ -29,7 +29,7 @@ def boilerplate_lines(docs: DataFrame, text: str = "text", host: str = "source",
     total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     held = rows.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
     both = held.join(total.withColumnRenamed("host", "_host"), held["host"].eqNullSafe(F.col("_host")))
-    return both.where(is_boilerplate(F.col("pages"), F.col("host_pages"), one_in)).select("host", "key", "pages", "host_pages")
+    return both.where(is_boilerplate(F.col("pages"), F.col("host_pages"), one_in, z_squared)).select("host", "key", "pages", "host_pages")
 
 
 def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source", n_chars: str | None = "n_chars", **limits) -> DataFrame:

@@ -18,8 +18,8 @@ link when 100 * intersection >= 80 * union. Let n be a size and miss = n - ceil(
    its links, never all pairs.
 
 Defined results: a null, empty or blank text has no shingles and is a component of its own; a text of fewer than five words
-has its sequence as its one shingle. Rows with the same doc_id are one node. A null doc_id has a null component. Shingles and
-sets are told apart by 64-bit hashes.
+has its sequence as its one shingle. Texts of one doc_id are linked with each other, as a doc_id is one node. A null doc_id links nothing
+and has a null component. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -276,12 +276,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     dealt = dealt.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "shingles")
     dealt = dealt.repartition(partitions, "leader", "i", "j").sortWithinPartitions("leader", "i", "j")
     links = dealt.mapInArrow(_products, "a long, b long").unionByName(checked.where("linked").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
+    # the texts of one doc_id are one node
+    ids = rows.where("n > 0 and doc_id is not null").select("doc_id", "fp")
+    several = ids.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
+    links = links.unionByName(ids.join(several, "doc_id", "left_semi").distinct().join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = components(links)
 
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    # equal texts under different ids share a class; rows under one id share its smallest component
+    # equal texts under different ids share a class; its component is a null id's neither
     out = rows.join(of_class, "fp", "left")
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
+    return out.select(F.col("doc_id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kwargs) -> DataFrame:

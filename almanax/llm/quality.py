@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanax.llm.lines import ONE_IN, SPACES, has_word, is_boilerplate, line_key, lines, words
+from almanax.llm.lines import ONE_IN, SPACES, Z_SQUARED, has_word, is_boilerplate, line_key, lines, words
 from almanax.llm.scratch import save
 
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
@@ -61,7 +61,7 @@ def base_metrics(text: Column, ws: Column) -> dict[str, Column]:
     }
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", one_in: int = ONE_IN, least_left: float = LEAST_LEFT, carry: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", one_in: int = ONE_IN, z_squared: float = Z_SQUARED, least_left: float = LEAST_LEFT, carry: bool = False) -> DataFrame:
     """Per row of docs: _id, the metrics, base_failed, words_left (in lines below the limits), kept, and with carry the row itself as _row."""
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     scan = docs.select(*rest, F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.col(text).alias("_text"))
@@ -79,7 +79,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     spread = texts.select("_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["key"]))).alias("key"))
     in_host = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"))
     common = spread.groupBy("_host", "key").agg(F.count(F.lit(1)).alias("line_docs")).where("line_docs > 1")
-    common = common.join(in_host, common["_host"].eqNullSafe(in_host["_host"])).where(is_boilerplate(F.col("line_docs"), F.col("host_docs"), one_in)).select(common["_host"], "key")
+    common = common.join(in_host, common["_host"].eqNullSafe(in_host["_host"])).where(is_boilerplate(F.col("line_docs"), F.col("host_docs"), one_in, z_squared)).select(common["_host"], "key")
     # more than one in so many of a host's documents hold such a line, so a host has at most that many times a document's lines
     common = save(common.groupBy("_host").agg(F.collect_list("key").alias("_common")), "boilerplate")
     judged = held.join(common.withColumnRenamed("_host", "_h"), held["_host"].eqNullSafe(F.col("_h")), "left").drop("_h")
