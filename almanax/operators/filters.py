@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanax.operators.greedy import greedy_walk
+
 
 class AllDataExcluded(ValueError):
     """Nothing is left after filtering."""
@@ -67,30 +66,6 @@ def in_window(f: FilterState, t: str = "t_ms") -> Column:
     return keep
 
 
-def greedy_walk(epochs: DataFrame, least_ms: float, slack_ms: float = 1.0, key: str | None = None) -> DataFrame:
-    """key, t_ms and kept of distinct epochs: kept is the epoch itself or the last one before it that is kept.
-
-    The first is kept, and then each that is least_ms (less the slack) after the last one kept. The choice depends on order, so a
-    key's epochs (a file's, a stream's) are walked in one task; they hold one number each, and are sorted by Spark and read in batches.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, at = None, object()
-        for batch in batches:
-            keys, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            kept = []
-            for k, t in zip(keys, times, strict=True):
-                if k != at or t - last >= least_ms - slack_ms:
-                    last, at = t, k
-                kept.append(last)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.int64())], names=["key", "t_ms", "kept"])
-
-    k = F.col(key) if key else F.lit("")
-    rows = epochs.select(k.cast("string").alias("key"), "t_ms").distinct()
-    dealt = rows.repartition("key") if key else rows.repartition(1)
-    return dealt.sortWithinPartitions("key", "t_ms").mapInArrow(run, "key string, t_ms long, kept long")
-
-
 def greedy_epochs(epochs: DataFrame, least_ms: float, slack_ms: float = 1.0, key: str | None = None) -> DataFrame:
     """key and t_ms of the epochs that greedy_walk keeps."""
     return greedy_walk(epochs, least_ms, slack_ms, key).where("t_ms = kept").select("key", "t_ms")

@@ -1,7 +1,8 @@
-"""Text files as streams of lines, each a Spark partition, whatever its size.
+"""Text files as streams of lines.
 
 A logical file is a file, or the part files of an export, which follow one another by name. Nothing but the lines at hand is
-held, so files may be larger than memory; .gz files are inflated as they are read.
+held, so files may be larger than memory; .gz files are inflated as they are read. A file that isn't compressed can be read by
+ranges of its bytes, each a partition.
 """
 
 from __future__ import annotations
@@ -48,6 +49,58 @@ class LogicalFile(InputPartition):
             yield rest.rstrip(b"\r").decode("utf-8", "replace")
 
 
+@dataclass
+class FileRange(LogicalFile):
+    """The bytes [start, stop) of a logical file whose parts have the given sizes; no bounds at all for a compressed one."""
+
+    sizes: tuple[int, ...] = ()
+    start: int = 0
+    stop: int | None = None
+
+    def lines_from(self, start: int) -> Iterator[tuple[int, str]]:
+        """Place and text of each line that begins at byte start or later, to the end of the file."""
+        at = max(start - 1, 0)  # of the line that holds the byte before, the rest is skipped
+        skip, rest, begin = start > 0, b"", at
+        for part, size in zip(self.parts, self.sizes, strict=True):
+            if at >= size:
+                at -= size
+                continue
+            files, name, _ = filesystem(part)
+            with files.open_input_file(name) as raw:
+                raw.seek(at)
+                at = 0
+                while data := raw.read(_CHUNK):
+                    *whole, rest = (rest + data).split(b"\n")
+                    for x in whole:
+                        if not skip:
+                            yield begin, x.rstrip(b"\r").decode("utf-8", "replace")
+                        skip = False
+                        begin += len(x) + 1
+        if rest and not skip:
+            yield begin, rest.rstrip(b"\r").decode("utf-8", "replace")
+
+
+def file_ranges(paths: str | list[str], most: int, least: int = 1 << 18, parallelism: int = 1) -> list[FileRange]:
+    """Ranges of the files of paths of at most so many bytes, and of fewer if that keeps all executors busy."""
+    found = []
+    for f in logical_files(paths):
+        sizes = []
+        for part in f.parts:
+            files, name, _ = filesystem(part)
+            sizes.append(files.get_file_info(name).size or 0)
+        found.append((f, tuple(sizes)))
+    size = max(1, min(most, max(least, -(-sum(sum(s) for _, s in found) // max(parallelism, 1)))))
+    out = []
+    for f, sizes in found:
+        total = sum(sizes)
+        if any(p.endswith(".gz") for p in f.parts) or total <= size:
+            out.append(FileRange(f.name, f.parts, sizes))
+        else:
+            n = -(-total // size)
+            out += [FileRange(f.name, f.parts, sizes, total * k // n, total * (k + 1) // n) for k in range(n)]
+    return out
+
+
 def logical_files(paths: str | list[str]) -> list[LogicalFile]:
     """The files of paths, which may be files, folders, exports (folders of part files) or patterns."""
     out = []

@@ -1,9 +1,10 @@
 """Station observation and navigation files (versions 2 to 4, plain or difference-compressed) as DataFrames.
 
-Observation files are a Python data source: a file is a partition and is read as a stream of lines, however large it is, header
-first; filters on satellites, systems, codes and times are pushed down and drop rows before they are made. Lines must be read in
-order, as differences add up and lines of version 2 carry no marks. Headers and navigation records, which are small, are lines
-that windows and aggregates put together. Files are the unit of parallel work; write the result as Parquet once and query that.
+Observation files are a Python data source: a range of a file's bytes is a partition and is read as a stream of lines; filters on
+satellites, systems, codes and times are pushed down and drop rows before they are made. Each range reads the header, and begins at
+the first epoch line in it: one with ">" in version 3 and 4; of version 2, whose lines carry no marks, one with an epoch's fixed
+columns. It ends where the next range begins. Compressed files (.gz, or by differences, which add up) are one partition each.
+Headers and navigation records, which are small, are lines that windows and aggregates put together.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.window import Window as W
 
-from almanax.sources.files import LogicalFile, logical_files, read_lines
+from almanax.sources.files import FileRange, file_ranges, read_lines
 
 
 class NotRinex(ValueError):
@@ -261,6 +262,54 @@ def _number(cell: str) -> float | None:
         return None
 
 
+#: An epoch line of version 2 by its columns: date and time, flag, number of satellites, and their names up to the clock's offset.
+_EPOCH_2 = re.compile(r" [ \d]\d(?: [ \d]\d){4}[ \d]{2}\d\.\d{7}  ([01 ])([ \d]{2}\d)((?:[ A-Z][ \d]\d)*) *(?:-?\d*\.\d*)? *$")
+
+
+def begins_epoch(line: str, third: bool) -> bool:
+    """Whether a range may begin at a line; all that yields rows begins at such a line."""
+    if third:
+        return line.startswith(">")
+    m = _EPOCH_2.match(line)
+    return m is not None and len(m[3]) == 3 * min(int(m[2]), 12)
+
+
+def _in_range(numbered: Iterator[tuple[int, str]], stop: int, third: bool) -> Iterator[str]:
+    """From the first epoch line on, lines up to the first epoch line at byte stop or later."""
+    begun = False
+    for place, line in numbered:
+        if begins_epoch(line, third):
+            if place >= stop:
+                return
+            begun = True
+        if begun:
+            yield line
+
+
+def range_rows(part: FileRange, wanted: Wanted | None = None) -> Iterator[tuple[int | None, str, str, float | None]]:
+    """observation_rows of a range of a file's bytes."""
+    if part.stop is None:
+        yield from observation_rows(part.lines(), wanted)
+        return
+    head, end = [], 0
+    for end, line in part.lines_from(0):
+        head.append(line)
+        if "COMPACT RINEX" in head[0][:80]:
+            # by differences: the first range is the whole file
+            if part.start == 0:
+                yield from observation_rows(part.lines(), wanted)
+            return
+        if "END OF HEADER" in line[60:]:
+            break
+    codes, wanted = _header_codes(iter(head)), wanted or Wanted()
+    third = "" not in codes
+    lines = _in_range(((place, line) for place, line in part.lines_from(part.start) if place > end), part.stop, third)
+    if third:
+        yield from _third_rows(lines, {s: wanted.codes(c) for s, c in codes.items()}, wanted)
+    else:
+        yield from _second_rows(lines, codes[""], wanted)
+
+
 def observation_rows(lines: Iterator[str], wanted: Wanted | None = None) -> Iterator[tuple[int | None, str, str, float | None]]:
     """t_ms, prn, code and value of a file's lines. Epochs with a flag other than 0 are left out."""
     lines, wanted = expand_lines(lines), wanted or Wanted()
@@ -310,27 +359,27 @@ def _batches_of(file: str, rows: Iterator[tuple[int | None, str, str, float | No
 
 
 class ObservationReader(DataSourceReader):
-    def __init__(self, paths: list[str], permissive: bool) -> None:
-        self.paths, self.permissive, self.wanted = paths, permissive, Wanted()
+    def __init__(self, paths: list[str], permissive: bool, **split: int) -> None:
+        self.paths, self.permissive, self.split, self.wanted = paths, permissive, split, Wanted()
 
     def pushFilters(self, filters):  # noqa: N802  Spark's name
         yield from (f for f in filters if not self.wanted.add(f))
 
     def partitions(self) -> list[InputPartition]:
-        return logical_files(self.paths)
+        return file_ranges(self.paths, **self.split)
 
-    def read(self, partition: LogicalFile | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FileRange | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         try:
-            yield from _batches_of(partition.name, observation_rows(partition.lines(), self.wanted))
+            yield from _batches_of(partition.name, range_rows(partition, self.wanted))
         except NotRinex as e:
             if not self.permissive:
                 raise NotRinex(f"{e}: {partition.name}") from None
 
 
 class ObservationSource(DataSource):
-    """spark.read.format("station_observations") with the option files, a JSON list."""
+    """spark.read.format("station_observations") with the option files, a JSON list; most, least and parallelism size the ranges."""
 
     @classmethod
     def name(cls) -> str:
@@ -340,7 +389,8 @@ class ObservationSource(DataSource):
         return _OBS_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return ObservationReader(json.loads(self.options["files"]), self.options.get("permissive", "false") == "true")
+        split = {"most": 128 << 20} | {k: int(self.options[k]) for k in ("most", "least", "parallelism") if k in self.options}
+        return ObservationReader(json.loads(self.options["files"]), self.options.get("permissive", "false") == "true", **split)
 
 
 def observations(texts: DataFrame) -> DataFrame:
@@ -355,12 +405,23 @@ def observations(texts: DataFrame) -> DataFrame:
     return texts.select("file", "text").mapInArrow(run, _OBS_SCHEMA)
 
 
-def read_observations(spark: SparkSession, paths: str | list[str], permissive: bool = False) -> DataFrame:
-    """Observations of files, folders, exports or patterns. A file without a header is an error as it is read, or left out if permissive."""
+def _bytes(size: str) -> int:
+    """A size as Spark's settings have it: 128m, 64kb or a number of bytes."""
+    number, unit = re.fullmatch(r"(\d+) *([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def read_observations(spark: SparkSession, paths: str | list[str], permissive: bool = False, range_bytes: int | None = None) -> DataFrame:
+    """Observations of files, folders, exports or patterns. A file without a header is an error as it is read, or left out if permissive.
+
+    Files are read by ranges of at most range_bytes (spark.sql.files.maxPartitionBytes), smaller ones if that keeps all cores busy.
+    """
     spark.dataSource.register(ObservationSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     names = json.dumps([paths] if isinstance(paths, str) else paths)
-    rows = spark.read.format("station_observations").option("files", names).option("permissive", str(permissive).lower()).load()
+    reader = spark.read.format("station_observations").option("files", names).option("permissive", str(permissive).lower())
+    most = range_bytes or _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    rows = reader.options(most=most, least=min(most, 1 << 18), parallelism=spark.sparkContext.defaultParallelism).load()
     # Spark plans a read anew if it has a filter to push, and else takes up the last one's filters; so there is always one
     return rows.where("file is not null")
 

@@ -292,3 +292,65 @@ def test_table_gpx_and_navigation(spark):
     body = exports.navigation_lines(eph).first().text
     again = rinex.ephemerides(spark.createDataFrame([("n", head + body + "\n")], "file string, text string")).first()
     assert again.kepler == eph.first().kepler
+
+
+def ranged(path, size):
+    """Rows of a file read by ranges of so many bytes, and the number of ranges."""
+    parts = files.file_ranges(str(path), size, 1)
+    return [row for part in parts for row in rinex.range_rows(part)], len(parts)
+
+
+def test_ranges_at_every_byte_of_version_3(tmp_path):
+    body = HEADER3 + EPOCH1 + EVENT + EPOCH2 + FLAGGED + EPOCH1.replace(" 9 12 31", " 9 12 35").replace("\n", "\r\n") + EPOCH2.replace(" 9 12 32", " 9 12 36").rstrip("\n")
+    (tmp_path / "a.rnx").write_bytes(body.encode())
+    whole = list(rinex.observation_rows(iter(body.replace("\r", "").split("\n"))))
+    assert len(whole) == 2 * (10 + 6)
+    for size in range(1, len(body) + 2):
+        got, n = ranged(tmp_path / "a.rnx", size)
+        assert got == whole and n == -(-len(body) // size)
+
+
+def test_ranges_of_part_files(tmp_path, monkeypatch):
+    """Parts end within lines, and chunks are shorter than lines."""
+    monkeypatch.setattr(files, "_CHUNK", 11)
+    body = HEADER3 + EPOCH1 + EPOCH2
+    cuts = [0, 3, 700, 701, len(body)]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        (tmp_path / f"part-{i:05d}.txt").write_text(body[a:b])
+    whole = list(rinex.observation_rows(iter(body.split("\n"))))
+    for size in (1, 7, 64, 250, 10_000):
+        assert ranged(tmp_path, size)[0] == whole
+
+
+def test_ranges_at_every_byte_of_version_2(tmp_path):
+    """Continued lists of satellites, several lines a satellite, comments within, and values that look like nothing else."""
+    prns = [f"G{k:02d}" for k in range(1, 15)]
+
+    def epoch(second, names, flag=0):
+        lists = ["".join(names[k : k + 12]) for k in range(0, len(names), 12)]
+        head = f" 21  7  4  9 12{second:11.7f}  {flag}{len(names):3d}" + lists[0].ljust(36) + ("   0.123456789" if second == 3 else "")
+        rows = [f"{k + second * 100 + j:14.3f}  " for k in range(len(names)) for j in range(6)]
+        lines = ["".join(rows[6 * k : 6 * k + 5]) + "\n" + rows[6 * k + 5] for k in range(len(names))]
+        return "\n".join([head, *[" " * 32 + x for x in lists[1:]], *lines]) + "\n"
+
+    event = " " * 28 + "4  2\n" + f"{' 21  7  4 a comment':60}COMMENT\n" + f"{'more':60}COMMENT\n"
+    head = f"{'     2.11':20}{'OBSERVATION DATA':20}{'M':20}RINEX VERSION / TYPE\n{'     6    C1    L1    S1    C2    L2    S2':60}# / TYPES OF OBSERV\n{'':60}END OF HEADER\n"
+    body = head + epoch(1, prns[:3]) + epoch(2, prns) + event + epoch(3, prns[:2]) + epoch(4, prns[:2], 1) + epoch(5, ["G07", "R 9"])
+    (tmp_path / "b.21o").write_text(body)
+    whole = list(rinex.observation_rows(iter(body.split("\n"))))
+    assert len(whole) == 6 * (3 + 14 + 2 + 2)
+    for size in [*range(1, 60), *range(60, len(body) + 2, 7)]:
+        assert ranged(tmp_path / "b.21o", size)[0] == whole
+
+
+def test_ranges_leave_compressed_files_whole(spark, tmp_path):
+    (tmp_path / "c.rnx.gz").write_bytes(gzip.compress((HEADER3 + EPOCH1).encode()))
+    (tmp_path / "d.rnx").write_text(HEADER3 + EPOCH1 + EPOCH2)
+    (tmp_path / "e.txt").write_text("no header\n" * 50)
+    parts = files.file_ranges(str(tmp_path), 100, 1)
+    assert sum(p.name.endswith(".gz") for p in parts) == 1 and sum(p.name.endswith("d.rnx") for p in parts) > 5
+    got = rinex.read_observations(spark, str(tmp_path), permissive=True, range_bytes=100)
+    assert got.rdd.getNumPartitions() == len(parts) and got.count() == 10 + 10 + 6
+    assert got.where("prn = 'G01' and t_ms > %d" % START).count() == 4
+    with pytest.raises(PySparkException):
+        rinex.read_observations(spark, str(tmp_path / "e.txt"), range_bytes=100).count()
