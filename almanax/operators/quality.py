@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from almanax.model import SPEED_OF_LIGHT, frequency, js_round, present, system_rank
+from almanax.operators import segments
 
 GAP_INTERVALS, LEAST_ARC = 5, 10
 #: Single-frequency threshold in metres; geometry-free in metres per step; Melbourne-Wuebbena in sigmas and in least cycles.
@@ -41,7 +42,7 @@ def completeness_matrix(cells: DataFrame, codes: list[str]) -> DataFrame:
     return cells.groupBy("prn").pivot("code", codes).agg(F.first("percent"))
 
 
-#: Columns that tell receivers apart. A table that has one of them is worked on receiver by receiver, here and in all that follows.
+#: Columns that tell receivers apart, which may be null. A table that has one of them is worked on receiver by receiver, here and in all that follows.
 RECEIVERS = ("station", "file")
 
 
@@ -72,17 +73,18 @@ def reference_pairs(obs: DataFrame) -> DataFrame:
     """Of dual(): band 1 with the lowest other band, and every other band with band 1 (or the lowest)."""
     d = dual(obs)
     own = receivers(obs)
-    best = d.groupBy(*own, "sys", "band").agg(F.min("ref").alias("ref"))
+    whole, first = segments.whole_key(d, own)
+    best = whole.groupBy(*first, "sys", "band").agg(F.min("ref").alias("ref"))
     # a row per band, or per receiver and band, whose number Spark checks by itself
-    return d.join(best if own else F.broadcast(best), [*own, "sys", "band", "ref"]).select(d.columns)
+    return whole.join(best if own else F.broadcast(best), [*first, "sys", "band", "ref"]).select(d.columns)
 
 
 def arcs(rows: DataFrame, keys: list[str], interval_ms: int, broken: Column | None = None) -> DataFrame:
     """rows with arc: a new one after a gap of over five intervals, and at rows that are marked as broken."""
-    w = W.partitionBy(*keys).orderBy("t_ms")
-    gap = F.col("t_ms") - F.lag("t_ms").over(w) > GAP_INTERVALS * interval_ms
-    new = gap if broken is None else gap | broken
-    return rows.withColumn("_new", F.when(F.coalesce(new, F.lit(False)), 1).otherwise(0)).withColumn("arc", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    own = receivers(rows)
+    whole, first = segments.whole_key(rows, [k for k in keys if k in own])
+    out = segments.numbered(whole, [*first, *[k for k in keys if k not in own]], GAP_INTERVALS * interval_ms, broken)
+    return out.select(*rows.columns, "arc")
 
 
 def multipath(obs: DataFrame, interval_ms: int, slips: DataFrame | None = None, least_arc: int = LEAST_ARC) -> DataFrame:
@@ -96,15 +98,13 @@ def multipath(obs: DataFrame, interval_ms: int, slips: DataFrame | None = None,
     raw = (F.col("i.code_m") - F.col("i.phase_m")) - 2 / (alpha - 1) * (F.col("i.phase_m") - F.col("j.phase_m"))
     own = receivers(obs)
     rows = d.select(*own, "t_ms", "sys", "prn", "band", "ref", raw.alias("raw"))
-    keys = [*own, "prn", "band", "ref"]
-    if slips is None:
-        rows = arcs(rows, keys, interval_ms)
-    else:
-        at = [*own, "prn", "t_ms"]
-        mark = slips.select(*at).distinct().withColumn("_slip", F.lit(True))
-        rows = arcs(rows.join(mark, at, "left"), keys, interval_ms, F.col("_slip")).drop("_slip")
-    w = W.partitionBy(*keys, "arc")
-    rows = rows.withColumns({"_mean": F.avg("raw").over(w), "_n": F.count(F.lit(1)).over(w)}).where(F.col("_n") >= least_arc)
+    rows, first = segments.whole_key(rows, own)
+    keys, broken = [*first, "prn", "band", "ref"], None
+    if slips is not None:
+        at = [*first, "prn", "t_ms"]
+        mark = segments.whole_key(slips, own)[0].select(*at).distinct().withColumn("_slip", F.lit(True))
+        rows, broken = rows.join(mark, at, "left"), F.col("_slip")
+    rows = segments.arc_means(segments.numbered(rows, keys, GAP_INTERVALS * interval_ms, broken), keys, "raw").where(F.col("_n") >= least_arc)
     return rows.select(*own, "t_ms", "sys", "prn", "band", "ref", "arc", (F.col("raw") - F.col("_mean")).alias("mp"))
 
 
@@ -178,65 +178,103 @@ def elevation_cn0(sky_signal: DataFrame, least: int = 2) -> DataFrame:
     return out.select("sys", "band", "bin", js_round(F.col("_el")).alias("el"), js_round(F.col("_cn0"), 1).alias("cn0"))
 
 
+def _steps(rows: DataFrame, keys: list[str], column: str, interval_ms: int) -> DataFrame:
+    """rows with step: the change of a column since the row before, null where an arc begins."""
+    rows = segments.with_previous(rows, keys, ["t_ms", column])
+    near = F.col("t_ms") - F.col("_before.t_ms") <= GAP_INTERVALS * interval_ms
+    return rows.withColumn("step", F.when(near, F.col(column) - F.col(f"_before.{column}"))).drop("_before")
+
+
 def phase_jumps(obs: DataFrame, interval_ms: int) -> DataFrame:
     """Single-frequency slips: t_ms, sys, prn, signal, magnitude where phase minus code moves over 3 m within an arc."""
     p = pairs(obs).where("code_m is not null and phase_m is not null").withColumn("d", F.col("phase_m") - F.col("code_m"))
     own = receivers(obs)
-    p = arcs(p, [*own, "prn", "band"], interval_ms)
-    step = F.col("d") - F.lag("d").over(W.partitionBy(*own, "prn", "band", "arc").orderBy("t_ms"))
-    return p.withColumn("magnitude", F.abs(step)).where(F.col("magnitude") > SF_METRES).select(*own, "t_ms", "sys", "prn", F.concat(F.lit("SF "), "band").alias("signal"), "magnitude")
+    p, first = segments.whole_key(p.select(*own, "t_ms", "sys", "prn", "band", "d"), own)
+    p = _steps(p, [*first, "prn", "band"], "d", interval_ms).withColumn("magnitude", F.abs("step"))
+    return p.where(F.col("magnitude") > SF_METRES).select(*own, "t_ms", "sys", "prn", F.concat(F.lit("SF "), "band").alias("signal"), "magnitude")
 
 
 def geometry_free_jumps(obs: DataFrame, interval_ms: int, metres: float = GF_METRES) -> DataFrame:
     """Dual-frequency slips: the change of the difference of both phases departs from its last change by over a bound."""
     d = reference_pairs(obs).where("band < ref").withColumn("gf", F.col("i.phase_m") - F.col("j.phase_m"))
     own = receivers(obs)
-    d = arcs(d, [*own, "prn", "band", "ref"], interval_ms)
-    w = W.partitionBy(*own, "prn", "band", "ref", "arc").orderBy("t_ms")
-    d = d.withColumn("step", F.col("gf") - F.lag("gf").over(w))
-    d = d.withColumn("before", F.coalesce(F.lag("step").over(w), F.lit(0.0))).withColumn("magnitude", F.abs(F.col("step") - F.col("before")))
+    d, first = segments.whole_key(d.select(*own, "t_ms", "sys", "prn", "band", "ref", "gf"), own)
+    keys = [*first, "prn", "band", "ref"]
+    d = segments.with_previous(_steps(d, keys, "gf", interval_ms), keys, ["step"])
+    # an arc's first row has no step, and its second none before
+    d = d.where("step is not null").withColumn("before", F.coalesce("_before.step", F.lit(0.0))).withColumn("magnitude", F.abs(F.col("step") - F.col("before")))
     # the step after a slip departs again and isn't one
     return d.where((F.col("magnitude") > metres) & ~(F.abs("before") > metres)).select(*own, "t_ms", "sys", "prn", F.concat(F.lit("GF "), "band", F.lit("-"), "ref").alias("signal"), "magnitude")
 
 
-def _scan_wide_lane(interval_ms: int, own: list[str]):
-    """Rows come sorted by receiver, satellite, pair and time; only the figures of the current pair are held."""
-    names = [*own, "sys", "prn", "band", "ref"]
+def wide_lane_slips(mw: np.ndarray, block: int = 256) -> tuple[list[int], list[float]]:
+    """Places and sizes of the slips of one arc: values over both bounds from the mean since the last slip, from the third on.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, mean, spread, last = None, 0, 0.0, 0.0, 0
-        for batch in batches:
-            at, size = [], []
-            for row, (*name, t, mw) in enumerate(zip(*[batch[c].to_pylist() for c in (*names, "t_ms", "mw")], strict=True)):
-                if name != key or t - last > GAP_INTERVALS * interval_ms:
-                    key, n = name, 0
-                if n >= 2 and abs(mw - mean) > max(MW_SIGMAS * np.sqrt(spread), MW_CYCLES):
-                    at.append(row)
-                    size.append(abs(mw - mean))
-                    n = 0
-                n, last = n + 1, t
-                mean, spread = (mw, MW_START_SIGMA**2) if n == 1 else (mean + (mw - mean) / n, spread + ((mw - mean) ** 2 - spread) / n)
-            hit = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[hit[c] for c in (*names, "t_ms")], pa.array(size, pa.float64())], names=[*names, "t_ms", "magnitude"])
-
-    return run
+    With m the mean of the values before, k times the spread grows by (value - m)^2, so that running sums give all figures up to
+    the next slip at once.
+    """
+    at, size, begin = [], [], 0
+    while begin + 2 < len(mw):
+        wide = block
+        while True:
+            x = mw[begin : begin + wide] - mw[begin]
+            k = np.arange(1, len(x))  # values before
+            off = x[1:] - np.cumsum(x)[:-1] / k
+            spread = (MW_START_SIGMA**2 + np.concatenate(([0.0], np.cumsum(off[:-1] ** 2)))) / k
+            hit = np.flatnonzero((np.abs(off) > np.maximum(MW_SIGMAS * np.sqrt(spread), MW_CYCLES)) & (k >= 2))
+            if len(hit) or begin + wide >= len(mw):
+                break
+            wide *= 4
+        if not len(hit):
+            break
+        at.append(begin + int(hit[0]) + 1)
+        size.append(float(abs(off[hit[0]])))
+        begin = at[-1]
+    return at, size
+
+
+def _scan_wide_lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by arc and time; the rows of the arc at hand are held."""
+    held: list[pa.RecordBatch] = []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        at, size = wide_lane_slips(np.concatenate([np.asarray(b.column("mw")) for b in held]))
+        if at:
+            hit = pa.Table.from_batches(held).take(pa.array(at)).drop_columns(["_g", "mw"]).append_column("magnitude", pa.array(size, pa.float64()))
+            yield from hit.combine_chunks().to_batches()
+
+    group = None
+    for batch in batches:
+        g = np.asarray(batch.column("_g"))
+        cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if b > a:
+                if held and g[a] != group:
+                    yield from close()
+                    held = []
+                group = g[a]
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from close()
 
 
 def wide_lane_jumps(obs: DataFrame, interval_ms: int) -> DataFrame:
     """Melbourne-Wuebbena slips with adaptive sigma, begun anew after gaps and slips.
 
-    The figures depend on earlier decisions, so each pair of bands of a receiver's satellite is walked in order; Spark deals and
-    sorts the rows.
+    The figures depend on earlier decisions, so each arc of a pair of bands of a receiver's satellite is walked in order, by blocks
+    of rows; Spark deals arcs and sorts their rows.
     """
     d = reference_pairs(obs).where("band < ref and j.code_m is not null")
     fi, fj = F.col("i.hz"), F.col("j.hz")
     narrow = (fi * F.col("i.code_m") + fj * F.col("j.code_m")) / (fi + fj)
     mw = F.col("i.phase") - F.col("j.phase") - narrow * (fi - fj) / SPEED_OF_LIGHT
     own = receivers(obs)
-    rows = d.select(*own, "sys", "prn", "band", "ref", "t_ms", mw.alias("mw"))
-    dealt = rows.repartition(*own, "prn", "band", "ref").sortWithinPartitions(*own, "sys", "prn", "band", "ref", "t_ms")
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "mw")
-    found = dealt.mapInArrow(_scan_wide_lane(interval_ms, own), f"{kept}, magnitude double")
+    rows = arcs(d.select(*own, "sys", "prn", "band", "ref", "t_ms", mw.alias("mw")), [*own, "prn", "band", "ref"], interval_ms)
+    arc = [*own, "sys", "prn", "band", "ref", "arc"]
+    rows = rows.withColumn("_g", F.xxhash64(*arc))
+    dealt = rows.repartition(*arc).sortWithinPartitions(*arc, "t_ms").select(*own, "sys", "prn", "band", "ref", "t_ms", "_g", "mw")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name not in ("_g", "mw"))
+    found = dealt.mapInArrow(_scan_wide_lane, f"{kept}, magnitude double")
     return found.select(*own, "t_ms", "sys", "prn", F.concat(F.lit("MW "), "band", F.lit("-"), "ref").alias("signal"), "magnitude")
 
 
