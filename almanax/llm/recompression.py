@@ -5,7 +5,8 @@ right ones by a hash and names each left one that a right one follows together w
 is the same in all documents, tasks and runs, and no dictionary is shuffled. Whether two neighbours become one symbol depends on them
 alone; so in equal windows of words the symbols agree but for those at the borders. Of a window, a pair round can at most lose a
 right symbol at its beginning and a left one at its end, a round of runs the first and the last run: the rest is the window's core,
-which its words alone decide. The core of the last round that leaves one is the window's key: equal windows have equal keys.
+which its words alone decide. A window's key is half a window of words from where the core of a late round begins, the last one that
+begins in the window's first half: equal windows have equal keys, one for each long symbol or so, and other texts rarely share one.
 
 All is done on arrays of many documents at once; long documents are cut into pieces that overlap by a window less one word, which
 changes no window's core.
@@ -94,7 +95,7 @@ class Parsed:
         self.at = np.flatnonzero(np.arange(n) + window <= self.end)  # where windows start
         p, s, of = np.arange(n), mix(words), np.arange(n)
         live, l, r = np.arange(len(self.at)), self.at.copy(), self.at + window
-        low, high = l.copy(), r.copy()
+        low, half = l.copy(), window // 2
         for k, kind in enumerate(ROUNDS):
             p2, s2, left = _named(kind, k, self.first, p, s)
             mark = np.zeros(n, np.int64)
@@ -106,14 +107,16 @@ class Parsed:
                 a, z = of[l], of[r - 1]
                 l, r = np.where(left[a], l, np.append(p, n)[a + 1]), np.where(left[z], p[z], r)
             there = l < r
+            there &= l <= self.at[live] + window - half
             live, l, r = live[there], l[there], r[there]
-            low[live], high[live] = l, r
+            low[live] = l
             p, s, of = p2, s2, of2
-        self.low, self.high, self.p, self.s = low, high, p, s
+        self.low, self.half, self.p, self.s = low, half, p, s
 
-    def keys(self) -> np.ndarray:
-        """The key of each window, in the order of self.at."""
-        return self.sums.of(self.low, self.high)
+    def keys(self, low: np.ndarray | None = None) -> np.ndarray:
+        """The key of each window, in the order of self.at, or the keys that begin at the positions low."""
+        low = self.low if low is None else low
+        return self.sums.of(low, low + self.half)
 
     def windows(self, some: np.ndarray, which: int = 0) -> np.ndarray:
         """Hashes of the windows at the positions some."""

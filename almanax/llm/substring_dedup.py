@@ -4,8 +4,8 @@ Method (recompression, see recompression.py). Words are hashed, and rounds over
 settle, from the longest symbols to the windows themselves, which document is the first with a symbol:
 
 1. Documents with equal words are one content, known by the smallest id; other copies lose all words.
-2. Every content gives the distinct keys of its windows, the cores of high-level symbols. A key that one document has alone tells that
-   its windows repeat nothing; these go, and with them most of all text.
+2. Every content gives the distinct keys of its windows, half a window of words from where a high-level symbol begins. A key that one
+   document has alone tells that its windows repeat nothing; these go, and with them most of all text.
 3. Of the contents that are left, long symbols whose windows are all still open claim the range of words around them. Where a range of
    the same words is a smaller document's, all windows that start in the symbol repeat. So near copies cost a row for each long
    symbol, not for each word.
@@ -82,8 +82,8 @@ def _heads(window: int):
             keys: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
             for some, starts, parsed in _parsed(batch, window):
                 row, _ = _owner(some, starts, parsed.at)
-                new = np.concatenate(([True], (parsed.low[1:] != parsed.low[:-1]) | (parsed.high[1:] != parsed.high[:-1])))
-                row, found = row[new], parsed.sums.of(parsed.low[new], parsed.high[new])
+                new = np.concatenate(([True], parsed.low[1:] != parsed.low[:-1]))
+                row, found = row[new], parsed.keys(parsed.low[new])
                 bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
                 for d in {d for d, _, _ in some}:
                     keys[d].append(found[bounds[d] : bounds[d + 1]])
@@ -217,7 +217,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     long = save(hashed.select("r", "doc_id", "hashes", "keys").mapInArrow(_claims(window, True), ranges), "claims")
     settled = _later(long).groupBy("r").agg(F.collect_list(F.struct("start", "stop")).alias("settled"))
     hashed = save(some.join(settled, "r", "left"), "settled").withColumn("hashes", _hashes(F.col("text")))
-    single = save(hashed.select("r", "doc_id", "hashes", "keys", "settled").mapInArrow(_claims(window, False), ranges), "claims")
+    single = save(hashed.select("r", "doc_id", "hashes", "keys", "settled").mapInArrow(_claims(window, False), ranges).select("a", "b", "doc_id", "r"), "claims")
     gone = _later(single).groupBy("r").agg(F.collect_list("a").alias("gone"))
     removed = hashed.select("r", "text", "hashes", "settled").join(gone, "r", "left").where("gone is not null or settled is not null")
     spans = "array<struct<start:bigint,stop:bigint>>"
