@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = ("grid", "scalars", "joins", "quality", "orbits", "listings", "files")
+MODULES: tuple[str, ...] = ("grid", "scalars", "joins", "quality", "orbits", "listings", "files", "messages")
 
 
 def _modules():

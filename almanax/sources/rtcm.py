@@ -1,4 +1,8 @@
-"""RTCM 3 frames of byte streams, and decoding of their observations and ephemerides in Arrow batches."""
+"""RTCM 3 frames of byte streams, and their messages: ephemerides and stations as Columns of bit fields, observations in Arrow batches.
+
+The signals of an observation message lie where its masks put them, so these are read in Python; all else is at places that a layout
+fixes (see bits.py), both ways.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,12 @@ import math
 from functools import cache
 
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanax.model import FREQUENCIES, GLONASS_STEP, SPEED_OF_LIGHT
+from almanax.sources import bits
 
 PREAMBLE, POLYNOMIAL = 0xD3, 0x1864CFB
 LIGHT_MS = SPEED_OF_LIGHT / 1000
@@ -172,35 +178,91 @@ _GLONASS = (
     ("n", 6, 0, 1), ("freq", 5, 0, 1), ("", 2, 0, 1), ("", 2, 0, 1), ("", 12, 0, 1), ("health", 1, 0, 1), ("", 1, 0, 1), ("tb", 7, 0, 15), ("vx", 24, 2, _HALF(-20)), ("x", 27, 2, _HALF(-11)), ("ax", 5, 2, _HALF(-30)), ("vy", 24, 2, _HALF(-20)),
     ("y", 27, 2, _HALF(-11)), ("ay", 5, 2, _HALF(-30)), ("vz", 24, 2, _HALF(-20)), ("z", 27, 2, _HALF(-11)), ("az", 5, 2, _HALF(-30)),
 )
-LAYOUTS = {1019: ("G", _GPS), 1020: ("R", _GLONASS), 1042: ("C", _BEIDOU), 1044: ("J", _QZSS), 1045: ("E", _GALILEO), 1046: ("E", _GALILEO)}
-EPHEMERIS_FIELDS = sorted({name for _, layout in LAYOUTS.values() for name, *_ in layout if name not in ("", "n", "health", "freq", "week", "tb")})
+#: The fields of a geostationary satellite's message type 9.
+_SBAS = (
+    ("n", 6, 0, 1), ("iode", 8, 0, 1), ("tb", 13, 0, 16), ("ura", 4, 0, 1), ("x", 30, 1, 0.08), ("y", 30, 1, 0.08), ("z", 25, 1, 0.4), ("vx", 17, 1, 0.000625), ("vy", 17, 1, 0.000625), ("vz", 18, 1, 0.004),
+    ("ax", 10, 1, 0.0000125), ("ay", 10, 1, 0.0000125), ("az", 10, 1, 0.0000625), ("af0", 12, 1, _HALF(-31)), ("af1", 8, 1, _HALF(-40)),
+)
+#: What follows a Galileo ephemeris: signal health and data validity, of E5a (1045) or E1-B (1046).
+_TAILS = {1045: (("health", 2, 0, 1), ("", 1, 0, 1), ("", 7, 0, 1)), 1046: (("", 10, 0, 1), ("", 2, 0, 1), ("", 1, 0, 1), ("health", 2, 0, 1), ("", 1, 0, 1))}
+LAYOUTS = {1019: ("G", _GPS), 1020: ("R", _GLONASS), 1042: ("C", _BEIDOU), 1043: ("S", _SBAS), 1044: ("J", _QZSS), 1045: ("E", (*_GALILEO, *_TAILS[1045])), 1046: ("E", (*_GALILEO, *_TAILS[1046]))}
+#: A station's reference point; 1006 has the antenna's height as well.
+_POINT = (("station", 12, 0, 1), ("itrf", 6, 0, 1), ("", 4, 0, 1), ("x", 38, 1, 0.0001), ("", 2, 0, 1), ("y", 38, 1, 0.0001), ("", 2, 0, 1), ("z", 38, 1, 0.0001))
+STATIONS = {1005: _POINT, 1006: (*_POINT, ("height", 16, 0, 0.0001))}
+#: Texts of a receiver and antenna description (1033), each behind its length; the antenna's set-up number stands between the first two.
+DESCRIPTION = ("antenna", "antenna_serial", "receiver", "firmware", "receiver_serial")
+_WHOLE = ("health", "week", "tb", "freq")
+EPHEMERIS_FIELDS = sorted({name for _, layout in LAYOUTS.values() for name, *_ in layout if name not in ("", "n", *_WHOLE)})
+
+
+def kind(payload: Column) -> Column:
+    """A payload's message type."""
+    return bits.bit_field(payload, 0, 12).cast("int")
+
+
+def ephemeris(payload: Column) -> Column:
+    """prn, message_type, system, health, week, tb, freq and numbers of an ephemeris message; null for others and for ones that end early."""
+    out = F.lit(None)
+    for message, (system, layout) in LAYOUTS.items():
+        found = bits.fields(payload, layout, 12)
+        found["freq"] = found["freq"] - 7 if message == 1020 else F.lit(None)
+        n = found["n"] + 20 if message == 1043 else found["n"]
+        numbers = [found.get(c, F.lit(None)).cast("int").alias(c) for c in _WHOLE] + [found.get(c, F.lit(None)).cast("double").alias(c) for c in EPHEMERIS_FIELDS]
+        whole = F.struct(F.concat(F.lit(system), F.lpad(n.cast("string"), 2, "0")).alias("prn"), F.lit(message).alias("message_type"), F.lit(system).alias("system"), *numbers)
+        out = F.when((kind(payload) == message) & (8 * F.length(payload) >= 12 + bits.width(layout)), whole).otherwise(out)
+    return out
 
 
-def decode_ephemeris(payload: bytes) -> dict | None:
-    """prn, message type, health, week, tb and numbers of an ephemeris message; None for others."""
-    kind = message_type(payload)
-    if kind not in LAYOUTS:
-        return None
-    system, layout = LAYOUTS[kind]
-    b, out = _Bits(payload), {}
-    b.u(12)
-    for name, bits, signed, scale in layout:
-        raw = b.m(bits) if signed == 2 else b.s(bits) if signed else b.u(bits)
-        if name:
-            out[name] = raw * scale
-    if kind in (1045, 1046):  # signal health and data validity follow; E1B for 1046, E5a for 1045
-        if kind == 1046:
-            b.u(10), b.u(2), b.u(1)
-        out["health"] = b.u(2)
-    if system == "R":
-        out["freq"] -= 7
-    return {"prn": f"{system}{out.pop('n'):02d}", "message_type": kind, "system": system, **out}
+def expanded(rows: DataFrame, message: Column, *keep: str) -> DataFrame:
+    """The columns keep, and the fields of a message's struct where it isn't null. A generator, as Spark else decodes it for each field."""
+    return rows.select(*keep, F.inline(F.filter(F.array(message), lambda m: m.isNotNull())))
+
+
+def pack_ephemeris(message: int, numbers: dict[str, Column]) -> Column:
+    """The payload of an ephemeris message of the raw numbers of its fields; those not given are 0."""
+    return bits.packed([(message, 12, 0), *[(numbers.get(name, 0), size, signed) for name, size, signed, _ in LAYOUTS[message][1]]])
+
+
+def station(payload: Column) -> Column:
+    """message_type, station, itrf, x, y, z and height (m) of 1005 and 1006; null for others and for ones that end early."""
+    found = bits.fields(payload, STATIONS[1006], 12)
+    enough = ((kind(payload) == 1005) & (F.length(payload) >= 19)) | ((kind(payload) == 1006) & (F.length(payload) >= 21))
+    height = F.when(kind(payload) == 1006, found["height"])
+    return F.when(enough, F.struct(kind(payload).alias("message_type"), *[found[c].cast("int").alias(c) for c in ("station", "itrf")], *[found[c].alias(c) for c in "xyz"], height.alias("height")))
+
+
+def pack_station(station: Column, itrf: Column, x: Column, y: Column, z: Column, height: Column | None = None) -> Column:
+    """The payload of a 1005, or with a height of a 1006, of metres."""
+    raw = {"station": station, "itrf": itrf} | {k: F.round(v / 0.0001) for k, v in (("x", x), ("y", y), ("z", z), ("height", height)) if v is not None}
+    message = 1005 if height is None else 1006
+    return bits.packed([(message, 12, 0), *[(raw.get(name, 0), size, signed) for name, size, signed, _ in STATIONS[message]]])
+
+
+def description(payload: Column) -> Column:
+    """station, setup and the texts of DESCRIPTION of a 1033; null for others and for ones that end early."""
+    at, out, columns = F.lit(4), F.lit(True), [bits.bit_field(payload, 12, 12).cast("int").alias("station")]
+    for k, name in enumerate(DESCRIPTION):
+        size = bits.number(payload, at, 1).cast("int")
+        columns.append(F.substr(payload, at + 1, size).cast("string").alias(name))
+        out &= F.length(payload) >= at + size
+        at = at + 1 + size
+        if k == 0:
+            columns.append(bits.number(payload, at, 1).cast("int").alias("setup"))
+            at = at + 1
+    return F.when((kind(payload) == 1033) & F.coalesce(out, F.lit(False)), F.struct(*columns))
+
+
+def pack_description(station: Column, texts: dict[str, Column], setup: Column | int = 0) -> Column:
+    """The payload of a 1033 of texts of up to 31 bytes each."""
+    hexes = [F.hex(bits.packed([(1033, 12, 0), (station, 12, 0)]))]
+    for k, name in enumerate(DESCRIPTION):
+        text = texts.get(name, F.lit("")).cast("binary")
+        hexes += [F.lpad(F.hex(F.length(text)), 2, "0"), F.hex(text)] + ([F.hex(bits.packed([(setup, 8, 0)]))] if k == 0 else [])
+    return F.unhex(F.concat(*hexes))
 
 
 _SIGNAL = T.StructType([T.StructField("prn", T.StringType()), T.StructField("code", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in ("pseudorange", "phase", "doppler", "cn0", "lock_s")], T.StructField("half_cycle", T.BooleanType()), T.StructField("wavelength", T.DoubleType())])
 MSM_TYPE = T.StructType([T.StructField("message_type", T.IntegerType()), T.StructField("system", T.StringType()), T.StructField("epoch_ms", T.LongType()), T.StructField("signals", T.ArrayType(_SIGNAL))])
-EPHEMERIS_TYPE = T.StructType([T.StructField("prn", T.StringType()), T.StructField("message_type", T.IntegerType()), T.StructField("system", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("health", "week", "tb", "freq")], *[T.StructField(n, T.DoubleType()) for n in EPHEMERIS_FIELDS]])
-
 
 def _safely(decode, payload: bytes) -> dict | None:
     """A message that ends early gives NULL, as one that can't be read."""
@@ -215,9 +277,3 @@ def msm(payloads: pa.Array) -> pa.Array:
     signal = pa.struct([("prn", pa.string()), ("code", pa.string()), *[(n, pa.float64()) for n in ("pseudorange", "phase", "doppler", "cn0", "lock_s")], ("half_cycle", pa.bool_()), ("wavelength", pa.float64())])
     kind = pa.struct([("message_type", pa.int32()), ("system", pa.string()), ("epoch_ms", pa.int64()), ("signals", pa.list_(signal))])
     return pa.array([_safely(decode_msm, p.as_py()) if p.is_valid else None for p in payloads], kind)
-
-
-@F.arrow_udf(EPHEMERIS_TYPE)
-def ephemeris(payloads: pa.Array) -> pa.Array:
-    kind = pa.struct([("prn", pa.string()), ("message_type", pa.int32()), ("system", pa.string()), *[(n, pa.int32()) for n in ("health", "week", "tb", "freq")], *[(n, pa.float64()) for n in EPHEMERIS_FIELDS]])
-    return pa.array([_safely(decode_ephemeris, p.as_py()) if p.is_valid else None for p in payloads], kind)

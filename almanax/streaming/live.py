@@ -52,7 +52,7 @@ def signals(frames: DataFrame) -> DataFrame:
 
 
 def ephemerides(frames: DataFrame) -> DataFrame:
-    return frames.select("arrival", rtcm.ephemeris("payload").alias("e")).where("e is not null").select("arrival", "e.*")
+    return rtcm.expanded(frames, rtcm.ephemeris(F.col("payload")), "arrival")
 
 
 def latest_ephemerides(frames: DataFrame) -> DataFrame:
@@ -62,6 +62,14 @@ def latest_ephemerides(frames: DataFrame) -> DataFrame:
     return e.groupBy("prn").agg(F.max_by(F.struct(*rest), "arrival").alias("e")).select("prn", "e.*")
 
 
+def stations(frames: DataFrame) -> DataFrame:
+    """The last reference point and description of each mountpoint's stations; for update or complete mode."""
+    rows = frames.select("mountpoint", "arrival", rtcm.station(F.col("payload")).alias("p"), rtcm.description(F.col("payload")).alias("d")).where("p is not null or d is not null")
+    number = F.coalesce("p.station", "d.station").alias("station")
+    last = rows.groupBy("mountpoint", number).agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("arrival"))).alias("p"), F.max_by("d", F.when(F.col("d").isNotNull(), F.col("arrival"))).alias("d"))
+    return last.select("mountpoint", "station", *[f"p.{c}" for c in ("itrf", "x", "y", "z", "height")], *[f"d.{c}" for c in (*rtcm.DESCRIPTION, "setup")])
+
+
 def recorded(signal_rows: DataFrame, lateness: str = "10 seconds") -> DataFrame:
     """Epochs to the nearest 10 ms, each counted once however many messages it has."""
     key = (F.floor(F.col("epoch_ms") / 10 + 0.5) * 10).alias("epoch_ms")

@@ -251,12 +251,6 @@ def test_msm(spark):
     assert got[0].m.epoch_ms == 100000 and got[1].m is None and got[2].m is None
 
 
-def test_ephemeris_message():
-    bits = f"{1019:012b}" + "".join(f"{(7 if n == 'n' else 1) & (1 << b) - 1:0{b}b}" for n, b, *_ in rtcm.LAYOUTS[1019][1])
-    e = rtcm.decode_ephemeris(int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8)))
-    assert e["prn"] == "G07" and e["toe"] == 16 and e["sqrtA"] == 2.0**-19 and rtcm.decode_ephemeris(frame(1077)[3:-3]) is None
-
-
 def test_exports_read_back(spark, tmp_path):
     obs = rinex.observations(spark.createDataFrame([("0", HEADER3 + EPOCH1 + EPOCH2)], "file string, text string")).drop("file")
     for version in ("3.04", "4.01"):
