@@ -1,9 +1,11 @@
 """Streams replayed from files."""
 
+import random
 import struct
+import time
 from datetime import datetime, timedelta
 
-from almanax.sources import rtcm
+from almanax.sources import chunks, rtcm
 from almanax.streaming import live
 
 
@@ -90,3 +92,59 @@ def test_channels(spark, tmp_path):
 
 def test_retry_wait():
     assert [live.retry_wait(k) for k in (0, 1, 2, 10)] == [2, 4, 8, 60]
+
+
+def run_for(build, place, batches=None):
+    """Start a query to Parquet files and stop it, after so many batches or when all is done."""
+    query = build.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/cp").start()
+    if batches is None:
+        query.processAllAvailable()
+    else:
+        while query.isActive and (query.lastProgress or {"batchId": -1})["batchId"] < batches:
+            time.sleep(0.2)
+    query.stop()
+
+
+def test_recorded_chunks_over_restarts(spark, tmp_path):
+    """Frames that cross chunks, read by two chunks a batch; the query is stopped twice, and chunks come late and out of order."""
+    rng = random.Random(3)
+    path, place = str(tmp_path / "chunks"), str(tmp_path)
+    sent = {m: [(1001 + k, rng.randrange(2, 60)) for k in range(40)] for m in ("A", "B")}
+    cuts, whole = {}, {m: b"".join(frame(k, n) + b"\x00" * (k % 3) for k, n in rows) for m, rows in sent.items()}
+    for m, data in whole.items():
+        at = sorted({0, len(data), *rng.sample(range(len(data)), 17)})
+        cuts[m] = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def put(m, numbers):
+        for n in numbers:
+            chunks.record(path, m, n, 1_704_067_200_000 + 1000 * n, cuts[m][n])
+
+    def stream():
+        return live.framed(chunks.stream_chunks(spark, path, 2, f"{place}/progress.json")).drop("payload")
+
+    put("A", range(8))
+    run_for(stream(), place, 1)
+    put("B", [1, 2, 3])  # 0 is missing yet, and its mountpoint begins with what there is
+    put("A", [9, 10, 11])
+    run_for(stream(), place)
+    put("A", [8, *range(12, len(cuts["A"]))])
+    run_for(stream(), place, 1)
+    put("B", range(4, len(cuts["B"])))
+    run_for(stream(), place)
+    got = spark.read.parquet(f"{place}/out").collect()
+    assert sorted((r.message_type, r.length) for r in got if r.mountpoint == "A") == sorted(sent["A"])
+    assert [rtcm.message_type(p) for p in rtcm.frames(b"".join(cuts["B"][1:]))[0]] == sorted(r.message_type for r in got if r.mountpoint == "B")
+    whole_read = {(r.mountpoint, r.seq): bytes(r.data) for r in chunks.read_chunks(spark, path).collect()}
+    assert whole_read == {(m, n): c for m in cuts for n, c in enumerate(cuts[m]) if (m, n) != ("B", 0)}
+    assert [p.name for p in (tmp_path / "chunks").rglob("*.part")] == []
+
+
+def test_chunks_are_cleaned_when_done(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    for n in range(6):
+        chunks.record(path, "M", n, n, bytes([n]))
+    run_for(chunks.stream_chunks(spark, path, 2, str(tmp_path / "p"), clean=True), str(tmp_path))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.seq, bytes(r.data), r.arrival.microsecond) for r in got) == [(n, bytes([n]), n * 1000) for n in range(6)]
+    assert len(list((tmp_path / "chunks").rglob("*.chunk"))) <= 2
+    assert chunks.read_chunks(spark, str(tmp_path / "none")).count() == 0
