@@ -1,7 +1,9 @@
 """Near-duplicate embeddings by product quantisation over inverted lists, with exact rerank.
 
 Method. Equal vectors are one class. Two levels of coarse centroids (the second for the residuals of the first) and one
-codebook per subspace of what is left are fitted to a bounded sample of classes; the number of lists grows with the classes.
+codebook per subspace of what is left are fitted to a bounded sample of classes; the number of lists grows with the classes up to
+(MOST_CENTRES + 1) * MOST_CENTRES, 65,792, or fewer of long vectors (MOST_VALUES). Beyond some 8 million classes lists get longer
+instead, and the work of a class with them: raise both then, as memory allows.
 Every class is put into its nearest list and coded. It then asks the lists that it probes: distances come from lookup tables
 (asymmetric: exact query, coded list), and what may still reach the least cosine is reranked by the exact cosine in double
 precision. As x.y is at most the lookup's value plus the norm of y's quantisation error, the lookups lose no pair.
@@ -9,8 +11,9 @@ precision. As x.y is at most the lookup's value plus the norm of y's quantisatio
 Probes. A list's inner part, its ball, has the members within half the least cosine's angle of its centre: all of them link
 each other, so they are counted and linked without a comparison. By the triangle inequality a class outside a ball links with
 all of it, with none of it, or has to ask it; balls lose no pair, however many rows crowd in them. The outer parts are asked by
-the classes that are in no ball, each asking its nearest PROBES outer parts; a pair is found if either asks the other's. The
-tests measure the recall of these probes against brute force.
+the classes that are in no ball, each asking its nearest `probes` outer parts; a pair is found if either asks the other's. The
+tests measure the recall of these probes against brute force. With probes None a class asks all outer parts that the triangle
+inequality leaves, by their greatest angle to their centre, and the result is exact, at more work.
 
 A list's part is cut into blocks of bounded size, and a block that too many ask is dealt to several tasks. A task holds one
 block and streams those who ask. It gives each class the number of its links and links to the smallest class that the found
@@ -139,8 +142,8 @@ class Parts:
 class Asking:
     """Which parts each class asks, and which balls it links with as a whole."""
 
-    def __init__(self, model: Quantiser, parts: Parts) -> None:
-        self.model, self.parts = model, parts
+    def __init__(self, model: Quantiser, parts: Parts, probes: int | None = PROBES) -> None:
+        self.model, self.parts, self.probes = model, parts, probes
         self.place = np.full(2 * len(model.points), -1)
         self.place[parts.part] = np.arange(len(parts.part))
         self.outer, self.balls = np.flatnonzero(parts.part % 2 == 0), np.flatnonzero(parts.part % 2)
@@ -159,9 +162,13 @@ class Asking:
         before = np.arange(len(parts.part)) <= own[:, None]  # of two balls, the members of the first ask the second
         asked[inside] &= ~before[inside]
         whole[inside] &= ~before[inside]
-        if len(self.outer):
+        if len(self.outer) and self.probes is None:
+            rows = np.flatnonzero(~inside)
+            turn = np.arccos(np.clip(unit[rows] @ self.model.directions[parts.part[self.outer] // 2].T, -1, 1))
+            asked[rows[:, None], self.outer[None]] = turn - parts.radius[self.outer] <= self.model.angle + _TURN
+        elif len(self.outer):
             near = scores[:, parts.part[self.outer] // 2]
-            k = min(PROBES, len(self.outer))
+            k = min(self.probes, len(self.outer))
             best = self.outer[np.argpartition(-near, k - 1, axis=1)[:, :k]]
             rows = np.flatnonzero(~inside)
             asked[rows[:, None], best[rows]] = True
@@ -394,7 +401,7 @@ def _compare(model: Quantiser, parts: Parts, least: float):
     return run
 
 
-def _of_length(classes: DataFrame, least: float) -> DataFrame:
+def _of_length(classes: DataFrame, least: float, probes: int | None) -> DataFrame:
     """(a, b, n, own) over classes (rep, n, v) of one length; own numbers the balls."""
     total, spread = classes.count(), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow()
@@ -403,7 +410,7 @@ def _of_length(classes: DataFrame, least: float) -> DataFrame:
     # at most two rows for each list, of which there are at most (MOST_CENTRES + 1) ** 2
     rows = held.groupBy("part").agg(F.sum("classes").alias("classes"), F.sum("vectors").alias("vectors"), F.max("radius").alias("radius"), F.min("least").alias("least")).orderBy("part").toArrow()
     parts = Parts(*[rows[c].to_numpy() for c in ("part", "classes", "vectors", "radius", "least")])
-    asking, (first, number) = Asking(model, parts), parts.blocks()
+    asking, (first, number) = Asking(model, parts, probes), parts.blocks()
     copies = np.ones(int((first + number).max()) + 1, np.int64)
     for r in classes.select("v").mapInArrow(_askers(asking, first, number), "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_QUERIES).collect():
         copies[r["block"]] = -(-r["n"] // BLOCK_QUERIES)
@@ -411,8 +418,8 @@ def _of_length(classes: DataFrame, least: float) -> DataFrame:
     return dealt.repartition(spread, "block", "copy").sortWithinPartitions("block", "copy", "asks").mapInArrow(_compare(model, parts, least), _FOUND)
 
 
-def cosine_components(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = LEAST_COSINE) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of vectors."""
+def cosine_components(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = LEAST_COSINE, probes: int | None = PROBES) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of vectors. probes: outer parts that a vector asks; None for an exact result."""
     raw = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).mapInArrow(_with_bytes, "vec_id long, v binary")
     raw = raw.withColumn("same", F.when(F.col("vec_id").isNotNull(), F.md5("v")))
     rows = save(raw, "vectors")
@@ -420,7 +427,7 @@ def cosine_components(vectors: DataFrame, vec_id: str = "vec_id", embedding: str
     lengths = [r[0] for r in classes.groupBy(F.length("v").alias("d")).count().where("count > 1").collect()]
     found = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("own")).limit(0)
     for d in sorted(lengths):
-        one = _of_length(classes.where(F.length("v") == d).select("rep", "n", "v"), least)
+        one = _of_length(classes.where(F.length("v") == d).select("rep", "n", "v"), least, probes)
         found = found.unionByName(one.withColumn("own", F.concat(F.lit(f"{d}:"), F.col("own"))))
     found = save(found, "found")
     of_balls = found.where("a is null").groupBy("own").agg(F.sum("n").alias("more"))

@@ -4,10 +4,11 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from almanax.llm import automaton, lines, ngram_join, secrets
+from almanax.llm import automaton, lines, ngram_join, pq_dedup, secrets
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -84,3 +85,23 @@ def test_doc_ids_are_nodes_of_the_jaccard_join(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame).collect()), key=str)
     want = [(2, 76, 2), (None, 76, None), (5, 76, 2), (5, 76, 2), (9, 76, 2), (7, 76, 7), (7, 76, 7), (8, 76, 7), (9, 0, 9), (None, 0, None), (11, 76, 7), (7, 76, 7)]
     assert got == sorted(want, key=str)
+
+
+def test_exact_probes_find_every_link(spark, monkeypatch):
+    """Pairs at the least cosine in many directions, where few probes would lose some, and vectors that spread over short lists."""
+    monkeypatch.setattr(pq_dedup, "LIST_ROWS", 4)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(600, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    turn = rng.normal(size=(600, 24))
+    turn -= (turn * base).sum(1)[:, None] * base
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    vectors = np.concatenate([base, 0.9502 * base + np.sqrt(1 - 0.9502**2) * turn, base[:100] + 0.05 * rng.normal(size=(100, 24))])
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    exact = sorted(pq_dedup.cosine_components(frame, probes=None).collect(), key=lambda r: r.vec_id)
+    assert [r.n_links for r in exact] == linked.sum(1).tolist() and linked.sum() >= 1200
+    few = pq_dedup.cosine_components(frame, probes=1).collect()
+    assert sum(r.n_links for r in few) < linked.sum()
