@@ -10,7 +10,7 @@ from almanax.operators import filters, quality
 from almanax.plans.adapter import OBS, millis, observations
 from almanax.session import load, scratch_path
 from almanax.sinks import exports
-from almanax.sources import rinex, text
+from almanax.sources import navigation, rinex, text
 from almanax.streaming import live
 
 START = 1_704_067_200_000
@@ -96,8 +96,8 @@ def compact_file_1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def navigation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ephemerides from orders as a navigation file of version 3 and back."""
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), millis("o_orderdate").alias("toc_ms"))
-    field = [((F.col("k") * (i + 1) % 1000) / 8.0 if n != "svHealth" else (F.col("k") % 2).cast("double")).alias(n) for i, n in enumerate(rinex.KEPLER)]
-    state = F.lit(None).cast("struct<" + ",".join(f"{n}:double" for n in rinex.STATE) + ">")
+    field = [((F.col("k") * (i + 1) % 1000) / 8.0 if n != "svHealth" else (F.col("k") % 2).cast("double")).alias(n) for i, n in enumerate(navigation.KEPLER)]
+    state = F.lit(None).cast("struct<" + ",".join(f"{n}:double" for n in navigation.STATE) + ">")
     eph = o.select(F.concat(F.lit("G"), F.lpad((F.col("k") % 32 + 1).cast("string"), 2, "0")).alias("prn"), "toc_ms", F.struct(*field).alias("kepler"), state.alias("state"))
     head = spark.createDataFrame([(0, f"{3.04:9.2f}           {'N: GNSS NAV DATA':<20}{'G: GPS':<20}RINEX VERSION / TYPE"), (1, f"{'':60}END OF HEADER")], "ord long, text string")
     rows = head.select(F.lit(0).alias("part"), "ord", F.lit("").alias("prn"), "text").unionByName(exports.navigation_lines(eph).select(F.lit(1).alias("part"), "ord", "prn", "text"))
@@ -106,6 +106,52 @@ def navigation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rinex.read_ephemerides(spark, path).select("prn", "sys", "toc_ms", "healthy", *[F.col(f"kepler.{n}").alias(n) for n in ("af0", "iode", "sqrtA", "toe", "tgd", "fit")])
 
 
+#: Records of version 4 by an order's number modulo 6: kind, satellite's letter, message, names of the numbers and how many stand in the first line.
+_RECORDS = (
+    ("STO", "G", "LNAV", navigation.OFFSET, 0),
+    ("EOP", "J", "CNAV", navigation.ORIENTATION, 3),
+    ("ION", "G", "LNAV", navigation.KLOBUCHAR, 3),
+    ("ION", "E", "IFNV", navigation.NEQUICK, 3),
+    ("EPH", "G", "CNAV", navigation.MODERN["G", "CNAV"], 3),
+    ("EPH", "C", "CNV1", navigation.MODERN["C", "CNV1"], 3),
+)
+_FIELDS = ("a1", "ypDot", "beta0", "ai2", "sqrtA", "svHealth", "sent")
+
+
+def navigation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records of a file of version 4, each kind with its own numbers, and back by ranges of bytes."""
+    k = F.col("k")
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.date_format("o_orderdate", "yyyy MM dd HH mm ss").alias("at"))
+    text_of = F.lit("")
+    for i, (kind, letter, message, names, first) in enumerate(_RECORDS):
+        cells = [F.lpad((k * (j + 1) % 1000 / 8).cast("decimal(12,3)").cast("string"), 19, " ") if n else F.lit(" " * 19) for j, n in enumerate(names)]
+        prn = F.concat(F.lit(letter), F.lpad((k % 32 + 1).cast("string"), 2, "0"))
+        begin = F.concat(prn if kind == "EPH" else F.lit("   "), F.lit(" "), F.col("at"), *(cells[:first] if first else [F.lit(" GPUT")]))
+        rest = [F.concat(F.lit("    "), *cells[a : a + 4]) for a in range(first, len(cells), 4)]
+        record = F.concat_ws("\n", F.concat(F.lit(f"> {kind} "), prn, F.lit(f" {message}")), begin, *rest)
+        text_of = F.when(k % len(_RECORDS) == i, record).otherwise(text_of)
+    head = spark.createDataFrame([(0, f"{4.01:9.2f}           {'NAVIGATION DATA':<20}{'M: Mixed':<20}RINEX VERSION / TYPE"), (1, f"{18:6d}{'':54}LEAP SECONDS"), (2, f"{'':60}END OF HEADER")], "ord long, text string")
+    rows = head.select(F.lit(0).alias("part"), "ord", F.lit("").alias("prn"), "text").unionByName(o.select(F.lit(1).alias("part"), k.alias("ord"), F.lit("").alias("prn"), text_of.alias("text")))
+    path = scratch_path(spark, "navigation")
+    exports.write_text(rows, path)
+    found = navigation.named_numbers(navigation.read_navigation(spark, path))
+    total = F.aggregate(F.map_values("fields"), F.lit(0.0), lambda a, b: a + b)
+    return found.select("kind", "prn", "message", "label", "t_ms", *[F.try_element_at("fields", F.lit(f)).alias(f) for f in _FIELDS], F.coalesce(total, F.get("numbers", F.lit(0))).alias("total"))
+
+
+def navigation_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the headers of a file per supplier, most of which lack some: of each label the first that a file has."""
+    k = F.col("s_suppkey")
+    number = lambda i: F.lpad((k * i % 100 / 8).cast("decimal(8,3)").cast("string"), 12, " ")
+    term = lambda name, mod: F.when(k % mod == mod - 1, F.rpad(F.concat(F.rpad(F.lit(name), 5, " "), *[number(i + 1) for i in range(4)]), 60, " "))
+    lines = [F.concat(term(name, mod), F.lit("IONOSPHERIC CORR")) for name, mod in (("GPSA", 2), ("GPSB", 3), ("GAL", 7), ("BDSA", 1000_000))]
+    leap = F.when(k % 5 == 4, F.concat(F.lpad((k % 40).cast("string"), 6, " "), F.lit(f"{'':54}LEAP SECONDS")))
+    head = F.lit(f"{3.04:9.2f}           {'N: GNSS NAV DATA':<20}{'M: MIXED':<20}RINEX VERSION / TYPE")
+    texts = load(spark, sf_dir, "supplier").select(F.lpad(k.cast("string"), 9, "0").alias("file"), F.concat_ws("\n", head, *lines, leap, F.lit(f"{'':60}END OF HEADER")).alias("text"))
+    merged = navigation.merged_terms(navigation.navigation(texts))
+    return merged.select("label", *[F.get("numbers", F.lit(i)).alias(f"n{i + 1}") for i in range(4)])
+
+
 def _sentence(body: Column) -> Column:
     """A sentence with its checksum."""
     code = F.aggregate(F.transform(F.split(body, ""), lambda c: F.ascii(c)), F.lit(0), lambda acc, x: acc.bitwiseXOR(x))
@@ -242,7 +288,7 @@ def live_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMED = (
-    live_instants, coordinate_checks, live_header, station_file_3, station_file_4, station_file_2, station_headers, compact_file_3, compact_file_1, navigation_file, sentence_fixes, sourcetable_streams, sourcetable_summary, antenna_file, antenna_summary, observation_table,
+    live_instants, coordinate_checks, live_header, station_file_3, station_file_4, station_file_2, station_headers, compact_file_3, compact_file_1, navigation_file, navigation_records, navigation_terms, sentence_fixes, sourcetable_streams, sourcetable_summary, antenna_file, antenna_summary, observation_table,
     track_points, edited_headers, stream_statistics, event_windows, event_sessions,
 )
 QUERIES = {f.__name__: f for f in _NAMED}
@@ -258,13 +304,39 @@ def _old_cells(systems: str) -> str:
 
 
 def _kepler(name: str) -> str:
-    return f"(o_orderkey * {rinex.KEPLER.index(name) + 1} % 1000) / 8.0::DOUBLE AS {name}"
+    return f"(o_orderkey * {navigation.KEPLER.index(name) + 1} % 1000) / 8.0::DOUBLE AS {name}"
 
 
 _STREAMS = """st AS (SELECT c_custkey AS k, 'M' || c_custkey AS mountpoint, c_name AS identifier, 'RTCM 3.' || c_custkey % 4 AS format, CAST(c_custkey % 3 AS INT) AS carrier, ['GPS', 'GPS+GLO', 'GPS+GAL+BDS'][c_custkey % 3 + 1] AS nav_system, c_mktsegment AS network,
   'N' || c_nationkey AS country, CAST(c_custkey % 180 - 90 AS DOUBLE) AS lat, CAST(c_custkey % 360 - 180 AS DOUBLE) AS lon, CAST(c_custkey * 100 AS INT) AS bitrate FROM customer WHERE c_custkey % 10 <> 9)"""
 _ISO = "strftime(make_timestamp({t} * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+def _record_value(j: int) -> str:
+    return f"(k * {j + 1} % 1000) / 8.0::DOUBLE"
+
+
+def _record_field(name: str) -> str:
+    return "CASE k % 6 " + " ".join(f"WHEN {i} THEN {_record_value(r[3].index(name))}" for i, r in enumerate(_RECORDS) if name in r[3]) + f" END AS \"{name}\""
+
+
+def _record_case(items) -> str:
+    return "CASE k % 6 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(items)) + " END"
+
+
+def _first_term(label: str, mod: int, numbers: list[str]) -> str:
+    return f"SELECT '{label}' AS label, {', '.join(f'{n} AS n{i + 1}' for i, n in enumerate(numbers))} FROM (SELECT min(s_suppkey) AS k FROM supplier WHERE s_suppkey % {mod} = {mod - 1}) WHERE k IS NOT NULL"
+
+
 ORACLE_SQL = {
+    "navigation_records": f"""WITH o AS (SELECT o_orderkey::BIGINT AS k, epoch_us(o_orderdate) // 1000 AS t_ms FROM orders)
+SELECT {_record_case(f"'{r[0]}'" for r in _RECORDS)} AS kind, {_record_case(f"'{r[1]}'" for r in _RECORDS)} || lpad((k % 32 + 1)::VARCHAR, 2, '0') AS prn, {_record_case(f"'{r[2]}'" for r in _RECORDS)} AS message,
+  CASE WHEN k % 6 = 0 THEN 'GPUT' END AS label, t_ms, {", ".join(map(_record_field, _FIELDS))},
+  {_record_case(" + ".join(_record_value(j) for j, n in enumerate(r[3]) if n) for r in _RECORDS)} AS total FROM o
+UNION ALL SELECT 'HEAD', NULL, NULL, 'LEAP SECONDS', NULL, {", ".join("NULL" for _ in _FIELDS)}, 18.0""",
+    "navigation_terms": " UNION ALL ".join(
+        [_first_term(name, mod, [f"(k * {i + 1} % 100) / 8.0::DOUBLE" for i in range(4)]) for name, mod in (("GPSA", 2), ("GPSB", 3), ("GAL", 7), ("BDSA", 1_000_000))]
+        + [_first_term("LEAP SECONDS", 5, ["(k % 40)::DOUBLE", "NULL", "NULL", "NULL"])]
+    ),
     "live_instants": """WITH o AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000 AS near, o_orderkey * 7919 % 604800 * 1000 + CASE WHEN o_orderkey % 4 = 2 THEN 14000 ELSE 0 END AS tow FROM orders), w AS (SELECT *, (near - 315964800000) // 604800000 * 604800000 + 315964800000 + tow AS t FROM o)
         SELECT o_orderkey, t + CAST(round((near - t) / 604800000.0::DOUBLE) AS BIGINT) * 604800000 AS t_ms FROM w""",
     "coordinate_checks": """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN 'not a number' WHEN c_custkey % 5 = 0 THEN 'x and y are both zero' WHEN sqrt(c_custkey * 1e4 * c_custkey * 1e4 + c_custkey * 2e4 * c_custkey * 2e4 + c_custkey * 1e3 * c_custkey * 1e3) > 5e7 THEN 'too far from the Earth' END AS problem,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanax.model import system_rank
-from almanax.sources.rinex import KEPLER, STATE
+from almanax.sources.navigation import KEPLER, STATE
 
 TYPES_PER_LINE, SLOTS_PER_LINE, OLD_TYPES_PER_LINE, OLD_SATS_PER_LINE, OLD_VALUES_PER_LINE = 13, 8, 9, 12, 5
 

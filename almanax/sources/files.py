@@ -11,6 +11,7 @@ import fnmatch
 import gzip
 import json
 import posixpath
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,6 +102,13 @@ def file_ranges(paths: str | list[str], most: int, least: int = 1 << 18, paralle
     return out
 
 
+def range_options(spark: SparkSession, range_bytes: int | None = None) -> dict[str, int]:
+    """Sizes of ranges: at most range_bytes (spark.sql.files.maxPartitionBytes), fewer if that keeps all cores busy."""
+    number, unit = re.fullmatch(r"(\d+) *([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes", "128m").strip().lower()).groups()
+    most = range_bytes or int(number) << 10 * " kmgtp".index(unit or " ")
+    return {"most": most, "least": min(most, 1 << 18), "parallelism": spark.sparkContext.defaultParallelism}
+
+
 def logical_files(paths: str | list[str]) -> list[LogicalFile]:
     """The files of paths, which may be files, folders, exports (folders of part files) or patterns."""
     out = []

@@ -4,7 +4,7 @@ Observation files are a Python data source: a range of a file's bytes is a parti
 satellites, systems, codes and times are pushed down and drop rows before they are made. Each range reads the header, and begins at
 the first epoch line in it: one with ">" in version 3 and 4; of version 2, whose lines carry no marks, one with an epoch's fixed
 columns. It ends where the next range begins. Compressed files (.gz, or by differences, which add up) are one partition each.
-Headers and navigation records, which are small, are lines that windows and aggregates put together.
+Headers, which are small, are lines that aggregates put together; navigation records have a source of their own (navigation.py).
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import math
 import re
-from calendar import timegm
 from collections import deque
 from collections.abc import Iterator
 from contextlib import suppress
@@ -25,7 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.window import Window as W
 
-from almanax.sources.files import FileRange, file_ranges, read_lines
+from almanax.sources.fields import millis_of, number_of
+from almanax.sources.files import FileRange, file_ranges, range_options, read_lines
+from almanax.sources.navigation import ephemerides_of, navigation, read_navigation
 
 
 class NotRinex(ValueError):
@@ -246,22 +247,6 @@ def _header_codes(lines: Iterator[str]) -> dict[str, list[str]]:
     raise NotRinex("No valid RINEX header")
 
 
-def _millis(year: str, *rest: str) -> int | None:
-    """Of the fields of an epoch, the seconds last; None if one isn't a number or a date's."""
-    try:
-        y, month, day, hour, minute = int(year), *map(int, rest[:4])
-        return timegm((y, month, day, hour, minute, 0)) * 1000 + round(float(rest[4]) * 1000)
-    except ValueError:
-        return None
-
-
-def _number(cell: str) -> float | None:
-    try:
-        return float(cell) if cell.strip() else None
-    except ValueError:
-        return None
-
-
 #: An epoch line of version 2 by its columns: date and time, flag, number of satellites, and their names up to the clock's offset.
 _EPOCH_2 = re.compile(r" [ \d]\d(?: [ \d]\d){4}[ \d]{2}\d\.\d{7}  ([01 ])([ \d]{2}\d)((?:[ A-Z][ \d]\d)*) *(?:-?\d*\.\d*)? *$")
 
@@ -321,12 +306,12 @@ def _third_rows(lines: Iterator[str], codes: dict[str, list[tuple[int, str]]], w
     t, good = None, False
     for line in lines:
         if line.startswith(">"):
-            t = _millis(line[2:6], line[7:9], line[10:12], line[13:15], line[16:18], line[18:29])
+            t = millis_of(line[2:6], line[7:9], line[10:12], line[13:15], line[16:18], line[18:29])
             good = line[31:32].strip() in ("", "0") and wanted.time(t)
         elif good and _SATELLITE.match(line):
             prn = line[:3].replace(" ", "0")
             if wanted.satellite(prn):
-                yield from ((t, prn, code, _number(line[3 + 16 * i : 17 + 16 * i])) for i, code in codes.get(prn[0], ()))
+                yield from ((t, prn, code, number_of(line[3 + 16 * i : 17 + 16 * i])) for i, code in codes.get(prn[0], ()))
 
 
 def _second_rows(lines: Iterator[str], codes: list[str], wanted: Wanted) -> Iterator[tuple[int | None, str, str, float | None]]:
@@ -343,12 +328,12 @@ def _second_rows(lines: Iterator[str], codes: list[str], wanted: Wanted) -> Iter
         while len(names) < 3 * count:
             names += next(lines, "")[32:68].ljust(36)
         yy = line[1:3].strip()
-        t = _millis(str(int(yy) + (1900 if int(yy) >= 80 else 2000)) if yy.isdigit() else "", line[3:6], line[6:9], line[9:12], line[12:15], line[15:26])
+        t = millis_of(str(int(yy) + (1900 if int(yy) >= 80 else 2000)) if yy.isdigit() else "", line[3:6], line[6:9], line[9:12], line[12:15], line[15:26])
         for k in range(count):
             row = "".join(x.ljust(80) for x in islice(lines, per))
             prn = (names[3 * k].strip() or "G") + names[3 * k + 1 : 3 * k + 3].replace(" ", "0")
             if flag == "0" and wanted.time(t) and wanted.satellite(prn):
-                yield from ((t, prn, code, _number(row[16 * i : 16 * i + 14])) for i, code in some)
+                yield from ((t, prn, code, number_of(row[16 * i : 16 * i + 14])) for i, code in some)
 
 
 def _batches_of(file: str, rows: Iterator[tuple[int | None, str, str, float | None]], size: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -405,12 +390,6 @@ def observations(texts: DataFrame) -> DataFrame:
     return texts.select("file", "text").mapInArrow(run, _OBS_SCHEMA)
 
 
-def _bytes(size: str) -> int:
-    """A size as Spark's settings have it: 128m, 64kb or a number of bytes."""
-    number, unit = re.fullmatch(r"(\d+) *([kmgtp]?)b?", size.strip().lower()).groups()
-    return int(number) << 10 * " kmgtp".index(unit or " ")
-
-
 def read_observations(spark: SparkSession, paths: str | list[str], permissive: bool = False, range_bytes: int | None = None) -> DataFrame:
     """Observations of files, folders, exports or patterns. A file without a header is an error as it is read, or left out if permissive.
 
@@ -420,56 +399,16 @@ def read_observations(spark: SparkSession, paths: str | list[str], permissive: b
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     names = json.dumps([paths] if isinstance(paths, str) else paths)
     reader = spark.read.format("station_observations").option("files", names).option("permissive", str(permissive).lower())
-    most = range_bytes or _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    rows = reader.options(most=most, least=min(most, 1 << 18), parallelism=spark.sparkContext.defaultParallelism).load()
+    rows = reader.options(**range_options(spark, range_bytes)).load()
     # Spark plans a read anew if it has a filter to push, and else takes up the last one's filters; so there is always one
     return rows.where("file is not null")
 
 
-#: Names of a navigation record's numbers, in order; fixed values of the format.
-KEPLER = ("af0", "af1", "af2", "iode", "crs", "deltaN", "m0", "cuc", "e", "cus", "sqrtA", "toe", "cic", "omega0", "cis", "i0", "crc", "omega", "omegaDot", "idot", "codes", "week", "l2p", "accuracy", "svHealth", "tgd", "iodc", "sent", "fit")
-STATE = ("tauN", "gammaN", "frame", "x", "vx", "ax", "health", "y", "vy", "ay", "freq", "z", "vz", "az", "age")
-
-
 def ephemerides(texts: DataFrame) -> DataFrame:
-    """file, prn, sys, toc_ms, ord, healthy, kepler and state of navigation files of versions 2 to 4.
-
-    A record begins with a satellite's line; what stands between two such lines belongs to it. Of version 4, ephemerides with the
-    layout of the older versions are read.
-    """
-    return ephemerides_of(text_lines(texts))
+    """file, prn, sys, toc_ms, ord, healthy, kepler and state of texts (file, text) of navigation files of versions 2 to 4."""
+    return ephemerides_of(navigation(texts))
 
 
 def read_ephemerides(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """ephemerides of files, read as streams of lines."""
-    return ephemerides_of(read_lines(spark, paths))
-
-
-def ephemerides_of(lines: DataFrame) -> DataFrame:
-    head = headers_of(lines).select("file", "version", "type", "system")
-    body = lines.where(~F.col("head")).join(F.broadcast(head), "file")  # a row per file
-    old = F.col("version") < 3
-    starts = F.when(old, F.col("line").rlike(r"^[ 0-9][0-9] [ 0-9]{2} ")).otherwise(F.col("line").rlike(r"^[GRECJIS][ 0-9][0-9] \d{4}"))
-    w = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    rows = body.withColumn("mark", F.last(F.when(F.col("line").startswith(">"), F.col("line")), True).over(w)).where(~F.col("line").startswith(">") & (F.trim("line") != ""))
-    rows = rows.where(F.col("mark").isNull() | F.col("mark").rlike(r"^> EPH .{3} (LNAV|FDMA|INAV|FNAV|IFNV|D1|D2|D1D2|SBAS)"))
-    rows = rows.withColumn("rec", F.sum(starts.cast("int")).over(w)).where("rec > 0")
-    rec = rows.groupBy("file", "rec", "version", "type", "system").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("l"), F.min("pos").alias("ord"))
-    old, first = F.col("version") < 3, F.element_at("l", 1)
-    number = lambda s: F.regexp_replace(F.trim(s), "[Dd]", "E").try_cast("double")
-    cut = lambda line, at: F.array(*[number(F.substr(line, F.lit(at + 19 * k), F.lit(19))) for k in range(4)])
-    more = F.slice(F.col("l"), F.lit(2), F.size("l"))
-    head_numbers = F.when(old, F.slice(cut(first, 23), 1, 3)).otherwise(F.slice(cut(first, 24), 1, 3))
-    numbers = F.flatten(F.concat(F.array(head_numbers), F.transform(more, lambda x: F.when(old, cut(x, 4)).otherwise(cut(x, 5)))))
-    letter = F.when(F.col("type") == "G", "R").when(F.col("type") == "H", "S").otherwise("G")
-    prn = F.when(old, F.concat(letter, F.lpad(F.trim(F.substring(first, 1, 2)), 2, "0"))).otherwise(F.regexp_replace(F.substring(first, 1, 3), " ", "0"))
-    piece = lambda a, b, n: F.trim(F.when(old, F.substring(first, a, n)).otherwise(F.substring(first, b, n)))
-    year = F.when(old, F.substring(first, 4, 2)).otherwise(F.substring(first, 5, 4)).try_cast("int")
-    year = F.when(year < 80, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    second = F.when(old, F.substring(first, 18, 5)).otherwise(F.substring(first, 22, 2))
-    stamp = F.make_timestamp(year, piece(7, 10, 2).try_cast("int"), piece(10, 13, 2).try_cast("int"), piece(13, 16, 2).try_cast("int"), piece(16, 19, 2).try_cast("int"), F.trim(second).try_cast("decimal(16,6)"))
-    rec = rec.select("file", "ord", prn.alias("prn"), F.unix_millis(stamp).alias("toc_ms"), numbers.alias("v")).withColumn("sys", F.substring("prn", 1, 1))
-    named = lambda names: F.struct(*[F.try_element_at("v", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
-    by_state = F.col("sys").isin("R", "S")
-    out = rec.withColumns({"kepler": F.when(~by_state, named(KEPLER)), "state": F.when(by_state, named(STATE))})
-    return out.select("file", "prn", "sys", "toc_ms", "ord", F.when(by_state, F.col("state.health") == 0).otherwise(F.col("kepler.svHealth") == 0).alias("healthy"), "kepler", "state")
+    """ephemerides of files, read by ranges of bytes."""
+    return ephemerides_of(read_navigation(spark, paths))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from almanax.sinks import exports
 from almanax.sources import files, names, rinex, rtcm, text
+from almanax.sources import navigation as nav
 
 HEADER3 = """     3.03           OBSERVATION DATA    M                   RINEX VERSION / TYPE
 nobody                                                      OBSERVER / AGENCY
@@ -348,3 +349,51 @@ def test_ranges_leave_compressed_files_whole(spark, tmp_path):
     assert got.where("prn = 'G01' and t_ms > %d" % START).count() == 4
     with pytest.raises(PySparkException):
         rinex.read_observations(spark, str(tmp_path / "e.txt"), range_bytes=100).count()
+
+
+def modern():
+    num = lambda *xs: "".join(" " * 19 if x is None else f"{x:19.12E}".replace("E", "D") for x in xs)
+    at = "2024 01 01 02 00 00"
+    head = f"{4.01:9.2f}           {'NAVIGATION DATA':<20}{'M: Mixed':<20}RINEX VERSION / TYPE\n{18:6d}{'':54}LEAP SECONDS\n{'':60}END OF HEADER\n"
+    n = list(range(1, 40))
+    sto = f"> STO G05 LNAV\n    {at} {'GPUT':<18} {'':<18} {'UTC(USNO)':<18}\n    " + num(*n[:4])
+    eop = f"> EOP J01 CNAV\n    {at}" + num(*n[:3]) + "\n    " + num(None, *n[3:6]) + "\n    " + num(*n[6:10])
+    ion = f"> ION E11 IFNV\n    {at}" + num(*n[:3]) + "\n    " + num(n[3])
+    bdgim = f"> ION C20 CNVX\n    {at}" + num(*n[:3]) + "\n    " + num(*n[3:7]) + "\n    " + num(*n[7:9])
+    cnv1 = f"> EPH C20 CNV1\nC20 {at}" + num(*n[:3]) + "".join("\n    " + num(*n[a : a + 4]) for a in range(3, 39, 4))
+    return head + "\n".join([sto, eop, navigation(4.01).split("HEADER\n")[1].rstrip(), ion, bdgim, cnv1]) + "\n"
+
+
+def test_records_of_version_4(spark):
+    texts = spark.createDataFrame([("m", modern()), ("none", "no header\n"), ("null", None)], "file string, text string")
+    got = {(r.kind, r.prn): r for r in nav.named_numbers(nav.navigation(texts)).collect()}
+    assert set(got) == {("HEAD", None), ("STO", "G05"), ("EOP", "J01"), ("EPH", "G05"), ("ION", "E11"), ("ION", "C20"), ("EPH", "C20")}
+    assert got["STO", "G05"].label == "GPUT" and got["STO", "G05"].fields == {"sent": 1.0, "a0": 2.0, "a1": 3.0, "a2": 4.0} and got["STO", "G05"].t_ms == 1704074400000
+    assert got["EOP", "J01"].fields == {"xp": 1, "xpDot": 2, "xpDotDot": 3, "yp": 4, "ypDot": 5, "ypDotDot": 6, "sent": 7, "dut1": 8, "dut1Dot": 9, "dut1DotDot": 10}
+    assert got["ION", "E11"].fields == {"ai0": 1, "ai1": 2, "ai2": 3, "flags": 4} and got["ION", "C20"].fields["alpha9"] == 9 and got["EPH", "G05"].fields["sqrtA"] == 11
+    assert (got["EPH", "C20"].fields["aDot"], got["EPH", "C20"].fields["svHealth"], got["EPH", "C20"].fields["iode"]) == (4, 33, 39) and got["HEAD", None].numbers == [18.0]
+    assert [r.prn for r in rinex.ephemerides(texts).collect()] == ["G05"]  # the other ephemeris has a newer layout
+
+
+@pytest.mark.parametrize("version", [2.11, 3.04, 4.01, "modern"])
+def test_navigation_ranges_at_every_byte(tmp_path, version):
+    body = modern() if version == "modern" else navigation(version) + 2 * (navigation(version).split("HEADER\n")[1].replace("02 00 00", "04 00 00").replace(" 2  0  0.0", " 4  0  0.0"))
+    (tmp_path / "n.rnx").write_text(body)
+    rows = lambda size: [r for part in files.file_ranges(str(tmp_path / "n.rnx"), size, 1) for r in nav.range_rows(part)]
+    whole = rows(len(body) - 1)
+    assert len(whole) == (7 if version == "modern" else 3) and whole == rows(len(body) // 2)
+    for size in [*range(1, 90), *range(90, len(body), 13)]:
+        assert rows(size) == whole
+    one = [r[1:] for r in rows(len(body) + 1)]  # as a whole, where places are numbers of lines
+    assert one == [r[1:] for r in whole]
+
+
+def test_terms_of_several_headers(spark):
+    line = lambda content, label: f"{content:60}{label}\n"
+    first = line(f"{3.04:9.2f}           N", "RINEX VERSION / TYPE")
+    a = first + line("GPSA   0.1000D-07  0.2000D-07", "IONOSPHERIC CORR") + line("", "LEAP SECONDS") + line("", "END OF HEADER")
+    b = first + line("GPSA   0.9000D-07", "IONOSPHERIC CORR") + line("GAL    1.0000D+00", "IONOSPHERIC CORR") + line("    18", "LEAP SECONDS") + line("GPUT  0.1E-08 0.2E-14 405504 2295", "TIME SYSTEM CORR") + line("", "END OF HEADER")
+    records = nav.navigation(spark.createDataFrame([("b", b), ("a", a)], "file string, text string"))
+    got = {r.label: r.numbers for r in nav.merged_terms(records).collect()}
+    assert got["GPSA"] == [1e-8, 2e-8, None, None] and got["GAL"][0] == 1.0 and got["LEAP SECONDS"] == [18.0] and set(got) == {"GPSA", "GAL", "LEAP SECONDS", "GPUT"}
+    assert {r.label: r.numbers for r in nav.merged_terms(records, ["b", "a"]).collect()}["GPSA"][0] == 9e-8
