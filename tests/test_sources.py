@@ -392,8 +392,9 @@ def test_terms_of_several_headers(spark):
     line = lambda content, label: f"{content:60}{label}\n"
     first = line(f"{3.04:9.2f}           N", "RINEX VERSION / TYPE")
     a = first + line("GPSA   0.1000D-07  0.2000D-07", "IONOSPHERIC CORR") + line("", "LEAP SECONDS") + line("", "END OF HEADER")
-    b = first + line("GPSA   0.9000D-07", "IONOSPHERIC CORR") + line("GAL    1.0000D+00", "IONOSPHERIC CORR") + line("    18", "LEAP SECONDS") + line("GPUT  0.1E-08 0.2E-14 405504 2295", "TIME SYSTEM CORR") + line("", "END OF HEADER")
+    b = first + line("GPSA   0.9000D-07", "IONOSPHERIC CORR") + line("GAL    1.0000D+00", "IONOSPHERIC CORR") + line("    18", "LEAP SECONDS") + line(f"GPUT {1e-9:17.10E}{2e-15:16.9E}{405504:7d}{2295:5d}".replace("E-", "D-"), "TIME SYSTEM CORR") + line("", "END OF HEADER")
     records = nav.navigation(spark.createDataFrame([("b", b), ("a", a)], "file string, text string"))
     got = {r.label: r.numbers for r in nav.merged_terms(records).collect()}
     assert got["GPSA"] == [1e-8, 2e-8, None, None] and got["GAL"][0] == 1.0 and got["LEAP SECONDS"] == [18.0] and set(got) == {"GPSA", "GAL", "LEAP SECONDS", "GPUT"}
+    assert got["GPUT"] == [1e-9, 2e-15, 405504.0, 2295.0]
     assert {r.label: r.numbers for r in nav.merged_terms(records, ["b", "a"]).collect()}["GPSA"][0] == 9e-8
