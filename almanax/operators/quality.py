@@ -309,22 +309,61 @@ def islands(rows: DataFrame, keys: list[str], joined: Column, order: str = "t_ms
     return rows.withColumn("_j", joined).withColumn("segment", F.sum(F.when(F.coalesce("_j", F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_j")
 
 
-def warnings(obs: DataFrame, interval_ms: int, header: dict | None = None) -> DataFrame:
-    """code, severity, message, count and first time of what looks wrong: gaps, repeated rows, bad names, header fields that lack."""
-    times = obs.select("t_ms").distinct()
-    w = W.partitionBy(F.lit(0)).orderBy("t_ms")
-    chunked = times.withColumn("part", F.floor(F.col("t_ms") / 86_400_000))
-    inside = chunked.withColumn("gap", F.col("t_ms") - F.lag("t_ms").over(W.partitionBy("part").orderBy("t_ms")))
-    days = chunked.groupBy("part").agg(F.min("t_ms").alias("a"), F.max("t_ms").alias("b")).withColumn("gap", F.col("a") - F.lag("b").over(w.orderBy("part")))
-    gaps = inside.select("t_ms", "gap").unionByName(days.select(F.col("a").alias("t_ms"), "gap")).where(F.col("gap") > GAP_INTERVALS * interval_ms).select(F.lit("gap").alias("code"), "t_ms")
-    again = obs.groupBy("t_ms", "prn", "code").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.lit("duplicate").alias("code"), "t_ms")
-    odd = obs.where(~F.col("prn").rlike("^[GRECJIS][0-9]{2,3}$")).select(F.lit("bad_satellite").alias("code"), "t_ms")
-    found = gaps.unionByName(again).unionByName(odd)
-    severity = F.when(F.col("code") == "gap", "info").otherwise("warning")
-    text = F.when(F.col("code") == "gap", "gap in the epochs").when(F.col("code") == "duplicate", "repeated observation").otherwise("unknown satellite name")
-    first = found.groupBy("code").agg(F.count(F.lit(1)).alias("count"), F.min("t_ms").alias("first_ms"))
-    missing = [k for k in ("marker_name", "approx_position", "interval") if not (header or {}).get(k)] if header is not None else []
-    out = first.select("code", severity.alias("severity"), text.alias("message"), "count", "first_ms")
+#: Rules of validation: severity and message by code. Fields that a header lacks are errors each.
+RULES = {
+    "no_time": ("error", "observation without a time"),
+    "duplicate": ("warning", "repeated observation"),
+    "bad_satellite": ("warning", "unknown satellite name"),
+    "bad_code": ("warning", "unknown observation code"),
+    "bad_range": ("warning", "negative pseudorange"),
+    "irregular": ("warning", "epoch off the interval"),
+    "gap": ("info", "gap in the epochs"),
+}
+HEADER_FIELDS = ("marker_name", "approx_position", "interval")
+
+
+def findings(obs: DataFrame, interval_ms: int) -> DataFrame:
+    """code, t_ms and example of all that a rule objects to: an observation (a repeated one once), or an epoch by the one before it.
+
+    One aggregate of the observations feeds all rules; epochs meet the one before by pieces of a day.
+    """
+    cells = obs.groupBy("t_ms", "prn", "code").agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("least"))
+    checks = {
+        "no_time": F.col("t_ms").isNull(),
+        "duplicate": F.col("c") > 1,
+        "bad_satellite": ~F.coalesce(F.col("prn").rlike("^[GRECJIS][0-9]{2,3}$"), F.lit(False)),
+        "bad_code": ~F.coalesce(F.col("code").rlike("^[CLDS][1-9][A-Z]$"), F.lit(False)),
+        "bad_range": F.col("code").startswith("C") & (F.col("least") < 0),  # 0 stands for no value
+    }
+    broken = F.filter(F.array(*[F.when(check, F.lit(rule)) for rule, check in checks.items()]), lambda x: x.isNotNull())
+    text = F.concat_ws(" ", F.coalesce("prn", F.lit("-")), F.coalesce("code", F.lit("-")), F.coalesce(F.col("t_ms").cast("string"), F.lit("-")))
+    rows = cells.select(F.explode(broken).alias("code"), "t_ms", text.alias("example"))
+    epochs = segments.with_previous(cells.where("t_ms is not null").select("t_ms").distinct(), [], ["t_ms"])
+    step = F.col("t_ms") - F.col("_before.t_ms")
+    rule = F.when(step > GAP_INTERVALS * interval_ms, "gap").when(step % interval_ms != 0, "irregular")
+    off = epochs.select(rule.alias("code"), "t_ms", F.concat(step.cast("string"), F.lit(" ms to "), F.col("t_ms").cast("string")).alias("example")).where("code is not null")
+    return rows.unionByName(off)
+
+
+def warnings(obs: DataFrame, interval_ms: int, header: dict | None = None, most: int = 5) -> DataFrame:
+    """code, severity, message, count, first_ms and the first examples of what looks wrong, a row for each rule that objects.
+
+    Examples are the first by time and text, at most so many; Spark drops the others in the tasks that find them.
+    """
+    found = findings(obs, interval_ms)
+    total = found.groupBy("code").agg(F.count(F.lit(1)).alias("count"), F.min("t_ms").alias("first_ms"))
+    first = found.withColumn("_n", F.row_number().over(W.partitionBy("code").orderBy("t_ms", "example"))).where(F.col("_n") <= most)
+    shown = first.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "example"))), lambda x: x["example"]).alias("examples"))
+    pick = lambda k: F.create_map(*[F.lit(x) for rule, text in RULES.items() for x in (rule, text[k])])[F.col("code")]
+    out = total.join(shown, "code").select("code", pick(0).alias("severity"), pick(1).alias("message"), "count", "first_ms", "examples")
+    missing = [k for k in HEADER_FIELDS if not header.get(k)] if header is not None else []
     if missing:
-        out = out.unionByName(obs.sparkSession.createDataFrame([("missing_header", "error", f"header lacks {k}", 1, None) for k in missing], "code string, severity string, message string, count long, first_ms long"))
+        rows = [("missing_header", "error", f"header lacks {k}", 1, None, [k]) for k in missing]
+        out = out.unionByName(obs.sparkSession.createDataFrame(rows, "code string, severity string, message string, count long, first_ms long, examples array<string>"))
     return out
+
+
+def severities(found: DataFrame) -> DataFrame:
+    """One row: errors, warnings and info, the numbers of objections of each severity."""
+    level = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("count"))), F.lit(0).cast("long"))
+    return found.agg(level("error").alias("errors"), level("warning").alias("warnings"), level("info").alias("info"))

@@ -10,6 +10,7 @@ from almanax.model import FREQUENCIES
 from almanax.operators import asof
 from almanax.operators import quality as Q
 from almanax.plans.adapter import DUAL, L1, L2, OBS, POSITIONS, dual_frequency, observations, positions
+from almanax.session import load
 
 INTERVAL = 30_000
 #: Added before rounding to two digits: inputs have two digits and arcs' means are fractions of at most 92 parts, from whose ties it keeps off.
@@ -158,12 +159,36 @@ def ground_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observation_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.warnings(dual_frequency(spark, sf_dir), INTERVAL)
+    return Q.warnings(dual_frequency(spark, sf_dir), INTERVAL).drop("examples")
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as observations every half minute, with faults that the event's number sets."""
+    k = F.col("event_id")
+    e = load(spark, sf_dir, "events").select("event_id", "value")
+    t = k * 30_000 + F.when(k % 101 >= 51, 600_000).otherwise(0) + F.when(k % 67 == 0, 7_000).otherwise(0)
+    obs = e.select(
+        F.when(k % 79 != 0, t).alias("t_ms"), F.lit("G").alias("sys"), F.when(k % 89 == 0, "X1").otherwise(F.concat(F.lit("G"), F.lpad((k % 20 + 1).cast("string"), 2, "0"))).alias("prn"),
+        F.when(k % 83 == 0, "Q9").otherwise("C1C").alias("code"), F.when(k % 73 == 0, -F.col("value")).otherwise(F.col("value") + 1).alias("value"), "event_id",
+    )
+    return obs.unionByName(obs.where("event_id % 97 = 0")).drop("event_id")
+
+
+_HEADER = {"marker_name": "ALMA", "approx_position": (1.0, 2.0, 3.0)}
+
+
+def validation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule's objections with their first three examples."""
+    return Q.warnings(_faulty(spark, sf_dir), INTERVAL, _HEADER, 3).withColumn("examples", F.array_join("examples", "; "))
+
+
+def validation_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.severities(Q.warnings(_faulty(spark, sf_dir), INTERVAL, _HEADER))
 
 
 _NAMED = (
     completeness_cells, completeness_signals, completeness_total, completeness_matrix, phase_arcs, multipath_points, multipath_series, multipath_signals, multipath_distribution, multipath_first_series, multipath_pooled,
-    multipath_heatmap, multipath_by_elevation, phase_jumps, geometry_free_jumps, slip_counts, slip_signals, cycle_slips, wide_lane_jumps, multipath_arcs_of_slips, station_slips, station_multipath, elevation_cn0, sky_tracks, ground_tracks, observation_warnings,
+    multipath_heatmap, multipath_by_elevation, phase_jumps, geometry_free_jumps, slip_counts, slip_signals, cycle_slips, wide_lane_jumps, multipath_arcs_of_slips, station_slips, station_multipath, elevation_cn0, sky_tracks, ground_tracks, observation_warnings, validation_findings, validation_severities,
 )
 QUERIES = {f.__name__: f for f in _NAMED}
 
@@ -201,7 +226,23 @@ mw AS (SELECT t_ms, 'G' AS sys, prn, 'MW 1-2' AS signal, mag AS magnitude FROM r
 #: The two stations' rows.
 _TWO = f"""WITH {DUAL}, ds AS (SELECT 'A' AS station, * FROM du UNION ALL SELECT 'B', * REPLACE (CASE WHEN t_ms // 30000 % 40 >= 25 THEN l1 + 9.0::DOUBLE ELSE l1 END AS l1) FROM du WHERE t_ms // 30000 % 40 >= 8)"""
 
+_FAULTY = """WITH e AS (SELECT event_id AS k, value FROM events),
+o0 AS (SELECT k, CASE WHEN k % 79 <> 0 THEN k * 30000 + CASE WHEN k % 101 >= 51 THEN 600000 ELSE 0 END + CASE WHEN k % 67 = 0 THEN 7000 ELSE 0 END END AS t_ms,
+  CASE WHEN k % 89 = 0 THEN 'X1' ELSE 'G' || lpad((k % 20 + 1)::VARCHAR, 2, '0') END AS prn, CASE WHEN k % 83 = 0 THEN 'Q9' ELSE 'C1C' END AS code, CASE WHEN k % 73 = 0 THEN -value ELSE value + 1 END AS value FROM e),
+o AS (SELECT * FROM o0 UNION ALL SELECT * FROM o0 WHERE k % 97 = 0),
+c AS (SELECT t_ms, prn, code, count(*) AS c, min(value) AS least, prn || ' ' || code || ' ' || coalesce(t_ms::VARCHAR, '-') AS example FROM o GROUP BY t_ms, prn, code),
+s AS (SELECT t_ms, t_ms - lag(t_ms) OVER (ORDER BY t_ms) AS step FROM (SELECT DISTINCT t_ms FROM o WHERE t_ms IS NOT NULL)),
+f AS (SELECT 'no_time' AS rule, t_ms, example FROM c WHERE t_ms IS NULL UNION ALL SELECT 'duplicate', t_ms, example FROM c WHERE c > 1 UNION ALL SELECT 'bad_satellite', t_ms, example FROM c WHERE prn = 'X1'
+  UNION ALL SELECT 'bad_code', t_ms, example FROM c WHERE code = 'Q9' UNION ALL SELECT 'bad_range', t_ms, example FROM c WHERE code = 'C1C' AND least < 0
+  UNION ALL SELECT CASE WHEN step > 150000 THEN 'gap' ELSE 'irregular' END, t_ms, step || ' ms to ' || t_ms FROM s WHERE step > 150000 OR step % 30000 <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY t_ms NULLS FIRST, example) AS n FROM f),
+g AS (SELECT rule, count(*) AS count, min(t_ms) AS first_ms, string_agg(example, '; ' ORDER BY n) FILTER (n <= 3) AS examples FROM n GROUP BY rule),
+m AS (SELECT rule AS code, """ + "CASE rule " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in Q.RULES.items()) + " END AS severity, CASE rule " + " ".join(f"WHEN '{k}' THEN '{v[1].replace(chr(39), chr(39) * 2)}'" for k, v in Q.RULES.items()) + """ END AS message, count, first_ms, examples FROM g
+  UNION ALL SELECT 'missing_header', 'error', 'header lacks interval', 1, NULL, 'interval')"""
+
 ORACLE_SQL = {
+    "validation_findings": f"{_FAULTY} SELECT * FROM m",
+    "validation_severities": f"{_FAULTY} SELECT CAST(coalesce(sum(count) FILTER (severity = 'error'), 0) AS BIGINT) AS errors, CAST(coalesce(sum(count) FILTER (severity = 'warning'), 0) AS BIGINT) AS warnings, CAST(coalesce(sum(count) FILTER (severity = 'info'), 0) AS BIGINT) AS info FROM m",
     "wide_lane_jumps": f"{_MW} SELECT t_ms, sys, prn, signal, round(magnitude, 4) AS magnitude FROM mw",
     "cycle_slips": f"""{_MW}{_SF[_SF.index(", b AS"):].replace(", b AS", ", bs AS").replace("FROM b ", "FROM bs ").replace("\ns AS", "\nss AS").replace("FROM s ", "FROM ss ")}, al AS (SELECT *, 0 AS k FROM mw UNION ALL SELECT *, 1 FROM gf UNION ALL SELECT *, 2 FROM sf)
         SELECT t_ms, sys, prn, signal, round(magnitude, 4) AS magnitude FROM al QUALIFY k = min(k) OVER (PARTITION BY prn, t_ms)""",

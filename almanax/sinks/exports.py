@@ -158,7 +158,7 @@ def write_table(obs: DataFrame, codes: list[str], path: str) -> None:
 def metadata(header: DataFrame, statistics: DataFrame, warnings: DataFrame) -> DataFrame:
     """One JSON text of a file's header, its statistics and its warnings. header and statistics are one row each."""
     level = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("count"))), F.lit(0).cast("long")).alias(f"{s}s" if s != "info" else s)
-    found = warnings.agg(F.struct(level("error"), level("warning"), level("info"), F.collect_list(F.struct("code", "severity", "message", "count")).alias("items")).alias("validation"))
+    found = warnings.agg(F.struct(level("error"), level("warning"), level("info"), F.collect_list(F.struct("code", "severity", "message", "count", *[c for c in warnings.columns if c == "examples"])).alias("items")).alias("validation"))
     one = header.select(F.struct(*header.columns).alias("header")).crossJoin(statistics.select(F.struct(*statistics.columns).alias("statistics"))).crossJoin(found)
     return one.select(F.to_json(F.struct("header", "statistics", "validation")).alias("text"))
 

@@ -126,3 +126,17 @@ def test_wide_lane_by_blocks():
             mean, spread = (x, 0.25) if m == 1 else (mean + (x - mean) / m, spread + ((x - mean) ** 2 - spread) / m)
         assert quality.wide_lane_slips(mw, 8)[0] == want == quality.wide_lane_slips(mw)[0]
 
+
+
+def test_rules_and_their_examples(spark):
+    t = 86_400_000 - 60_000
+    rows = [("A", t, "G", "G01", "C1C", 1.0), ("A", t, "G", "G01", "C1C", 2.0), ("A", t + 30_000, "G", "G01", "C1C", -1.0), ("A", t + 60_000, "G", "G1", "C1C", 1.0), ("A", t + 67_000, "G", "G01", "XX", 1.0), ("A", t + 900_000, "G", "G01", "C1C", 0.0), ("A", None, "G", None, None, None)]
+    rows += [("A", t + 900_000 + 30_000 * k, "G", "G02", "Z1C", 1.0) for k in range(20)]
+    found = quality.warnings(spark.createDataFrame(rows, OBS), 30_000, {"marker_name": "x"}, 2)
+    got = {(r.code, r.message if r.code == "missing_header" else ""): r for r in found.collect()}
+    counts = {k[0]: r["count"] for k, r in got.items() if k[0] != "missing_header"}
+    assert counts == {"duplicate": 1, "bad_range": 1, "bad_satellite": 2, "bad_code": 22, "irregular": 1, "gap": 1, "no_time": 1}
+    assert got["bad_code", ""].examples == ["- - -", f"G01 XX {t + 67_000}"] and got["gap", ""].examples == [f"833000 ms to {t + 900_000}"] and got["irregular", ""].first_ms == t + 67_000
+    assert sum(k[0] == "missing_header" for k in got) == 2
+    assert quality.severities(found).first().asDict() == {"errors": 3, "warnings": 27, "info": 1}
+    assert quality.warnings(spark.createDataFrame([], OBS), 30_000).count() == 0
