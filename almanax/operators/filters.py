@@ -121,10 +121,19 @@ def autocomplete(names: DataFrame, typed: str, column: str = "name", order: str
     return names.where(F.upper(F.col(column)).contains(typed.upper())).orderBy(order).limit(most)
 
 
-def page(rows: DataFrame, by: str, number: int = 0, size: int = 50, descending: bool = False, *ties: str) -> DataFrame:
-    """A page of rows by a column, compared in lower case."""
-    key = F.lower(F.col(by).cast("string"))
-    return rows.orderBy(key.desc() if descending else key.asc(), *ties).offset(number * size).limit(size)
+def page(rows: DataFrame, by: str, number: int = 0, size: int = 50, descending: bool = False, *ties: str, collation: str | None = None) -> DataFrame:
+    """A page of rows by a column, compared in lower case or by one of Spark's ICU collations.
+
+    UNICODE compares as people sort names: letters first, then accents, then case, small letters before large. Nulls come last of a
+    collated column, either way round. Only the rows of the pages up to this one are sorted together.
+    """
+    if collation:
+        key = F.collate(F.col(by).cast("string"), collation)
+        order = key.desc_nulls_last() if descending else key.asc_nulls_last()
+    else:
+        key = F.lower(F.col(by).cast("string"))
+        order = key.desc() if descending else key.asc()
+    return rows.orderBy(order, *ties).offset(number * size).limit(size)
 
 
 def above_mask(positions: DataFrame, mask_deg: float = 5.0) -> DataFrame:

@@ -26,6 +26,19 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.page(load(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", 1, 50, False, "p_partkey")
 
 
+#: Endings that differ by accents and case alone, in the order of names; every fifth name is null.
+_ENDINGS = ("resume", "Resume", "RESUME", "résumé")
+
+
+def page_collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of fifty by name up, and the first down, by letters, then accents, then case; nulls last."""
+    k = F.col("p_partkey")
+    ending = F.get(F.array(*[F.lit(x) for x in _ENDINGS]), (k % 5).cast("int"))
+    names = load(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), ending).alias("name"))
+    up = filters.page(names, "name", 2, 50, False, "p_partkey", collation="UNICODE").withColumn("way", F.lit("up"))
+    return up.unionByName(filters.page(names, "name", 0, 50, True, "p_partkey", collation="UNICODE").withColumn("way", F.lit("down")))
+
+
 def first_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = load(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("key"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("value"), F.col("event_id").alias("file_ord"))
     return asof.first_known(h)
@@ -102,13 +115,17 @@ def antenna_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("e", e).select("id", "e.lo", "e.hi", "e.sym", at.alias("value"))
 
 
-_NAMED = (search, autocomplete, page, first_known, staged_files, same_ephemerides, station_position, best_signals, loaded_files, polled_status, formats, time_ticks, elevation_heatmap, great_circles, antenna_patterns)
+_NAMED = (search, autocomplete, page, page_collated, first_known, staged_files, same_ephemerides, station_position, best_signals, loaded_files, polled_status, formats, time_ticks, elevation_heatmap, great_circles, antenna_patterns)
 QUERIES = {f.__name__: f for f in _NAMED}
 
 _TENTH = "CAST(CAST(floor({} * 10 + 0.5) / 10 AS DECIMAL(20, 1)) AS VARCHAR)"
 ORACLE_SQL = {
     "search": "SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE lower(p_name) LIKE '%brand#1%' OR lower(p_brand) LIKE '%brand#1%' OR lower(p_type) LIKE '%brand#1%'",
     "autocomplete": "SELECT c_name AS name, c_custkey AS ord FROM customer WHERE upper(c_name) LIKE '%MER#0000000%' ORDER BY ord LIMIT 50",
+    "page_collated": f"""WITH n AS (SELECT p_partkey, p_name, CAST(p_partkey % 5 AS INT) AS e, p_name || ' ' || [{", ".join(f"'{x}'" for x in _ENDINGS)}][CAST(p_partkey % 5 AS INT) + 1] AS name FROM part),
+u AS (SELECT p_partkey, name, 'up' AS way FROM n ORDER BY name IS NULL, p_name, e, p_partkey LIMIT 50 OFFSET 100),
+d AS (SELECT p_partkey, name, 'down' AS way FROM n ORDER BY name IS NULL, p_name DESC, e DESC, p_partkey LIMIT 50)
+SELECT * FROM u UNION ALL SELECT * FROM d""",
     "page": "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey LIMIT 50 OFFSET 50",
     "first_known": "SELECT user_id % 40 AS key, min_by(value, event_id) FILTER (event_id % 3 = 0) AS value FROM events GROUP BY 1",
     "staged_files": "SELECT 'f' || o_custkey % 97 AS name, min(o_orderkey) AS ord, min_by(o_totalprice, o_orderkey) AS size FROM orders GROUP BY 1",

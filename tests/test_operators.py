@@ -198,3 +198,12 @@ def test_order_statistics(spark):
     got = quality.order_statistics(spark.createDataFrame([(v,) for v in values], "mp double"), "mp", {"a": 0.005, "b": 0.5, "c": 0.995}).first()
     want = sorted(values)
     assert tuple(got) == (want[5], want[500], want[995])
+
+
+def test_pages_by_collation(spark):
+    names = ["zebra", "Ärger", "arger", "Arger", "ärger", "b", "B", "éclair", "eclair", "Éclair", None, "", "ab", "a c", "b"]
+    frame = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    got = [r.name for k in range(5) for r in filters.page(frame, "name", k, 3, False, "i", collation="UNICODE").collect()]
+    assert got == ["", "a c", "ab", "arger", "Arger", "ärger", "Ärger", "b", "b", "B", "eclair", "éclair", "Éclair", "zebra", None]
+    down = [r.name for k in range(8) for r in filters.page(frame, "name", k, 2, True, "i", collation="UNICODE").collect()]
+    assert down == [*got[-2::-1], None] and filters.page(frame, "name", 9, 3, collation="UNICODE").count() == 0
