@@ -180,7 +180,7 @@ _GLONASS = (
 )
 #: The fields of a geostationary satellite's message type 9.
 _SBAS = (
-    ("n", 6, 0, 1), ("iode", 8, 0, 1), ("tb", 13, 0, 16), ("ura", 4, 0, 1), ("x", 30, 1, 0.08), ("y", 30, 1, 0.08), ("z", 25, 1, 0.4), ("vx", 17, 1, 0.000625), ("vy", 17, 1, 0.000625), ("vz", 18, 1, 0.004),
+    ("n", 6, 0, 1), ("iode", 8, 0, 1), ("toc", 13, 0, 16), ("ura", 4, 0, 1), ("x", 30, 1, 0.08), ("y", 30, 1, 0.08), ("z", 25, 1, 0.4), ("vx", 17, 1, 0.000625), ("vy", 17, 1, 0.000625), ("vz", 18, 1, 0.004),
     ("ax", 10, 1, 0.0000125), ("ay", 10, 1, 0.0000125), ("az", 10, 1, 0.0000625), ("af0", 12, 1, _HALF(-31)), ("af1", 8, 1, _HALF(-40)),
 )
 #: What follows a Galileo ephemeris: signal health and data validity, of E5a (1045) or E1-B (1046).

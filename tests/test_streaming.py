@@ -3,10 +3,13 @@
 import random
 import struct
 import time
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
 
 from almanax.sources import chunks, rtcm
-from almanax.streaming import live
+from almanax.streaming import live, timers
 
 
 def frame(kind, size=30):
@@ -148,3 +151,62 @@ def test_chunks_are_cleaned_when_done(spark, tmp_path):
     assert sorted((r.seq, bytes(r.data), r.arrival.microsecond) for r in got) == [(n, bytes([n]), n * 1000) for n in range(6)]
     assert len(list((tmp_path / "chunks").rglob("*.chunk"))) <= 2
     assert chunks.read_chunks(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", timers.STORE)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+MS = int(T0.timestamp() * 1000)
+
+
+def at(seconds):
+    return T0 + timedelta(seconds=seconds)
+
+
+def test_ephemerides_expire(rocks, tmp_path):
+    """One that is renewed, one that is repeated and older, and a later one of another satellite that moves the time on."""
+    rows = [[("R01", at(0)), ("G05", at(0))], [("R01", at(1000)), ("R01", at(900))], [("R01", at(1000)), ("R01", at(500))], [("E11", at(2900))], [("E11", at(9000))], [("E11", at(9001))]]
+    got = replay(rocks, tmp_path, rows, "prn string, arrival timestamp", timers.validity)
+    seen = sorted((r.prn, r.state, (r.at_ms - MS) // 1000) for r in got if r.prn != "E11")
+    assert seen == [("G05", "expired", 7200), ("G05", "valid", 0), ("R01", "expired", 2800), ("R01", "valid", 0), ("R01", "valid", 1000)]
+
+
+def test_epochs_are_closed(rocks, tmp_path):
+    """By the bit, by the next epoch and by the timer; a message that comes twice counts once."""
+    row = lambda t, epoch, kind, more, m="M": (m, "G", at(t), epoch, kind, 5, more)
+    rows = [[row(0, 0, 1077, True), row(0.1, 0, 1077, True)], [row(0.2, 0, 1078, False)], [row(1, 1000, 1077, True)], [row(2, 2000, 1077, True)], [row(60, 0, 1077, False, "N")], [row(120, 0, 1077, False, "N")]]
+    got = replay(rocks, tmp_path, rows, "mountpoint string, system string, arrival timestamp, epoch_ms long, message_type int, n_signals int, more boolean", timers.closed_epochs)
+    assert sorted((r.epoch_ms, r.messages, r.signals, r.closed_by) for r in got if r.mountpoint == "M") == [(0, 2, 10, "last"), (1000, 1, 5, "next"), (2000, 1, 5, "timer")]
+    bit = rocks.createDataFrame([(bytes(6) + b"\x02",), (bytes(7),)], "p binary").select(timers.more_follows(F.col("p")).alias("m")).collect()
+    assert [r.m for r in bit] == [True, False]
+
+
+def test_snapshots_by_the_second(rocks, tmp_path):
+    rows = [[("M", at(0.1), 10), ("M", at(0.9), 20), ("M", at(1.5), 30)], [("M", at(5.5), 1)], [("M", at(30), 0)], [("M", at(60), 0)], [("M", at(90), 0)]]
+    got = replay(rocks, tmp_path, rows, "mountpoint string, arrival timestamp, length int", timers.snapshots)
+    assert sorted(((r.at_ms - MS) // 1000, r.frames, r.bytes) for r in got)[:3] == [(1, 2, 42), (2, 3, 78), (6, 4, 85)]
+
+
+def test_live_sky_is_the_nearest_join(rocks, tmp_path):
+    """The stream gives the rows of the tables, but for those that are later than the watermark allows."""
+    eph = [[("G01", at(0), "a"), ("R02", at(0), "r")], [("G01", at(600), "b")], [("G01", at(610), "c")], [("G01", at(9000), "d")], [("C01", at(40000), "-")], [("C01", at(40001), "-")]]
+    sig = [[("G01", at(1), 40.0), ("R02", at(2), 30.0), ("E09", at(3), 1.0)], [("G01", at(605), 41.0), ("R02", at(1799), 31.0), ("R02", at(1801), 32.0)], [("G01", at(1900), 42.0)], [("E09", at(30000), 0.0)], [("E09", at(40000), 0.0)], [("E09", at(40001), 0.0)], [("G01", at(1500), 9.0)]]
+    spec = {"eph": (eph, "prn string, arrival timestamp, e string"), "sig": (sig, "prn string, ts timestamp, cn0 double")}
+    for name, (rows, schema) in spec.items():
+        for part in rows:
+            rocks.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            time.sleep(0.05)
+    stream = {n: rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n, (_, schema) in spec.items()}
+    query = timers.live_sky(stream["eph"], stream["sig"], "1 hour").writeStream.format("memory").queryName("sky_rows").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    key = lambda r: (r.prn, r.ts, r.cn0, r.arrival, r.e)
+    table = {n: rocks.read.schema(schema).parquet(str(tmp_path / n)) for n, (_, schema) in spec.items()}
+    batch = {key(r) for r in timers.live_sky(table["eph"], table["sig"]).collect()}
+    assert sorted((p, c, e) for p, _, c, _, e in batch) == [("G01", 9.0, "c"), ("G01", 40.0, "a"), ("G01", 41.0, "b"), ("G01", 42.0, "c"), ("R02", 30.0, "r"), ("R02", 31.0, "r")]
+    assert {key(r) for r in rocks.table("sky_rows").collect()} == {r for r in batch if r[2] != 9.0}
