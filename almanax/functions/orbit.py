@@ -123,7 +123,7 @@ def satellite_positions(times: DataFrame, eph: DataFrame, receiver: tuple[float,
     takes the nearest ephemeris young enough; without one there is no row. A receiver at the origin counts as none.
     """
     prns = eph.select("prn").distinct()
-    grid = times.select("t_ms").crossJoin(F.broadcast(prns))  # satellites are at most a few hundred
+    grid = times.select("t_ms").crossJoin(prns)
     age = max_age(F.substring("_k", 1, 1))
     found = nearest(grid, eph, "prn", "t_ms", "toc_ms", LONG_AGE, [F.col("ord")], ["toc_ms", "kepler", "state"], age).where("best is not null")
     sys = F.substring("prn", 1, 1)

@@ -56,15 +56,21 @@ def density(f: Column, form: str, sub: float, chip: float) -> Column:
     return boc(f, sub * F0, chip * F0, form == "bocc")
 
 
+def spectra(offsets: DataFrame, floor_db: float = -60.0) -> DataFrame:
+    """sys, signal, offset_hz and db (relative to 1/MHz, not below the floor) of every signal of the catalogue at each offset_hz."""
+    f = F.col("offset_hz")
+
+    def level(form: str, sub: float, chip: float) -> Column:
+        return F.greatest(10 * F.log10(F.greatest(density(f, form, sub, chip) * 1e6, F.lit(1e-30))), F.lit(floor_db))
+
+    every = F.array(*[F.struct(F.lit(sys).alias("sys"), F.lit(name).alias("signal"), level(form, sub, chip).alias("db")) for sys, name, form, sub, chip, _ in CATALOGUE])
+    return offsets.select("offset_hz", F.inline(every)).select("sys", "signal", "offset_hz", "db")
+
+
 def spectrum(spark: SparkSession, reach_hz: float = 25e6, points: int = 2000, floor_db: float = -60.0) -> DataFrame:
-    """sys, signal, offset_hz and db (relative to 1/MHz, not below the floor) of every signal of the catalogue."""
-    axis = spark.range(points).select((-reach_hz + (F.col("id") + 0.5) * (2 * reach_hz / points)).alias("f"))
-    out = None
-    for sys, name, form, sub, chip, _ in CATALOGUE:
-        db = 10 * F.log10(F.greatest(density(F.col("f"), form, sub, chip) * 1e6, F.lit(1e-30)))
-        rows = axis.select(F.lit(sys).alias("sys"), F.lit(name).alias("signal"), F.col("f").alias("offset_hz"), F.greatest(db, F.lit(floor_db)).alias("db"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """spectra at so many points, evenly over the reach to both sides."""
+    axis = spark.range(points).select((-reach_hz + (F.col("id") + 0.5) * (2 * reach_hz / points)).alias("offset_hz"))
+    return spectra(axis, floor_db)
 
 
 def strength_indicator(cn0: Column) -> Column:

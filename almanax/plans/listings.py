@@ -98,7 +98,7 @@ def elevation_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def great_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of the way from each place to (48.1, 11.5): along the great circle in 4 pieces, and evenly in both angles."""
-    p = places(spark, sf_dir).where("abs(lat) < 80").withColumns({"la": F.radians("lat"), "lo": F.radians("lon")})
+    p = places(spark, sf_dir).withColumns({"la": F.radians("lat"), "lo": F.radians("lon")})
     to = F.radians(F.lit(48.1)), F.radians(F.lit(11.5))
     both = F.arrays_zip(geodesy.great_circle_points(F.col("la"), F.col("lo"), *to, 4).alias("a"), geodesy.straight_points(F.col("la"), F.col("lo"), *to, 4).alias("b"))
     rows = p.select("id", F.posexplode(both).alias("i", "p"))
@@ -142,7 +142,7 @@ SELECT * FROM u UNION ALL SELECT * FROM d""",
     "time_ticks": "WITH s AS (SELECT min(epoch_us(ts) // 1000) AS a FROM events), f AS (SELECT CAST(ceil(a / 10800000.0::DOUBLE) AS BIGINT) * 10800000 AS f, a + 50000000 AS b FROM s) SELECT unnest(range(f, b + 1, 10800000)) AS t_ms FROM f",
     "elevation_heatmap": f"""WITH {POSITIONS}, e AS (SELECT t_ms, row_number() OVER (ORDER BY t_ms) - 1 AS i, greatest(1, CAST(ceil(count(*) OVER () / 60.0) AS BIGINT)) AS step FROM (SELECT DISTINCT t_ms FROM pos))
         SELECT t_ms, prn, round(degrees(el), 6) AS el FROM (SELECT t_ms FROM e WHERE i % step = 0) CROSS JOIN (SELECT DISTINCT prn FROM pos) LEFT JOIN pos USING (t_ms, prn)""",
-    "great_circles": f"""WITH {PLACES}, p AS (SELECT id, radians(lat) AS la, radians(lon) AS lo, radians(48.1) AS lb, radians(11.5) AS ob FROM places WHERE abs(lat) < 80), d AS (SELECT *, 2 * asin(sqrt(pow(sin((lb - la) / 2), 2) + cos(la) * cos(lb) * pow(sin((ob - lo) / 2), 2))) AS d FROM p),
+    "great_circles": f"""WITH {PLACES}, p AS (SELECT id, radians(lat) AS la, radians(lon) AS lo, radians(48.1) AS lb, radians(11.5) AS ob FROM places), d AS (SELECT *, 2 * asin(sqrt(pow(sin((lb - la) / 2), 2) + cos(la) * cos(lb) * pow(sin((ob - lo) / 2), 2))) AS d FROM p),
         k AS (SELECT *, sin((1 - i / 4.0::DOUBLE) * d) / sin(d) AS a, sin(i / 4.0::DOUBLE * d) / sin(d) AS b FROM d, (SELECT unnest(range(0, 5)) AS i)), v AS (SELECT *, a * cos(la) * cos(lo) + b * cos(lb) * cos(ob) AS x, a * cos(la) * sin(lo) + b * cos(lb) * sin(ob) AS y, a * sin(la) + b * sin(lb) AS z FROM k)
         SELECT id, CAST(i AS INT) AS i, round(degrees(atan2(z, sqrt(x * x + y * y))), 5) AS lat, round(degrees(atan2(y, x)), 5) AS lon, round(degrees(la + (lb - la) * i / 4), 5) AS even_lat, round(degrees(lo + (ob - lo) * i / 4), 5) AS even_lon FROM v""",
     "antenna_patterns": """WITH c AS (SELECT p_partkey AS id, a, z, ((p_partkey * (a + 1) + z * 7) % 23 - 11) / 10.0::DOUBLE AS v FROM part, (SELECT unnest(range(0, 4)) AS a), (SELECT unnest(range(0, 6)) AS z))

@@ -74,7 +74,7 @@ def look_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each place to (48.1, 11.5): great circle, rhumb line, middle, horizon."""
-    p = places(spark, sf_dir).where("abs(lat) < 89").withColumns({"la": F.radians("lat"), "lo": F.radians("lon")})
+    p = places(spark, sf_dir).withColumns({"la": F.radians("lat"), "lo": F.radians("lon")})
     to = F.radians(F.lit(48.1)), F.radians(F.lit(11.5))
     p = p.withColumns({"m": G.midpoint(F.col("la"), F.col("lo"), *to), "r": G.rhumb(F.col("la"), F.col("lo"), *to)})
     return p.select(
@@ -135,7 +135,7 @@ ORACLE_SQL = {
     "look_angles": f"""WITH {PLACES}, d AS (SELECT id, radians(lat) AS la, radians(lon) AS lo, {_BX} - {_X} AS dx, {_BY} - {_Y} AS dy, {_BZ} - {_Z} AS dz FROM places),
         v AS (SELECT *, -sin(lo) * dx + cos(lo) * dy AS e, -sin(la) * cos(lo) * dx - sin(la) * sin(lo) * dy + cos(la) * dz AS n, cos(la) * cos(lo) * dx + cos(la) * sin(lo) * dy + sin(la) * dz AS u FROM d)
         SELECT id, round((degrees(atan2(e, n)) + 360) % 360, 5) AS az, round(degrees(atan2(u, sqrt(e * e + n * n))), 5) AS el, round(sqrt(dx * dx + dy * dy + dz * dz), 2) AS range, round(e, 2) AS e, round(n, 2) AS n, round(u, 2) AS u FROM v""",
-    "distances": f"""WITH {PLACES}, p AS (SELECT *, radians(lat) AS la, radians(lon) AS lo, radians(48.1) AS lb, radians(11.5) AS ob FROM places WHERE abs(lat) < 89),
+    "distances": f"""WITH {PLACES}, p AS (SELECT *, radians(lat) AS la, radians(lon) AS lo, radians(48.1) AS lb, radians(11.5) AS ob FROM places),
         q AS (SELECT *, (ob - lo + 3 * pi()) % (2 * pi()) - pi() AS dl, ln(tan(pi() / 4 + lb / 2) / tan(pi() / 4 + la / 2)) AS st, {_MID[0]} AS bx, {_MID[1]} AS byy FROM p)
         SELECT id, round(2 * {_R} * asin(sqrt(pow(sin((lb - la) / 2), 2) + cos(la) * cos(lb) * pow(sin((ob - lo) / 2), 2))), 2) AS great_circle,
                round({_R} * sqrt(pow(lb - la, 2) + pow((lb - la) / st * dl, 2)), 2) AS rhumb, round((degrees(atan2(dl, st)) + 360) % 360, 5) AS bearing,
