@@ -86,14 +86,27 @@ def signal_counts(obs: DataFrame) -> DataFrame:
     return obs.where("value is not null").groupBy("sys", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def apply_filters(obs: DataFrame, f: FilterState) -> DataFrame:
-    """The observations left. Decimation sees the epochs of all satellites; the sparse threshold sees what is left before it."""
+def _own(obs: DataFrame) -> list[str]:
+    return [c for c in ("station", "file") if c in obs.columns][:1]
+
+
+def _before_codes(obs: DataFrame, f: FilterState) -> DataFrame:
+    """obs in the window, decimated; decimation sees the epochs of all satellites, each receiver's by themselves."""
     out = obs.where(in_window(f))
     if f.interval_s:
-        own = next((c for c in ("station", "file") if c in obs.columns), None)  # each receiver's epochs are walked by themselves
-        kept = greedy_epochs(out, f.interval_s * 1000, key=own).withColumnRenamed("key", own or "key")
-        out = out.join(kept, [*([own] if own else []), "t_ms"], "left_semi").select(obs.columns)
-    out = out.where(satellites_wanted(f) & codes_wanted(f))
+        own = _own(obs)
+        kept = greedy_epochs(out, f.interval_s * 1000, key=own[0] if own else None)
+        if own:
+            kept = kept.select(F.col("key").alias("_key"), F.col("t_ms").alias("_t"))
+            out = out.join(kept, out[own[0]].cast("string").eqNullSafe(F.col("_key")) & (out["t_ms"] == F.col("_t")), "left_semi")
+        else:
+            out = out.join(kept.select("t_ms"), "t_ms", "left_semi")
+    return out.select(obs.columns)
+
+
+def apply_filters(obs: DataFrame, f: FilterState) -> DataFrame:
+    """The observations left. Decimation sees the epochs of all satellites; the sparse threshold sees what is left before it."""
+    out = _before_codes(obs, f).where(satellites_wanted(f) & codes_wanted(f))
     if f.sparse_percent > 0:
         epochs = out.select("t_ms").distinct().agg(F.count(F.lit(1)).alias("n_epochs"))
         counts = signal_counts(out).withColumn("n_epochs", epochs.scalar())
@@ -102,6 +115,18 @@ def apply_filters(obs: DataFrame, f: FilterState) -> DataFrame:
     return out
 
 
+def satellite_epochs(obs: DataFrame, f: FilterState) -> DataFrame:
+    """The receiver's column if there is one, t_ms, sys and prn of the satellites that stay, beside what apply_filters leaves.
+
+    A satellite goes with its time or by its name, and else only if its system has no code left; it stays if all of its own values
+    are gone. An epoch stays as long as it has a satellite.
+    """
+    rows = _before_codes(obs, f).where(satellites_wanted(f)).select(*_own(obs), "t_ms", "sys", "prn").distinct()
+    if not (f.excludes_codes() or f.sparse_percent > 0):
+        return rows
+    return rows.join(apply_filters(obs, f).select("sys").distinct(), "sys", "left_semi").select(rows.columns)
+
+
 def require_rows(obs: DataFrame) -> DataFrame:
     if obs.isEmpty():
         raise AllDataExcluded("all data excluded by the filters")

@@ -93,6 +93,13 @@ def filter_decimated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.apply_filters(observations(spark, sf_dir), DECIMATED)
 
 
+def filter_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Satellites that stay when codes, a system and a week's first half go, with the number of their values that are left, 0 too."""
+    obs, f = observations(spark, sf_dir), filters.FilterState(systems=("R",), types=("C", "S"), bands=("2",), end_ms=1_705_500_000_000)
+    left = filters.apply_filters(obs, f).groupBy("t_ms", "sys", "prn").agg(F.count("value").alias("n"))
+    return filters.satellite_epochs(obs, f).join(left, ["t_ms", "sys", "prn"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def filter_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.apply_filters(observations(spark, sf_dir), SPARSE)
 
@@ -107,7 +114,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         grid_system_epochs, grid_epochs, satellite_snr, band_snr, statistics, cn0_histogram, system_snr_histogram, code_registry, ordered_codes, facets, type_matrix, chart_rows, strided_epochs,
-        satellite_heatmap, median_interval, filter_exclusions, filter_decimated, filter_sparse, split_chunks,
+        satellite_heatmap, median_interval, filter_exclusions, filter_decimated, filter_satellites, filter_sparse, split_chunks,
     )
 }
 
@@ -146,6 +153,9 @@ ORACLE_SQL = {
         k AS (SELECT list(d ORDER BY d) AS l FROM d WHERE d > 0 AND d < 300) SELECT l[len(l) // 2 + 1] AS interval FROM k""",
     "filter_exclusions": f"""WITH {OBS} SELECT * FROM obs WHERE t_ms BETWEEN 1704240000000 AND 1705968000000 AND sys <> 'S' AND prn NOT IN ('G03', 'R05') AND code NOT LIKE 'L%' AND substr(code, 2, 1) <> '2'
         AND NOT (sys = 'E' AND substr(code, 2) = '1C')""",
+    "filter_satellites": f"""WITH {OBS}, b AS (SELECT * FROM obs WHERE sys <> 'R' AND t_ms <= 1705500000000), k AS (SELECT * FROM b WHERE substr(code, 1, 1) NOT IN ('C', 'S') AND substr(code, 2, 1) <> '2'),
+n AS (SELECT t_ms, prn, count(value) AS n FROM k GROUP BY ALL), e AS (SELECT DISTINCT t_ms, sys, prn FROM b WHERE sys IN (SELECT sys FROM k))
+SELECT t_ms, sys, prn, coalesce(n, 0) AS n FROM e LEFT JOIN n USING (t_ms, prn)""",
     "filter_decimated": "WITH " + _GREEDY.format(obs=OBS, least=10_000_000 - 1) + " SELECT t_ms, sys, prn, code, value FROM obs WHERE t_ms IN (SELECT t_ms FROM w WHERE t_ms = last)",
     "filter_sparse": f"""WITH {OBS}, k AS (SELECT * FROM obs WHERE sys <> 'I'), c AS (SELECT sys, code, count(value) AS n FROM k GROUP BY ALL)
         SELECT t_ms, sys, prn, code, value FROM k WHERE (sys, code) IN (SELECT (sys, code) FROM c WHERE n >= ceil((SELECT count(DISTINCT t_ms) FROM k) * 40.0 / 100))""",

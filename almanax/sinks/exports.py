@@ -93,16 +93,19 @@ def _old_types(obs: DataFrame) -> DataFrame:
     return rows.select((100 + F.col("i")).cast("long").alias("ord"), header_line(F.concat(lead, F.array_join(F.transform(some, lambda c: F.lpad(c, 6, " ")), "")), "# / TYPES OF OBSERV").alias("text"))
 
 
-def observation_lines(obs: DataFrame, live_order: bool = False) -> DataFrame:
+def observation_lines(obs: DataFrame, live_order: bool = False, satellites: DataFrame | None = None) -> DataFrame:
     """Epoch and satellite lines of versions 3 and 4 as (ord = t_ms, prn, text): an epoch's own line has an empty prn.
 
-    obs may have lli and ssi columns; else both are blank.
+    obs may have lli and ssi columns; else both are blank. satellites: t_ms, sys and prn of those that have a line, with values or
+    without (filters.satellite_epochs); else it is those of obs.
     """
     lists = code_lists(obs, live_order)
     marks = {"lli", "ssi"} <= set(obs.columns)
     mark = F.concat(*[F.coalesce(F.when(F.col(c) > 0, F.col(c).cast("string")), F.lit(" ")) for c in ("lli", "ssi")]) if marks else F.lit("  ")
     cell = F.when(F.col("value").isNotNull(), F.concat(fixed(F.col("value"), 14, 3), mark)).otherwise(" " * 16)
     sats = obs.groupBy("t_ms", "sys", "prn").agg(F.map_from_entries(F.collect_list(F.struct("code", cell.alias("cell")))).alias("have"))
+    if satellites is not None:
+        sats = satellites.select("t_ms", "sys", "prn").join(sats, ["t_ms", "sys", "prn"], "left")
     rows = sats.join(F.broadcast(lists), "sys")  # a row per system
     text = F.concat("prn", F.array_join(F.transform("codes", lambda c: F.coalesce(F.try_element_at("have", c), F.lit(" " * 16))), ""))
     body = rows.select(F.col("t_ms").alias("ord"), "prn", text.alias("text"))
@@ -130,11 +133,11 @@ def old_observation_lines(obs: DataFrame) -> DataFrame:
     return body.unionByName(epochs.select(F.col("t_ms").alias("ord"), F.lit("").alias("prn"), F.array_join(lines, "\n").alias("text")))
 
 
-def rinex(obs: DataFrame, version: str = "3.04", **header) -> DataFrame:
-    """A whole observation file as (part, ord, prn, text); versions 2.11, 3.04 and 4.01."""
+def rinex(obs: DataFrame, version: str = "3.04", satellites: DataFrame | None = None, **header) -> DataFrame:
+    """A whole observation file as (part, ord, prn, text); versions 2.11, 3.04 and 4.01, the latter two with given satellites if any."""
     old = version.startswith("2")
     head = observation_header(obs, version, **header).select(F.lit(0).alias("part"), "ord", F.lit("").alias("prn"), "text")
-    body = old_observation_lines(obs) if old else observation_lines(obs, header.get("live_order", False))
+    body = old_observation_lines(obs) if old else observation_lines(obs, header.get("live_order", False), satellites)
     return head.unionByName(body.select(F.lit(1).alias("part"), "ord", "prn", "text"))
 
 
