@@ -43,9 +43,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder; what is written there stays until drop_scratch() or clear_scratch()."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_scratch(path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    from pyarrow.fs import FileType
+
+    from almanax.sources.files import filesystem
+
+    files, name, _ = filesystem(path)
+    if files.get_file_info(name).type == FileType.Directory:
+        files.delete_dir(name)
+    if path in _made:
+        _made.remove(path)
+
+
+def clear_scratch() -> int:
+    """Remove all that this process left, once the results made of it are written or no longer needed; how many."""
+    n = len(_made)
+    for path in list(_made):
+        drop_scratch(path)
+    return n
 
 
 def save_table(df: DataFrame, name: str) -> DataFrame:
