@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from almanax.session import clear_scratch as clear
+from almanax.session import drop_scratch as drop
 from almanax.session import scratch_path as new_path
-from almanax.sources.files import filesystem
-
-_made: list[str] = []
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -20,7 +19,6 @@ def write(df: DataFrame, name: str) -> str:
     """The path of df's table, which stays until drop() or clear()."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
     return path
 
 
@@ -28,19 +26,4 @@ def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop(path: str) -> None:
-    """Remove a table that nothing reads any more."""
-    files, name, _ = filesystem(path)
-    files.delete_dir(name)
-    _made.remove(path)
-
-
-def clear() -> int:
-    """Remove all tables that this process left, once the results made of them are written or no longer needed; how many."""
-    n = len(_made)
-    for path in list(_made):
-        drop(path)
-    return n
-
-
 __all__ = ["clear", "drop", "new_path", "read", "save", "write"]
