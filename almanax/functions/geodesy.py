@@ -16,6 +16,11 @@ MEAN_RADIUS = 6371008.8
 REFRACTION = 0.13
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def geodetic_to_ecef(lat: Column, lon: Column, h: Column) -> Column:
     """struct x, y, z."""
     n = A / F.sqrt(1 - E2 * F.sin(lat) * F.sin(lat))
@@ -67,41 +72,47 @@ def vincenty(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int
     span = lon2 - lon1
     base = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), span.alias("L"))
 
-    def turn(k: Column, lam: Column) -> dict[str, Column]:
-        sin_sigma = F.sqrt(F.pow(k["c2"] * F.sin(lam), 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam), 2))
-        cos_sigma = k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
-        sin_alpha = F.when(sin_sigma != 0, k["c1"] * k["c2"] * F.sin(lam) / sin_sigma).otherwise(F.lit(0.0))
-        cos2 = 1 - sin_alpha * sin_alpha
-        cos_m = F.when(cos2 != 0, cos_sigma - 2 * k["s1"] * k["s2"] / cos2).otherwise(F.lit(0.0))
-        return {"sin_sigma": sin_sigma, "cos_sigma": cos_sigma, "sigma": F.atan2(sin_sigma, cos_sigma), "sin_alpha": sin_alpha, "cos2": cos2, "cos_m": cos_m}
+    def turn(k: Column, lam: Column, then) -> Column:
+        """then of the figures of a turn, each of which is computed once from those before."""
+
+        def more(p: Column, names: str, figures: dict[str, Column]) -> Column:
+            return F.struct(*[p[n].alias(n) for n in names.split()], *[v.alias(n) for n, v in figures.items()])
+
+        def sides(p: Column) -> Column:
+            sin_sigma = F.sqrt(F.pow(k["c2"] * p["sin_lam"], 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * p["cos_lam"], 2))
+            return more(p, "sin_lam", {"sin_sigma": sin_sigma, "cos_sigma": k["s1"] * k["s2"] + k["c1"] * k["c2"] * p["cos_lam"]})
+
+        def angles(p: Column) -> Column:
+            sin_alpha = F.when(p["sin_sigma"] != 0, k["c1"] * k["c2"] * p["sin_lam"] / p["sin_sigma"]).otherwise(F.lit(0.0))
+            return more(p, "sin_sigma cos_sigma", {"sigma": F.atan2(p["sin_sigma"], p["cos_sigma"]), "sin_alpha": sin_alpha})
 
-    one = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  computes value once
+        squared = lambda p: more(p, "sin_sigma cos_sigma sigma sin_alpha", {"cos2": 1 - p["sin_alpha"] * p["sin_alpha"]})
+        middle = lambda p: more(p, "sin_sigma cos_sigma sigma sin_alpha cos2", {"cos_m": F.when(p["cos2"] != 0, p["cos_sigma"] - 2 * k["s1"] * k["s2"] / p["cos2"]).otherwise(F.lit(0.0))})
+        start = F.struct(F.sin(lam).alias("sin_lam"), F.cos(lam).alias("cos_lam"))
+        return _once(start, lambda p: _once(sides(p), lambda q: _once(angles(q), lambda r: _once(squared(r), lambda s: _once(middle(s), then)))))
 
     def solve(k: Column) -> Column:
         def step(state: Column, _: Column) -> Column:
-            t = turn(k, state["lam"])
-            parts = F.struct(*[v.alias(n) for n, v in t.items()])
             c = lambda p: FLAT / 16 * p["cos2"] * (4 + FLAT * (4 - 3 * p["cos2"]))
             nxt = lambda p: k["L"] + (1 - c(p)) * FLAT * p["sin_alpha"] * (p["sigma"] + c(p) * p["sin_sigma"] * (p["cos_m"] + c(p) * p["cos_sigma"] * (2 * p["cos_m"] * p["cos_m"] - 1)))
-            return F.struct(one(parts, nxt).alias("lam"), state["lam"].alias("before"))
+            return F.struct(turn(k, state["lam"], nxt).alias("lam"), state["lam"].alias("before"))
 
         settled = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(k["L"].alias("lam"), F.lit(99.0).alias("before")), step)
-        return one(settled, lambda s: one(F.struct(s["lam"].alias("lam"), (F.abs(s["lam"] - s["before"]) < 1e-11).alias("ok"), *[v.alias(n) for n, v in turn(k, s["lam"]).items()]), lambda p: finish(k, p)))
+        return _once(settled, lambda s: F.when(F.abs(s["lam"] - s["before"]) < 1e-11, turn(k, s["lam"], lambda p: finish(k, p, s["lam"]))))
 
-    def finish(k: Column, p: Column) -> Column:
+    def finish(k: Column, p: Column, lam: Column) -> Column:
         u = p["cos2"] * (A * A - B * B) / (B * B)
         big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
         big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
         m = p["cos_m"]
         delta = big_b * p["sin_sigma"] * (m + big_b / 4 * (p["cos_sigma"] * (2 * m * m - 1) - big_b / 6 * m * (4 * p["sin_sigma"] * p["sin_sigma"] - 3) * (4 * m * m - 3)))
         bearing = lambda y, x: F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0))
-        first = bearing(k["c2"] * F.sin(p["lam"]), k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(p["lam"]))
-        last = bearing(k["c1"] * F.sin(p["lam"]), k["c1"] * k["s2"] * F.cos(p["lam"]) - k["s1"] * k["c2"])
-        found = F.struct((B * big_a * (p["sigma"] - delta)).alias("distance"), first.alias("initial"), last.alias("final"))
-        return F.when(p["ok"], found)
+        first = bearing(k["c2"] * F.sin(lam), k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam))
+        last = bearing(k["c1"] * F.sin(lam), k["c1"] * k["s2"] * F.cos(lam) - k["s1"] * k["c2"])
+        return F.struct((B * big_a * (p["sigma"] - delta)).alias("distance"), first.alias("initial"), last.alias("final"))
 
     same = (lat1 == lat2) & (lon1 == lon2)
-    return F.when(same, F.struct(F.lit(0.0).alias("distance"), F.lit(0.0).alias("initial"), F.lit(0.0).alias("final"))).otherwise(one(base, solve))
+    return F.when(same, F.struct(F.lit(0.0).alias("distance"), F.lit(0.0).alias("initial"), F.lit(0.0).alias("final"))).otherwise(_once(base, solve))
 
 
 def rhumb(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = MEAN_RADIUS) -> Column:

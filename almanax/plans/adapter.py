@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanax.model import FREQUENCIES, SPEED_OF_LIGHT
-from almanax.session import load
+from almanax.session import load, spread
 
 HOUR = 3_600_000
 CODES = {"click": "C1C", "view": "L1C", "purchase": "S1C", "signup": "S2W", "error": "L2W"}
@@ -51,8 +51,8 @@ EPH = """eph AS (
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, lat and lon in degrees and h in metres, from customers."""
-    c = load(spark, sf_dir, "customer")
+    """id, lat and lon in degrees and h in metres, from customers; dealt over all cores."""
+    c = spread(load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
     return c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 179 - 89).cast("double").alias("lat"), (F.col("c_custkey") * 13 % 359 - 179).cast("double").alias("lon"), F.col("c_acctbal").alias("h"))
 
 

@@ -32,6 +32,12 @@ def load(spark: SparkSession, sf_dir: str, *tables: str):
     return frames[0] if len(frames) == 1 else frames
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over all cores by keys, for work that costs much per row: a table of few bytes is else a task or two, however many rows it has."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as spark.checkpoint.dir names it; only where that is unset and all is one machine, a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
