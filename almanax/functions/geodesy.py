@@ -222,18 +222,23 @@ def normalised_bearing(deg: Column) -> Column:
 
 def great_circle_points(lat1: Column, lon1: Column, lat2: Column, lon2: Column, segments: int = 64) -> Column:
     """Array of struct lat, lon along the great circle; equal places give both ends."""
-    d = haversine(lat1, lon1, lat2, lon2, 1.0)
+    ends = F.array(F.struct(lat1.alias("lat"), lon1.alias("lon")), F.struct(lat2.alias("lat"), lon2.alias("lon")))
+    both = F.struct(haversine(lat1, lon1, lat2, lon2, 1.0).alias("d"), *[f(v).alias(f"{n}{v_n}") for v_n, v in (("a1", lat1), ("o1", lon1), ("a2", lat2), ("o2", lon2)) for n, f in (("s", F.sin), ("c", F.cos))])
 
-    def at(i: Column) -> Column:
-        f = i / segments
-        a, b = F.sin((1 - f) * d) / F.sin(d), F.sin(f * d) / F.sin(d)
-        x = a * F.cos(lat1) * F.cos(lon1) + b * F.cos(lat2) * F.cos(lon2)
-        y = a * F.cos(lat1) * F.sin(lon1) + b * F.cos(lat2) * F.sin(lon2)
-        z = a * F.sin(lat1) + b * F.sin(lat2)
-        return F.struct(F.atan2(z, F.sqrt(x * x + y * y)).alias("lat"), F.atan2(y, x).alias("lon"))
+    def between(k: Column) -> Column:
+        def at(i: Column) -> Column:
+            f = i / segments
+            parts = F.struct((F.sin((1 - f) * k["d"]) / F.sin(k["d"])).alias("a"), (F.sin(f * k["d"]) / F.sin(k["d"])).alias("b"))
+            return _once(_once(parts, point), lambda p: F.struct(F.atan2(p["z"], F.sqrt(p["x"] * p["x"] + p["y"] * p["y"])).alias("lat"), F.atan2(p["y"], p["x"]).alias("lon")))
 
-    ends = F.array(F.struct(lat1.alias("lat"), lon1.alias("lon")), F.struct(lat2.alias("lat"), lon2.alias("lon")))
-    return F.when(d < 1e-12, ends).otherwise(F.transform(F.sequence(F.lit(0), F.lit(segments)), at))
+        def point(p: Column) -> Column:
+            x = p["a"] * k["ca1"] * k["co1"] + p["b"] * k["ca2"] * k["co2"]
+            y = p["a"] * k["ca1"] * k["so1"] + p["b"] * k["ca2"] * k["so2"]
+            return F.struct(x.alias("x"), y.alias("y"), (p["a"] * k["sa1"] + p["b"] * k["sa2"]).alias("z"))
+
+        return F.when(k["d"] < 1e-12, ends).otherwise(F.transform(F.sequence(F.lit(0), F.lit(segments)), at))
+
+    return _once(both, between)
 
 
 def straight_points(lat1: Column, lon1: Column, lat2: Column, lon2: Column, segments: int = 64) -> Column:

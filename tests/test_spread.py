@@ -21,3 +21,9 @@ def test_vincenty_stays_small(spark):
     # each figure of a turn is named from those before, and not spelt out again in all that follow
     one = F.lit(0.1)
     assert geodesy.vincenty(one, one, one, one)._jc.toString().lower().count("sqrt") < 8
+
+
+def test_great_circles_are_dealt_out_and_stay_small(spark):
+    one = F.lit(0.1)
+    assert dealt(spark, "great_circles") >= 4
+    assert geodesy.great_circle_points(one, one, one, one)._jc.toString().lower().count("sqrt") < 8
