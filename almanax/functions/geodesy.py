@@ -223,7 +223,7 @@ def normalised_bearing(deg: Column) -> Column:
 def great_circle_points(lat1: Column, lon1: Column, lat2: Column, lon2: Column, segments: int = 64) -> Column:
     """Array of struct lat, lon along the great circle; equal places give both ends."""
     ends = F.array(F.struct(lat1.alias("lat"), lon1.alias("lon")), F.struct(lat2.alias("lat"), lon2.alias("lon")))
-    both = F.struct(haversine(lat1, lon1, lat2, lon2, 1.0).alias("d"), *[f(v).alias(f"{n}{v_n}") for v_n, v in (("a1", lat1), ("o1", lon1), ("a2", lat2), ("o2", lon2)) for n, f in (("s", F.sin), ("c", F.cos))])
+    both = F.struct(haversine(lat1, lon1, lat2, lon2, 1.0).alias("d"), *[f(v).alias(f"{n}{v_n}") for v_n, v in (("a1", lat1), ("o1", lon1), ("a2", lat2), ("o2", lon2)) for n, f in (("s", F.sin), ("c", F.cos))], ends.alias("ends"))
 
     def between(k: Column) -> Column:
         def at(i: Column) -> Column:
@@ -236,7 +236,7 @@ def great_circle_points(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
             y = p["a"] * k["ca1"] * k["so1"] + p["b"] * k["ca2"] * k["so2"]
             return F.struct(x.alias("x"), y.alias("y"), (p["a"] * k["sa1"] + p["b"] * k["sa2"]).alias("z"))
 
-        return F.when(k["d"] < 1e-12, ends).otherwise(F.transform(F.sequence(F.lit(0), F.lit(segments)), at))
+        return F.when(k["d"] < 1e-12, k["ends"]).otherwise(F.transform(F.sequence(F.lit(0), F.lit(segments)), at))
 
     return _once(both, between)
 

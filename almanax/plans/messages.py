@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanax.session import load, save_table
+from almanax.session import load, save_table, spread
 from almanax.sources import bits, rtcm
 from almanax.streaming import live
 
@@ -50,7 +50,7 @@ def frame_ephemerides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _station_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, mountpoint, arrival and frame of two messages per customer: where a station is, and what it has."""
     k = F.col("k")
-    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), "c_name", "c_mktsegment")
+    c = spread(load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), "c_name", "c_mktsegment"), "k")
     metres = lambda factor: (k * factor % 200_000_001 - 100_000_000) * F.lit(0.0001)
     at = [k % 4096, k % 64, metres(7919), metres(104_729), metres(15_485_863)]
     place = F.when(k % 3 == 0, rtcm.pack_station(*at)).otherwise(rtcm.pack_station(*at, (k % 65_536) * F.lit(0.0001)))
@@ -62,7 +62,9 @@ def _station_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(frames: DataFrame) -> DataFrame:
-    return frames.withColumn("payload", bits.payload(F.col("frame"))).where("payload is not null").drop("frame")
+    # a generator, as Spark else checks each frame once more for the filter
+    rest = [c for c in frames.columns if c != "frame"]
+    return frames.select(*rest, F.explode(F.filter(F.array(bits.payload(F.col("frame"))), lambda p: p.isNotNull())).alias("payload"))
 
 
 def frame_stations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,11 @@ Layout = Iterable[tuple[str, int, int, float]]
 POLYNOMIAL = 0x1864CFB
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def number(data: Column, first: Column | int, n: int) -> Column:
     """n bytes (7 at most) from place first (from 1) on as an unsigned number; null if they aren't all there."""
     first = F.lit(first) if isinstance(first, int) else first
@@ -26,11 +31,10 @@ def bit_field(data: Column, at: int, bits: int, signed: int = 0) -> Column:
     """The number in the bits [at, at + bits) of data, counted from its first; 49 bits at most."""
     first, last = at // 8, (at + bits - 1) // 8
     raw = F.shiftright(number(data, first + 1, last - first + 1), 8 * (last + 1) - at - bits).bitwiseAND(F.lit((1 << bits) - 1))
-    top = F.lit(1 << bits - 1)
     if signed == 1:
-        return F.when(raw >= top, raw - (1 << bits)).otherwise(raw)
+        return F.shiftright(F.shiftleft(raw, 64 - bits), 64 - bits)
     if signed == 2:
-        return F.when(raw >= top, top - raw).otherwise(raw)
+        return once(raw, lambda x: F.when(x >= 1 << bits - 1, F.lit(1 << bits - 1) - x).otherwise(x))
     return raw
 
 
@@ -61,8 +65,7 @@ def packed(values: Iterable[tuple[Column | int, int, int]]) -> Column:
     size = -(-total // 8) * 8
     whole = F.concat(*text, F.lit("0" * (size - total)))
     cuts = [(a, min(48, size - a)) for a in range(0, size, 48)]
-    # an array of one, so that the text is made once and not for each cut
-    return F.element_at(F.transform(F.array(whole), lambda w: F.unhex(F.concat(*[F.lpad(F.conv(F.substring(w, a + 1, n), 2, 16), n // 4, "0") for a, n in cuts]))), 1)
+    return once(whole, lambda w: F.unhex(F.concat(*[F.lpad(F.conv(F.substring(w, a + 1, n), 2, 16), n // 4, "0") for a, n in cuts])))
 
 
 def _table() -> list[int]:
@@ -78,16 +81,16 @@ def _table() -> list[int]:
 def crc24q(data: Column) -> Column:
     """The check of a binary value, by its bytes through a table."""
     table = F.array(*[F.lit(x) for x in _table()])
-    places = F.when(F.length(data) > 0, F.sequence(F.lit(1), F.length(data))).otherwise(F.array().cast("array<int>"))
-    byte = lambda i: F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("int")
-    step = lambda crc, i: F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFFFFFF)).bitwiseXOR(F.get(table, F.shiftright(crc, 16).bitwiseXOR(byte(i))))
-    return F.aggregate(places, F.lit(0), step)
+    # a character per byte; data is named once, so that it isn't made anew for each of its bytes
+    letters = F.split(F.decode(data, "ISO-8859-1"), "")
+    step = lambda crc, x: F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFFFFFF)).bitwiseXOR(F.get(table, F.shiftright(crc, 16).bitwiseXOR(F.ascii(x))))
+    return F.aggregate(letters, F.lit(0), step)
 
 
 def framed(payload: Column) -> Column:
     """A frame around a payload of up to 1,023 bytes: preamble, length and check."""
-    head = F.unhex(F.concat(F.lit("D3"), F.lpad(F.hex(F.length(payload)), 4, "0"), F.hex(payload)))
-    return F.unhex(F.concat(F.hex(head), F.lpad(F.hex(crc24q(head)), 6, "0")))
+    head = once(payload, lambda p: F.unhex(F.concat(F.lit("D3"), F.lpad(F.hex(F.length(p)), 4, "0"), F.hex(p))))
+    return once(head, lambda h: F.unhex(F.concat(F.hex(h), F.lpad(F.hex(crc24q(h)), 6, "0"))))
 
 
 def payload(frame: Column) -> Column:

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from almanax.functions import geodesy
-from almanax.plans import registry
+from almanax.plans import messages, registry
+from almanax.sources import bits, rtcm
+from almanax.streaming import live
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -27,3 +29,29 @@ def test_great_circles_are_dealt_out_and_stay_small(spark):
     one = F.lit(0.1)
     assert dealt(spark, "great_circles") >= 4
     assert geodesy.great_circle_points(one, one, one, one)._jc.toString().lower().count("sqrt") < 8
+
+
+def test_checks_name_their_bytes_once(spark):
+    # a term that is named for each byte is made anew for each byte
+    data, n = F.expr("unhex(hex(cast(id as string)))"), lambda c: c._jc.toString().lower().count("unhex(hex")
+    assert n(bits.crc24q(data)) == 1 and n(bits.framed(data)) == 1
+
+
+def test_descriptions_read_each_length_once(spark):
+    # lengths that name all those before them made 1,500 terms of it
+    assert rtcm.description(F.col("payload"))._jc.toString().lower().count("conv") < 20
+
+
+def test_frames_are_dealt_out(spark):
+    for name in ("frame_ephemerides", "frame_stations"):
+        assert dealt(spark, name) >= 4
+
+
+def test_frames_are_checked_once(spark):
+    plan = messages._payloads(spark.createDataFrame([(1, b"x")], "k long, frame binary"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("iso-8859-1") == 1
+
+
+def test_stations_are_decoded_once(spark):
+    frames = spark.createDataFrame([("m", None, b"x")], "mountpoint string, arrival timestamp, payload binary")
+    assert live.stations(frames)._jdf.queryExecution().optimizedPlan().toString().lower().count("= 1033") <= 1
