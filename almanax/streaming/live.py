@@ -64,7 +64,9 @@ def latest_ephemerides(frames: DataFrame) -> DataFrame:
 
 def stations(frames: DataFrame) -> DataFrame:
     """The last reference point and description of each mountpoint's stations; for update or complete mode."""
-    rows = frames.select("mountpoint", "arrival", rtcm.station(F.col("payload")).alias("p"), rtcm.description(F.col("payload")).alias("d")).where("p is not null or d is not null")
+    both = F.struct(rtcm.station(F.col("payload")).alias("p"), rtcm.description(F.col("payload")).alias("d"))
+    # a generator, as Spark else decodes both once more for the filter
+    rows = frames.select("mountpoint", "arrival", F.inline(F.filter(F.array(both), lambda m: m["p"].isNotNull() | m["d"].isNotNull())))
     number = F.coalesce("p.station", "d.station").alias("station")
     last = rows.groupBy("mountpoint", number).agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("arrival"))).alias("p"), F.max_by("d", F.when(F.col("d").isNotNull(), F.col("arrival"))).alias("d"))
     return last.select("mountpoint", "station", *[f"p.{c}" for c in ("itrf", "x", "y", "z", "height")], *[f"d.{c}" for c in (*rtcm.DESCRIPTION, "setup")])
