@@ -240,16 +240,20 @@ def pack_station(station: Column, itrf: Column, x: Column, y: Column, z: Column,
 
 def description(payload: Column) -> Column:
     """station, setup and the texts of DESCRIPTION of a 1033; null for others and for ones that end early."""
-    at, out, columns = F.lit(4), F.lit(True), [bits.bit_field(payload, 12, 12).cast("int").alias("station")]
-    for k, name in enumerate(DESCRIPTION):
-        size = bits.number(payload, at, 1).cast("int")
-        columns.append(F.substr(payload, at + 1, size).cast("string").alias(name))
-        out &= F.length(payload) >= at + size
-        at = at + 1 + size
-        if k == 0:
-            columns.append(bits.number(payload, at, 1).cast("int").alias("setup"))
-            at = at + 1
-    return F.when((kind(payload) == 1033) & F.coalesce(out, F.lit(False)), F.struct(*columns))
+
+    def told(p: Column, k: int, at: Column, out: Column, columns: list[Column]) -> Column:
+        """Each length is read once, and those before it are known."""
+        if k == len(DESCRIPTION):
+            return F.when((kind(p) == 1033) & F.coalesce(out, F.lit(False)), F.struct(*columns))
+
+        def behind(size: Column) -> Column:
+            text, end = F.substr(p, at + 1, size).cast("string").alias(DESCRIPTION[k]), at + size
+            setup = [bits.number(p, end + 1, 1).cast("int").alias("setup")] if k == 0 else []
+            return told(p, k + 1, end + (2 if k == 0 else 1), out & (F.length(p) >= end), [*columns, text, *setup])
+
+        return bits.once(bits.number(p, at, 1).cast("int"), behind)
+
+    return bits.once(payload, lambda p: told(p, 0, F.lit(4), F.lit(True), [bits.bit_field(p, 12, 12).cast("int").alias("station")]))
 
 
 def pack_description(station: Column, texts: dict[str, Column], setup: Column | int = 0) -> Column:
