@@ -33,7 +33,7 @@ def _damaged(frame: Column, key: Column) -> Column:
 def frame_ephemerides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's number packed into each field of one of the seven ephemeris messages, framed, and read; damaged frames go."""
     k = F.col("k")
-    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
+    orders = spread(load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k")), "k")
     payload = F.lit(None).cast("binary")
     for i, message in enumerate(_KINDS):
         numbers = {}
