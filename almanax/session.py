@@ -32,10 +32,14 @@ def load(spark: SparkSession, sf_dir: str, *tables: str):
     return frames[0] if len(frames) == 1 else frames
 
 
+def cores(spark: SparkSession) -> int:
+    """Tasks that keep all cores busy, and as many as shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt over all cores by keys, for work that costs much per row: a table of few bytes is else a task or two, however many rows it has."""
-    spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    return rows.repartition(cores(rows.sparkSession), *keys)
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanax.model import system_rank
+from almanax.session import cores
 from almanax.sources.navigation import KEPLER, STATE
 
 TYPES_PER_LINE, SLOTS_PER_LINE, OLD_TYPES_PER_LINE, OLD_SATS_PER_LINE, OLD_VALUES_PER_LINE = 13, 8, 9, 12, 5
@@ -141,10 +142,15 @@ def rinex(obs: DataFrame, version: str = "3.04", satellites: DataFrame | None =
     return head.unionByName(body.select(F.lit(1).alias("part"), "ord", "prn", "text"))
 
 
-def write_text(rows: DataFrame, path: str, gzip: bool = True) -> None:
-    """Write (part, ord, prn, text) in order over as many files as there are ranges; their names sort as their rows do."""
+def write_text(rows: DataFrame, path: str, gzip: bool = True, text: Column | None = None) -> None:
+    """Write (part, ord, prn, text) in order over as many files as there are ranges; their names sort as their rows do.
+
+    text: what makes a row's text of its other columns, which alone are then sampled for the ranges and shuffled.
+    """
     keys = [c for c in ("part", "ord", "prn") if c in rows.columns]
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("text").write.option("compression", "gzip" if gzip else "none").text(path)
+    # texts that are made behind the shuffle are more work than its bytes tell
+    dealt = rows.repartitionByRange(*keys) if text is None else rows.repartitionByRange(cores(rows.sparkSession), *keys)
+    dealt.sortWithinPartitions(*keys).select(F.col("text") if text is None else text.alias("text")).write.option("compression", "gzip" if gzip else "none").text(path)
 
 
 def table(obs: DataFrame, codes: list[str]) -> DataFrame:
@@ -166,16 +172,18 @@ def metadata(header: DataFrame, statistics: DataFrame, warnings: DataFrame) -> D
     return one.select(F.to_json(F.struct("header", "statistics", "validation")).alias("text"))
 
 
-def navigation_lines(eph: DataFrame) -> DataFrame:
-    """Records of version 3 navigation files as (ord, prn, text)."""
-    number = lambda x: F.lpad(F.regexp_replace(F.format_string("%19.12e", F.coalesce(x, F.lit(0.0))), "e", "D"), 19, " ")
-    first = F.concat("prn", F.lit(" "), F.date_format(F.timestamp_millis("toc_ms"), "yyyy MM dd HH mm ss"))
+def navigation_text(prn: Column, toc_ms: Column, numbers: list[Column]) -> Column:
+    """A record of version 3 navigation files."""
+    number = lambda x: F.lpad(F.format_string("%19.12e", F.coalesce(x, F.lit(0.0))), 19, " ")
+    first = F.concat(prn, F.lit(" "), F.date_format(F.timestamp_millis(toc_ms), "yyyy MM dd HH mm ss"))
+    v = [number(x) for x in numbers]
+    rows = [F.concat(*v[:3]), *[F.concat(F.lit("    "), *v[i : i + 4]) for i in range(3, len(v), 4)]]
+    return F.concat(first, F.translate(F.concat_ws("\n", *rows), "e", "D"))
 
-    def record(payload: str, names: tuple[str, ...]) -> Column:
-        v = [number(F.col(f"{payload}.{n}")) for n in names]
-        rows = [F.concat(first, *v[:3]), *[F.concat(F.lit("    "), *v[i : i + 4]) for i in range(3, len(v), 4)]]
-        return F.concat_ws("\n", *rows)
 
+def navigation_lines(eph: DataFrame) -> DataFrame:
+    """Records of version 3 navigation files as (ord, prn, text)."""
+    record = lambda payload, names: navigation_text(F.col("prn"), F.col("toc_ms"), [F.col(f"{payload}.{n}") for n in names])
     text = F.when(F.col("state").isNotNull(), record("state", STATE)).otherwise(record("kepler", KEPLER))
     return eph.select(F.col("toc_ms").alias("ord"), "prn", text.alias("text"))
 

@@ -2,7 +2,7 @@
 
 A logical file is a file, or the part files of an export, which follow one another by name. Nothing but the lines at hand is
 held, so files may be larger than memory; .gz files are inflated as they are read. A file that isn't compressed can be read by
-ranges of its bytes, each a partition.
+ranges of its bytes, and an export by .gz by ranges of its parts, each a partition.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import posixpath
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _CHUNK = 1 << 20
+#: Of compressed parts a place is the part's number and the place in its inflated bytes, of so many bits; and by how much they are taken to grow.
+_PART_BITS, _INFLATED = 40, 8
 LINES = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("line", pa.string()), ("head", pa.bool_())])
 
 
@@ -39,27 +42,37 @@ class LogicalFile(InputPartition):
 
     def lines(self) -> Iterator[str]:
         rest = b""
-        for part in self.parts:
-            files, name, _ = filesystem(part)
-            with files.open_input_stream(name, compression=None) as raw:
-                stream = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw
-                while data := stream.read(_CHUNK):
-                    *whole, rest = (rest + data).split(b"\n")
-                    yield from (x.rstrip(b"\r").decode("utf-8", "replace") for x in whole)
+        for data in (data for part in self.parts for data in _inflated(part)):
+            *whole, rest = (rest + data).split(b"\n")
+            yield from (x.rstrip(b"\r").decode("utf-8", "replace") for x in whole)
         if rest:
             yield rest.rstrip(b"\r").decode("utf-8", "replace")
 
 
+def _inflated(part: str) -> Iterator[bytes]:
+    files, name, _ = filesystem(part)
+    with files.open_input_stream(name, compression=None) as raw:
+        stream = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw
+        while data := stream.read(_CHUNK):
+            yield data
+
+
 @dataclass
 class FileRange(LogicalFile):
-    """The bytes [start, stop) of a logical file whose parts have the given sizes; no bounds at all for a compressed one."""
+    """The places [start, stop) of a logical file whose parts have the given sizes; no bounds at all for a compressed one in one range.
+
+    Places are bytes; if parts are compressed, those of _PART_BITS.
+    """
 
     sizes: tuple[int, ...] = ()
     start: int = 0
     stop: int | None = None
 
     def lines_from(self, start: int) -> Iterator[tuple[int, str]]:
-        """Place and text of each line that begins at byte start or later, to the end of the file."""
+        """Place and text of each line that begins at place start or later, to the end of the file."""
+        if any(p.endswith(".gz") for p in self.parts):
+            yield from self._lines_from_part(start >> _PART_BITS)
+            return
         at = max(start - 1, 0)  # of the line that holds the byte before, the rest is skipped
         skip, rest, begin = start > 0, b"", at
         for part, size in zip(self.parts, self.sizes, strict=True):
@@ -81,6 +94,33 @@ class FileRange(LogicalFile):
             yield begin, rest.rstrip(b"\r").decode("utf-8", "replace")
 
 
+    def _lines_from_part(self, first: int) -> Iterator[tuple[int, str]]:
+        """lines_from the beginning of a part. If the one before ends within a line, the line's rest is skipped."""
+        last = b"\n"
+        for part in reversed(self.parts[:first]):
+            last = b""
+            for data in _inflated(part):
+                last = data[-1:]
+            if last:
+                break
+        skip, rest, begin = last not in (b"\n", b""), b"", 0
+        for k in range(first, len(self.parts)):
+            at = k << _PART_BITS
+            begin = begin if rest or skip else at
+            for data in _inflated(self.parts[k]):
+                *whole, tail = data.split(b"\n")
+                for x in whole:
+                    if not skip:
+                        yield begin, (rest + x).rstrip(b"\r").decode("utf-8", "replace")
+                    skip, rest = False, b""
+                    at += len(x) + 1
+                    begin = at
+                rest += tail
+                at += len(tail)
+        if rest and not skip:
+            yield begin, rest.rstrip(b"\r").decode("utf-8", "replace")
+
+
 def file_ranges(paths: str | list[str], most: int, least: int = 1 << 18, parallelism: int = 1) -> list[FileRange]:
     """Ranges of the files of paths of at most so many bytes, and of fewer if that keeps all executors busy."""
     found = []
@@ -90,12 +130,22 @@ def file_ranges(paths: str | list[str], most: int, least: int = 1 << 18, paralle
             files, name, _ = filesystem(part)
             sizes.append(files.get_file_info(name).size or 0)
         found.append((f, tuple(sizes)))
-    size = max(1, min(most, max(least, -(-sum(sum(s) for _, s in found) // max(parallelism, 1)))))
+    weight = lambda f, sizes: [n * _INFLATED if p.endswith(".gz") else n for p, n in zip(f.parts, sizes, strict=True)]
+    size = max(1, min(most, max(least, -(-sum(sum(weight(*x)) for x in found) // max(parallelism, 1)))))
     out = []
     for f, sizes in found:
-        total = sum(sizes)
-        if any(p.endswith(".gz") for p in f.parts) or total <= size:
+        total = sum(weight(f, sizes))
+        if total <= size:
             out.append(FileRange(f.name, f.parts, sizes))
+        elif any(p.endswith(".gz") for p in f.parts):
+            firsts, held = [0], 0
+            for k, n in enumerate(weight(f, sizes)):
+                if held and held + n > size:
+                    firsts.append(k)
+                    held = 0
+                held += n
+            bounds = [k << _PART_BITS for k in (*firsts, len(f.parts))]
+            out += [FileRange(f.name, f.parts, sizes, a, b) for a, b in pairwise(bounds)] if len(firsts) > 1 else [FileRange(f.name, f.parts, sizes)]
         else:
             n = -(-total // size)
             out += [FileRange(f.name, f.parts, sizes, total * k // n, total * (k + 1) // n) for k in range(n)]
