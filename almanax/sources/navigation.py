@@ -59,7 +59,8 @@ def begins_record(line: str, version: int) -> bool:
 
 
 def _cells(line: str, first: int, n: int) -> list[float | None]:
-    return [number_of(line[first + 19 * k : first + 19 * k + 19].replace("D", "E").replace("d", "e")) for k in range(n)]
+    line = line.replace("D", "E").replace("d", "e")
+    return [number_of(line[at : at + 19]) for at in range(first, first + 19 * n, 19)]
 
 
 def _head_rows(head: list[tuple[int, str]]) -> Iterator[tuple]:
