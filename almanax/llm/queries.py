@@ -64,7 +64,7 @@ def op4_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the numbers of words and ids, a digest of the ids, and of the text that they decode to."""
+    """Every document encoded and decoded: numbers of words and ids, digests of the ids and of the text that they decode to."""
     return sentencepiece.digests(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
 

@@ -285,22 +285,23 @@ def encode_words(words: DataFrame, pieces: DataFrame, costs: list, bytes_of: lis
 
 
 def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by chunk, its words first, by number: each row with the ids of its words in their order."""
+    """Rows come by chunk, its words first, by number: each row with the ids of its words in their order, and the digests of their crc32s."""
     chunk, parts = None, []
-    flat, first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    flat, first, crcs = np.zeros(0, np.int32), np.zeros(1, np.int64), [np.zeros(0, np.int64)] * 2
     for batch in batches:
         chunks, is_row = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
         cuts = np.r_[0, np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_row[1:] != is_row[:-1])) + 1, len(chunks)] if len(chunks) else np.zeros(1, np.int64)
         for at, end in pairwise(cuts.tolist()):
             rows = batch.slice(at, end - at)
             if chunks[at] != chunk:
-                chunk, parts, flat, first = chunks[at], [], np.zeros(0, np.int32), np.zeros(1, np.int64)
+                chunk, parts, flat, first, crcs = chunks[at], [], np.zeros(0, np.int32), np.zeros(1, np.int64), [np.zeros(0, np.int64)] * 2
             if not is_row[at]:
-                parts.append(rows.column(5))
+                parts.append(rows)
                 continue
             if parts:
-                flat = np.concatenate([p.flatten().to_numpy() for p in parts])
-                first = np.r_[0, np.cumsum(np.concatenate([p.value_lengths().to_numpy() for p in parts]))]
+                flat = np.concatenate([p.column(5).flatten().to_numpy() for p in parts])
+                first = np.r_[0, np.cumsum(np.concatenate([p.column(5).value_lengths().to_numpy() for p in parts]))]
+                crcs = [np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (6, 7)]
                 parts = []
             words = [np.frombuffer(w.as_buffer(), np.int32) for w in rows.column(4)]
             for k in range(0, len(words), 256):  # a row's ids and no more than some others' are held
@@ -309,13 +310,26 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 n = first[used + 1] - first[used] if len(used) else np.zeros(0, np.int64)
                 ends = np.cumsum(n)
                 place = np.repeat(first[used] - (ends - n), n) + np.arange(n.sum()) if len(used) else np.zeros(0, np.int64)
-                row_ends = np.r_[0, ends][np.r_[0, np.cumsum([len(w) for w in some])]]
+                word_ends = np.r_[0, np.cumsum([len(w) for w in some])]
+                row_ends = np.r_[0, ends][word_ends]
                 ids = pa.ListArray.from_arrays(pa.array(row_ends, pa.int32()), pa.array(flat[place], pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows.column(3).slice(k, len(some)), pa.array([len(w) for w in some], pa.int64()), ids], names=["row", "n_words", "ids"])
+                weight = np.arange(1, len(used) + 1) - np.repeat(word_ends[:-1], np.diff(word_ends))
+                sums = [np.diff(np.r_[0, np.cumsum(weight * c[used] % PRIME)][word_ends]) for c in crcs]
+                columns = [rows.column(3).slice(k, len(some)), pa.array([len(w) for w in some], pa.int64()), ids, *[pa.array(x, pa.int64()) for x in sums]]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "n_words", "ids", "ids_digest", "text_digest"])
 
 
-def encoded_rows(docs: DataFrame, model: str, row: Column, text: str = "text", kind: str = "bpe") -> DataFrame:
-    """Of every row of docs: row (a struct of what is to be carried), n_words and ids."""
+_TOLD = ("n_ids", "ids_crc", "text_crc", "same")
+
+
+def _crcs(model: str) -> list[Column]:
+    """Of a word's ids the crc32 of them with commas between, that of the text that they decode to, and if that is the word."""
+    back = marked_text(model, F.col("ids"))
+    return [F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")), F.crc32(back.cast("binary")), (back == F.col("word")).cast("long")]
+
+
+def encoded_rows(docs: DataFrame, model: str, row: Column, text: str = "text", kind: str = "bpe", digests: bool = False) -> DataFrame:
+    """Of every row of docs: row (a struct of what is to be carried), n_words, ids, and if wanted ids_digest and text_digest, else 0."""
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cutter = Cutter([p for p, _, _ in _texts_of(_model(model))])
@@ -327,10 +341,13 @@ def encoded_rows(docs: DataFrame, model: str, row: Column, text: str = "text", k
     words = save(each.select("word").distinct(), "words")
     coded = encode_words(words, load_pieces(spark, model, costs), costs, byte_ids(model), max(spread, words.count() // TASK_WORDS))
     nothing = lambda c: F.lit(None).cast(chunks.schema[c].dataType).alias(c)
-    of_words = each.join(coded, "word").select("chunk", F.lit(False).alias("is_row"), "idx", nothing("row"), nothing("words"), "ids")
-    of_rows = chunks.where("words is not null").select("chunk", F.lit(True).alias("is_row"), "idx", "row", "words", F.lit(None).cast("array<int>").alias("ids"))
+    none = F.lit(0).cast("long")
+    told = _crcs(model)[:2] if digests else [none, none]
+    coded = coded.select("word", "ids", *[c.alias(n) for c, n in zip(told, _TOLD[1:3], strict=True)])
+    of_words = each.join(coded, "word").select("chunk", F.lit(False).alias("is_row"), "idx", nothing("row"), nothing("words"), "ids", *_TOLD[1:3])
+    of_rows = chunks.where("words is not null").select("chunk", F.lit(True).alias("is_row"), "idx", "row", "words", F.lit(None).cast("array<int>").alias("ids"), *[none.alias(n) for n in _TOLD[1:3]])
     both = of_words.unionByName(of_rows).repartition(spread, "chunk").sortWithinPartitions("chunk", "is_row", "idx")
-    return both.mapInArrow(_put_together, f"row {kept}, n_words long, ids array<int>")
+    return both.mapInArrow(_put_together, f"row {kept}, n_words long, ids array<int>, ids_digest long, text_digest long")
 
 
 def encode_texts(docs: DataFrame, model: str, text: str = "text", kind: str = "bpe") -> DataFrame:
@@ -383,9 +400,6 @@ class _Places(dict):
         return -1
 
 
-_TOLD = ("n_ids", "ids_crc", "text_crc", "same")
-
-
 def _look_up(cutter: Cutter, frequent: pa.Table, key: pa.DataType):
     """Per row the sums over its frequent words, and its other words by their place."""
     schema = pa.schema([("rid", pa.int64()), ("id", key), *[(c, pa.int64()) for c in ("n_words", "n_ids", "ids_digest", "text_digest", "same")], ("pos", pa.int64()), ("word", pa.string())])
@@ -414,10 +428,21 @@ def _look_up(cutter: Cutter, frequent: pa.Table, key: pa.DataType):
 
 
 def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", kind: str = "bpe") -> DataFrame:
-    """Per row of docs its numbers of words and ids, digests of its ids and of the text that they decode to, and if it is the row's.
+    """Per row of docs, all of whose ids are made and decoded: numbers of words and ids, digests by words, if the text is the row's, and crc32s.
 
     A digest is the sum over the words, numbered from 1, of number * crc32 mod PRIME, where the crc32 is that of the word's ids
-    with commas between them, or of the text that they decode to. The source's own space marks count as blanks.
+    with commas between them, or of the text that they decode to. ids_crc32 is that of all ids with commas between them, text_crc32
+    that of the text that they decode to. The source's own space marks count as blanks.
+    """
+    coded = encoded_rows(docs, model, F.struct(F.col(doc_id).alias("id"), F.col(text).alias("source")), text, kind, digests=True)
+    back = decode_texts(coded, model)
+    same = F.col("text") == F.translate(F.coalesce("row.source", F.lit("")), SPACE, " ")
+    whole = [F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")]
+    return back.select(F.col("row.id").alias(doc_id), "n_words", F.size("ids").cast("long").alias("n_ids"), "ids_digest", "text_digest", same.alias("decoded_same"), *whole)
+
+
+def word_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", kind: str = "bpe") -> DataFrame:
+    """The digests by words of digests(), from each distinct word's alone: no row's ids are put together and no row is decoded.
 
     The frequent words, of bounded number and length, go to all tasks; only occurrences of others are shuffled, to meet theirs.
     """
@@ -427,8 +452,7 @@ def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
     words = save(rows.select("text").mapInArrow(_counts(cutter), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words.count() // TASK_WORDS)
     coded = encode_words(words, load_pieces(spark, model, costs), costs, byte_ids(model), tasks, "n")
-    back = marked_text(model, F.col("ids"))
-    told = [F.size("ids").cast("long"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")), F.crc32(back.cast("binary")), (back == F.col("word")).cast("long")]
+    told = [F.size("ids").cast("long"), *_crcs(model)]
     coded = save(coded.select("word", "n", *[c.alias(k) for c, k in zip(told, _TOLD, strict=True)]), "coded")
     frequent = coded.where(F.length("word") <= FREQUENT_CHARS).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word", *_TOLD).toArrow()
     key = rows.schema["id"].dataType
