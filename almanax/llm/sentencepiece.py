@@ -12,8 +12,11 @@ number has bits have sorted lists of merges in place of sums, compared alike; me
 dropped from long lists, as they decide nothing. All this holds for models whose pieces merge in the order of their ranks,
 which is checked as a model is read.
 
-Each distinct word goes to the lattice once. To encode texts, a chunk of them is held as numbers of its distinct words, to
-which the words' ids come back.
+To encode texts, the words that are most frequent in some of the rows are encoded first, once, and their ids go to all tasks. A
+task holds a chunk of texts as numbers of words; the chunk's distinct other words are exploded and joined to the piece table
+between its rows, in their order, and a NumPy fold goes through the lattices of many words at once, by the same costs and the same
+choice between equal ways. So no row, no text and no id is shuffled or written: words that few chunks share are cheaper encoded
+in each of them than moved. encode_words() is the fold by Spark's aggregate, of each distinct word once.
 
 Decoding looks each row's ids up in the piece table, an array of fixed size, and puts the bytes found together; no row moves.
 
@@ -26,9 +29,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
-from itertools import count, pairwise
+from itertools import count, islice, pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +52,11 @@ LONG_WORD, LONG_COST = 64, 64
 #: Merges of a word that weigh as powers of two, whose sums a double holds exactly; with more, costs are lists.
 MOST_WEIGHTS = 52
 #: Characters of a chunk's texts, beyond which a new one begins, and words of a lattice task.
-CHUNK_CHARS, TASK_WORDS = 16 << 20, 40_000
+CHUNK_CHARS, TASK_WORDS = 20 << 20, 40_000
 #: Words that go to all tasks: at most so many, of at most so many characters; and distinct tokens that a task holds at once.
-FREQUENT_WORDS, FREQUENT_CHARS, TASK_TOKENS = 300_000, 32, 500_000
+FREQUENT_WORDS, FREQUENT_CHARS, TASK_TOKENS = 300_000, 32, 250_000
+#: Rows by which it is told which words are frequent, and edges of words that a task folds at once.
+SAMPLE_ROWS, TASK_EDGES = 16_384, 400_000
 PRIME = (1 << 31) - 1
 _BEHIND_BLANKS = re.compile(rf"{SPACE}+[^{SPACE}]*").findall
 _END = (1 << 63) - 1
@@ -141,24 +148,48 @@ class Cutter:
         yield word[first:]
 
 
-def _chunks(cutter: Cutter):
-    """Of each chunk its rows, with their words as numbers, and its distinct words."""
+def _chunks(cutter: Cutter, frequent: list[str]):
+    """Of each chunk its words that aren't frequent, numbered behind those, then its rows with their words as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = count(TaskContext.get().partitionId() << 40)
+        number, places = count(TaskContext.get().partitionId() << 40), {w: i for i, w in enumerate(frequent)}
+        held, found, tokens, size = [], [], defaultdict(count().__next__), 0
         for whole in batches:
-            texts = whole.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                chunk, known, words, size, end = next(number), defaultdict(count().__next__), [], 0, at
-                while end < len(texts) and (end == at or size < CHUNK_CHARS):
-                    found = cutter.words(texts[end])
-                    words.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)).tobytes())
-                    size, end = size + len(texts[end] or ""), end + 1
-                rows = whole.column(0).slice(at, end - at)
-                yield table(rows.type, end - at, chunk=pa.array([chunk] * (end - at), pa.int64()), row=rows, words=pa.array(words, pa.binary()))
-                yield table(rows.type, len(known), chunk=pa.array([chunk] * len(known), pa.int64()), idx=pa.array(np.arange(len(known), dtype=np.int32)), word=pa.array(list(known), pa.string()))
-                at = end
+            for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
+                at = 0
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    own = cutter.tokens(text)
+                    found.append(np.fromiter(map(tokens.__getitem__, own), np.int32, len(own)))
+                    size += len(text or "")
+                    if size >= CHUNK_CHARS:
+                        yield from told(next(number), places, [*held, batch.column(0).slice(at, k + 1 - at)], found, tokens)
+                        held, found, tokens, size, at = [], [], defaultdict(count().__next__), 0, k + 1
+                held.append(batch.column(0).slice(at))
+        if found:
+            yield from told(next(number), places, held, found, tokens)
+
+    def told(chunk: int, places: dict[str, int], held: list[pa.Array], found: list[np.ndarray], tokens: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        known = defaultdict(count(len(places)).__next__, places)
+        flat, ends = array("i"), array("q")
+        for t in tokens:
+            flat.extend(map(known.__getitem__, cutter.cut(t)))
+            ends.append(len(flat))
+        tokens.clear()
+        words, sizes = np.frombuffer(flat, np.int32), np.diff(np.frombuffer(ends, np.int64), prepend=0)
+        first = np.cumsum(sizes) - sizes
+        rare = list(islice(known, len(places), None))
+        known.clear()
+        for k in range(0, len(rare), 10_000):
+            n = len(some := rare[k : k + 10_000])
+            yield table(held[0].type, n, chunk=pa.array([chunk] * n, pa.int64()), idx=pa.array(range(len(places) + k, len(places) + k + n), pa.int32()), word=pa.array(some, pa.string()))
+        at = 0
+        for rows in held:
+            used, at = found[at : at + len(rows)], at + len(rows)
+            if used:
+                place, ends = _ragged(first, sizes, np.concatenate(used))
+                row_ends = 4 * ends[np.r_[0, np.cumsum([len(u) for u in used])]]
+                packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(row_ends.astype(np.int32)), pa.py_buffer(words[place])])
+                yield table(rows.type, len(rows), chunk=pa.array([chunk] * len(rows), pa.int64()), row=rows, words=packed)
 
     def table(carried: pa.DataType, n: int, **columns) -> pa.RecordBatch:
         schema = pa.schema([("chunk", pa.int64()), ("row", carried), ("words", pa.binary()), ("idx", pa.int32()), ("word", pa.string())])
@@ -167,6 +198,13 @@ def _chunks(cutter: Cutter):
     return run
 
 
+def _ragged(first: np.ndarray, sizes: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the members of the lists used lie, one after another, and the ends of those lists, from 0."""
+    n = sizes[used]
+    ends = np.r_[0, np.cumsum(n)]
+    return np.repeat(first[used] - ends[:-1], n) + np.arange(ends[-1]), ends
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """wid, of and edges, sorted: end << 40 | len << 32 | id + 1. words: wid, word and of (a struct with word), which goes along.
 
@@ -284,39 +322,257 @@ def encode_words(words: DataFrame, pieces: DataFrame, costs: list, bytes_of: lis
     return told.select("of.*", _ids(F.col("of.word"), F.col("edges"), F.col("pieces"), bytes_of).alias("ids"))
 
 
-def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by chunk, its words first, by number: each row with the ids of its words in their order, and the digests of their crc32s."""
-    chunk, parts = None, []
-    flat, first, crcs = np.zeros(0, np.int32), np.zeros(1, np.int64), [np.zeros(0, np.int64)] * 2
-    for batch in batches:
-        chunks, is_row = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-        cuts = np.r_[0, np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_row[1:] != is_row[:-1])) + 1, len(chunks)] if len(chunks) else np.zeros(1, np.int64)
-        for at, end in pairwise(cuts.tolist()):
-            rows = batch.slice(at, end - at)
-            if chunks[at] != chunk:
-                chunk, parts, flat, first, crcs = chunks[at], [], np.zeros(0, np.int32), np.zeros(1, np.int64), [np.zeros(0, np.int64)] * 2
-            if not is_row[at]:
-                parts.append(rows)
+class _Fold:
+    """Viterbi over the lattices of many words at once, place by place, with the costs and the order of ways of viterbi()."""
+
+    def __init__(self, model: str, costs: list) -> None:
+        rows = [(p, i) for p, i, _ in _texts_of(_model(model)) if costs[i] is not None]
+        self.costs, self.bytes_of, self.bpe = costs, byte_ids(model), not any(isinstance(c, float) for c in costs)
+        # per id: of bpe the rank and the left part's length of the last merge, else its score
+        self.rank, self.left, self.score = (np.zeros(len(costs), t) for t in (np.int64, np.int64, np.float64))
+        for p, i in rows:
+            if not self.bpe:
+                self.score[i] = -costs[i]
+            elif len(p) > 1:
+                starts = list(range(len(p)))
+                for m in costs[i]:
+                    k = starts.index(m & 0xFFFFFFFF) + 1
+                    self.rank[i], self.left[i] = m >> 32, starts.pop(k)
+        self.char = np.full(max((ord(p) for p, _ in rows if len(p) == 1), default=0) + 2, -1, np.int32)  # the last: of all others
+        for p, i in rows:
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        self.unknown = 0.0 if self.bpe else -max((c for c in costs if c is not None), default=0.0) - 10.0
+
+    def __call__(self, words: list[str], of: np.ndarray, end: np.ndarray, size: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and by word where they begin and how many they are. Edges of more than one character: of (their word), end, size and piece."""
+        lengths, n_edges = np.fromiter(map(len, words), np.int64, len(words)), np.bincount(of, minlength=len(words))
+        long = (lengths > LONG_WORD) | (self.bpe & (n_edges > MOST_WEIGHTS))
+        order = np.argsort(np.where(long, LONG_WORD + 1, lengths), kind="stable")  # words of one length side by side
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        by = np.lexsort((end - size, self.rank[piece], place[of]))
+        at, start, size, piece = place[of][by], (end - size)[by], size[by], piece[by]
+        firsts = np.searchsorted(at, np.arange(len(words) + 1))
+        out, n_short = [], len(words) - int(long.sum())
+        for k in range(0, n_short, 2048):
+            stop = min(k + 2048, n_short)
+            e = slice(firsts[k], firsts[stop])
+            turn = np.arange(e.start, e.stop) - firsts[at[e]]
+            out.append(self._block([words[w] for w in order[k:stop]], at[e] - k, start[e], size[e], piece[e], turn))
+        for k in range(n_short, len(words)):
+            e = slice(firsts[k], firsts[k + 1])
+            out.append(self._long(words[order[k]], start[e].tolist(), size[e].tolist(), piece[e].tolist()))
+        ids, sizes = (np.concatenate([o[i] for o in out] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        return ids.astype(np.int32), (np.cumsum(sizes) - sizes)[place], sizes[place]
+
+    def _spelt(self, ids: np.ndarray, codes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number by word; those below 0 are the ids of their character's bytes."""
+        none = np.flatnonzero(ids < 0).tolist()
+        spelt = [[self.bytes_of[b] for b in chr(codes[k]).encode()] for k in none]
+        times = np.ones(len(ids), np.int64)
+        times[none] = [len(x) for x in spelt]
+        begin, out = np.cumsum(times) - times, np.repeat(ids, times)
+        for k, x in zip(none, spelt, strict=True):
+            out[begin[k] : begin[k] + len(x)] = x
+        return out, np.bincount(np.repeat(of, times), minlength=n)
+
+    def _chars(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        return codes, self.char[np.minimum(codes, len(self.char) - 1)]
+
+    def _block(self, words: list[str], of: np.ndarray, start: np.ndarray, size: np.ndarray, piece: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        codes, chars = self._chars(words)
+        first, longest, widest = np.cumsum(lengths) - lengths, int(lengths.max()), int(size.max(initial=1))
+        gain = np.full((longest, widest + 1, n), -np.inf)  # of the edges by their start, size and word
+        idx = np.repeat(np.arange(n), lengths), np.arange(len(codes)) - np.repeat(first, lengths)
+        gain[:, 1] = 0.0
+        gain[idx[1], 1, idx[0]] = 0.0 if self.bpe else np.where(chars < 0, self.unknown, self.score[chars])
+        ids = np.zeros((longest, widest + 1, n), np.int32)
+        ids[start, size, of] = piece
+        for s in range(2, widest + 1):  # of bpe the last merge of an edge, and those of its two parts
+            e = np.flatnonzero(size == s)
+            p, w, left = start[e], of[e], self.left[piece[e]]
+            gain[p, s, w] = np.ldexp(1.0, MOST_WEIGHTS - turn[e]) + gain[p, left, w] + gain[p + left, s - left, w] if self.bpe else self.score[piece[e]]
+        best, last = np.zeros((longest + 1, n)), np.ones((longest + 1, n), np.int64)
+        for p in range(1, longest + 1):
+            best[p] = best[p - 1] + gain[p - 1, 1]
+            for s in range(2, min(widest, p) + 1):
+                way = best[p - s] + gain[p - s, s]
+                better = (way >= best[p]) & (way > -np.inf)
+                best[p][better], last[p][better] = way[better], s
+        at, w, taken = lengths, np.arange(n), []
+        while len(w):
+            s = last[at, w]
+            at = at - s
+            code = first[w] + at
+            taken.append((w, at, np.where(s > 1, ids[at, s, w], chars[code]), codes[code]))
+            at, w = at[at > 0], w[at > 0]
+        w, at, found, code = (np.concatenate(x) for x in zip(*taken, strict=True))
+        by = np.lexsort((at, w))
+        return self._spelt(found[by], code[by], w[by], n)
+
+    def _long(self, word: str, start: list[int], size: list[int], piece: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """One word of any length: of bpe ways are their sorted merges, without those that all ways within reach share."""
+        edges, (codes, chars) = defaultdict(list), self._chars([word])
+        for p, s, i in zip(start, size, piece, strict=True):
+            edges[p + s].append((s, i))
+        near, taken = deque([[_END] if self.bpe else 0.0], maxlen=max(size, default=1)), []
+        for p in range(1, len(word) + 1):
+            if self.bpe and len(near[-1]) > LONG_COST:
+                common = set(near[0]).intersection(*near)
+                near = deque([[*(m for m in x if m not in common), _END] for x in near], maxlen=near.maxlen)
+            best, by = near[-1] if self.bpe else near[-1] - (self.unknown if chars[p - 1] < 0 else self.score[chars[p - 1]]), (1, int(chars[p - 1]))
+            for s, i in sorted(edges[p]):
+                way = sorted([*near[-s], *(m + p - s for m in self.costs[i])]) if self.bpe else near[-s] - self.score[i]
+                if way <= best:
+                    best, by = way, (s, i)
+            near.append(best)
+            taken.append(by)
+        out, p = [], len(word)
+        while p:
+            s, i = taken[p - 1]
+            p -= s
+            out.append((i, codes[p]))
+        ids, code = np.array(out[::-1]).T
+        return self._spelt(ids, code, np.zeros(len(ids), np.int64), 1)
+
+
+def _word_crcs(model: str, digests: bool):
+    """crc32s of words' ids, with commas between, and of the texts that they decode to; zeros if they aren't wanted."""
+    text, name = piece_bytes(model), [str(i) for i in range(_model(model).get_piece_size())]
+
+    def run(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        out, flat = np.zeros((2, len(sizes)), np.int64), ids.tolist()
+        for k, (at, n) in enumerate(zip(first.tolist(), sizes.tolist(), strict=True) if digests else ()):
+            own = flat[at : at + n]
+            out[0, k] = crc32(",".join([name[i] for i in own]).encode())
+            out[1, k] = crc32(b"".join([text[i] for i in own]).decode("utf-8", "replace").encode())
+        return list(out)
+
+    return run
+
+
+class _Pending:
+    """Words whose edges come one after another. A word's first row brings it and has no edge; rows of the next word end it."""
+
+    def __init__(self, fold: _Fold) -> None:
+        self.fold, self.parts, self.rows, self.next = fold, [], 0, None
+
+    def add(self, idx: pa.Array, edge: pa.Array, word: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        self.parts.append((idx.to_numpy(), edge.fill_null(0).to_numpy(), word.drop_null().to_pylist()))
+        self.rows += len(idx)
+        if self.rows >= TASK_EDGES:
+            yield from self.rest(True)
+
+    def rest(self, but_last: bool = False) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """Words and, as of _Fold, their ids."""
+        if not self.parts:
+            return
+        idx, edge, words = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]), [w for p in self.parts for w in p[2]]
+        begins = np.flatnonzero(edge == 0)
+        first = idx[0] if self.next is None else self.next
+        if not np.array_equal(idx[begins], first + np.arange(len(words))) or (np.diff(idx) < 0).any():
+            raise RuntimeError("edges came out of the order of their words")
+        at = begins[-1] if but_last else len(idx)
+        self.parts, self.rows, self.next = [(idx[at:], edge[at:], words[-1:])] if but_last else [], len(idx) - at, idx[-1] if but_last else None
+        if words := words[: len(words) - but_last]:
+            kept = np.flatnonzero(edge[:at])
+            of, edge = (idx[kept] - first).astype(np.int64), edge[kept]
+            yield words, *self.fold(words, of, edge >> 32, edge >> 24 & 255, (edge & 0xFFFFFF) - 1)
+
+
+def _word_ids(fold: _Fold, crcs_of):
+    """word, ids and crc32s by the edges of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending = _Pending(fold)
+        for batch in batches:
+            yield from map(told, pending.add(*batch.columns))
+        yield from map(told, pending.rest())
+
+    def told(found: tuple) -> pa.RecordBatch:
+        words, ids, first, sizes = found
+        place, ends = _ragged(first, sizes, np.arange(len(words)))
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[place], pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), listed, *map(pa.array, crcs_of(ids, first, sizes))], names=["word", "ids", *_TOLD[1:3]])
+
+    return run
+
+
+def _put_together(fold: _Fold, crcs_of, frequent: pa.Table, pieces: list[bytes] | None = None):
+    """Of each chunk its words' edges come first, in their order: each row with the ids of its words in theirs, and the digests of their crc32s.
+
+    With pieces (bytes by id), ids are decoded: in their place come their number, if they give the row's source, and crc32s.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent["ids"].combine_chunks()
+        sizes = known.value_lengths().to_numpy().astype(np.int64)
+        base = [known.flatten().to_numpy(), np.cumsum(sizes) - sizes, sizes, *[frequent[c].to_numpy() for c in _TOLD[1:3]]]
+        chunk, pending, parts, every = None, _Pending(fold), [], base
+        for batch in batches:
+            chunks, is_row = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            cuts = np.r_[0, np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_row[1:] != is_row[:-1])) + 1, len(chunks)] if len(chunks) else np.zeros(1, np.int64)
+            for at, end in pairwise(cuts.tolist()):
+                rows = batch.slice(at, end - at)
+                if chunks[at] != chunk:
+                    chunk, pending, parts, every = chunks[at], _Pending(fold), [], base
+                if not is_row[at]:
+                    parts += pending.add(*rows.columns[1:4])
+                    continue
+                parts += pending.rest()
+                if parts:
+                    every, parts = behind(base, parts), []
+                yield from told(rows, *every)
+
+    def behind(base: list[np.ndarray], parts: list) -> list[np.ndarray]:
+        """The frequent words' ids, and behind them those of a chunk's others."""
+        begin, out = len(base[0]), [[x] for x in base]
+        for _, ids, first, sizes in parts:
+            for x, more in zip(out, [ids, first + begin, sizes, *crcs_of(ids, first, sizes)], strict=True):
+                x.append(more)
+            begin += len(ids)
+        return [np.concatenate(x) for x in out]
+
+    def told(rows: pa.RecordBatch, flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, *crcs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words = [np.frombuffer(w.as_buffer(), np.int32) for w in rows.column(4)]
+        for k in range(0, len(words), 256):  # a row's ids and no more than some others' are held
+            some = words[k : k + 256]
+            used = np.concatenate(some)
+            place, ends = _ragged(first, sizes, used)
+            word_ends = np.r_[0, np.cumsum([len(w) for w in some])]
+            ids, row_ends = pa.array(flat[place], pa.int32()), ends[word_ends]
+            weight = np.arange(1, len(used) + 1) - np.repeat(word_ends[:-1], np.diff(word_ends))
+            sums = [np.diff(np.r_[0, np.cumsum(weight * c[used] % PRIME)][word_ends]) for c in crcs]
+            row, counted, sums = rows.column(5).slice(k, len(some)), pa.array([len(w) for w in some], pa.int64()), [pa.array(x, pa.int64()) for x in sums]
+            if pieces is None:
+                yield pa.RecordBatch.from_arrays([row, counted, pa.ListArray.from_arrays(pa.array(row_ends, pa.int32()), ids), *sums], names=["row", "n_words", "ids", "ids_digest", "text_digest"])
                 continue
-            if parts:
-                flat = np.concatenate([p.column(5).flatten().to_numpy() for p in parts])
-                first = np.r_[0, np.cumsum(np.concatenate([p.column(5).value_lengths().to_numpy() for p in parts]))]
-                crcs = [np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (6, 7)]
-                parts = []
-            words = [np.frombuffer(w.as_buffer(), np.int32) for w in rows.column(4)]
-            for k in range(0, len(words), 256):  # a row's ids and no more than some others' are held
-                some = words[k : k + 256]
-                used = np.concatenate(some)
-                n = first[used + 1] - first[used] if len(used) else np.zeros(0, np.int64)
-                ends = np.cumsum(n)
-                place = np.repeat(first[used] - (ends - n), n) + np.arange(n.sum()) if len(used) else np.zeros(0, np.int64)
-                word_ends = np.r_[0, np.cumsum([len(w) for w in some])]
-                row_ends = np.r_[0, ends][word_ends]
-                ids = pa.ListArray.from_arrays(pa.array(row_ends, pa.int32()), pa.array(flat[place], pa.int32()))
-                weight = np.arange(1, len(used) + 1) - np.repeat(word_ends[:-1], np.diff(word_ends))
-                sums = [np.diff(np.r_[0, np.cumsum(weight * c[used] % PRIME)][word_ends]) for c in crcs]
-                columns = [rows.column(3).slice(k, len(some)), pa.array([len(w) for w in some], pa.int64()), ids, *[pa.array(x, pa.int64()) for x in sums]]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "n_words", "ids", "ids_digest", "text_digest"])
+            back = decoded(ids, row_ends, row.field("source").to_pylist())
+            yield pa.RecordBatch.from_arrays([row.field("id"), counted, pa.array(np.diff(row_ends)), *sums, *map(pa.array, back)], names=["id", "n_words", "n_ids", "ids_digest", "text_digest", *_WHOLE])
+
+    def decoded(ids: pa.Array, row_ends: np.ndarray, sources: list[str | None]) -> Iterator[list]:
+        """Of every row what its ids decode to, beside its source."""
+        out = []
+        for (at, end), source in zip(pairwise(row_ends.tolist()), sources, strict=True):
+            own = ids.slice(at, end - at)
+            text = _joined(texts.take(own)).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+            out.append((text == (source or "").replace(SPACE, " "), crc32(_joined(names.take(own))[:-1]), crc32(text.encode())))
+        return map(list, zip(*out, strict=True))
+
+    if pieces is not None:
+        texts, names = pa.array(pieces, pa.binary()), pa.array([b"%d," % i for i in range(len(pieces))], pa.binary())
+    return run
+
+
+_WHOLE = ("decoded_same", "ids_crc32", "text_crc32")
+
+
+def _joined(parts: pa.Array) -> bytes:
+    """The bytes of an array that take() made, which lie one after another."""
+    return parts.buffers()[2].to_pybytes()[: np.frombuffer(parts.buffers()[1], np.int32)[len(parts)]] if len(parts) else b""
 
 
 _TOLD = ("n_ids", "ids_crc", "text_crc", "same")
@@ -328,26 +584,52 @@ def _crcs(model: str) -> list[Column]:
     return [F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")), F.crc32(back.cast("binary")), (back == F.col("word")).cast("long")]
 
 
+def _frequent(texts: DataFrame, cutter: Cutter, pieces: DataFrame, fold: _Fold, crcs_of) -> pa.Table:
+    """word, ids and crc32s of the words that are most frequent in some rows; which they are decides on work only, not on results."""
+    share = min(1.0, SAMPLE_ROWS / max(texts.count(), 1))
+    words = (texts.sample(share, 1) if share < 1 else texts).mapInArrow(_counts(cutter), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = save(words.where(F.length("word") <= FREQUENT_CHARS).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word"), "words")
+    spread = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = _edges(words.repartition(spread, "word").select(F.monotonically_increasing_id().alias("idx"), "word"), pieces)
+    return edges.select("idx", "edge", "word").mapInArrow(_word_ids(fold, crcs_of), f"word string, ids array<int>, {_TOLD[1]} long, {_TOLD[2]} long").toArrow()
+
+
+def _edges(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """words with edge (end << 32 | len << 24 | id + 1), as of lattice() but left in the order of words; a word's first row has no edge.
+
+    Only that row brings the word. Rows without a word stay single.
+    """
+    longest = pieces.agg(F.max(F.length("piece"))).first()[0] or 1
+    also = [c for c in words.columns if c != "word"]
+    spans = words.select("*", F.explode(F.when(F.col("word").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.length("word")))).alias("end"))
+    size = F.least(F.lit(longest), "end")
+    spans = spans.select(*also, F.when(F.col("end") == 1, F.col("word")).alias("word"), "end", F.substring("word", F.col("end") - size + 1, size).alias("tail"))
+    sizes = F.when(F.col("end") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.least(F.lit(2), F.length("tail")), F.length("tail")))
+    spans = spans.select("*", F.explode(sizes).alias("len")).withColumn("piece", F.expr("right(tail, len)"))
+    found = spans.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("len") < 2))
+    edge = F.when(F.col("len") > 1, F.shiftleft(F.col("end").cast("long"), 32) + F.shiftleft(F.col("len").cast("long"), 24) + F.col("id") + 1)
+    return found.select(*also, "word", edge.alias("edge"))
+
+
 def encoded_rows(docs: DataFrame, model: str, row: Column, text: str = "text", kind: str = "bpe", digests: bool = False) -> DataFrame:
-    """Of every row of docs: row (a struct of what is to be carried), n_words, ids, and if wanted ids_digest and text_digest, else 0."""
-    spark = docs.sparkSession
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Of every row of docs: row (a struct of what is to be carried), n_words, ids, ids_digest and text_digest (0).
+
+    With digests, whose row has id and source: id in place of row, n_ids and what the decoded ids give in place of ids.
+    """
     cutter = Cutter([p for p, _, _ in _texts_of(_model(model))])
     carried = docs.select(row.alias("row"), F.col(text).alias("text"))
     kept = carried.schema["row"].dataType.simpleString()
     costs = piece_costs(model, kind)
-    chunks = save(carried.mapInArrow(_chunks(cutter), f"chunk long, row {kept}, words binary, idx int, word string"), "chunks")
-    each = chunks.where("word is not null").select("chunk", "idx", "word")
-    words = save(each.select("word").distinct(), "words")
-    coded = encode_words(words, load_pieces(spark, model, costs), costs, byte_ids(model), max(spread, words.count() // TASK_WORDS))
-    nothing = lambda c: F.lit(None).cast(chunks.schema[c].dataType).alias(c)
-    none = F.lit(0).cast("long")
-    told = _crcs(model)[:2] if digests else [none, none]
-    coded = coded.select("word", "ids", *[c.alias(n) for c, n in zip(told, _TOLD[1:3], strict=True)])
-    of_words = each.join(coded, "word").select("chunk", F.lit(False).alias("is_row"), "idx", nothing("row"), nothing("words"), "ids", *_TOLD[1:3])
-    of_rows = chunks.where("words is not null").select("chunk", F.lit(True).alias("is_row"), "idx", "row", "words", F.lit(None).cast("array<int>").alias("ids"), *[none.alias(n) for n in _TOLD[1:3]])
-    both = of_words.unionByName(of_rows).repartition(spread, "chunk").sortWithinPartitions("chunk", "is_row", "idx")
-    return both.mapInArrow(_put_together, f"row {kept}, n_words long, ids array<int>, ids_digest long, text_digest long")
+    pieces = load_pieces(docs.sparkSession, model, costs)
+    fold, crcs_of = _Fold(model, costs), _word_crcs(model, digests)
+    frequent = _frequent(carried.select("text"), cutter, pieces, fold, crcs_of)
+    chunks = carried.mapInArrow(_chunks(cutter, frequent["word"].to_pylist()), f"chunk long, row {kept}, words binary, idx int, word string")
+    edges = _edges(chunks, pieces).select("chunk", "idx", "edge", "word", "words", "row")
+    if not digests:
+        return edges.mapInArrow(_put_together(fold, crcs_of, frequent), f"row {kept}, n_words long, ids array<int>, ids_digest long, text_digest long")
+    key = carried.schema["row"].dataType["id"].dataType.simpleString()
+    told = f"id {key}, n_words long, n_ids long, ids_digest long, text_digest long, decoded_same boolean, ids_crc32 long, text_crc32 long"
+    return edges.mapInArrow(_put_together(fold, crcs_of, frequent, piece_bytes(model)), told)
 
 
 def encode_texts(docs: DataFrame, model: str, text: str = "text", kind: str = "bpe") -> DataFrame:
@@ -356,11 +638,16 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text", kind: str = "b
     return encoded_rows(docs, model, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text, kind).select("row.*", "ids")
 
 
+def piece_bytes(model: str) -> list[bytes]:
+    """Per id the UTF-8 bytes that it decodes to; control ids have none."""
+    m = _model(model)
+    texts = {i: p.encode() for p, i, _ in _texts_of(m)} | {i: bytes([b]) for b, i in enumerate(byte_ids(model))}
+    return [texts.get(i, b"") for i in range(m.get_piece_size())]
+
+
 def marked_text(model: str, ids: Column) -> Column:
     """The marked text of ids; control ids have none, and bytes that aren't UTF-8 become the replacement mark."""
-    m = _model(model)
-    texts = {i: p.encode().hex() for p, i, _ in _texts_of(m)} | {i: f"{b:02x}" for b, i in enumerate(byte_ids(model))}
-    table = F.split(F.lit(",".join(texts.get(i, "") for i in range(m.get_piece_size()))), ",")  # a literal of the model's size
+    table = F.split(F.lit(",".join(b.hex() for b in piece_bytes(model))), ",")  # a literal of the model's size
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")), "utf-8")
 
 
@@ -435,10 +722,7 @@ def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
     that of the text that they decode to. The source's own space marks count as blanks.
     """
     coded = encoded_rows(docs, model, F.struct(F.col(doc_id).alias("id"), F.col(text).alias("source")), text, kind, digests=True)
-    back = decode_texts(coded, model)
-    same = F.col("text") == F.translate(F.coalesce("row.source", F.lit("")), SPACE, " ")
-    whole = [F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")]
-    return back.select(F.col("row.id").alias(doc_id), "n_words", F.size("ids").cast("long").alias("n_ids"), "ids_digest", "text_digest", same.alias("decoded_same"), *whole)
+    return coded.withColumnRenamed("id", doc_id)
 
 
 def word_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", kind: str = "bpe") -> DataFrame:
